@@ -1,11 +1,12 @@
 """Toxicity scores by a counterfactually regularised classifier.
 
-A logistic model over the distinct words of a text (letters only, A-Z
-lower-cased) is fitted on a bounded sample of labelled rows. In the sample's
-sentences, each identity term is swapped for the other terms of its kind and for
-a neutral word, and the squared change of the score is penalised, so that a
-mention of a group weighs as little as any other and naming it neutrally does
-not raise a score.
+A logistic model over the words of a text (letters only, A-Z lower-cased), their
+beginnings, and how often these occur, is fitted on a bounded sample of labelled
+rows; the features are those whose rates differ most between the classes, found
+by a grouped aggregation. In the sample's sentences, each identity term is
+swapped for the other terms of its kind and for a neutral word, and the squared
+change of the score is penalised, so that a mention of a group weighs as little
+as any other and naming it neutrally does not raise a score.
 
 Only `labels.toxic` of rows whose crc32(doc_id as text) mod 5 is not 0 is
 learned from; the text alone is scored. Every whole text is scored in one scan
@@ -21,6 +22,7 @@ scored each. Ids of labels without a document are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import held_out, small_batches
+from ._store import held_out, keep, small_batches
 from ._words import Words, blocks
 
-MAX_ROWS, MAX_FEATURES = 20_000, 50_000
+MAX_ROWS, MAX_FEATURES = 20_000, 4_000
+#: Standard deviations by which a feature's toxic rows differ from the common rate, at least.
+LEAST_GAIN = 4.0
+#: Bytes of the beginnings of words, and how often a word or beginning occurs in a text.
+PREFIXES, LEVELS = (4, 5, 6, 7, 8), (1, 2, 4)
 
 # Identity terms by kind; the first of each kind is the neutral word.
 IDENTITY = {
@@ -57,107 +63,175 @@ def _kinds() -> dict[bytes, list[bytes]]:
     return out
 
 
-def _keys(words: list[bytes]) -> np.ndarray:
-    """32-bit keys of single words, as blocks of text give them."""
-    block = Words([b" ".join(words)])
-    return (block.keys >> np.uint64(32)).astype(np.uint32)[block.inverse]
+def _form_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct word, 32-bit key) of each word and of its beginnings."""
+    starts, lens = words.starts[words.first], (words.ends - words.starts)[words.first]
+    lanes = np.ndarray((len(words.buf) - 7,), "<u8", words.buf.data, strides=(1,))[starts]
+    forms, keys = [np.arange(len(starts))], [words.keys >> np.uint64(32)]
+    for k in PREFIXES:
+        long = np.flatnonzero(lens > k)
+        with np.errstate(over="ignore"):
+            h = ((lanes[long] & np.uint64((1 << 8 * k) - 1)) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        forms.append(long)
+        keys.append(h >> np.uint64(32))
+    return np.concatenate(forms), np.concatenate(keys)
+
+
+def _cells(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, words that have it), for all keys or those in `known` (sorted), which are then given by their index."""
+    words = Words([t.translate(_LETTERS) for t in texts])
+    form, key = _form_features(words)
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        good = np.flatnonzero(known[at] == key) if len(known) else np.zeros(0, np.int64)
+        form, key = form[good], at[good].astype(np.uint64)
+    order = np.argsort(form, kind="stable")
+    form, key = form[order], key[order]
+    first = np.searchsorted(form, np.arange(len(words.first) + 1))
+    doc, pair_form, count = words.pairs()
+    many = (first[1:] - first[:-1])[pair_form]
+    rows = np.repeat(np.arange(len(doc)), many)
+    inner = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + first[pair_form[rows]]
+    cell = (doc[rows].astype(np.uint64) << np.uint64(32)) | key[inner]
+    by = np.argsort(cell)
+    cell = cell[by]
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(count[rows[by]], new) if len(new) else np.zeros(0, np.int64)
+    return (cell[new] >> np.uint64(32)).astype(np.int64), cell[new] & np.uint64(0xFFFFFFFF), counts
+
+
+def _levels(counts: np.ndarray):
+    """(level, cells that reach it)."""
+    for level, least in enumerate(LEVELS):
+        yield level, np.flatnonzero(counts >= least)
+
+
+def _rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per key and level, the labelled texts that have it and the toxic ones of them, summed over blocks."""
+    for block in blocks(batches, ["toxic"]):
+        toxic = np.array(block["toxic"], np.int64)
+        doc, key, counts = _cells(block["text"])
+        for level, rows in _levels(counts):
+            keys, inverse = np.unique(key[rows], return_inverse=True)
+            df = np.bincount(inverse, minlength=len(keys))
+            pos = np.bincount(inverse, toxic[doc[rows]], len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), level, np.int32)), pa.array(df), pa.array(pos)], names=["key", "level", "df", "pos"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per labelled row: its label, its word keys, and the swaps that its sentences allow as pairs of keys."""
-    swaps = _kinds()
-    pattern = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, swaps), key=len, reverse=True)) + rb")(?![a-z\x80-\xff])")
-    for block in blocks(batches, ["toxic"]):
-        words = Words([t.translate(_LETTERS) for t in block["text"]])
-        doc, form, _ = words.pairs()
-        keys = (words.keys >> np.uint64(32)).astype(np.uint32)[form]
-        cuts = np.searchsorted(doc, np.arange(len(block["text"]) + 1))
-        out: dict[str, list] = {"toxic": [], "words": [], "swaps": []}
-        for k, text in enumerate(block["text"]):
-            pairs: list[bytes] = []
-            lower = text.lower()
+def _rows(known: np.ndarray):
+    """Per labelled text: its label and its cells of known keys, as (index, count) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, ["toxic"]):
+            doc, key, counts = _cells(block["text"], known)
+            cuts = np.searchsorted(doc, np.arange(len(block["text"]) + 1))
+            cells = [np.stack([key[a:b].astype(np.uint32), np.minimum(counts[a:b], 255).astype(np.uint32)]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(block["toxic"], pa.int32()), pa.array(cells, pa.binary())], names=["toxic", "cells"])
+
+    return run
+
+
+def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many labelled sentences allow each swap."""
+    kinds = _kinds()
+    pattern = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + rb")(?![a-z\x80-\xff])")
+    found: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            lower = (text or b"").lower()
             if pattern.search(lower):
                 for sentence in _SENTENCE.split(lower):
-                    for term in set(pattern.findall(sentence)):
-                        for other in swaps[term]:
-                            pairs += [term, other]
-            out["toxic"].append(block["toxic"][k])
-            out["words"].append(keys[cuts[k] : cuts[k + 1]].tobytes())
-            out["swaps"].append(_keys(pairs).tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("words", pa.binary()), ("swaps", pa.binary())]))
+                    found.update(set(pattern.findall(sentence)))
+    yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
 
 class Model:
-    """keys, sorted, and their weights; bias."""
+    """keys: sorted; weights: a row of one weight per level for each; bias."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, bias
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.weights[at], 0.0)
-
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        words = Words([t.translate(_LETTERS) for t in texts])
-        doc, form, _ = words.pairs()
-        logit = np.bincount(doc, self.of((words.keys >> np.uint64(32)).astype(np.uint32))[form], len(texts)) + self.bias
+        doc, key, counts = _cells(texts, self.keys)
+        logit = np.full(len(texts), self.bias)
+        for level, rows in _levels(counts):
+            logit += np.bincount(doc[rows], self.weights[key[rows].astype(np.int64), level], len(texts))
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(labels: list[int], words: list[np.ndarray], swaps: np.ndarray, max_features: int = MAX_FEATURES, l2: float = 2e-4, swap_weight: float = 1.0, rounds: int = 120) -> Model:
-    """words: the keys of each labelled text; swaps: rows of (term, its replacement)."""
+def fit(labels: list[int], cells: list[np.ndarray], keys: np.ndarray, chosen: np.ndarray, swaps: list[tuple[bytes, bytes, int]], l2: float = 1e-5, swap_weight: float = 1.0, rounds: int = 300) -> Model:
+    """cells: (index of key, count) of each text; chosen: for each key and level, is it a feature?; swaps: (term, replacement, sentences)."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         rate = y.mean() if len(y) else 0.0
-        return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(rate, 1e-26) / max(1 - rate, 1e-26))))
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-    keys, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    # the words whose rate differs most between the classes, of those in three texts or more
-    pos = np.bincount(inverse, y[doc], len(keys))
+        return Model(keys[:0], np.zeros((0, len(LEVELS))), float(np.log(max(rate, 1e-26) / max(1 - rate, 1e-26))))
+    n, m = len(y), int(chosen.sum())
+    place = np.full(chosen.shape, -1)
+    place[chosen] = np.arange(m)
+    flat = np.concatenate(cells, axis=1) if cells else np.zeros((2, 0), np.uint32)
+    owner = np.repeat(np.arange(n), [c.shape[1] for c in cells])
+    doc, feature = [], []
+    for level, rows in _levels(flat[1]):
+        f = place[flat[0][rows].astype(np.int64), level]
+        doc.append(owner[rows][f >= 0])
+        feature.append(f[f >= 0])
+    doc, feature = np.concatenate(doc), np.concatenate(feature)
+
+    def features_of(word: bytes) -> np.ndarray:
+        _, key, counts = _cells([word], keys)
+        return np.array([place[int(k), level] for level, rows in _levels(counts) for k in key[rows] if place[int(k), level] >= 0], np.int64)
+
+    # a swap changes the score by the weights that its words do not share
+    own = {w: features_of(w) for w in {x for t, o, _ in swaps for x in (t, o)}}
+    live = [(own[t], own[o], times) for t, o, times in swaps if len(own[t]) or len(own[o])]
+    at = np.concatenate([np.concatenate([a, b]) for a, b, _ in live]).astype(np.int64) if live else np.zeros(0, np.int64)
+    sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b, _ in live]) if live else np.zeros(0)
+    swap = np.repeat(np.arange(len(live)), [len(a) + len(b) for a, b, _ in live])
+    times = np.array([t for *_, t in live], float)
     rate = y.mean()
-    gain = np.where(df >= 3, np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1), 0)
-    best = np.sort(np.argsort(-gain, kind="stable")[:max_features])
-    best = best[gain[best] > 0]
-    place = np.full(len(keys), -1)
-    place[best] = np.arange(len(best))
-    used = place[inverse] >= 0
-    doc, feature = doc[used], place[inverse[used]]
-    n, m = len(y), len(best)
-    at = lambda k: np.where(keys[best][np.minimum(np.searchsorted(keys[best], k), max(m - 1, 0))] == k, np.searchsorted(keys[best], k), m)
-    pair = np.stack([at(swaps[:, 0]), at(swaps[:, 1])]) if len(swaps) and m else np.zeros((2, 0), int)
-    w, bias = np.zeros(m + 1), float(np.log(rate / (1 - rate)))  # the last weight is that of words without one
-    g1, g2 = np.zeros(m + 2), np.zeros(m + 2)
+    w, bias = np.zeros(m), float(np.log(rate / (1 - rate)))
+    g1, g2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
         logit = np.bincount(doc, w[feature], n) + bias
         error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) / n
-        grad = np.zeros(m + 2)
-        grad[:m] = np.bincount(feature, error[doc], m) + l2 * w[:m]
-        if pair.shape[1]:
-            change = 2 * swap_weight * (w[pair[0]] - w[pair[1]]) / n
-            grad[: m + 1] += np.bincount(pair[0], change, m + 1) - np.bincount(pair[1], change, m + 1)
-        grad[m], grad[m + 1] = 0, error.sum()
+        grad = np.append(np.bincount(feature, error[doc], m) + l2 * w, error.sum())
+        if len(live):
+            change = np.bincount(swap, w[at] * sign, len(live)) * times * 2 * swap_weight / n
+            grad[:m] += np.bincount(at, change[swap] * sign, m)
         g1 = 0.9 * g1 + 0.1 * grad
         g2 = 0.999 * g2 + 0.001 * grad**2
         step = 0.1 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-9)
-        w[:m] -= step[:m]
-        bias -= step[m + 1]
-    return Model(keys[best], w[:m], bias)
+        w -= step[:m]
+        bias -= step[m]
+    weights = np.zeros(chosen.shape)
+    weights[chosen] = w
+    return Model(keys, weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fits on at most max_rows labelled rows, those with the least hashes of their ids."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     sample = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("toxic", "text")
-    y, words, swaps = [], [], []
-    for row in rows.mapInArrow(_features, "toxic int, words binary, swaps binary").toLocalIterator():
+    rows = keep(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("toxic", "text"), "labelled")
+    n, positive = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("toxic")).first())
+    if not 0 < positive < n:
+        return fit([int(positive > 0)] * min(n, 1), [], np.zeros(0, np.uint64), np.zeros((0, len(LEVELS)), bool), [])
+    rate = positive / n
+    gain = F.abs(F.col("pos") - F.col("df") * rate) / F.sqrt(F.col("df") * (rate * (1 - rate)) + 1)
+    sums = rows.mapInArrow(_rates, "key long, level int, df long, pos long").groupBy("key", "level").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    best = sums.where(F.col("df") >= 3).select("key", "level", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "key", "level").limit(max_features).collect()
+    keys = np.unique(np.array([r.key for r in best], np.uint64))
+    chosen = np.zeros((len(keys), len(LEVELS)), bool)
+    for r in best:
+        chosen[np.searchsorted(keys, np.uint64(r.key)), r.level] = True
+    y, cells = [], []
+    for row in rows.mapInArrow(_rows(keys), "toxic int, cells binary").toLocalIterator():
         y.append(row.toxic)
-        words.append(np.frombuffer(bytes(row.words), np.uint32))
-        swaps.append(np.frombuffer(bytes(row.swaps), np.uint32).reshape(-1, 2))
-    return fit(y, words, np.concatenate(swaps) if swaps else np.zeros((0, 2), np.uint32), max_features)
+        cells.append(np.frombuffer(bytes(row.cells), np.uint32).reshape(2, -1))
+    kinds = _kinds()
+    terms = rows.select("text").mapInArrow(_swaps, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one per identity term
+    return fit(y, cells, keys, chosen, [(r.term.encode(), other, r.n) for r in terms for other in kinds[r.term.encode()]])
 
 
 def _scorer(model: Model):

@@ -47,6 +47,8 @@ def decode(data: bytes) -> np.ndarray:
 
 def slices(values: np.ndarray, bits: int, total_bits: int = 64) -> list[tuple[int, int, int]]:
     """(owner, from, to) of the sorted values, where the owner is their top `bits` of `total_bits`."""
+    if not len(values):
+        return []
     owners = (values >> np.uint64(total_bits - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-    at = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(values) else []
+    at = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
     return [(int(owners[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(values)], strict=True)]

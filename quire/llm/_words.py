@@ -84,6 +84,10 @@ class Words:
         raw = self.buf.tobytes()
         return [raw[s:e] for s, e in zip(self.starts[self.first].tolist(), self.ends[self.first].tolist(), strict=True)]
 
+    def distinct_at(self, indexes: np.ndarray) -> list[tuple[int, bytes]]:
+        """(index, word) of some of the distinct words."""
+        return [(k, self.buf[self.starts[f] : self.ends[f]].tobytes()) for k, f in zip(indexes.tolist(), self.first[indexes].tolist(), strict=True)]
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_first) - 1), np.diff(self.doc_first))
 

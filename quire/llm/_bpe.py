@@ -23,6 +23,8 @@ _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _LONGEST = 48
+_MARK_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = frozenset(_MARK_CHARS.encode())
 
 
 def _byte_chars() -> list[str]:
@@ -47,7 +49,8 @@ class Tokens:
             model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("ignore_merges")
             and [x["type"] for x in norm.get("normalizers", [])] == _NORMALIZERS and split.get("pattern", {}).get("Regex") == _PATTERN and len(model["vocab"]) <= 65536
         )
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
+        self.special_pattern = re.compile(b"|".join(special) if special else b"(?!)")
         self.kept: dict[bytes, bytes] = {}
         if self.merging:
             vocab = model["vocab"]
@@ -131,26 +134,50 @@ class Tokens:
             right = np.flatnonzero(best < width - 2)
             rank[right, best[right]] = self.ranks(new[right], ids[right, best[right] + 1])
 
+    def parts(self, chunk: bytes) -> list[bytes] | None:
+        """What the splitting pattern makes of a chunk of plain Latin-1 text; None for other chunks."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk.isascii():
+            if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1:]]
+        text = chunk.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text):
+            return None
+        lower = text.lower()
+        if lower.isalpha():
+            return [lower.encode()]
+        if lower[-1] in _MARK_CHARS and lower[:-1].isalpha():
+            return [lower[:-1].encode(), lower[-1].encode()]
+        return [p.encode() for p in self.split.findall(lower)]
+
     def chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks, as two bytes each, or four where the vocabulary needs them."""
+        """Ids of chunks, as bytes of the type `kind`."""
         kept = self.kept
         if len(kept) > self.KEPT:
             kept.clear()
-        fresh = [c for c in chunks if c not in kept]
         words: dict[bytes, int] = {}
-        plain: list[tuple[bytes, list[int]]] = []
-        for chunk in fresh:
-            text = chunk.decode("utf-8", "replace")
-            if self.merging and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                lower = text.lower()
-                parts = [p.encode() for p in ((lower,) if lower.isalpha() else self.split.findall(lower))]
-                if all(len(p) <= _LONGEST for p in parts):
-                    plain.append((chunk, [words.setdefault(p, len(words)) for p in parts]))
-                    continue
-            kept[chunk] = np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").astype(self.kind).tobytes()
+        fresh: list[bytes] = []
+        numbers: list[int] = []  # of the fresh chunks' words, in a row: many small lists would keep the collector busy
+        ends: list[int] = []
+        special = self.special_pattern.search
+        for chunk in chunks:
+            if chunk in kept:
+                continue
+            found = self.parts(chunk) if self.merging and not special(chunk) else None
+            if found is None or len(chunk) > _LONGEST and any(len(p) > _LONGEST for p in found):
+                text = chunk.decode("utf-8", "replace")
+                kept[chunk] = np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").astype(self.kind).tobytes()
+                continue
+            for p in found:
+                numbers.append(words.setdefault(p, len(words)))
+            fresh.append(chunk)
+            ends.append(len(numbers))
         ids = self.words(list(words))
-        for chunk, parts in plain:
-            kept[chunk] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        at = 0
+        for chunk, end in zip(fresh, ends, strict=True):
+            kept[chunk] = ids[numbers[at]] if end - at == 1 else b"".join([ids[k] for k in numbers[at:end]])
+            at = end
         return [kept[c] for c in chunks]
 
     @functools.cached_property

@@ -46,7 +46,7 @@ from ._words import blocks
 LENGTH = 50
 #: Bytes of an anchor.
 SEED = 24
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _FP_BITS = 44
 _CHUNK = 1 << 18
 _NO_ID = np.int64((1 << 63) - 1)
@@ -84,6 +84,14 @@ def _seed_hashes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads hashes evenly again: those of anchors are minima, and most of them small."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -117,7 +125,7 @@ class Anchors:
             pos.append(anchor[new] + at)
             low.append(starts[whole[new]])
             high.append(starts[whole[last]])
-            fps.append(h[anchor[new]] >> np.uint64(64 - _FP_BITS))
+            fps.append(_mixed(h[anchor[new]]) >> np.uint64(64 - _FP_BITS))
         none = np.zeros(0, np.int64)
         self.pos, self.low, self.high = (np.concatenate(x) if x else none for x in (pos, low, high))
         self.fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)

@@ -74,7 +74,12 @@ def terms(text: Column, lang: str = "en") -> Column:
 
 
 def is_term(t: Column, lang: str = "en") -> Column:
-    return ~is_junk(t) & ~is_stop(t) if lang == "cn" else ~t.rlike(ROMAN_WORD) & ~is_junk(t) & ~is_stop(t)
+    if lang == "cn":
+        return ~is_junk(t) & ~is_stop(t)
+    # the English passes give lower-case letters and single spaces, so only these rules of is_junk and is_stop can apply
+    n, dense = F.length(t), F.replace(t, F.lit(" "), F.lit(""))
+    dull = (F.length(dense) >= 8) & (F.size(F.array_distinct(F.split(dense, ""))) / F.greatest(F.length(dense), F.lit(1)) < 0.35)
+    return (n > 2) & ~t.isin(STOP_TERMS + FORMAT_NOISE) & ~((n <= 4) & t.rlike("(ing|ed|tion|ness|ment)$")) & ~t.rlike(ROMAN_WORD) & ~dull
 
 
 def page_terms(pages: DataFrame, lang: str = "en") -> DataFrame:

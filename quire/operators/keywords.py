@@ -167,7 +167,8 @@ def promoted(rows: DataFrame) -> DataFrame:
     top = ranked(rows).withColumn("is_phrase", F.contains("term", F.lit(" ")))
     phrases = top.where("rank <= 200 AND is_phrase").select("doc_id", F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term", "rank", "page_df", "heading").where("length(word) > 2")
     best = phrases.groupBy("doc_id", "word").agg(F.min_by(F.struct("term", "page_df", "heading"), "rank").alias("phrase"))
-    joined = top.join(best, (top.doc_id == best.doc_id) & (top.term == best.word) & ~top.is_phrase, "left").drop(best.doc_id)
+    single = F.when(~F.col("is_phrase"), F.col("term"))  # null for phrases, which so meet nothing
+    joined = top.withColumn("word", single).join(best, ["doc_id", "word"], "left")
     stronger = (F.col("phrase.page_df") >= F.col("page_df")) | (F.col("phrase.heading") > F.col("heading")) | (F.col("phrase.heading") >= 0.5)
     chosen = joined.select("doc_id", F.when(F.coalesce(stronger, F.lit(False)), F.col("phrase.term")).otherwise(F.col("term")).alias("term"), F.col("rank").alias("at"))
     places = chosen.groupBy("doc_id", "term").agg(F.min("at").alias("place"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import _golomb
+from ._store import released
 
 SENT = "msg long, owner int, payload binary, own binary"
 REPLY = "msg long, owner int, bitmap binary"
@@ -73,4 +74,4 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def replies(sent, partitions: int):
     """One row per message and owner; sent: a kept table of SENT."""
-    return sent.repartition(partitions, "owner").sortWithinPartitions("owner").mapInArrow(answer, REPLY)
+    return sent.repartition(partitions, "owner").sortWithinPartitions("owner").mapInArrow(released(answer), REPLY)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import released, small_batches
 from ._words import Words, blocks
 
 SIMILARITY = 0.8
@@ -292,7 +292,7 @@ def _matcher(index: Index, carry: list[str]):
 def _matched(docs: DataFrame, items: list[tuple[int, bytes]], carry: list[str], text: str, similarity: float, recall: float) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     index = Index(items, similarity, recall)
-    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(_matcher(index, carry), f"{fields}, _items long, _item long, _distance int, _words int")
+    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(released(_matcher(index, carry)), f"{fields}, _items long, _item long, _distance int, _words int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, item_words: int = ITEM_WORDS) -> DataFrame:

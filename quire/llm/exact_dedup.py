@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange
-from ._store import bounded, keep, lowered, partitions
+from ._store import bounded, keep, lowered, partitions, released
 
 #: Fingerprints in one message of a partition.
 MESSAGE = 1 << 20
@@ -68,9 +68,9 @@ def suspects(fingerprints: DataFrame) -> DataFrame:
     """Distinct values of a one-column table of 64-bit fingerprints that occur more than once; a kept table."""
     spark = fingerprints.sparkSession
     n = partitions(spark)
-    sent = keep(fingerprints.mapInArrow(_sender(_exchange.owner_bits(n)), _exchange.SENT), "sent")
+    sent = keep(fingerprints.mapInArrow(released(_sender(_exchange.owner_bits(n))), _exchange.SENT), "sent")
     back = sent.drop("own").join(_exchange.replies(sent, n), ["msg", "owner"])
-    return keep(back.select("payload", "bitmap").mapInArrow(_received, f"{_FP} long").distinct(), "suspects")
+    return keep(back.select("payload", "bitmap").mapInArrow(released(_received), f"{_FP} long").distinct(), "suspects")
 
 
 def _with_fp(docs: DataFrame, text: str) -> DataFrame:

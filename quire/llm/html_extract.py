@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import released, small_batches
 
 #: Labelled pages that the weights are learned from, at most.
 MAX_PAGES = 1000
@@ -226,7 +226,7 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> dict[str, float]:
     """Weights from at most max_pages pages, those with the least hashes of their ids."""
     ids = pages.select(F.col("page_id").cast("long").alias("_id")).where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(max_pages).distinct()
     sample = pages.select(F.col("page_id").cast("long").alias("_id"), F.col("html").cast("string").alias("html")).join(F.broadcast(ids), "_id", "left_semi").select("html")
-    rows = sample.mapInArrow(_count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # at most two per type
+    rows = sample.mapInArrow(released(_count), "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # at most two per type
     return weights({(r.kind, r.inside): r.n for r in rows})
 
 
@@ -246,4 +246,4 @@ def main_texts(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     small_batches(pages.sparkSession)
     weight = train(pages, max_pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extractor(weight), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(released(_extractor(weight)), "page_id long, url string, text string, n_chars long")

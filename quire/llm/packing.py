@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._store import small_batches
+from ._store import released, small_batches
 from ._words import blocks
 
 TIERS = (256, 512, 1024, 2048)
@@ -136,4 +136,4 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
         raise ValueError("tiers are ascending powers of two")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer or default_path(), tuple(tiers), step_tokens), RESULT)
+    return rows.mapInArrow(released(_packer(tokenizer or default_path(), tuple(tiers), step_tokens)), RESULT)

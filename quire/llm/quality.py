@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bounded, held_out, keep, small_batches
+from ._store import bounded, held_out, keep, released, small_batches
 from ._words import Words, blocks
 
 MAX_ROWS = 20_000
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     sample = known.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("quality", "text")
-    found = rows.mapInArrow(_sampled, "quality int, x array<double>").toPandas()
+    found = rows.mapInArrow(released(_sampled), "quality int, x array<double>").toPandas()
     y = found["quality"].to_numpy(float)
     x = np.array(found["x"].tolist(), float).reshape(len(y), len(FEATURES))
     return fit(y, x), float(y.mean()) if len(y) else 1.0
@@ -193,11 +193,11 @@ def _combined(docs: DataFrame, labels: DataFrame, host: str, path: str | None, t
     body = F.col(text).cast("string").alias("_text")
     prior = float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     good = 1 / (1 + F.exp(-(F.col("_evidence") + prior)))
-    narrow = docs.select(*site, body).mapInArrow(_scored(model, ["_host", "_path"]), "_host string, _path string, _evidence double")
+    narrow = docs.select(*site, body).mapInArrow(released(_scored(model, ["_host", "_path"])), "_host string, _path string, _evidence double")
     sites = keep(narrow.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good")), "paths")
     table = keep(rates(sites, rate), "rates")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    full = docs.select(*carry, *site, body).mapInArrow(_scored(model, [*carry, "_host", "_path"]), f"{fields}, _host string, _path string, _evidence double")
+    full = docs.select(*carry, *site, body).mapInArrow(released(_scored(model, [*carry, "_host", "_path"])), f"{fields}, _host string, _path string, _evidence double")
     joined = full.join(bounded(table, 50_000), ["_host", "_path"])
     others = (F.col("good") - good + F.col("path_strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_strength"))
     odds = F.col("_evidence") + _odds(others)

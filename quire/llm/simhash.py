@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _graph
-from ._store import bounded, keep, partitions, small_batches
+from ._store import bounded, keep, partitions, released, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints in a vertical block, as 64-bit lanes times 64.
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp as a signed long) per row."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_fingerprints), "doc_id long, fp long")
 
 
 def plan(n: int, radius: int = RADIUS) -> tuple[list[int], list[tuple[int, ...]]]:
@@ -212,7 +212,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in (sum(masks[i] for i in c) for c in choices)]
     keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for k, m in enumerate(signed)])
     dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.bucket", "fp")
-    return dealt.repartition(partitions(spark), "choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInArrow(_bucket_links(radius), "a long, b long")
+    return dealt.repartition(partitions(spark), "choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInArrow(released(_bucket_links(radius)), "a long, b long")
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

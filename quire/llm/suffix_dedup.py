@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _exchange
 from ._golomb import slices
-from ._store import new_path, partitions, small_batches
+from ._store import new_path, partitions, released, small_batches
 from ._words import blocks
 
 LENGTH = 50
@@ -475,15 +475,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = partitions(spark)
     bits = _exchange.owner_bits(n)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = _bucketed(rows.mapInArrow(_pack(BLOCK), _BLOCK), n)
-    sent = table.mapInArrow(_send_prints(bits, length), _exchange.SENT)
+    table = _bucketed(rows.mapInArrow(released(_pack(BLOCK)), _BLOCK), n)
+    sent = table.mapInArrow(released(_send_prints(bits, length)), _exchange.SENT)
     bitmaps = _exchange.replies(sent, n).groupBy(F.col("msg").alias("block")).agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies"))
-    runs = keep(table.join(bitmaps.hint("shuffle_hash"), "block", "left").mapInArrow(_send_runs(bits, length), _RUNS), "runs")
+    runs = keep(table.join(bitmaps.hint("shuffle_hash"), "block", "left").mapInArrow(released(_send_runs(bits, length)), _RUNS), "runs")
     owned = runs.where("owner >= 0").repartition(n, "owner").sortWithinPartitions("owner")
-    answers = owned.mapInArrow(_owner(length), _ANSWER)
+    answers = owned.mapInArrow(released(_owner(length)), _ANSWER)
     places = runs.where("owner < 0").select("block", F.col("run").alias("places"))
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "offsets")).alias("answers"))
     replies = places.join(by_block.hint("shuffle_hash"), "block", "left")
     joined = table.join(replies.hint("shuffle_hash"), "block", "left")
     schema = FULL if whole else FULL.split(", spans")[0]
-    return joined.mapInArrow(_cut(length, whole), schema)
+    return joined.mapInArrow(released(_cut(length, whole)), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _lattice
-from ._store import small_batches
+from ._store import released, small_batches
 from ._words import Words, blocks
 
 
@@ -95,4 +95,4 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     """Per row: doc_id, n_words (pre-tokens), n_tokens."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_counter(vocabulary or _lattice.default_path()), "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(released(_counter(vocabulary or _lattice.default_path())), "doc_id long, n_words long, n_tokens long")

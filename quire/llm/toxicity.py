@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import held_out, keep, small_batches
+from ._store import held_out, keep, released, small_batches
 from ._words import Words, blocks
 
 MAX_ROWS, MAX_FEATURES = 20_000, 4_000
@@ -219,18 +219,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         return fit([int(positive > 0)] * min(n, 1), [], np.zeros(0, np.uint64), np.zeros((0, len(LEVELS)), bool), [])
     rate = positive / n
     gain = F.abs(F.col("pos") - F.col("df") * rate) / F.sqrt(F.col("df") * (rate * (1 - rate)) + 1)
-    sums = rows.mapInArrow(_rates, "key long, level int, df long, pos long").groupBy("key", "level").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    sums = rows.mapInArrow(released(_rates), "key long, level int, df long, pos long").groupBy("key", "level").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
     best = sums.where(F.col("df") >= 3).select("key", "level", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "key", "level").limit(max_features).collect()
     keys = np.unique(np.array([r.key for r in best], np.uint64))
     chosen = np.zeros((len(keys), len(LEVELS)), bool)
     for r in best:
         chosen[np.searchsorted(keys, np.uint64(r.key)), r.level] = True
     y, cells = [], []
-    for row in rows.mapInArrow(_rows(keys), "toxic int, cells binary").toLocalIterator():
+    for row in rows.mapInArrow(released(_rows(keys)), "toxic int, cells binary").toLocalIterator():
         y.append(row.toxic)
         cells.append(np.frombuffer(bytes(row.cells), np.uint32).reshape(2, -1))
     kinds = _kinds()
-    terms = rows.select("text").mapInArrow(_swaps, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one per identity term
+    terms = rows.select("text").mapInArrow(released(_swaps), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one per identity term
     return fit(y, cells, keys, chosen, [(r.term.encode(), other, r.n) for r in terms for other in kinds[r.term.encode()]])
 
 
@@ -250,4 +250,4 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fea
     small_batches(docs.sparkSession)
     model = train(docs, labels, max_rows, max_features)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(released(_scorer(model)), "doc_id long, held_out boolean, score double, predicted int")

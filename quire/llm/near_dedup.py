@@ -1,0 +1,129 @@
+"""Near duplicates by the Jaccard similarity of five-word shingles.
+
+Texts are lower-cased and split at white space; a text is the set of its
+shingles (64-bit hashes). Texts of `similarity` or more are linked:
+1. MinHash bands: `ROWS` minima of a set under hash functions make a key, BANDS
+   times; texts that share a key meet. A pair at the limit of 0.8 is missed with
+   probability (1 - 0.8^ROWS)^BANDS = 7e-5, a closer one less often.
+2. Pairs that meet are verified by their exact Jaccard similarity. Neighbours by
+   size in a bucket are verified first, then all pairs whose texts these links
+   have not connected yet, so a large group of copies does not cost its square.
+   Sizes too different for the limit are left out, which loses no pair.
+3. Components come from star contractions over the verified links.
+
+Defined cases: texts of fewer words than a shingle are one shingle of all their
+words; null and wordless texts are one group. Ids are as in simhash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import _graph, simhash
+from ._store import bounded, keep, released, small_batches
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 5
+_STEP = 2048
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.default_rng(42)
+_FLIPS, _FACTORS, _BAND_SEEDS = (_RNG.integers(0, 1 << 64, n, np.uint64) for n in (BANDS * ROWS, BANDS * ROWS, BANDS))
+_FACTORS |= np.uint64(1)
+
+
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of one text, in UTF-8, ascending."""
+    words = text.decode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    span = min(shingle, len(words))
+    n = len(words) - span + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(span):
+        h = _mixed(h, hashes[k : k + n])
+    return np.unique(h)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key per band of a set that is not empty."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), _STEP):
+        np.minimum(least, ((h[at : at + _STEP, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
+    key = _BAND_SEEDS
+    for row in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key, row)
+    return key
+
+
+def _digest(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), 42) if len(h) else 0
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp, n, keys = [], [], []
+        for text in _texts(batch):
+            h = shingles(text)
+            fp.append(_digest(h))
+            n.append(len(h))
+            keys.append(band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+        fp = np.array(fp, np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(text) for text in _texts(batch)]
+        fp = np.array([_digest(h) for h in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of set digests that reach the similarity."""
+    sides = [sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab"]
+    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    both = both.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("common"), (F.size("a_set") + F.size("b_set")).alias("total"))
+    return both.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def links(prints: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect the sets of kept tables: prints (doc_id, fp, n, bands), docs (doc_id, text)."""
+    dealt = prints.select("fp", "n", F.explode("bands").alias("band"))
+    crowd = keep(dealt.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("many > 1").select("band", "n", "fp"), "crowd")
+    ids = keep(prints.join(crowd.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "met")
+    met = docs.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = keep(met.mapInArrow(released(_sets), "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
+    by = Window.partitionBy("band").orderBy("n", "fp")
+    near = crowd.select(F.lag("fp").over(by).alias("a"), F.lag("n").over(by).alias("m"), F.col("fp").alias("b"), "n")
+    first = keep(_verified(near.where((F.col("a") != F.col("b")) & (F.col("m") + 1e-9 >= similarity * F.col("n"))).select("a", "b"), sets, similarity), "first-links")
+    named = _graph.components(first, "a", "b").select(F.col("node").alias("fp"), "component")
+    held = keep(crowd.distinct().join(named, "fp", "left").select("band", "n", "fp", F.coalesce("component", "fp").alias("component")), "held")
+    x, y = (held.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("n", "fp", "component"))) for s in "xy")
+    met_in = x.join(y, (x.band == y.band) & (F.col("x_component") != F.col("y_component")) & (F.struct("x_n", "x_fp") < F.struct("y_n", "y_fp")) & (F.col("x_n") + 1e-9 >= similarity * F.col("y_n")))
+    rest = keep(_verified(met_in.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")), sets, similarity), "other-links")
+    return first.unionByName(rest)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the document of the smallest id of each group, one row of it; groups without an id keep all their rows."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = keep(rows.mapInArrow(released(_prints), "doc_id long, fp long, n long, bands array<long>"), "prints")
+    first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return simhash.without_copies(docs, simhash.named(prints.select("doc_id", "fp"), first, links(prints, rows, similarity)), doc_id)

@@ -218,7 +218,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds component_id, the smallest doc_id reachable, to a kept table (doc_id, fp)."""
     first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    comps = _graph.components(links(first.select("fp"), radius), "a", "b")
+    return named(prints, first, links(first.select("fp"), radius))
+
+
+def named(prints: DataFrame, first: DataFrame, linked: DataFrame) -> DataFrame:
+    """Adds component_id to kept prints (doc_id, fp), from the least id of each fp and links (a, b)."""
+    comps = _graph.components(linked, "a", "b")
     named = keep(first.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     table = keep(named.join(ids, "component").select("fp", "component_id"), "named")
@@ -234,5 +239,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with the document of the smallest id of each group, one row of it; groups without an id keep all their rows."""
     prints = keep(fingerprints(docs, doc_id, text), "prints")
-    drop = keep(grouped(prints, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_quire_drop")).distinct(), "dropped")
+    return without_copies(docs, grouped(prints, radius), doc_id)
+
+
+def without_copies(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that are not their group's component_id."""
+    drop = keep(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_quire_drop")).distinct(), "dropped")
     return docs.join(bounded(drop), F.col(doc_id) == F.col("_quire_drop"), "left_anti")

@@ -1,0 +1,56 @@
+import random
+
+import corpus_pipeline
+
+from quire.llm import near_dedup
+
+from .helpers import documents, frame
+from .test_simhash import brute_components
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def rows_with_copies(seed=11):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(rng.randint(30, 400))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 4):  # a changed word takes five shingles of n - 4; 2 % changed words are near the limit
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.choice([1, 2, 3]) // 100)):
+                copy[at] = word()
+            rows.append((10 * k + c, " ".join(copy)))
+    return [(i, t, "en", "s", 0, 0, "") for i, t in rows]
+
+
+def test_pairs_at_the_limit_are_found_by_the_stage(spark):
+    rows = rows_with_copies()
+    sets = [brute_set(r[1]) for r in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
+    assert 60 < len(pairs) and any(len(sets[i] & sets[j]) < 0.85 * len(sets[i] | sets[j]) for i, j in pairs)
+    roots = brute_components(len(rows), pairs)
+    out = corpus_pipeline.near_stage(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted({rows[k][0] for k in roots})
+
+
+def test_awkward_rows(spark):
+    rows = documents()
+    sets = [brute_set(r[1]) for r in rows]
+    roots = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    least = {}
+    for r, root in zip(rows, roots):
+        if r[0] is not None:
+            least[root] = min(least.get(root, r[0]), r[0])
+    out = near_dedup.deduplicated(frame(spark))
+    assert out.columns == frame(spark).columns
+    assert {r.doc_id for r in out.collect()} == set(least.values()) | {None}
+    assert near_dedup.deduplicated(frame(spark, [])).count() == 0

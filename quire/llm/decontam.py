@@ -7,14 +7,9 @@ case). A document is contaminated by an item if some stretch of it is within
    at least n - q + 1 - e q of its q-grams, within e of one diagonal; only
    windows whose seeds reach that count go on. A block of text is matched with
    numpy against the items' q-grams.
-2. CGK embedding: a window and the items walk through random copies of their
-   words (a word is repeated or left by a random bit per step and word), which
-   maps edit distance to Hamming distance; bits of both walks are sampled into
-   LSH tables, repeatedly with fresh walks, and a window is a candidate for the
-   items that it meets in any table. The number of repetitions follows from the
-   target recall at the allowed distance.
-3. Candidates are verified by the exact edit distance of the item to the best
-   stretch of the window's neighbourhood.
+2. Every window that the filter keeps is decided by the exact edit distance of
+   the item to the best stretch of the window's neighbourhood; windows of one
+   item that overlap are decided together, many rows of windows at a time.
 
 Items go to the executors in blocks of bounded size, one scan of the documents
 for each block; documents are never shuffled.
@@ -38,11 +33,10 @@ from ._store import released, small_batches
 from ._words import Words, blocks
 
 SIMILARITY = 0.8
-RECALL = 0.999
 #: Words of items that go to the executors at once.
 ITEM_WORDS = 1_000_000
-#: Sampled positions per LSH table.
-SAMPLES = 3
+#: Cells of a distance table that are computed at once.
+CELLS = 1 << 20
 _OTHER = 0
 
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -79,33 +73,23 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def walks(sequences: np.ndarray, lengths: np.ndarray, seed: int, steps: int) -> np.ndarray:
-    """CGK walks of rows of word numbers: at every step the word at hand is copied, and left by a random bit of step and word."""
-    n = len(sequences)
-    at, out = np.zeros(n, np.int64), np.full((n, steps), -1, np.int64)
-    rows = np.arange(n)
-    for t in range(steps):
-        live = at < lengths
-        word = sequences[rows, np.minimum(at, sequences.shape[1] - 1)]
-        out[live, t] = word[live]
-        with np.errstate(over="ignore"):
-            mixed = (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0x1000003 + t) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        at += live & ((mixed >> np.uint64(40)) & np.uint64(1)).astype(bool)
-    return out
-
-
-def repetitions(e: int, n: int, recall: float = RECALL, samples: int = SAMPLES) -> int:
-    """Tables for the target recall, if e edits change about 2.5 e of the 2 n copied words of a walk."""
-    share = min(0.85, 2.5 * e / max(2 * n, 1))
-    hit = (1 - share) ** samples
-    return max(2, int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))) if hit < 1 else 2
+def best_stretches(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """best_stretch's distance by row; items are padded beyond their size, texts with words of no item."""
+    steps, rows = np.arange(items.shape[1] + 1, dtype=np.int32), np.arange(len(items))
+    column = np.tile(steps, (len(items), 1))
+    best = sizes.astype(np.int32)
+    for word in texts.T:
+        step = np.minimum(column[:, :-1] + (items != word[:, None]), column[:, 1:] + 1)
+        column[:, 0], column[:, 1:] = 0, step
+        column = np.minimum.accumulate(column - steps, axis=1) + steps
+        best = np.minimum(best, column[rows, sizes])
+    return best
 
 
 class Index:
-    """Items as word numbers, their q-gram seeds and LSH tables. Words of no item are number 0."""
+    """Items as word numbers, and their q-gram seeds. Words of no item are number 0."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float, recall: float):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float):
         words = Words([folded(t) for _, t in items])
         self.vocabulary = words.distinct()
         self.ids = [i for i, _ in items]
@@ -126,7 +110,6 @@ class Index:
             grams = np.array([g for g, _, _ in found], np.uint64)
             order = np.argsort(grams, kind="stable")
             self.seeds[q] = grams[order], np.array([k for _, k, _ in found])[order], np.array([a for _, _, a in found])[order]
-        self.similarity, self.recall, self._tables = similarity, recall, {}
 
     @staticmethod
     def gram(x: np.ndarray) -> int:
@@ -185,75 +168,40 @@ class Index:
         good = good[np.concatenate([[True], np.diff(flat[good]) > 0])] if len(good) else good
         return cells[0, good], cells[1, good], cells[2, good], numbers, doc
 
-    def tables(self, size: int) -> list[tuple[int, np.ndarray, dict[int, set[int]]]]:
-        """LSH tables of the items whose number of words rounds up to `size`: walk seed, sampled steps, and items by sample."""
-        if size not in self._tables:
-            members = [k for k, n in enumerate(self.sizes) if n and _size_class(n) == size]
-            rows = np.zeros((len(members), size), np.int64)
-            for r, k in enumerate(members):
-                rows[r, : self.sizes[k]] = self.items[k]
-            rng = np.random.default_rng(size)
-            out = []
-            for seed in range(repetitions(edits(size, self.similarity), size, self.recall)):
-                steps = np.sort(rng.choice(size, min(SAMPLES, size), replace=False))
-                table: dict[int, set[int]] = defaultdict(set)
-                for k, h in zip(members, _sampled(rows, self.sizes[members], seed, steps), strict=True):
-                    table[h].add(k)
-                out.append((seed, steps, table))
-            self._tables[size] = out
-        return self._tables[size]
-
-    def matches(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
-        """(document, item) -> (distance, last word of the stretch), for all that are within the item's edits."""
+    def matches(self, texts: list[bytes]) -> dict[tuple[int, int], int]:
+        """(document, item) -> distance, for all that are within the item's edits."""
         words = Words([folded(t) for t in texts])
-        docs, items, starts, numbers, doc = self.windows(words)
-        classes = np.array([_size_class(n) for n in self.sizes.tolist()])
-        near = np.zeros(len(docs), bool)
-        for size in np.unique(classes[items]) if len(items) else []:
-            rows = np.flatnonzero(classes[items] == size)
-            for at in range(0, len(rows), 8192):
-                part = rows[at : at + 8192]
-                n = self.sizes[items[part]]
-                cells = starts[part][:, None] + np.arange(int(n.max()))[None, :]
-                inside = (cells >= words.doc_first[docs[part]][:, None]) & (cells < words.doc_first[docs[part] + 1][:, None])
-                window = np.where(inside, numbers[np.clip(cells, 0, len(numbers) - 1)], _OTHER)
-                for seed, steps, table in self.tables(int(size)):
-                    left = np.flatnonzero(~near[part])
-                    if not len(left):
-                        break
-                    hashes = _sampled(window[left], n[left], seed, steps)
-                    near[part[left]] = [int(items[part[k]]) in table.get(h, ()) for k, h in zip(left.tolist(), hashes, strict=True)]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in np.flatnonzero(near).tolist():
-            d, item, e = int(docs[k]), int(items[k]), int(self.edits[items[k]])
-            if best.get((d, item), (1,))[0] == 0:
-                continue
-            a = max(int(words.doc_first[d]), int(starts[k]) - e)
-            b = min(int(words.doc_first[d + 1]), int(starts[k]) + int(self.sizes[item]) + e)
-            distance, end = best_stretch(self.items[item], numbers[a:b])
-            if distance <= e and (distance, a + end) < best.get((d, item), (e + 1, 0)):
-                best[d, item] = distance, a + end - int(words.doc_first[d])
+        docs, items, starts, numbers, _ = self.windows(words)
+        best: dict[tuple[int, int], int] = {}
+        if not len(docs):
+            return best
+        # windows of a document and item that start within an item's length of one another are one stretch to search
+        part = (starts - starts.min()) // self.sizes[items]
+        first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (part[1:] != part[:-1])]))
+        last = np.append(first[1:], len(docs)) - 1
+        docs, items = docs[first], items[first]
+        low = np.maximum(words.doc_first[docs], starts[first] - self.edits[items])
+        high = np.minimum(words.doc_first[docs + 1], starts[last] + self.sizes[items] + self.edits[items])
+        order = np.argsort(self.sizes[items], kind="stable")
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, CELLS // (4 * int(self.sizes[items[order[at]]])))]
+            width = int(self.sizes[items[rows[-1]]])
+            rows = rows[: max(1, CELLS // (4 * width))]
+            at += len(rows)
+            sizes = self.sizes[items[rows]]
+            stated = np.full((len(rows), int(sizes.max())), -1, np.int64)
+            for r, k in enumerate(items[rows].tolist()):
+                stated[r, : self.sizes[k]] = self.items[k]
+            cells = low[rows][:, None] + np.arange(int((high - low)[rows].max()))[None, :]
+            text = np.where(cells < high[rows][:, None], numbers[np.minimum(cells, len(numbers) - 1)], _OTHER)
+            found = best_stretches(stated, sizes, text)
+            for k in np.flatnonzero(found <= self.edits[items[rows]]).tolist():
+                pair = int(docs[rows[k]]), int(items[rows[k]])
+                best[pair] = min(int(found[k]), best.get(pair, int(found[k])))
         return best
 
 
-def _size_class(n: int) -> int:
-    """Sizes that share tables: within about a quarter."""
-    size = 4
-    while size < n:
-        size = size * 5 // 4 + 1
-    return size
-
-
-def _sampled(rows: np.ndarray, lengths: np.ndarray, seed: int, steps: np.ndarray) -> list[int]:
-    walked = walks(rows, lengths, seed, int(steps[-1]) + 1)[:, steps]
-    h = np.zeros(len(rows), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(walked.shape[1]):
-            h = (h ^ (walked[:, k] + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-    return h.tolist()
-
-
 def _item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of about `words` words, read row by row."""
     held, n = [], 0
@@ -277,7 +225,7 @@ def _matcher(index: Index, carry: list[str]):
             for block in blocks(itertools.chain([first], batches), carry, text="_text"):
                 n = len(block["_text"])
                 count, best = [0] * n, [None] * n
-                for (d, k), (distance, _) in index.matches(block["_text"]).items():
+                for (d, k), distance in index.matches(block["_text"]).items():
                     count[d] += 1
                     size = int(index.sizes[k])
                     mark = (distance / size, index.ids[k] is None, index.ids[k] or 0, distance, size)
@@ -289,22 +237,22 @@ def _matcher(index: Index, carry: list[str]):
     return run
 
 
-def _matched(docs: DataFrame, items: list[tuple[int, bytes]], carry: list[str], text: str, similarity: float, recall: float) -> DataFrame:
+def _matched(docs: DataFrame, items: list[tuple[int, bytes]], carry: list[str], text: str, similarity: float) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    index = Index(items, similarity, recall)
+    index = Index(items, similarity)
     return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(released(_matcher(index, carry)), f"{fields}, _items long, _item long, _distance int, _words int")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, item_words: int = ITEM_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, item_words: int = ITEM_WORDS) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, and of the nearest item (ties: the smallest id) item_id, distance (words) and similarity."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = [_matched(rows, items, ["doc_id"], "text", similarity, recall) for items in _item_blocks(benchmark, item_words)]
+    found = [_matched(rows, items, ["doc_id"], "text", similarity) for items in _item_blocks(benchmark, item_words)]
     if len(found) == 1:
         out = found[0]
     else:  # blocks of items meet by row, not by id, so that repeated ids stay apart
         numbered = _numbered(rows)
-        parts = [_matched(numbered, items, ["_row", "doc_id"], "text", similarity, recall) for items in _item_blocks(benchmark, item_words)]
+        parts = [_matched(numbered, items, ["_row", "doc_id"], "text", similarity) for items in _item_blocks(benchmark, item_words)]
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
@@ -322,9 +270,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return keep(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, item_words: int = ITEM_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, item_words: int = ITEM_WORDS) -> DataFrame:
     """docs without the contaminated rows, with all their columns."""
     small_batches(docs.sparkSession)
     for items in _item_blocks(benchmark, item_words):
-        docs = _matched(docs, items, docs.columns, text, similarity, recall).where("_items = 0").select(*docs.columns)
+        docs = _matched(docs, items, docs.columns, text, similarity).where("_items = 0").select(*docs.columns)
     return docs

@@ -103,3 +103,28 @@ def test_awkward_rows(spark):
     empty = bench.limit(0)
     assert decontam.contamination(frame(spark, rows), empty).where("contaminated").count() == 0
     assert decontam.contamination(frame(spark, []), bench).count() == 0
+
+
+def test_edits_at_the_limit_are_found_wherever_they_lie(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for k, n in enumerate([10, 15, 20, 30, 50, 75, 100, 150, 200]):
+        items.append((k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))))
+        e = decontam.edits(n, 0.8)
+        for c in range(24):
+            words = items[k][1].split()
+            part = [range(n // 2), range(e), range(n - n // 2, n), range(n)][c % 4]
+            for at in sorted(rng.sample(part, e), reverse=True):
+                words[at : at + 1] = [["x"], [], [words[at], "x"]][c // 4 % 3]
+            docs.append((100 * k + c, " ".join(["y"] * 7 + words + ["z"] * 9), "en", "s", 0, 0, ""))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.contamination(frame(spark, docs), bench).collect()
+    assert [r.doc_id for r in out if not r.contaminated or r.item_id != r.doc_id // 100] == []
+
+
+def test_best_stretches_agree_with_best_stretch():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 9, 50)
+    items = np.where(np.arange(8) < sizes[:, None], rng.integers(1, 5, (50, 8)), -1)
+    texts = rng.integers(0, 5, (50, 15))
+    assert decontam.best_stretches(items, sizes, texts).tolist() == [decontam.best_stretch(x[:n], t)[0] for x, n, t in zip(items, sizes, texts)]

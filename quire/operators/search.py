@@ -83,9 +83,9 @@ def mean_pooled(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def vector_search(index: DataFrame, query: list[float], k: int = 15, min_similarity: float | None = MIN_SIMILARITY) -> DataFrame:
-    """The k rows of the index with the largest inner products, of those that reach min_similarity."""
+    """The k rows of the index with the largest inner products, of those that reach min_similarity; rows without an embedding are left out."""
     score = dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query)))
-    rows = index.withColumn("score", score)
+    rows = index.where("embedding IS NOT NULL").withColumn("score", score)
     if min_similarity is not None:
         rows = rows.where(F.col("score") >= min_similarity)
     return rows.orderBy(F.desc("score"), "pos").limit(k)

@@ -132,7 +132,8 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.with_blob(corpus(spark, sf_dir)).join(_vectors(spark, sf_dir), "pos")
+    """All documents, with their embedding or null; the SQL below has only those with one."""
+    return search.with_blob(corpus(spark, sf_dir)).join(_vectors(spark, sf_dir), "pos", "left")
 
 
 def _hybrid_sql(case: str, fallback: bool) -> str:

@@ -68,3 +68,15 @@ def test_upload_status(spark):
 def test_normal_form(spark):
     row = spark.createDataFrame([("Ｈｅｌｌｏ　 W orld ﬁ",)], "s string").select(text.normalized(F.col("s")).alias("n")).first()
     assert row.n == text.normalized_text("Ｈｅｌｌｏ　 W orld ﬁ") == "helloworldfi"
+
+
+def test_exact_branch_searches_rows_without_embedding(spark, tmp_path):
+    from quire.plans import registry
+
+    docs = [(0, "plain words", "a"), (1, "the thanedble the, anea", "a"), (2, "more zzqqxx words", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = lambda name: [(r.branch, r.page) for r in registry.queries()[name](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert hits("hybrid_search") == [(0, 1), (1, 0)]
+    assert hits("search_with_fallback") == [(0, 2)]
+    assert [r.pos for r in registry.search.vector_search(registry._index(spark, str(tmp_path)), [1.0, 0.0], 15, None).collect()] == [0]

@@ -1,7 +1,7 @@
 """Benchmark decontamination by edit distance, over item-sized windows of words.
 
-Texts and items are sequences of normalised words (letters and digits, lower
-case). A document is contaminated by an item if some stretch of it is within
+Texts and items are sequences of normalised words (ASCII letters and digits, A-Z
+in lower case, and all that is not ASCII). A document is contaminated by an item if some stretch of it is within
 (1 - similarity) * words of the item in edit distance over words.
 1. Lossless window filter: a stretch within e edits of an item of n words shares
    at least n - q + 1 - e q of its q-grams, within e of one diagonal; only
@@ -43,7 +43,7 @@ _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 o
 
 
 def folded(text: bytes) -> bytes:
-    """Lower-cases letters of the Latin-1 range and turns what is no letter, digit or other script into spaces."""
+    """Lower-cases A-Z and turns ASCII that is no letter or digit into spaces. Bytes from 128 on stay as they are: accented capitals and typographic quotes or dashes in a word count as edits."""
     return text.translate(_FOLD)
 
 

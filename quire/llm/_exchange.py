@@ -16,7 +16,7 @@ from . import _golomb
 from ._store import released
 
 SENT = "msg long, owner int, payload binary, own binary"
-REPLY = "msg long, owner int, bitmap binary"
+REPLY = "msg long, owner int, n int, bitmap binary"
 
 
 def owner_bits(partitions: int) -> int:
@@ -69,7 +69,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in lists:
             at = np.searchsorted(twice, v)
             maps.append(pack((twice[np.minimum(at, len(twice) - 1)] == v) if len(twice) else np.zeros(len(v), bool)))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["msg"], pa.int64()), pa.array([owner] * len(maps), pa.int32()), pa.array(maps, pa.binary())], names=["msg", "owner", "bitmap"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["msg"], pa.int64()), pa.array([owner] * len(maps), pa.int32()), pa.array([len(v) for v in lists], pa.int32()), pa.array(maps, pa.binary())], names=["msg", "owner", "n", "bitmap"])
 
 
 def replies(sent, partitions: int):

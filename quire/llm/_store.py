@@ -1,12 +1,15 @@
-"""Shared storage, bounded broadcasts and input shaping for the operators here.
+"""Shared storage and input shaping for the operators here.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` so that
 any executor can reread them after another one is lost; only where the setting
-is missing (local tests) a temporary folder is used.
+is missing (local tests) a temporary folder is used. Results are lazy and read
+them, so they stay until `cleanup` is called, at the latest when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -15,10 +18,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (a key and at most two numbers) is broadcast.
-BROADCAST_ROWS = 100_000
-
 _fallback: str | None = None
+_paths: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def remember_table(spark: SparkSession, name: str) -> None:
+    """Has cleanup drop a table."""
+    _tables.append(name)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes all intermediate tables and folders of this driver. Results that were not read or written by then cannot be read any more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession() if _paths or _tables else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have been stopped, and its folder removed, already
+            cleanup(spark)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +71,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most `rows` rows, else df as it is.
 
     Pass a kept table: it is scanned for the count.

@@ -20,7 +20,7 @@ def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
     else:
         both = pairs
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.select("u", F.least("u", "m").alias("m"))
+    low = keep(low.select("u", F.least("u", "m").alias("m")), "least")  # kept, so that the join below can split the neighbours of one node
     moved = both.join(low, "u")
     if larger:
         linked = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,12 +32,9 @@ def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node in a pair, its component named by the smallest node. Self-pairs and nulls are ignored."""
     now = keep(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    sign = None
     while True:
-        now = keep(_stars(_stars(now, True), False), "links")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.max(F.col("u"))).first()
-        if state == sign:
+        last, now = now, keep(_stars(_stars(now, True), False), "links")
+        if now.count() == last.count() and now.join(last, ["u", "v"], "left_anti").isEmpty():
             break
-        sign = state
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,17 +6,21 @@ Distinct fingerprints within `radius` bits are linked:
 1. The 64 bits are cut into `parts`; two fingerprints within the radius agree on
    at least parts - radius of them, so each goes to a bucket for every choice
    of that many parts. The number of parts follows the number of fingerprints,
-   which keeps buckets small; no pair is lost at any setting.
-2. In a bucket, fingerprints stand as 64 vertical bit planes. A fingerprint is
-   compared with a block of others by adding plane differences into carry-save
-   counters; a block is left once all its lanes exceed the radius.
+   which keeps buckets small; no pair is lost at any setting. A bucket of more
+   than TILE values is dealt over several tasks, by pairs of its tiles.
+2. The buckets of a task stand one after another as 64 vertical bit planes. For
+   every distance d, all fingerprints are compared at once with those d places
+   on: planes and shifted planes are added into carry-save counters, 64 pairs to
+   a word, and a word is abandoned once all its pairs exceed the radius. Pairs
+   that are connected already are left out.
 3. A bucket yields the links of a spanning forest, never all pairs; components
    come from star contractions over the links.
 
 Defined cases: null or wordless texts have fingerprint zero and are linked like
 any other. Texts with fewer words than a shingle hash their whole word sequence.
 Repeated ids are one row each. Null ids never name a component unless all its
-ids are null. An empty table gives an empty result.
+ids are null. `deduplicated` leaves one row of each component, also where ids
+repeat or are null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _graph
-from ._store import bounded, keep, partitions, released, small_batches
+from . import _graph, _rows
+from ._store import keep, partitions, released, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints in a vertical block, as 64-bit lanes times 64.
-_LANES = 64
+#: Values of a bucket that one task compares with as many others.
+TILE = 4096
+#: Values that stand in one set of bit planes, and planes between two looks at the counters.
+_LANES, _STEP = 1 << 16, 8
+_ONES = ~np.uint64(0)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -94,29 +101,6 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(value: int, vertical: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """A bit per lane: is it within `radius` of value?
-
-    Differences are added plane by plane into bitwise counters; lanes past the
-    radius stay marked, and the block is abandoned once all are.
-    """
-    ones = ~np.uint64(0)
-    width = radius.bit_length() + 1
-    counter = [np.zeros(vertical.shape[1], np.uint64) for _ in range(width)]
-    over = np.zeros(vertical.shape[1], np.uint64)
-    for i in range(64):
-        carry = vertical[i] ^ ones if value >> i & 1 else vertical[i]
-        for k in range(width):
-            counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        over |= carry
-        if i % 8 == 7:
-            past = over | _exceeds(counter, radius)
-            over = past
-            if np.all(past == ones):
-                return np.zeros_like(past)
-    return ~over
-
-
 def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter is above the radius, compared bitwise from the top."""
     more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
@@ -129,120 +113,151 @@ def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs that connect all values that chains of links within the radius connect."""
+def within(vertical: np.ndarray, lanes: np.ndarray, d: int, radius: int = RADIUS) -> np.ndarray:
+    """Those of the ascending lanes whose value is within `radius` of the value d lanes on.
+
+    vertical: bit planes, with two words of padding behind the last lane.
+    """
+    words, first = np.unique(lanes >> 6, return_index=True)
+    asked = np.bitwise_or.reduceat(np.uint64(1) << (lanes & 63).astype(np.uint64), first)
+    over = ~asked
+    counter = [np.zeros(len(words), np.uint64) for _ in range(radius.bit_length() + 1)]
+    far, turn = d >> 6, np.uint64(d & 63)
+    for at in range(0, 64, _STEP):
+        part = vertical[at : at + _STEP]
+        other = part[:, words + far] >> turn
+        if turn:
+            other |= part[:, words + far + 1] << (np.uint64(64) - turn)
+        for carry in part[:, words] ^ other:
+            for k in range(len(counter)):
+                counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            over |= carry
+        over |= _exceeds(counter, radius)
+        left = over != _ONES
+        if not left.all():
+            words, over, counter = words[left], over[left], [c[left] for c in counter]
+            if not len(words):
+                break
+    at = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")) if len(words) else np.zeros(0, np.int64)
+    return (words[at >> 6] << 6) + (at & 63) if len(at) else at
+
+
+def forest(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Index pairs that connect, within each bucket, all values that chains of links within the radius connect.
+
+    ends: for every value, the end of its bucket.
+    """
     n = len(values)
-    if n < 2:
-        return []
-    if n <= 24:
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-        close = [np.flatnonzero(near[i, :i]) for i in range(n)]
-        blocks = None
-    else:
-        step = 64 * _LANES
-        blocks = [(a, planes(values[a : a + step])) for a in range(0, n, step)]
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i in range(1, n):
-        if blocks is None:
-            found = close[i].tolist()
-        else:
-            found = []
-            for a, vertical in blocks:
-                if a >= i:
-                    break
-                lanes = within(int(values[i]), vertical, radius)
-                if lanes.any():
-                    hit = np.flatnonzero(np.unpackbits(lanes.view(np.uint8), bitorder="little")) + a
-                    found += hit[hit < i].tolist()
-        for j in found:
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((i, j))
+    vertical = np.concatenate([planes(values), np.zeros((64, 2), np.uint64)], axis=1)
+    root = np.arange(n)
+    links: list[tuple[int, int]] = []
+    lanes, d = np.flatnonzero(ends - np.arange(n) > 1), 1
+    while len(lanes):
+        apart = lanes[root[lanes] != root[lanes + d]]
+        near = within(vertical, apart, d, radius) if len(apart) else apart
+        for i in near.tolist():
+            a, b = i, i + d
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((i, i + d))
+        if len(near):
+            while (root != (up := root[root])).any():
+                root = up
+            least = np.minimum.reduceat(root, (starts := np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))))
+            whole = np.maximum.reduceat(root, starts) == least  # one component: nothing is left to compare
+            lanes = lanes[~np.repeat(whole, np.diff(np.append(starts, n)))[lanes]]
+        d += 1
+        lanes = lanes[lanes + d < ends[lanes]]
     return links
 
 
 def _bucket_links(radius: int):
+    """Links of the buckets of a partition that is sorted by its columns before fp; whole buckets are gathered up to _LANES values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        last, held = None, []
+        held, n = [], 0
 
-        def pairs(values: np.ndarray) -> pa.RecordBatch | None:
-            links = forest(values, radius)
-            if links:
-                at = np.array(links)
-                v = values.view(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(v[at[:, 0]]), pa.array(v[at[:, 1]])], schema=schema)
-            return None
+        def compared(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            cut = np.append(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(values))
+            ends = np.repeat(cut, np.diff(cut, prepend=0))
+            at = np.array(forest(values.view(np.uint64), ends, radius), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(values[at[:, 0]]), pa.array(values[at[:, 1]])], schema=schema)
 
         for batch in batches:
-            table = batch.column("choice").to_numpy(), batch.column("bucket").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            choice, bucket, fp = table
-            if not len(fp):
-                continue
-            cut = np.flatnonzero((choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-            starts, stops = np.concatenate([[0], cut]), np.append(cut, len(fp))
-            inner = np.flatnonzero(stops - starts > 1)  # a bucket of one has no links, unless it goes on in another batch
-            for g in sorted({0, *inner.tolist(), len(starts) - 1}):
-                a, b = int(starts[g]), int(stops[g])
-                key = (int(choice[a]), int(bucket[a]))
-                if key != last:
-                    if held and (out := pairs(np.concatenate(held))) is not None:
-                        yield out
-                    last, held = key, []
-                held.append(fp[a:b])
-        if held and (out := pairs(np.concatenate(held))) is not None:
-            yield out
+            if batch.num_rows:
+                held.append(np.stack([batch.column(c).to_numpy() for c in ("choice", "bucket", "low", "high", "fp")]).astype(np.int64))
+                n += batch.num_rows
+            if n >= _LANES:
+                every = np.concatenate(held, axis=1)
+                last = np.flatnonzero((every[:4, 1:] != every[:4, :-1]).any(axis=0))
+                whole = int(last[-1]) + 1 if len(last) else 0
+                if whole:
+                    yield compared(every[:4, :whole], every[4, :whole])
+                held, n = [every[:, whole:]], every.shape[1] - whole
+        if n:
+            every = np.concatenate(held, axis=1)
+            yield compared(every[:4], every[4])
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of a kept table (fp)."""
     spark = distinct.sparkSession
     masks, choices = plan(distinct.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in (sum(masks[i] for i in c) for c in choices)]
     keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for k, m in enumerate(signed)])
     dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.bucket", "fp")
-    return dealt.repartition(partitions(spark), "choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInArrow(released(_bucket_links(radius)), "a long, b long")
+    dense = keep(dealt.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("choice", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "dense")
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tiles = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))
+    tiles = tiles.otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("low"), F.greatest(t, own).alias("high"))))
+    every = dealt.join(dense, ["choice", "bucket"], "left").select("choice", "bucket", "fp", F.explode(tiles).alias("t")).select("choice", "bucket", "t.low", "t.high", "fp")
+    by = ["choice", "bucket", "low", "high"]
+    return every.repartition(partitions(spark), *by).sortWithinPartitions(*by, "fp").mapInArrow(released(_bucket_links(radius)), "a long, b long")
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable, to a kept table (doc_id, fp)."""
+    """(fp, component_id) of every fingerprint of a kept table (doc_id, fp): the smallest doc_id reachable; a kept table."""
     first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return named(prints, first, links(first.select("fp"), radius))
+    return named(first, links(first.select("fp"), radius))
 
 
-def named(prints: DataFrame, first: DataFrame, linked: DataFrame) -> DataFrame:
-    """Adds component_id to kept prints (doc_id, fp), from the least id of each fp and links (a, b)."""
+def named(first: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component, component_id) from the least id of each fp and links (a, b); a kept table."""
     comps = _graph.components(linked, "a", "b")
-    named = keep(first.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = keep(named.join(ids, "component").select("fp", "component_id"), "named")
-    return prints.join(bounded(table), "fp", "left")
+    every = keep(first.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    ids = keep(every.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    return keep(every.join(ids, "component").select("fp", "component", "component_id"), "named")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id."""
     prints = keep(fingerprints(docs, doc_id, text), "prints")
-    return grouped(prints, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(grouped(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with the document of the smallest id of each group, one row of it; groups without an id keep all their rows."""
-    prints = keep(fingerprints(docs, doc_id, text), "prints")
-    return without_copies(docs, grouped(prints, radius), doc_id)
+    """docs with one row of each component: that of the smallest id, of several the first stored."""
+    column = docs.columns.index(text)
+
+    def prints(part: pa.RecordBatch) -> dict[str, list]:
+        texts = part.column(column).cast(pa.binary()).to_pylist()
+        return {"id": part.column("id"), "fp": np.array([fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64)}
+
+    stored = _rows.store(docs, {"id": F.col(doc_id).cast("long")}, prints, {"id": "long", "fp": "long"})
+    rows = stored.narrow()
+    return stored.without(copies(rows, grouped(rows.select(F.col("id").alias("doc_id"), "fp"), radius)))
 
 
-def without_copies(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that are not their group's component_id."""
-    drop = keep(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_quire_drop")).distinct(), "dropped")
-    return docs.join(bounded(drop), F.col(doc_id) == F.col("_quire_drop"), "left_anti")
+def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(block, row) of all rows (block, row, id, fp) but one of each component (fp, component): that of the smallest id, of several the first."""
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "block", "row")
+    firsts = keep(rows.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
+    best = firsts.join(groups, "fp").groupBy("component").agg(F.min("first").alias("best"))
+    return rows.select("block", "row").join(keep(best.select("best.block", "best.row"), "winners"), ["block", "row"], "left_anti")

@@ -42,13 +42,24 @@ def noisy(seed=1, base=150, near=350):
 
 def test_bit_slices_and_forest():
     v = noisy()
+    vertical = np.concatenate([simhash.planes(v), np.zeros((64, 2), np.uint64)], axis=1)
+    for d in (1, 2, 63, 64, 65, 130, len(v) - 1):
+        lanes = np.arange(0, len(v) - d, 3)
+        assert simhash.within(vertical, lanes, d).tolist() == [i for i in lanes.tolist() if (int(v[i]) ^ int(v[i + d])).bit_count() <= 4]
     near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
-    vertical = simhash.planes(v)
-    for i in range(0, len(v), 11):
-        lanes = np.unpackbits(simhash.within(int(v[i]), vertical).view(np.uint8), bitorder="little")[: len(v)]
-        assert np.array_equal(lanes.astype(bool), near[i])
     expected = brute_components(len(v), [(i, j) for i in range(len(v)) for j in range(i) if near[i, j]])
-    assert brute_components(len(v), simhash.forest(v)) == expected
+    assert brute_components(len(v), simhash.forest(v, np.full(len(v), len(v)))) == expected
+
+
+def test_forest_keeps_buckets_apart():
+    v = noisy(8)
+    rng = np.random.default_rng(3)
+    cuts = np.unique(np.append(rng.integers(1, len(v), 40), len(v)))
+    ends = np.repeat(cuts, np.diff(cuts, prepend=0))
+    expected = brute_components(len(v), [(i, j) for i in range(len(v)) for j in range(i) if ends[i] == ends[j] and (int(v[i]) ^ int(v[j])).bit_count() <= 4])
+    found = simhash.forest(v, ends)
+    assert brute_components(len(v), found) == expected
+    assert len(found) == len(v) - len(set(expected))  # a forest, never all pairs
 
 
 def test_plan_never_loses_a_pair():
@@ -66,6 +77,7 @@ def test_links_over_spark(spark):
     near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
     table = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
     comps = {r.node: r.component for r in _graph.components(simhash.links(table), "a", "b").collect()}
+    assert comps == {r.node: r.component for r in _graph.components(simhash.links(table, tile=3), "a", "b").collect()}  # dense buckets over several tasks
     signed = v.view(np.int64).tolist()
     order = np.argsort(v.view(np.int64))
     rank = {int(i): k for k, i in enumerate(order)}
@@ -85,8 +97,30 @@ def test_near_duplicates_match_brute_force(spark):
     expected = sorted(((r[0], f"{p:016x}", least.get(root)) for r, p, root in zip(rows, prints, roots)), key=repr)
     out = simhash.near_duplicates(frame(spark))
     assert sorted((tuple(r) for r in out.collect()), key=repr) == expected
-    kept = {r.doc_id for r in simhash.deduplicated(frame(spark)).collect()}
-    assert kept == {e[2] for e in expected} | {None}
+    assert whole_rows(simhash.deduplicated(frame(spark)).collect(), rows, roots) == set(roots)
+
+
+def whole_rows(out, rows, roots):
+    """The groups that out has one row of, each a row of the least id of its group; fails on any other row."""
+    left = [tuple(r) for r in out]
+    found = set()
+    for group in sorted(set(roots)):
+        members = [r for r, root in zip(rows, roots) if root == group]
+        least = min((r[0] for r in members if r[0] is not None), default=None)
+        mine = [r for r in left if r in members]
+        assert len(mine) == 1 and mine[0][0] == least
+        found.add(group)
+        left.remove(mine[0])
+    assert not left
+    return found
+
+
+def test_deduplicated_by_row_where_ids_repeat(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    for texts in ([(1, a), (5, a), (5, b)], [(1, a), (1, a), (2, b)], [(None, a), (None, a), (None, b)]):
+        rows = [(i, t, "en", "s", 0, 0, "") for i, t in texts]
+        kept = simhash.deduplicated(frame(spark, rows)).collect()
+        assert sorted(r.text for r in kept) == [a, b]
 
 
 def test_empty_table(spark):

@@ -5,14 +5,19 @@ shingles (64-bit hashes). Texts of `similarity` or more are linked:
 1. MinHash bands: `ROWS` minima of a set under hash functions make a key, BANDS
    times; texts that share a key meet. A pair at the limit of 0.8 is missed with
    probability (1 - 0.8^ROWS)^BANDS = 7e-5, a closer one less often.
-2. Pairs that meet are verified by their exact Jaccard similarity. Neighbours by
-   size in a bucket are verified first, then all pairs whose texts these links
-   have not connected yet, so a large group of copies does not cost its square.
-   Sizes too different for the limit are left out, which loses no pair.
+2. Pairs that meet are verified by their exact Jaccard similarity. In rounds, one
+   text of each component stands for it, and neighbours by size in a bucket are
+   verified, in runs of bounded length, until a round finds no link; then all
+   pairs that these links have not connected. A large group of copies so neither
+   costs its square nor lies in one task. Sizes too different for the limit are
+   left out, which loses no pair.
 3. Components come from star contractions over the verified links.
+Documents are stored in blocks: one text of each set that meets another is
+shingled again for the verification, and which rows go is told to the blocks.
 
 Defined cases: texts of fewer words than a shingle are one shingle of all their
-words; null and wordless texts are one group. Ids are as in simhash.
+words; null and wordless texts are one group. One row of each component stays,
+that of the smallest id, of several the first stored; null ids come last.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _graph, simhash
-from ._store import bounded, keep, released, small_batches
+from . import _graph, _rows, simhash
+from ._store import keep
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Sets of a bucket that one task orders by size.
+RUN = 4096
 _STEP = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(42)
@@ -71,27 +78,23 @@ def _digest(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 42) if len(h) else 0
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-
+def _prints(column: int):
+    def run(part: pa.RecordBatch) -> dict[str, list]:
+        sets = [shingles(t or b"") for t in part.column(column).cast(pa.binary()).to_pylist()]
+        keys = [band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets]
+        fp = np.array([_digest(h) for h in sets], np.uint64).view(np.int64)
+        return {"id": part.column("id"), "fp": fp, "n": np.array([len(h) for h in sets], np.int64), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp, n, keys = [], [], []
-        for text in _texts(batch):
-            h = shingles(text)
-            fp.append(_digest(h))
-            n.append(len(h))
-            keys.append(band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-        fp = np.array(fp, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(text) for text in _texts(batch)]
+def _sets(column: int):
+    def run(rows: pa.RecordBatch, block: int, at: list[int]) -> pa.RecordBatch:
+        sets = [shingles(t or b"") for t in rows.column(column).cast(pa.binary()).to_pylist()]
         fp = np.array([_digest(h) for h in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -102,28 +105,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def links(prints: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect the sets of kept tables: prints (doc_id, fp, n, bands), docs (doc_id, text)."""
-    dealt = prints.select("fp", "n", F.explode("bands").alias("band"))
-    crowd = keep(dealt.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("many > 1").select("band", "n", "fp"), "crowd")
-    ids = keep(prints.join(crowd.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "met")
-    met = docs.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = keep(met.mapInArrow(released(_sets), "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
-    by = Window.partitionBy("band").orderBy("n", "fp")
-    near = crowd.select(F.lag("fp").over(by).alias("a"), F.lag("n").over(by).alias("m"), F.col("fp").alias("b"), "n")
-    first = keep(_verified(near.where((F.col("a") != F.col("b")) & (F.col("m") + 1e-9 >= similarity * F.col("n"))).select("a", "b"), sets, similarity), "first-links")
-    named = _graph.components(first, "a", "b").select(F.col("node").alias("fp"), "component")
-    held = keep(crowd.distinct().join(named, "fp", "left").select("band", "n", "fp", F.coalesce("component", "fp").alias("component")), "held")
+def links(stored: _rows.Stored, column: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect the digests of the sets of stored documents (side: id, fp, n, bands), whose texts stand in `column`."""
+    rows = stored.narrow()
+    dealt = rows.dropDuplicates(["fp"]).select("fp", "n", F.explode("bands").alias("band"))
+    counts = keep(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "bands")
+    crowd = keep(dealt.join(counts, "band").select("band", "many", "n", "fp"), "crowd")
+    place = rows.groupBy("fp").agg(F.min(F.struct("block", "row")).alias("at")).join(crowd.select("fp").distinct(), "fp", "left_semi")
+    sets = keep(stored.at(_rows.by_block(place.select("at.block", "at.row")), _sets(column), "fp long, shingles array<long>"), "sets")
+    found, held, turn = [], crowd.withColumn("component", F.col("fp")), 0
+    while True:
+        stands = held.groupBy("band", "component").agg(F.min(F.struct("n", "fp")).alias("s"), F.max("many").alias("many")).select("band", "many", "s.n", "s.fp")
+        stands = stands.withColumn("run", F.pmod(F.xxhash64(F.lit(turn), "fp"), F.ceil(F.col("many") / RUN)))
+        by = Window.partitionBy("band", "run").orderBy("n", "fp")
+        near = stands.select(F.lag("fp").over(by).alias("a"), F.lag("n").over(by).alias("m"), F.col("fp").alias("b"), "n")
+        linked = keep(_verified(near.where(F.col("m") + 1e-9 >= similarity * F.col("n")).select("a", "b"), sets, similarity), "links")
+        if linked.isEmpty():
+            break
+        found.append(linked)
+        named = _graph.components(_all(found), "a", "b").select(F.col("node").alias("fp"), "component")
+        held = keep(crowd.join(named, "fp", "left").select("band", "many", "n", "fp", F.coalesce("component", "fp").alias("component")), "held")
+        turn += 1
     x, y = (held.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("n", "fp", "component"))) for s in "xy")
     met_in = x.join(y, (x.band == y.band) & (F.col("x_component") != F.col("y_component")) & (F.struct("x_n", "x_fp") < F.struct("y_n", "y_fp")) & (F.col("x_n") + 1e-9 >= similarity * F.col("y_n")))
-    rest = keep(_verified(met_in.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")), sets, similarity), "other-links")
-    return first.unionByName(rest)
+    return _all([*found, keep(_verified(met_in.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")), sets, similarity), "other-links")])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the document of the smallest id of each group, one row of it; groups without an id keep all their rows."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = keep(rows.mapInArrow(released(_prints), "doc_id long, fp long, n long, bands array<long>"), "prints")
-    first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return simhash.without_copies(docs, simhash.named(prints.select("doc_id", "fp"), first, links(prints, rows, similarity)), doc_id)
+    """docs with one row of each group: that of the smallest id, of several the first stored."""
+    column = docs.columns.index(text)
+    stored = _rows.store(docs, {"id": F.col(doc_id).cast("long")}, _prints(column), {"id": "long", "fp": "long", "n": "long", "bands": "array<long>"})
+    rows = stored.narrow()
+    first = keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    return stored.without(simhash.copies(rows, simhash.named(first, links(stored, column, similarity))))

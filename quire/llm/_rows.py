@@ -99,7 +99,7 @@ class Stored:
     def narrow(self) -> DataFrame:
         """(block, row, side fields) per document."""
         zipped = F.posexplode(F.arrays_zip(*self.fields)).alias("row", "_v")
-        return self.table.select("block", zipped).select("block", "row", *(F.col(f"_v.{f}").alias(f) for f in self.fields))
+        return self.table.select("block", zipped).select("block", "row", *(F.col(f"_v.{f}") for f in self.fields))
 
     def at(self, marks: DataFrame, run: Callable[[pa.RecordBatch, int, list[int]], pa.RecordBatch], schema: str) -> DataFrame:
         """run(the marked rows, block, their row numbers) for every block that marks (MARKS) name; columns are c0, c1, ..."""

@@ -71,14 +71,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most `rows` rows, else df as it is.
-
-    Pass a kept table: it is scanned for the count.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,8 +11,9 @@
 3. A document's log-odds are its evidence plus the log-odds of its path's rate
    without the document itself; rows under the threshold are rejected.
 
-Texts are scored where they lie, twice, and never shuffled; the site table is
-joined by broadcast up to a counted bound, else by a join on its key.
+Texts are scored once, where they lie, and never shuffled: sites are joined to
+ids or row numbers and log-odds, and `filtered` tells the stored blocks which
+rows go.
 
 Defined cases: null and empty texts have no words and are scored by the rates
 and the classifier's constant. A null host or path is a site of its own. Null
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bounded, held_out, keep, released, small_batches
+from . import _rows
+from ._store import held_out, keep, released, small_batches
 from ._words import Words, blocks
 
 MAX_ROWS = 20_000
@@ -40,6 +42,8 @@ THRESHOLD = 0.5
 RATE_MARGIN = 0.1
 #: The evidence of one text is held within these log-odds when rates are estimated and combined.
 EVIDENCE_LIMIT = 12.0
+#: Bytes of text whose words are held at once.
+PART_BYTES = 1 << 20
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
@@ -98,8 +102,10 @@ class Model:
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """Log-likelihood ratio of good against bad, from the text alone."""
-        x = expand((features(texts) - self.mean) / self.scale)
-        return np.clip(x @ self.weights - self.prior, -EVIDENCE_LIMIT, EVIDENCE_LIMIT)
+        part = np.cumsum([len(t) + 16 for t in texts]) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        found = [expand((features(texts[a:b]) - self.mean) / self.scale) @ self.weights for a, b in itertools.pairwise(cuts)]
+        return np.clip(np.concatenate(found or [np.zeros(0)]) - self.prior, -EVIDENCE_LIMIT, EVIDENCE_LIMIT)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -134,11 +140,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block["quality"], pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model, float]:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> tuple[Model, float]:
     """The classifier, and the labels' rate of good rows; from at most max_rows rows, those with the least hashes of their ids."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     sample = known.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_id").select("quality", "text")
     found = rows.mapInArrow(released(_sampled), "quality int, x array<double>").toPandas()
     y = found["quality"].to_numpy(float)
     x = np.array(found["x"].tolist(), float).reshape(len(y), len(FEATURES))
@@ -185,33 +191,38 @@ def _odds(p):
     return F.log(p / (1 - p))
 
 
-def _combined(docs: DataFrame, labels: DataFrame, host: str, path: str | None, text: str, max_rows: int, carry: list[str]) -> DataFrame:
-    """docs' columns in `carry`, with `_quality_*` columns."""
-    small_batches(docs.sparkSession)
-    model, rate = train(docs, labels, max_rows)
-    site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("_path")]
-    body = F.col(text).cast("string").alias("_text")
+def _site(host: str, path: str | None) -> dict:
+    return {"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_path": F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")}
+
+
+def rated(rows: DataFrame, rate: float) -> DataFrame:
+    """Adds host_rate, path_rate and score to a kept table with _host, _path and _evidence; rate: of good rows among the labels."""
     prior = float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     good = 1 / (1 + F.exp(-(F.col("_evidence") + prior)))
-    narrow = docs.select(*site, body).mapInArrow(released(_scored(model, ["_host", "_path"])), "_host string, _path string, _evidence double")
-    sites = keep(narrow.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good")), "paths")
-    table = keep(rates(sites, rate), "rates")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    full = docs.select(*carry, *site, body).mapInArrow(released(_scored(model, [*carry, "_host", "_path"])), f"{fields}, _host string, _path string, _evidence double")
-    joined = full.join(bounded(table, 50_000), ["_host", "_path"])
+    sites = keep(rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good")), "paths")
+    joined = rows.join(keep(rates(sites, rate), "rates"), ["_host", "_path"])
     others = (F.col("good") - good + F.col("path_strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_strength"))
-    odds = F.col("_evidence") + _odds(others)
-    return joined.select(*carry, F.col("_evidence").alias("_quality_evidence"), F.col("host_rate").alias("_quality_host"), F.col("path_rate").alias("_quality_path"), (1 / (1 + F.exp(-odds))).alias("_quality_score"))
+    return joined.withColumn("score", 1 / (1 + F.exp(-(F.col("_evidence") + _odds(others)))))
 
 
 def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str | None = "lang", text: str = "text", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, evidence (log-odds), host_rate, path_rate, score (probability of good), kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in dict.fromkeys([host, *([path] if path else []), text]) if c != "doc_id"))
-    out = _combined(rows, labels, host, path, text, max_rows, ["doc_id"])
-    return out.select("doc_id", F.col("_quality_evidence").alias("evidence"), F.col("_quality_host").alias("host_rate"), F.col("_quality_path").alias("path_rate"), F.col("_quality_score").alias("score"), (F.col("_quality_score") >= threshold).alias("kept"))
+    small_batches(docs.sparkSession)
+    model, rate = train(docs, labels, text, max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in _site(host, path).items()), F.col(text).cast("string").alias("_text"))
+    scored = rows.mapInArrow(released(_scored(model, ["doc_id", "_host", "_path"])), "doc_id long, _host string, _path string, _evidence double")
+    out = rated(keep(scored, "scored"), rate)
+    return out.select("doc_id", F.col("_evidence").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str | None = "lang", text: str = "text", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that are rejected, with all their columns."""
-    out = _combined(docs, labels, host, path, text, max_rows, docs.columns)
-    return out.where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    model, rate = train(docs, labels, text, max_rows)
+    column = docs.columns.index(text)
+
+    def side(part: pa.RecordBatch) -> dict[str, list]:
+        texts = [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+        return {"_host": part.column("_host"), "_path": part.column("_path"), "_evidence": model.evidence(texts)}
+
+    stored = _rows.store(docs, _site(host, path), side, {"_host": "string", "_path": "string", "_evidence": "double"})
+    return stored.without(rated(stored.narrow(), rate).where(F.col("score") < threshold).select("block", "row"))

@@ -1,18 +1,25 @@
-"""Benchmark decontamination by edit distance, over item-sized windows of words.
+"""Benchmark decontamination by CGK walks and bit-sampling LSH over item-sized windows of words.
 
 Texts and items are sequences of normalised words (ASCII letters and digits, A-Z
 in lower case, and all that is not ASCII). A document is contaminated by an item if some stretch of it is within
 (1 - similarity) * words of the item in edit distance over words.
-1. Lossless window filter: a stretch within e edits of an item of n words shares
-   at least n - q + 1 - e q of its q-grams, within e of one diagonal; only
-   windows whose seeds reach that count go on. A block of text is matched with
-   numpy against the items' q-grams.
-2. Every window that the filter keeps is decided by the exact edit distance of
-   the item to the best stretch of the window's neighbourhood; windows of one
-   item that overlap are decided together, many rows of windows at a time.
-
-Items go to the executors in blocks of bounded size, one scan of the documents
-for each block; documents are never shuffled.
+1. Item-sized windows: a stretch within e edits of an item of n words shares
+   at least n - q + 1 - e q of its q-grams, within e of one diagonal; each
+   diagonal that reaches that count starts a window. This loses no stretch.
+2. CGK embedding: window and item walk through random copies of their words, a
+   word being repeated or left by a random bit of step and word, which maps edit
+   distance to Hamming distance. Walks go from the front and from the back, as
+   alignment may be lost at either end, over the whole item, and REPETITIONS
+   times with fresh bits.
+3. Bit-sampling LSH: SAMPLES words of a walk are a key, TABLES times a walk; a
+   pair of document and item is a candidate if a window meets the item in any
+   table. The numbers are chosen by measured recall at the limit (README).
+4. The windows of candidate pairs are decided by the exact edit distance of the
+   item to the best stretch of their neighbourhood.
+
+Words are hashed alike everywhere, so results do not depend on how items or
+texts fall into blocks. Items go to the executors in blocks of bounded size, one
+scan of the documents for each block; documents are never shuffled.
 
 Defined cases: null or empty texts are clean. Items without words match nothing;
 items of fewer words than edits allow are matched exactly. Repeated items and
@@ -21,6 +28,7 @@ rows count each. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,10 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import released, small_batches
-from ._words import Words, blocks
+from . import _rows
+from ._store import keep, released, small_batches
+from ._words import Words
 
 SIMILARITY = 0.8
+#: Fresh walks from either end, keys of a walk, and sampled words of a key.
+REPETITIONS, TABLES, SAMPLES = 4, 64, 2
+#: Steps that walks of a batch of windows take together, at most.
+WALKED = 1 << 20
 #: Words of items that go to the executors at once.
 ITEM_WORDS = 1_000_000
 #: Cells of a distance table that are computed at once.
@@ -86,8 +99,42 @@ def best_stretches(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> n
     return best
 
 
+def _spread(shape: tuple[int, ...], seed: int) -> np.ndarray:
+    """Odd 64-bit factors, by a rule of their place alone."""
+    x = np.arange(int(np.prod(shape)), dtype=np.uint64) + np.uint64(seed << 32)
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).reshape(shape) | np.uint64(1)
+
+
+def walks(words: np.ndarray, sizes: np.ndarray, repetition: int) -> np.ndarray:
+    """CGK walks over rows of word hashes: at every step the word at hand is copied, and left by a random bit of step and word; 0 behind the last."""
+    steps = 2 * words.shape[1]
+    factors = _spread((steps,), 2 * repetition + 1)
+    rows, at = np.arange(len(words)), np.zeros(len(words), np.int64)
+    out = np.zeros((len(words), steps), np.uint64)
+    for t in range(steps):
+        word = np.where(at < sizes, words[rows, np.minimum(at, words.shape[1] - 1)], np.uint64(0))
+        out[:, t] = word
+        at += ((word * factors[t]) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def keys(walked: np.ndarray, sizes: np.ndarray, repetition: int) -> np.ndarray:
+    """TABLES keys of each walk, of SAMPLES words of its first 2 * size steps; odd where all are words, 0 where one lies behind the end."""
+    share = (_spread((TABLES, SAMPLES), 2 * repetition) >> np.uint64(32)).astype(np.float64) / 2**32
+    at = (share[None, :, :] * (2 * sizes)[:, None, None]).astype(np.int64)
+    picked = walked[np.arange(len(walked))[:, None, None], at]
+    h = np.zeros(picked.shape[:2], np.uint64)
+    for k in range(SAMPLES):
+        h = (h ^ picked[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.where((picked != 0).all(axis=2), h | np.uint64(1), np.uint64(0))
+
+
 class Index:
-    """Items as word numbers, and their q-gram seeds. Words of no item are number 0."""
+    """Items as word numbers and hashes, their q-gram seeds and LSH keys. Words of no item are number 0."""
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float):
         words = Words([folded(t) for _, t in items])
@@ -95,11 +142,13 @@ class Index:
         self.ids = [i for i, _ in items]
         bounds = words.doc_first
         self.items = [words.inverse[a:b] + 1 for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.hashes = [words.keys[x - 1] | np.uint64(1) for x in self.items]
         order = np.argsort(words.keys)
         self.keys, self.numbers = words.keys[order], order + 1
         self.edits = np.array([edits(len(x), similarity) for x in self.items], np.int64)
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.need = np.ones(len(items), np.int64)
+        self._keys: dict[int, np.ndarray] = {}
         by_q: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, x in enumerate(self.items):
             if len(x):
@@ -168,11 +217,45 @@ class Index:
         good = good[np.concatenate([[True], np.diff(flat[good]) > 0])] if len(good) else good
         return cells[0, good], cells[1, good], cells[2, good], numbers, doc
 
+    def item_keys(self, k: int) -> np.ndarray:
+        """The keys of an item, by repetition and direction."""
+        if k not in self._keys:
+            x, size = self.hashes[k][None, :], self.sizes[k : k + 1]
+            self._keys[k] = np.concatenate([keys(walks(w, size, r), size, r) for r in range(REPETITIONS) for w in (x, x[:, ::-1])])
+        return self._keys[k]
+
+    def met(self, words: Words, docs: np.ndarray, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which windows belong to a (document, item) pair that meets in an LSH table."""
+        pair = np.concatenate([[0], np.cumsum((docs[1:] != docs[:-1]) | (items[1:] != items[:-1]))])
+        found = np.zeros(int(pair[-1]) + 1, bool)
+        hashes, sizes = words.keys[words.inverse] | np.uint64(1), self.sizes[items]
+        order = np.argsort(sizes, kind="stable")
+        for r in range(REPETITIONS):
+            for back in (0, 1):
+                left = order[~found[pair[order]]]
+                at = 0
+                while at < len(left):
+                    rows = left[at : at + max(1, WALKED // (2 * int(sizes[left[at]])))]
+                    rows = rows[: max(1, WALKED // (2 * int(sizes[rows[-1]])))]
+                    at += len(rows)
+                    size = sizes[rows]
+                    place = np.arange(int(size.max()))[None, :]
+                    place = starts[rows][:, None] + (size[:, None] - 1 - place if back else place)
+                    inside = (place >= np.maximum(words.doc_first[docs[rows]], starts[rows])[:, None]) & (place < np.minimum(words.doc_first[docs[rows] + 1], starts[rows] + size)[:, None])
+                    window = np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(2))
+                    own = keys(walks(window, size, r), size, r)
+                    stated = np.stack([self.item_keys(k)[2 * r + back] for k in items[rows].tolist()])
+                    found[pair[rows[((own == stated) & (own != 0)).any(axis=1)]]] = True
+        return found[pair]
+
     def matches(self, texts: list[bytes]) -> dict[tuple[int, int], int]:
-        """(document, item) -> distance, for all that are within the item's edits."""
+        """(document, item) -> distance, for all that meet in a table and are within the item's edits."""
         words = Words([folded(t) for t in texts])
         docs, items, starts, numbers, _ = self.windows(words)
         best: dict[tuple[int, int], int] = {}
+        if len(docs):
+            met = self.met(words, docs, items, starts)
+            docs, items, starts = docs[met], items[met], starts[met]
         if not len(docs):
             return best
         # windows of a document and item that start within an item's length of one another are one stretch to search
@@ -216,63 +299,83 @@ def _item_blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, b
     yield held
 
 
-def _matcher(index: Index, carry: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import itertools
-
-        for first in batches:
-            schema = pa.schema([*(first.schema.field(c) for c in carry), pa.field("_items", pa.int64()), pa.field("_item", pa.int64()), pa.field("_distance", pa.int32()), pa.field("_words", pa.int32())])
-            for block in blocks(itertools.chain([first], batches), carry, text="_text"):
-                n = len(block["_text"])
-                count, best = [0] * n, [None] * n
-                for (d, k), distance in index.matches(block["_text"]).items():
-                    count[d] += 1
-                    size = int(index.sizes[k])
-                    mark = (distance / size, index.ids[k] is None, index.ids[k] or 0, distance, size)
-                    best[d] = mark if best[d] is None else min(best[d], mark)
-                rows = {c: block[c] for c in carry} | {"_items": count}
-                rows |= {"_item": [b and (None if b[1] else b[2]) for b in best], "_distance": [b and b[3] for b in best], "_words": [b and b[4] for b in best]}
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    return run
-
-
-def _matched(docs: DataFrame, items: list[tuple[int, bytes]], carry: list[str], text: str, similarity: float) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+def _found(index: Index, part: pa.RecordBatch, column: int) -> dict[str, list]:
+    """Per row, the number of items, and of the nearest (ties: the smallest id) its id, distance and words."""
+    count, best = [0] * part.num_rows, [None] * part.num_rows
+    texts = [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+    for (d, k), distance in index.matches(texts).items():
+        count[d] += 1
+        size = int(index.sizes[k])
+        mark = (distance / size, index.ids[k] is None, index.ids[k] or 0, distance, size)
+        best[d] = mark if best[d] is None else min(best[d], mark)
+    return {"items": count, "item": [b and (None if b[1] else b[2]) for b in best], "distance": [b and b[3] for b in best], "words": [b and b[4] for b in best]}
+
+
+def _matched(rows: DataFrame, items: list[tuple[int, bytes]], similarity: float) -> DataFrame:
+    """(row, doc_id, text) to (row, doc_id, items, item, distance, words) for one block of items."""
     index = Index(items, similarity)
-    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(released(_matcher(index, carry)), f"{fields}, _items long, _item long, _distance int, _words int")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("items", pa.int64()), ("item", pa.int64()), ("distance", pa.int32()), ("words", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _rows.parts(batch):
+                yield pa.RecordBatch.from_pydict({"row": part.column(0), "doc_id": part.column(1)} | _found(index, part, 2), schema=schema)
+
+    return rows.mapInArrow(released(run), "row long, doc_id long, items long, item long, distance int, words int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, item_words: int = ITEM_WORDS) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, and of the nearest item (ties: the smallest id) item_id, distance (words) and similarity."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = [_matched(rows, items, ["doc_id"], "text", similarity) for items in _item_blocks(benchmark, item_words)]
-    if len(found) == 1:
-        out = found[0]
-    else:  # blocks of items meet by row, not by id, so that repeated ids stay apart
-        numbered = _numbered(rows)
-        parts = [_matched(numbered, items, ["_row", "doc_id"], "text", similarity) for items in _item_blocks(benchmark, item_words)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        order = F.when(F.col("_items") > 0, F.struct(F.col("_distance") / F.col("_words"), "_item"))
-        out = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sum("_items").alias("_items"), F.min_by("_item", order).alias("_item"), F.min_by("_distance", order).alias("_distance"), F.min_by("_words", order).alias("_words"))
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    stated = _item_blocks(benchmark, item_words)
+    first, second = next(stated), next(stated, None)
+    if second is None:
+        out = _matched(rows, first, similarity)
+    else:  # blocks of items meet by row, not by id, so that repeated ids stay apart; each block is done with before the next is read
+        rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        every = None
+        for items in itertools.chain([first, second], stated):
+            part = keep(_matched(rows, items, similarity), "matched")
+            every = part if every is None else every.unionByName(part)
+        order = F.when(F.col("items") > 0, F.struct(F.col("distance") / F.col("words"), "item"))
+        out = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("items").alias("items"), F.min_by("item", order).alias("item"), F.min_by("distance", order).alias("distance"), F.min_by("words", order).alias("words"))
     return out.select(
-        "doc_id", (F.col("_items") > 0).alias("contaminated"), F.col("_items").alias("n_items"), F.col("_item").alias("item_id"), F.col("_distance").alias("distance"),
-        (1 - F.col("_distance") / F.col("_words")).alias("similarity"),
+        "doc_id", (F.col("items") > 0).alias("contaminated"), F.col("items").alias("n_items"), F.col("item").alias("item_id"), "distance", (1 - F.col("distance") / F.col("words")).alias("similarity"),
     )
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    from ._store import keep
-
-    return keep(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, item_words: int = ITEM_WORDS) -> DataFrame:
     """docs without the contaminated rows, with all their columns."""
     small_batches(docs.sparkSession)
-    for items in _item_blocks(benchmark, item_words):
-        docs = _matched(docs, items, docs.columns, text, similarity).where("_items = 0").select(*docs.columns)
-    return docs
+    column = docs.columns.index(text)
+    stated = _item_blocks(benchmark, item_words)
+    first, second = next(stated), next(stated, None)
+    if second is None:
+        index = Index(first, similarity)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _rows.parts(batch):
+                    yield part.filter(pa.array([n == 0 for n in _found(index, part, column)["items"]], pa.bool_()))
+
+        return docs.mapInArrow(released(run), docs.schema)
+    stored = _rows.store(docs, {}, lambda part: {}, {})
+    drops = None
+    for items in itertools.chain([first, second], stated):
+        part = keep(_hits(stored, items, similarity, column), "hits")
+        drops = part if drops is None else drops.unionByName(part)
+    return stored.without(drops.distinct())
+
+
+def _hits(stored: _rows.Stored, items: list[tuple[int, bytes]], similarity: float, column: int) -> DataFrame:
+    """(block, row) of the stored rows that one block of items contaminates."""
+    index = Index(items, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                rows = np.flatnonzero(_found(index, _rows.unpacked(blob.as_buffer()), column)["items"]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(rows)], names=["block", "row"])
+
+    return stored.table.select("block", "rows").mapInArrow(released(run), "block long, row int")

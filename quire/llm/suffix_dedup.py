@@ -29,7 +29,6 @@ rows with equal or null ids never remove from each other. Texts shorter than
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,8 @@ from pyspark.sql import functions as F
 
 from . import _exchange
 from ._golomb import slices
-from ._store import new_path, partitions, released, small_batches
+from ._rows import block_ids, bucketed
+from ._store import keep, partitions, released, small_batches
 from ._words import blocks
 
 LENGTH = 50
@@ -148,17 +148,16 @@ class Block:
 _BLOCK = "block long, ids binary, nulls binary, sizes binary, payload binary"
 
 
-def _pack(size: int):
+def _pack(size: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        numbers = block_ids(TaskContext.get().partitionId(), n)
         for block in blocks(batches, ["doc_id"], size=size):
             null = np.array([x is None for x in block["doc_id"]])
             ids = np.array([_NO_ID if x is None else x for x in block["doc_id"]], np.int64)
             row = [_zip(ids), _zip(null), _zip(np.array([len(t) for t in block["text"]], np.int64)), _zip(b"".join(block["text"]))]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in row)], names=["block", "ids", "nulls", "sizes", "payload"])
-            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([next(numbers)]), *(pa.array([x], pa.binary()) for x in row)], names=["block", "ids", "nulls", "sizes", "payload"])
 
     return run
 
@@ -456,26 +455,16 @@ def _cut(length: int, whole: bool):
     return run
 
 
-def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df as a table in the shared folder whose joins on `block` move only the other side."""
-    spark = df.sparkSession
-    name = f"quire_blocks_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "uncompressed").option("path", new_path(spark, "text-blocks")).bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name)
-
-
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, whole: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `whole` also spans and the kept bytes."""
     if not SEED <= length < SEED + 32:
         raise ValueError(f"length must be from {SEED} to {SEED + 31}")
-    from ._store import keep
-
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     bits = _exchange.owner_bits(n)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = _bucketed(rows.mapInArrow(released(_pack(BLOCK)), _BLOCK), n)
+    table = bucketed(rows.mapInArrow(released(_pack(BLOCK, n)), _BLOCK), n)
     sent = table.mapInArrow(released(_send_prints(bits, length)), _exchange.SENT)
     bitmaps = _exchange.replies(sent, n).groupBy(F.col("msg").alias("block")).agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies"))
     runs = keep(table.join(bitmaps.hint("shuffle_hash"), "block", "left").mapInArrow(released(_send_runs(bits, length)), _RUNS), "runs")

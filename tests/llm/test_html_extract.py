@@ -2,6 +2,7 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quire.llm import html_extract
@@ -24,27 +25,58 @@ def test_boilerplate_is_left_out(page):
 
 
 def brute_best(scores):
-    best = (0.0, 0, 0)
-    for i in range(len(scores)):
-        for j in range(i + 1, len(scores) + 1):
-            if sum(scores[i:j]) > best[0] + 1e-9:
-                best = (sum(scores[i:j]), i, j)
-    return best[0]
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    return max(0.0, max((float((sums[i + 1 :] - sums[i]).max()) for i in range(len(scores))), default=0.0))
 
 
-def test_scan_finds_the_maximum():
+def test_scan_finds_the_maximum(spark):
     rng = random.Random(1)
-    for _ in range(30):
-        parts = [rng.choice(["<p>", "</p>", "<div>", "</div>", "<li>", " some words ", " a longer run of words here ", "<a>link</a>"]) for _ in range(25)]
-        page = "".join(parts)
-        found, marked = html_extract.tokens(page)
-        scores = [html_extract._size(t) * html_extract.PRIOR.get(html_extract.token_type(t, marked), html_extract.PRIOR_TAG) for t in found]
-        total = best = 0.0
-        for s in scores:
-            total = max(0.0, total + s)
-            best = max(best, total)
-        assert best == pytest.approx(brute_best(scores))
-        assert (html_extract.extract(page) == "") == (best == 0)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<li>", " some words ", " a longer run of words here ", "<a>link</a>", "<nav>menu</nav>"]
+    made = ["".join(rng.choice(parts) for _ in range(25)) for _ in range(30)]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html_extract.train(pages)
+    for page in made + [r.html for r in pages.limit(100).collect()]:
+        for w in (weights, html_extract.Weights()):
+            scores = [t[2] for t in html_extract.tokens(page, w)]
+            first, last, best = html_extract.region(scores)
+            assert best == pytest.approx(brute_best(scores))
+            assert sum(scores[first:last]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize(
+    "inner",
+    ["<p>Energy is <math>E m c</math> here.</p>", '<p class="popular">Energy is E m c here.</p>', '<div class="search-results-study"><p>Energy is E m c here.</p></div>', "<p>Energy is <a>E</a> <object>m</object> c here.</p>", "<ul><li>Energy is E m c here.</li></ul>"],
+)
+def test_text_of_the_article_stays(inner):
+    page = f"<html><body><nav><a>Home</a></nav><article><h1>On mass and light</h1><p>A first paragraph of words.</p>{inner}<p>A last paragraph of words.</p></article><footer>foot</footer></body></html>"
+    assert html_extract.extract(page) == "On mass and light\nA first paragraph of words.\nEnergy is E m c here.\nA last paragraph of words."
+
+
+def test_marks_are_not_looked_at(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.train(pages)
+    for r in pages.collect():
+        assert html_extract.extract(r.html, weights) == html_extract.extract(re.sub("</?article>", "", r.html), weights)
+
+
+def test_weights_are_learned_from_labelled_pages():
+    page = '<body><div class="zeta">' + "left out words of a part " * 40 + "</div><article><div class='kappa'><p>" + "words of the text " * 40 + "</p></div></article></body>"
+    seen = html_extract.counts(page * 1)
+    for _ in range(5):
+        seen += html_extract.counts(page)
+    weights = html_extract.learned(seen)
+    assert weights.of("name:zeta") < html_extract.EXCLUDED < 0 < weights.of("name:kappa")
+    text = '<div class="zeta">one two</div><p>three four five</p>'
+    assert html_extract.extract(text, weights) == "three four five" and html_extract.extract(text) == "one two\nthree four five"
+    assert html_extract.counts("<p>no mark</p>") == {}
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    assert html_extract.extract("<div>" * 40000 + "words of a page" + "</span>" * 40000 + "</div>" * 40000) == "words of a page"
+    assert time.time() - began < 5
 
 
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!-- x", "plain words", "<script>x", "</p></div>", "<p>a<p>b", "<a href='x\">y</a>", "\x00<p>\x00x"])

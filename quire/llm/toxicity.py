@@ -4,9 +4,12 @@ A logistic model over the words of a text (letters only, A-Z lower-cased), their
 beginnings, and how often these occur, is fitted on a bounded sample of labelled
 rows; the features are those whose rates differ most between the classes, found
 by a grouped aggregation. In the sample's sentences, each identity term is
-swapped for the other terms of its kind and for a neutral word, and the squared
-change of the score is penalised, so that a mention of a group weighs as little
-as any other and naming it neutrally does not raise a score.
+swapped for a neutral word and for other terms of its kind; both sentences are
+scored at every step of the fit, and the mean squared change of the score is
+penalised, so that a mention of a group weighs as little as any other and naming
+it neutrally does not raise a score. The terms are a parameter. Swaps that change no feature of
+the model cannot change a score; `Model.live_swaps` counts the others. Where no
+labelled sentence holds a term there are none, and the model is a logistic one.
 
 Only `labels.toxic` of rows whose crc32(doc_id as text) mod 5 is not 0 is
 learned from; the text alone is scored. Every whole text is scored in one scan
@@ -22,7 +25,7 @@ scored each. Ids of labels without a document are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ MAX_ROWS, MAX_FEATURES = 20_000, 4_000
 LEAST_GAIN = 4.0
 #: Bytes of the beginnings of words, and how often a word or beginning occurs in a text.
 PREFIXES, LEVELS = (4, 5, 6, 7, 8), (1, 2, 4)
+#: Swapped sentences that the model is fitted on, at most, and terms besides the neutral word that a term is swapped for.
+MAX_SWAPS, OTHERS = 20_000, 3
 
 # Identity terms by kind; the first of each kind is the neutral word.
 IDENTITY = {
@@ -53,16 +58,35 @@ _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _SENTENCE = re.compile(rb"[.!?\n]+")
 
 
-def _kinds() -> dict[bytes, list[bytes]]:
-    """Each term and what it is swapped for."""
-    out: dict[bytes, list[bytes]] = {}
-    for terms in IDENTITY.values():
-        names = [t.encode() for t in terms.split()]
-        for t in names[1:]:
-            out.setdefault(t, []).extend(x for x in names if x != t)
+def _kinds(identity: dict[str, str]) -> dict[bytes, tuple[list[bytes], list[bytes]]]:
+    """Each term, with the neutral words and the other terms of its kinds."""
+    out: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
+    for terms in identity.values():
+        neutral, *names = (t.encode().lower() for t in terms.split())
+        for t in names:
+            plain, others = out.setdefault(t, ([], []))
+            plain.append(neutral)
+            others += [x for x in names if x != t]
     return out
 
 
+def swapped(text: bytes, kinds: dict[bytes, tuple[list[bytes], list[bytes]]], pattern: re.Pattern) -> Iterator[tuple[bytes, bytes]]:
+    """(sentence, sentence with a term swapped) for the terms of a text: for every neutral word, and for OTHERS other terms that follow from the sentence."""
+    lower = text.lower()
+    if not pattern.search(lower):
+        return
+    for sentence in _SENTENCE.split(lower):
+        for term in sorted(set(pattern.findall(sentence))):
+            plain, others = kinds[term]
+            others = sorted(set(others), key=lambda o: zlib.crc32(sentence + b" " + o))[:OTHERS]
+            for other in dict.fromkeys([*plain, *others]):
+                yield sentence, pattern.sub(lambda m: other if m[0] == term else m[0], sentence)  # noqa: B023
+
+
+def _pattern(kinds: dict) -> re.Pattern:
+    return re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + rb")(?![a-z\x80-\xff])")
+
+
 def _form_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(distinct word, 32-bit key) of each word and of its beginnings."""
     starts, lens = words.starts[words.first], (words.ends - words.starts)[words.first]
@@ -124,33 +148,39 @@ def _rows(known: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ["toxic"]):
-            doc, key, counts = _cells(block["text"], known)
-            cuts = np.searchsorted(doc, np.arange(len(block["text"]) + 1))
-            cells = [np.stack([key[a:b].astype(np.uint32), np.minimum(counts[a:b], 255).astype(np.uint32)]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(block["toxic"], pa.int32()), pa.array(cells, pa.binary())], names=["toxic", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(block["toxic"], pa.int32()), pa.array(_packed(block["text"], known), pa.binary())], names=["toxic", "cells"])
 
     return run
 
 
-def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many labelled sentences allow each swap."""
-    kinds = _kinds()
-    pattern = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + rb")(?![a-z\x80-\xff])")
-    found: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            lower = (text or b"").lower()
-            if pattern.search(lower):
-                for sentence in _SENTENCE.split(lower):
-                    found.update(set(pattern.findall(sentence)))
-    yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+def _packed(texts: list[bytes], known: np.ndarray) -> list[bytes]:
+    """The cells of known keys of each text, as (index, count) pairs."""
+    doc, key, counts = _cells(texts, known)
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [np.stack([key[a:b].astype(np.uint32), np.minimum(counts[a:b], 255).astype(np.uint32)]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _swaps(known: np.ndarray, identity: dict[str, str]):
+    """The cells of each labelled sentence and of its swapped forms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _kinds(identity)
+        pattern = _pattern(kinds)
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                pairs = list(swapped(text or b"", kinds, pattern))
+                if pairs:
+                    sides = [_packed(list(side), known) for side in zip(*pairs, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in sides], names=["own", "other"])
+
+    return run
 
 
 class Model:
     """keys: sorted; weights: a row of one weight per level for each; bias."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        self.keys, self.weights, self.bias = keys, weights, bias
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, live_swaps: int = 0):
+        self.keys, self.weights, self.bias, self.live_swaps = keys, weights, bias, live_swaps
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         doc, key, counts = _cells(texts, self.keys)
@@ -160,45 +190,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(labels: list[int], cells: list[np.ndarray], keys: np.ndarray, chosen: np.ndarray, swaps: list[tuple[bytes, bytes, int]], l2: float = 1e-5, swap_weight: float = 1.0, rounds: int = 300) -> Model:
-    """cells: (index of key, count) of each text; chosen: for each key and level, is it a feature?; swaps: (term, replacement, sentences)."""
+class Design:
+    """The features of a list of texts, sparse."""
+
+    def __init__(self, cells: list[np.ndarray], place: np.ndarray):
+        """cells: (index of key, count) of each text; place: the feature of each key and level, or -1."""
+        flat = np.concatenate(cells, axis=1) if cells else np.zeros((2, 0), np.uint32)
+        owner = np.repeat(np.arange(len(cells)), [c.shape[1] for c in cells])
+        rows, features = [], []
+        for level, at in _levels(flat[1]):
+            f = place[flat[0][at].astype(np.int64), level]
+            rows.append(owner[at][f >= 0])
+            features.append(f[f >= 0])
+        self.n, self.rows, self.features = len(cells), np.concatenate(rows), np.concatenate(features)
+
+    def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.bincount(self.rows, w[self.features], self.n) + bias, -60, 60)))
+
+    def pulled(self, by_row: np.ndarray, m: int) -> np.ndarray:
+        """The gradient over m features of a sum whose derivative by each row's logit is given."""
+        return np.bincount(self.features, by_row[self.rows], m)
+
+
+def objective(w: np.ndarray, bias: float, y: np.ndarray, texts: Design, own: Design, other: Design, l2: float, swap_weight: float) -> tuple[float, np.ndarray]:
+    """Mean log loss, ridge, and swap_weight times the mean squared change of the score of swapped sentences; its gradient, the bias last."""
+    m = len(w)
+    p = texts.scores(w, bias)
+    loss = -float(np.mean(y * np.log(np.maximum(p, 1e-300)) + (1 - y) * np.log(np.maximum(1 - p, 1e-300)))) + l2 / 2 * float(w @ w)
+    grad = np.append(texts.pulled((p - y) / len(y), m) + l2 * w, (p - y).mean())
+    if own.n:
+        a, b = own.scores(w, bias), other.scores(w, bias)
+        loss += swap_weight * float(np.mean((a - b) ** 2))
+        by_own, by_other = (2 * swap_weight / own.n * (a - b) * s * (1 - s) for s in (a, b))
+        grad += np.append(own.pulled(by_own, m) - other.pulled(by_other, m), (by_own - by_other).sum())
+    return loss, grad
+
+
+def fit(labels: list[int], cells: list[np.ndarray], keys: np.ndarray, chosen: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], l2: float = 1e-5, swap_weight: float = 10.0, rounds: int = 300) -> Model:
+    """cells: (index of key, count) of each text; chosen: for each key and level, is it a feature?; swaps: the cells of each sentence and of its swapped form."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         rate = y.mean() if len(y) else 0.0
         return Model(keys[:0], np.zeros((0, len(LEVELS))), float(np.log(max(rate, 1e-26) / max(1 - rate, 1e-26))))
-    n, m = len(y), int(chosen.sum())
+    m = int(chosen.sum())
     place = np.full(chosen.shape, -1)
     place[chosen] = np.arange(m)
-    flat = np.concatenate(cells, axis=1) if cells else np.zeros((2, 0), np.uint32)
-    owner = np.repeat(np.arange(n), [c.shape[1] for c in cells])
-    doc, feature = [], []
-    for level, rows in _levels(flat[1]):
-        f = place[flat[0][rows].astype(np.int64), level]
-        doc.append(owner[rows][f >= 0])
-        feature.append(f[f >= 0])
-    doc, feature = np.concatenate(doc), np.concatenate(feature)
-
-    def features_of(word: bytes) -> np.ndarray:
-        _, key, counts = _cells([word], keys)
-        return np.array([place[int(k), level] for level, rows in _levels(counts) for k in key[rows] if place[int(k), level] >= 0], np.int64)
-
-    # a swap changes the score by the weights that its words do not share
-    own = {w: features_of(w) for w in {x for t, o, _ in swaps for x in (t, o)}}
-    live = [(own[t], own[o], times) for t, o, times in swaps if len(own[t]) or len(own[o])]
-    at = np.concatenate([np.concatenate([a, b]) for a, b, _ in live]).astype(np.int64) if live else np.zeros(0, np.int64)
-    sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b, _ in live]) if live else np.zeros(0)
-    swap = np.repeat(np.arange(len(live)), [len(a) + len(b) for a, b, _ in live])
-    times = np.array([t for *_, t in live], float)
+    live = [(a, b) for a, b in swaps if not np.array_equal(a, b)]
+    texts, own, other = Design(cells, place), Design([a for a, _ in live], place), Design([b for _, b in live], place)
     rate = y.mean()
     w, bias = np.zeros(m), float(np.log(rate / (1 - rate)))
     g1, g2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
-        logit = np.bincount(doc, w[feature], n) + bias
-        error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) / n
-        grad = np.append(np.bincount(feature, error[doc], m) + l2 * w, error.sum())
-        if len(live):
-            change = np.bincount(swap, w[at] * sign, len(live)) * times * 2 * swap_weight / n
-            grad[:m] += np.bincount(at, change[swap] * sign, m)
+        _, grad = objective(w, bias, y, texts, own, other, l2, swap_weight)
         g1 = 0.9 * g1 + 0.1 * grad
         g2 = 0.999 * g2 + 0.001 * grad**2
         step = 0.1 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-9)
@@ -206,11 +249,12 @@ def fit(labels: list[int], cells: list[np.ndarray], keys: np.ndarray, chosen: np
         bias -= step[m]
     weights = np.zeros(chosen.shape)
     weights[chosen] = w
-    return Model(keys, weights, bias)
+    return Model(keys, weights, bias, len(live))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Fits on at most max_rows labelled rows, those with the least hashes of their ids."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, identity: dict[str, str] | None = None, max_swaps: int = MAX_SWAPS) -> Model:
+    """Fits on at most max_rows labelled rows, those with the least hashes of their ids, and as many as max_swaps swaps of their sentences; identity: terms by kind, the first of each kind neutral (IDENTITY)."""
+    identity = IDENTITY if identity is None else identity
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     sample = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = keep(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("toxic", "text"), "labelled")
@@ -229,9 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     for row in rows.mapInArrow(released(_rows(keys)), "toxic int, cells binary").toLocalIterator():
         y.append(row.toxic)
         cells.append(np.frombuffer(bytes(row.cells), np.uint32).reshape(2, -1))
-    kinds = _kinds()
-    terms = rows.select("text").mapInArrow(released(_swaps), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one per identity term
-    return fit(y, cells, keys, chosen, [(r.term.encode(), other, r.n) for r in terms for other in kinds[r.term.encode()]])
+    unpacked = lambda x: np.frombuffer(bytes(x), np.uint32).reshape(2, -1)
+    pairs = rows.select("text").mapInArrow(released(_swaps(keys, identity)), "own binary, other binary").where("own <> other")
+    pairs = pairs.orderBy(F.xxhash64("own", "other"), "own", "other").limit(max_swaps).collect() if any(len(t.split()) > 1 for t in identity.values()) else []
+    return fit(y, cells, keys, chosen, [(unpacked(r.own), unpacked(r.other)) for r in pairs])
 
 
 def _scorer(model: Model):
@@ -245,9 +290,9 @@ def _scorer(model: Model):
     return run
 
 
-def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, identity: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    model = train(docs, labels, max_rows, max_features)
+    model = train(docs, labels, max_rows, max_features, identity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(released(_scorer(model)), "doc_id long, held_out boolean, score double, predicted int")

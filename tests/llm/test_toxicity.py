@@ -33,25 +33,64 @@ def corpus():
     return texts, labels
 
 
+def packed(texts, keys):
+    return [np.frombuffer(x, np.uint32).reshape(2, -1) for x in toxicity._packed(texts, keys)]
+
+
+def fitted(texts, labels, swap):
+    keys = np.unique(toxicity._cells(texts)[1])
+    chosen = np.zeros((len(keys), len(toxicity.LEVELS)), bool)
+    chosen[:, :2] = True
+    kinds = toxicity._kinds(toxicity.IDENTITY)
+    pairs = [p for t in texts for p in toxicity.swapped(t, kinds, toxicity._pattern(kinds))] if swap else []
+    swaps = list(zip(packed([a for a, _ in pairs], keys), packed([b for _, b in pairs], keys))) if pairs else []
+    return toxicity.fit(labels, packed(texts, keys), keys, chosen, swaps, l2=1e-3)
+
+
 def test_swaps_reduce_bias():
     texts, labels = corpus()
-    cells = toxicity._cells(texts)
-    keys = np.unique(cells[1])
-    per_text = []
-    for t in texts:
-        _, key, counts = toxicity._cells([t], keys)
-        per_text.append(np.stack([key.astype(np.uint32), counts.astype(np.uint32)]))
-    chosen = np.zeros((len(keys), len(toxicity.LEVELS)), bool)
-    chosen[:, 0] = True
-    n = sum(b"muslims" in t for t in texts)
-    swaps = [(b"muslims", o, n) for o in toxicity._kinds()[b"muslims"]]
-    plain, fair = (toxicity.fit(labels, per_text, keys, chosen, s, l2=1e-3) for s in ([], swaps))
-    blank, neutral, insult = b"wab wcc", b"the muslims wab wcc", b"you idiot wab"
-    rise = lambda m: np.log(m.scores([neutral])[0] / (1 - m.scores([neutral])[0])) - np.log(m.scores([blank])[0] / (1 - m.scores([blank])[0]))
-    assert rise(fair) < 0.25 * rise(plain)
+    plain, fair = (fitted(texts, labels, swap) for swap in (False, True))
+    assert plain.live_swaps == 0 < fair.live_swaps
+    blank, neutral, twice, insult = b"wab wcc", b"the muslims wab wcc", b"muslims and muslims wab wcc", b"you idiot wab"
+    logit = lambda m, t: float(np.log(m.scores([t])[0] / (1 - m.scores([t])[0])))
+    for text in (neutral, twice):
+        assert logit(fair, text) - logit(fair, blank) < 0.25 * (logit(plain, text) - logit(plain, blank))
     assert fair.scores([insult])[0] > 0.5 > fair.scores([neutral])[0]
 
 
+def test_swapped_sentences():
+    kinds = toxicity._kinds({"kind": "people zorgs blims quags"})
+    pairs = list(toxicity.swapped(b"The zorgs met Zorgs. No term here! A blims", kinds, toxicity._pattern(kinds)))
+    assert (b"the zorgs met zorgs", b"the people met people") in pairs and (b" a blims", b" a people") in pairs
+    assert {b for a, b in pairs if a == b" a blims"} == {b" a people", b" a zorgs", b" a quags"}
+    assert all(b"no term" not in a for a, _ in pairs)
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(4)
+    place = np.arange(10 * len(toxicity.LEVELS)).reshape(10, -1)
+    place[3, 1] = -1
+    some = lambda n: toxicity.Design([np.stack([rng.choice(10, 4, replace=False), rng.integers(1, 6, 4)]).astype(np.uint32) for _ in range(n)], place)
+    texts, own, other = some(12), some(7), some(7)
+    y, w, bias = rng.integers(0, 2, 12).astype(float), rng.normal(size=place.size), 0.3
+    loss = lambda v: toxicity.objective(v[:-1], v[-1], y, texts, own, other, 0.01, 2.0)[0]
+    at = np.append(w, bias)
+    grad = toxicity.objective(w, bias, y, texts, own, other, 0.01, 2.0)[1]
+    for k in range(len(at)):
+        step = np.zeros(len(at))
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((loss(at + step) - loss(at - step)) / 2e-6, abs=1e-6)
+
+
+def test_swaps_over_spark(spark):
+    texts, labels = corpus()
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(k, int(y)) for k, y in enumerate(labels)], "doc_id long, toxic int")
+    assert toxicity.train(docs, table).live_swaps > 100
+    assert toxicity.train(docs, table, identity={}).live_swaps == 0
+    assert toxicity.train(docs, table, max_swaps=7).live_swaps == 7
+
+
 def test_awkward_rows(spark):
     rows = documents()
     labels = spark.createDataFrame([(r[0], 1, k % 2) for k, r in enumerate(rows)] + [(None, 1, 1), (3, None, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")

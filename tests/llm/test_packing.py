@@ -63,5 +63,17 @@ def test_pieces_round_trip(spark):
     assert max(groups.values()) <= packing.STEP_TOKENS
 
 
+def test_step_groups_are_full(spark):
+    rows = [(k, *r[1:]) for k, r in enumerate(documents(n=200))]
+    out = packing.packed(frame(spark, rows), step_tokens=4096).collect()
+    tokens, lengths = {}, {}
+    for r in out:
+        tokens[r.step_group] = tokens.get(r.step_group, 0) + r.length
+        lengths.setdefault(r.step_group, set()).add(r.tier)
+    assert all(len(x) == 1 for x in lengths.values())
+    short = [min(lengths[g]) for g, n in tokens.items() if n != 4096]
+    assert len(short) == len(set(short))  # only the last group of a length
+
+
 def test_empty_table(spark):
     assert packing.packed(frame(spark, [])).count() == 0

@@ -20,7 +20,9 @@ def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
     else:
         both = pairs
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    low = keep(low.select("u", F.least("u", "m").alias("m")), "least")  # kept, so that the join below can split the neighbours of one node
+    low = low.select("u", F.least("u", "m").alias("m"))
+    if larger:  # one node can have most of the others as neighbours: from a kept table, the join can split them
+        low = keep(low, "least")
     moved = both.join(low, "u")
     if larger:
         linked = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

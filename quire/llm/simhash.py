@@ -16,6 +16,12 @@ Distinct fingerprints within `radius` bits are linked:
 3. A bucket yields the links of a spanning forest, never all pairs; components
    come from star contractions over the links.
 
+`similar_deduplicated` is the same operator for texts of a Jaccard similarity of
+0.8 or more in five-word shingles. Fingerprints of such texts differ in up to
+some 20 of 64 bits, where no choice of parts is selective; so bands of least
+shingle hashes name the buckets, the bit-sliced comparison decides in them, and
+exact similarity verifies what it leaves (`_similar`).
+
 Defined cases: null or wordless texts have fingerprint zero and are linked like
 any other. Texts with fewer words than a shingle hash their whole word sequence.
 Repeated ids are one row each. Null ids never name a component unless all its
@@ -34,15 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _graph, _rows
+from . import _graph, _rows, _similar
+from ._bits import planes, within
 from ._store import keep, partitions, released, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Values of a bucket that one task compares with as many others.
 TILE = 4096
-#: Values that stand in one set of bit planes, and planes between two looks at the counters.
-_LANES, _STEP = 1 << 16, 8
-_ONES = ~np.uint64(0)
+#: Values that stand in one set of bit planes.
+_LANES = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -92,56 +98,6 @@ def plan(n: int, radius: int = RADIUS) -> tuple[list[int], list[tuple[int, ...]]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)], list(combinations(range(parts), parts - radius))
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """The vertical form: row i holds bit i of all values, 64 to a word."""
-    n = -(-len(values) // 64) * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-
-
-def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose counter is above the radius, compared bitwise from the top."""
-    more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
-    for k in reversed(range(len(counter))):
-        if radius >> k & 1:
-            same = same & counter[k]
-        else:
-            more |= same & counter[k]
-            same = same & ~counter[k]
-    return more
-
-
-def within(vertical: np.ndarray, lanes: np.ndarray, d: int, radius: int = RADIUS) -> np.ndarray:
-    """Those of the ascending lanes whose value is within `radius` of the value d lanes on.
-
-    vertical: bit planes, with two words of padding behind the last lane.
-    """
-    words, first = np.unique(lanes >> 6, return_index=True)
-    asked = np.bitwise_or.reduceat(np.uint64(1) << (lanes & 63).astype(np.uint64), first)
-    over = ~asked
-    counter = [np.zeros(len(words), np.uint64) for _ in range(radius.bit_length() + 1)]
-    far, turn = d >> 6, np.uint64(d & 63)
-    for at in range(0, 64, _STEP):
-        part = vertical[at : at + _STEP]
-        other = part[:, words + far] >> turn
-        if turn:
-            other |= part[:, words + far + 1] << (np.uint64(64) - turn)
-        for carry in part[:, words] ^ other:
-            for k in range(len(counter)):
-                counter[k], carry = counter[k] ^ carry, counter[k] & carry
-            over |= carry
-        over |= _exceeds(counter, radius)
-        left = over != _ONES
-        if not left.all():
-            words, over, counter = words[left], over[left], [c[left] for c in counter]
-            if not len(words):
-                break
-    at = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")) if len(words) else np.zeros(0, np.int64)
-    return (words[at >> 6] << 6) + (at & 63) if len(at) else at
-
-
 def forest(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Index pairs that connect, within each bucket, all values that chains of links within the radius connect.
 
@@ -255,6 +211,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     return stored.without(copies(rows, grouped(rows.select(F.col("id").alias("doc_id"), "fp"), radius)))
 
 
+def similar_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = _similar.SIMILARITY) -> DataFrame:
+    """docs with one row of each group of texts linked by the similarity: that of the smallest id, of several the first stored."""
+    column = docs.columns.index(text)
+    stored = _rows.store(docs, {"id": F.col(doc_id).cast("long")}, _similar.prints(column), {"id": "long", **_similar.FIELDS})
+    rows = stored.narrow()
+    first = keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    return stored.without(copies(rows, named(first, _similar.links(stored, column, similarity))))
+
+
 def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """(block, row) of all rows (block, row, id, fp) but one of each component (fp, component): that of the smallest id, of several the first."""
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "block", "row")

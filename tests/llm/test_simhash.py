@@ -45,7 +45,7 @@ def test_bit_slices_and_forest():
     vertical = np.concatenate([simhash.planes(v), np.zeros((64, 2), np.uint64)], axis=1)
     for d in (1, 2, 63, 64, 65, 130, len(v) - 1):
         lanes = np.arange(0, len(v) - d, 3)
-        assert simhash.within(vertical, lanes, d).tolist() == [i for i in lanes.tolist() if (int(v[i]) ^ int(v[i + d])).bit_count() <= 4]
+        assert simhash.within(vertical, lanes, d, 4).tolist() == [i for i in lanes.tolist() if (int(v[i]) ^ int(v[i + d])).bit_count() <= 4]
     near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
     expected = brute_components(len(v), [(i, j) for i in range(len(v)) for j in range(i) if near[i, j]])
     assert brute_components(len(v), simhash.forest(v, np.full(len(v), len(v)))) == expected

@@ -1,6 +1,8 @@
 import random
 
-from quire.llm import near_dedup
+import numpy as np
+
+from quire.llm import _similar, simhash
 
 from .helpers import documents, frame
 from .test_simhash import brute_components, whole_rows
@@ -36,15 +38,38 @@ def test_pairs_at_the_limit_are_found(spark):
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
     assert 60 < len(pairs) and any(len(sets[i] & sets[j]) < 0.85 * len(sets[i] | sets[j]) for i, j in pairs)
     roots = brute_components(len(rows), pairs)
-    out = near_dedup.deduplicated(frame(spark, rows))
+    out = simhash.similar_deduplicated(frame(spark, rows))
     assert sorted(r.doc_id for r in out.collect()) == sorted({rows[k][0] for k in roots})
 
 
+def test_dense_buckets_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(_similar, "RUN", 3)
+    rows = rows_with_copies(4)[:80]
+    sets = [brute_set(r[1]) for r in rows]
+    roots = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    assert sorted(r.doc_id for r in simhash.similar_deduplicated(frame(spark, rows)).collect()) == sorted({rows[k][0] for k in roots})
+
+
+def test_close_pairs_match_brute_force():
+    rng = np.random.default_rng(6)
+    n = 300
+    keys = np.sort(rng.integers(0, 12, n))[None, :].repeat(3, axis=0)
+    size = np.array([x for k in range(12) for x in sorted(rng.integers(5, 40, int((keys[0] == k).sum())))])
+    base = rng.integers(0, 2**62, 8)
+    sim = np.array([int(rng.choice(base)) ^ sum(1 << int(b) for b in rng.choice(62, 12, replace=False)) for _ in range(n)], np.int64)
+    component = rng.integers(0, 40, n)
+    expected = {(i, j) for i in range(n) for j in range(i + 1, n) if keys[0, i] == keys[0, j] and component[i] != component[j] and size[i] >= 0.8 * size[j] - 1e-9 and (int(sim[i]) ^ int(sim[j])).bit_count() <= 21}
+    found = np.concatenate(_similar.close_pairs(keys, size, sim, component, 0.8, False), axis=1).T.tolist()
+    assert {tuple(p) for p in found} == expected and len(found) == len(expected) > 50
+    near = np.concatenate(_similar.close_pairs(keys, size, sim, component, 0.8, True), axis=1).T.tolist()
+    assert {tuple(p) for p in near} == {p for p in expected if p[1] == p[0] + 1}
+
+
 def test_awkward_rows(spark):
     rows = documents()
     sets = [brute_set(r[1]) for r in rows]
     roots = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
-    out = near_dedup.deduplicated(frame(spark))
+    out = simhash.similar_deduplicated(frame(spark))
     assert out.columns == frame(spark).columns
     assert whole_rows(out.collect(), rows, roots) == set(roots)
-    assert near_dedup.deduplicated(frame(spark, [])).count() == 0
+    assert simhash.similar_deduplicated(frame(spark, [])).count() == 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, near_dedup, packing, quality
+from quire.llm import decontam, exact_dedup, packing, quality, simhash
 from quire.llm._store import keep
 
 
@@ -29,8 +29,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a Jaccard similarity of 0.8 or more in five-word shingles, the document with the smallest id."""
-    return near_dedup.deduplicated(docs)
+    """Of each group of texts with a Jaccard similarity of 0.8 or more in five-word shingles, one document: that with the smallest id."""
+    return simhash.similar_deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
-    ("near dedup", near_stage),
+    ("SimHash near-dedup", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]

@@ -106,6 +106,20 @@ class Pieces:
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         return alpha[-1]
 
+    def expected_one(self, word: bytes, logp: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one word of any length."""
+        ids, longest, n = self.ids, self.longest, len(word)
+        ends = [[(j - k, p) for k in range(1, min(j, longest) + 1) if (p := ids.get(word[j - k : j])) is not None] for j in range(n + 1)]
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        for j in range(1, n + 1):
+            alpha[j] = np.logaddexp.reduce([alpha[i] + logp[p] for i, p in ends[j]])
+        for j in range(n, 0, -1):
+            for i, p in ends[j]:
+                inner = logp[p] + beta[j]
+                out[p] += math.exp(alpha[i] + inner - alpha[n])
+                beta[i] = np.logaddexp(beta[i], inner)
+
     def totals(self, words: list[bytes], logp: np.ndarray, chunk: int = 16384) -> np.ndarray:
         """Log total of every word (given without its blank)."""
         out = np.zeros(len(words))
@@ -117,11 +131,14 @@ class Pieces:
         return out
 
     def expectations(self, words: list[bytes], logp: np.ndarray, chunk: int = 16384) -> np.ndarray:
-        """Expected uses, over words of up to LONGEST bytes."""
+        """Expected uses of each piece, over all words."""
         out = np.zeros(len(logp))
-        for _, mat in matrices(words, chunk):
+        for rows, mat in matrices(words, chunk):
             if mat is not None:
                 out += self.expected(mat, logp)
+            else:
+                for k in rows.tolist():
+                    self.expected_one(b" " + words[k], logp, out)
         return out
 
 

@@ -4,11 +4,16 @@ Tokens are the words of the lower-cased (A-Z) text and one end. The model is a
 mixture over the languages g of the training rows (the most frequent ones, and
 the rest as one), each backing off to all rows and these to the lattice:
 
-    P(text) = sum over g of docs_g / docs * product of P_g(token)
+    P(text) = sum over g and a of docs_g / docs * U_g,a(words) * P_g(end) / |a|
     P_g(t)  = (max(c_g - D_g, 0) + D_g * V_g * P(t)) / N_g
     P(t)    = (max(c - D, 0) + D * V * L(t)) / N
 
-where c is the token's count in the training documents, N all their tokens, V
+U_g,a is an urn: the i-th word is t with probability (a P_g(t) + k) / (a + i - 1),
+k being its occurrences among the words before. So a word that a text has used
+is likelier to come again, whether it was seen in training or only by the
+lattice; a takes the values of URNS, without end for independent words.
+
+c is the token's count in the training documents, N all their tokens, V
 the distinct ones, D the absolute discount n1 / (n1 + 2 n2), and L the lattice
 likelihood: the sum, over all segmentations into pieces of an existing
 vocabulary, of the product of piece weights, by a forward recursion in log
@@ -53,6 +58,10 @@ ROUNDS = 2
 END = 1e-4
 #: Languages with counts of their own.
 LANGUAGES = 7
+#: Weights of the model in the urns besides that of independent words.
+URNS = (100.0, 1000.0, 10000.0)
+#: Natural logs below a text's best language at which its urns are left out of the sum.
+FAR = 40.0
 
 
 def _zip(a: np.ndarray | bytes) -> bytes:
@@ -185,6 +194,25 @@ def _discounted(counts: np.ndarray, below: np.ndarray, stats: list[int]) -> np.n
         return np.logaddexp(np.log(np.maximum(counts - discount, 0) / total), below + math.log(discount * distinct / total))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, by Stirling's series behind a shift of eight."""
+    shift = np.ones_like(x)
+    for k in range(8):
+        shift = shift * (x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+
+
+def urn_gains(weight: float, logp: np.ndarray, count: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """What the urn adds to each document's log-probability of independent words; a cell is a distinct word of a document with its count."""
+    cells, words = np.bincount(doc, minlength=n_docs), np.bincount(doc, count, n_docs)
+    more = np.flatnonzero(count > 1)
+    p, c = weight * np.exp(logp[more]), count[more].astype(float)
+    again = log_gamma(p + c) - log_gamma(p + 1) - (c - 1) * logp[more]
+    one = np.array([weight])
+    return cells * math.log(weight) + np.bincount(doc[more], again, n_docs) + log_gamma(one) - log_gamma(weight + words)
+
+
 def _score(stats: list[list[int]], ends: list[int]):
     """stats: of all training tokens, then of each group's, ends included; ends: training documents of each group."""
     total, distinct = stats[0][:2]
@@ -214,6 +242,14 @@ def _score(stats: list[list[int]], ends: list[int]):
                 add = lambda x: np.bincount(doc, x, n)
                 words, known = add(count), add(count * (counts.sum(axis=0)[form] > 0))
                 whole = np.stack([add(count * x[form]) for x in score]) + end_score + share
+                near, kinds = whole > whole.max(axis=0) - FAR, [whole]
+                for weight in URNS:
+                    kinds.append(np.full_like(whole, -np.inf))
+                    for g in range(len(score)):
+                        at = np.flatnonzero(near[g][doc])
+                        gain = urn_gains(weight, score[g][form[at]], count[at], doc[at], n)
+                        kinds[-1][g] = np.where(near[g], whole[g] + gain, -np.inf)
+                whole = np.concatenate(kinds) - math.log(1 + len(URNS))
                 top = whole.max(axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -77,6 +77,12 @@ def chapter_tag(stem: Column) -> Column:
     return F.coalesce(F.upper(roman), F.when(cn_to_int(cn).isNotNull(), F.concat(F.lit("第"), cn, F.lit("章"))), F.concat(F.lit("CH"), ch), F.concat(F.lit("Chapter "), en.try_cast("int").cast("string")))
 
 
+def chapter_label(stem: Column) -> Column:
+    """The bare number or numeral of a chapter name, or null."""
+    upper = F.upper(strip(stem))
+    return F.coalesce(F.upper(_found(stem, ROMAN_CHAPTER)), _found(stem, EN_CHAPTER).try_cast("int").cast("string"), cn_to_int(_found(stem, CN_CHAPTER)).cast("string"), _found(upper, CH_NAME))
+
+
 def scope_name(stems: Column, pick: Column | None = None, span: Column | None = None) -> Column:
     """The name of a merged selection: all tags for a pick, first and last for a span, else the numbers asked for."""
     tags = F.transform(stems, lambda s: F.replace(F.coalesce(chapter_tag(s), F.lit("")), F.lit(" "), F.lit("_")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"[\x{4e00}-\x{9fff}]"
+CJK_PLAIN = "[\u4e00-\u9fff]"
 #: Marks a page without text at the compatible sinks; inside, such a text is null.
 NO_TEXT = "這頁是沒有txt的"
 
@@ -18,6 +19,12 @@ QUERY_FILLERS = ["請", "幫我", "整理", "介紹", "說明", "解釋", "列
 TOPIC_FILLERS = ["請", "幫我", "詳細介紹", "介紹", "說明", "解釋", "整理", "列出", "流程步驟", "流程", "步驟", "越詳細越好", "越詳細", "最好", "加上", "步驟說明", "的", "一下", "一下子", "，", ",", "。", "？", "?", "！", "!"]
 # Words that tell the kind of a question, by falling priority.
 TASK_WORDS = {"process": ["流程", "步驟"], "compare": ["比較", "差異", "不同"], "summary": ["整理", "重點", "考前", "列出"]}
+# What a step question's topic is followed by in its search, by language.
+SEARCH_SUFFIXES = {"cn": " 相關概念 技術 主題 章節", "en": " related concepts techniques topics chapters"}
+# Shapes of whole noise lines, of dense codes, and of what is cut out of lines.
+NOISE_CODES = [r"^\d+[-_]{2,}\d+$", r"^(?:\d+-\d+\s*)+$", r"(R\d){3,}"]
+DENSE_LINE = r"^[A-Za-z0-9\-\s]+$"
+CUT_FROM_LINES = [r"(R\d){3,}[\w\-]*", r"\b\d{3}[-_]{3}\d{3}\b"]
 # Line shapes of extraction noise.
 NOISE_LINES = [r"^R\d+i-g\d+ht-\d+$", r"^(Icon-\d+\s*)+$", r"^第\d+頁$", r"^S\d+u-\d+bNo\b.*$", r"^SubNo\b.*$", r"^SubName\b.*$", r"^(?:R\d[\w\-]*\s*){3,}$", r"^[\-\_\|\=\s]{8,}$"]
 
@@ -50,6 +57,23 @@ def normalized(c: Column, compose: bool = True) -> Column:
     return F.regexp_replace(F.lower(nfkc(c) if compose else c), r"(?U)\s+", "")
 
 
+def distinct_forms(c: Column) -> Column:
+    """The strings of an array whose normal form is not empty and new, in order."""
+
+    def firsts(texts) -> list[str]:
+        found: dict[str, str] = {}
+        for t in texts:
+            found.setdefault(normalized_text(t), t)
+        found.pop("", None)
+        return list(found.values())
+
+    @F.pandas_udf("array<string>")
+    def distinct(s: pd.Series) -> pd.Series:
+        return s.map(lambda texts: None if texts is None else firsts(texts))
+
+    return distinct(c)
+
+
 def normalized_text(s: str | None) -> str:
     """The same for one string on the driver."""
     return "".join(unicodedata.normalize("NFKC", s or "").lower().split())
@@ -65,9 +89,7 @@ def query_variants(c: Column) -> Column:
     """The query and the parts that its separators leave after fillers are gone; trimmed, distinct by normal form, first ones kept."""
     parts = F.split(replaced(c, QUERY_FILLERS), r"[，,。；;：:\n\r\t]+")
     every = F.filter(F.transform(F.concat(F.array(c), parts), strip), lambda v: v != "")
-    pairs = F.transform(every, lambda v: F.struct(v.alias("v"), normalized(v, False).alias("n")))
-    first = F.aggregate(pairs, F.filter(pairs, lambda p: F.lit(False)), lambda acc, p: F.when((p["n"] == "") | F.exists(acc, lambda a: a["n"] == p["n"]), acc).otherwise(F.concat(acc, F.array(p))))
-    return F.transform(first, lambda p: p["v"])
+    return distinct_forms(every)
 
 
 def task_type(c: Column) -> Column:
@@ -95,7 +117,7 @@ def main_topic(c: Column) -> Column:
 
 
 def retrieval_query(c: Column) -> Column:
-    suffix = F.when(c.rlike(CJK), " 相關概念 技術 主題 章節").otherwise(" related concepts techniques topics chapters")
+    suffix = F.when(c.rlike(CJK), SEARCH_SUFFIXES["cn"]).otherwise(SEARCH_SUFFIXES["en"])
     return F.when(task_type(c) == "process", F.concat(main_topic(c), suffix)).otherwise(c)
 
 
@@ -107,9 +129,9 @@ def is_noise(line: Column) -> Column:
     return (
         F.when(s == "", False)
         .when(s.rlike(CJK), False)
-        .when(s.rlike(r"^\d+[-_]{2,}\d+$") | s.rlike(r"^(?:\d+-\d+\s*)+$") | s.rlike(r"(R\d){3,}"), True)
+        .when(s.rlike("|".join(NOISE_CODES)), True)
         .when(F.length(s) < 10, False)
-        .when(s.rlike(r"^[A-Za-z0-9\-\s]+$") & (ratio < 0.35), True)
+        .when(s.rlike(DENSE_LINE) & (ratio < 0.35), True)
         .otherwise(F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit(""))) >= 3)
     )
 
@@ -125,7 +147,8 @@ def is_dropped_line(line: Column) -> Column:
 def cleaned_text(c: Column) -> Column:
     """A page's text without extraction noise, line by line."""
     lines = F.transform(F.split(c, r"\R"), lambda x: strip(F.regexp_replace(x, r"(?U)\s{2,}", " ")))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"(R\d){3,}[\w\-]*", ""), r"\b\d{3}[-_]{3}\d{3}\b", ""))
+    for shape in CUT_FROM_LINES:
+        lines = F.transform(lines, lambda x: F.regexp_replace(x, shape, ""))  # noqa: B023
     return strip(F.array_join(F.filter(lines, lambda x: ~is_dropped_line(x) & ~x.rlike(r"^\d+$") & (x != "")), "\n"))
 
 
@@ -171,7 +194,39 @@ def first_json(c: Column) -> Column:
     return F.when((blob != "") & F.try_parse_json(blob).isNotNull(), blob)
 
 
-def keep_ids(c: Column, most: int, k: int) -> Column:
-    """The numbers after KEEP:, within 1 to most, distinct, at most k."""
-    numbers = F.transform(F.regexp_extract_all(F.regexp_extract(c, r"(?is)KEEP\s*:\s*(.*)", 1), F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
-    return F.slice(F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= most))), 1, k)
+def keep_ids(c: Column, n: int | Column, k: int) -> Column:
+    """The numbers after KEEP:, those from 0 to below n, distinct, at most k."""
+    listed = F.regexp_extract(c, r"(?i)KEEP\s*:\s*([0-9,\s]+)", 1)
+    numbers = F.transform(F.regexp_extract_all(listed, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.slice(F.array_distinct(F.filter(numbers, lambda x: x < n)), 1, k)
+
+
+def listed_terms(c: Column) -> Column:
+    """The terms of a model's answer: its lines that are not blank, trimmed."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\R"), strip), lambda t: t != "")
+
+
+def has_effective_text(content: Column) -> Column:
+    """Does a page-text file hold more than page headers and no-text marks?"""
+    bare = F.regexp_replace(F.coalesce(content, F.lit("")), r"(?im)^=+\s*Page\s+\d+\s*=+$", "")
+    return strip(F.replace(bare, F.lit(NO_TEXT), F.lit(""))) != ""
+
+
+def joined_text(c: Column) -> Column:
+    """A list of texts as one text, by lines; null is empty."""
+    return F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\n", "None")
+
+
+def static_url(path: Column) -> Column:
+    """The address of a file under the data folder, percent-encoded but for what addresses may hold."""
+    coded = F.url_encode(path)
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("%28", "("), ("%29", ")"), ("*", "%2A")):
+        coded = F.replace(coded, F.lit(code), F.lit(plain))
+    return F.concat(F.lit("/static/"), coded)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """path below root; paths elsewhere stay as they are, null is empty."""
+    plain = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(base)), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)

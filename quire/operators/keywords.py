@@ -1,26 +1,30 @@
 """Keyword mining: terms, frequencies, scores, metrics and selection.
 
-Everything up to the ranked list is DataFrame operations; terms are counted per
-page, then per chapter, so each count is combined before its shuffle. Only the
-order-dependent choice among overlapping terms runs per chapter in pandas.
+Terms are extracted and counted page by page in Arrow batches, then per chapter,
+so each count is combined before its shuffle; scores and ranks are DataFrame
+operations. The order-dependent choice among overlapping terms runs in pandas,
+over the first ranks of each chapter.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, squeeze, strip
+from ..functions.text import CJK, CJK_PLAIN, squeeze, strip
 
 # Words that are no keywords.
 STOP_CN = "例如 可以 定義 表示 如下 其中 因此 我們 你們 以及 進行 使用 工作 目標 系統 資料 結果 問題 相關 圖形 程式 大致 分成下列幾種 應用 好的 一下 個英文字母 假設事件 顧名思義 比較 進入 開始 假設 設定 如圖 這頁是沒有 首先 下列 形成下列 包含下列 被應用在 可應用在 可用於 用於 用在 總共 都是 直接".split()
 STOP_EN = "the and with from that this into used using int void main char double float bool return include std cout cin printf println true false null none class public private input output width height size type value range rate bits pixel point data test modern until rest stay side given large often areas count".split()
 STOP_TERMS = "img inter main array filename opencv fontface roi".split()
 FORMAT_NOISE = "www http https uri url com net org edu gov io pdf ppt pptx doc docx xls xlsx csv json jsonl md txt jpeg jpg png gif bmp tiff svg".split()
+# Parts of boilerplate terms.
 BOILERPLATE = ["圖片裡沒文字", "這頁是沒有txt的", "這頁是沒有", "沒有抓到", "跳過", "SKIP", "DONE", "ERROR", "WARN"]
 # Shapes of fragments, each with the longest term that it rejects (0: any).
 JUNK_SHAPES = [
@@ -40,8 +44,9 @@ JUNK_SHAPES = [
 CN_EDGES = r"^(?:的|是|為|於|而|中|以|等|上|下|若|當|年|已)|(?:的|是|為|於|而|中|以|等|上|下|個|由)$"
 CN_PHRASES = r"稱為|如下|例如|簡述|舉例|可以|用來|主要|進行|結果|根據|表示|包含下列|形成下列|則形成|下列幾|被應用在|可應用在|可用於|用於|用在"
 CN_VERB_ENDS = r"(成|為|得|進行|使用|轉換|形成|開始|進入)$"
+# Roman numerals as words.
 ROMAN_WORD = r"^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
-#: The three passes over English text: capitals, phrases in title case, words in lower case.
+# The three passes over English text: capitals, phrases in title case, words in lower case.
 EN_PASSES = [r"\b[A-Z]{2,8}\b", r"\b(?:[A-Z][a-z]{2,}\s){1,4}[A-Z][a-z]{2,}\b", r"\b[a-z]{3,}\b"]
 
 
@@ -83,13 +88,33 @@ def is_term(t: Column, lang: str = "en") -> Column:
 
 
 def page_terms(pages: DataFrame, lang: str = "en") -> DataFrame:
-    """(doc_id, pos, term, hits, place, heading): per page and term; place is the first in order of extraction, heading: is it in the page's first 80 characters?"""
-    blob = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("ocr", F.lit("")))
-    found = pages.select("doc_id", "pos", F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(80))).alias("head"), F.posexplode(terms(blob, lang)).alias("place", "term"))
-    if lang != "cn":
-        found = found.withColumn("term", F.lower(squeeze(F.col("term"))))
-    found = found.where(~F.col("term").isin(STOP_CN if lang == "cn" else STOP_EN))
-    return found.groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("place"), F.max(F.contains("head", "term")).alias("heading"))
+    """(doc_id, pos, term, hits, place, heading): per page and term; place is the first in order of extraction, heading: is it in the page's first 80 characters?
+
+    Terms are counted within a page before they become rows, so that a term costs a row per page and not per occurrence.
+    """
+    passes = [re.compile(p) for p in ([f"{CJK_PLAIN}{{2,8}}"] if lang == "cn" else EN_PASSES)]
+    stops = frozenset(STOP_CN if lang == "cn" else STOP_EN)
+    schema = pa.schema([("doc_id", pa.string()), ("pos", pa.int64()), ("term", pa.string()), ("hits", pa.int64()), ("place", pa.int32()), ("heading", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for doc_id, pos, text, ocr in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    blob, head = f"{text or ''}\n{ocr or ''}", (text or "")[:80].lower()
+                    if lang == "cn":
+                        found = passes[0].findall(blob)
+                    else:
+                        low = blob.lower()
+                        found = [" ".join(t.lower().split()) for p in passes[:2] for t in p.findall(blob)] + passes[2].findall(low)
+                    first: dict[str, int] = {}
+                    for n, t in enumerate(found):
+                        first.setdefault(t, n)
+                    out += [(doc_id, pos, t, n, first[t], t in head) for t, n in Counter(found).items() if t not in stops]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    given = pages.select(F.col("doc_id").cast("string"), F.col("pos").cast("long"), "text", "ocr")
+    return given.mapInArrow(run, "doc_id string, pos long, term string, hits long, place int, heading boolean")
 
 
 def term_counts(counted: DataFrame, lang: str = "en") -> DataFrame:
@@ -97,10 +122,15 @@ def term_counts(counted: DataFrame, lang: str = "en") -> DataFrame:
 
     What is no term goes here, after counting, so that each shape is tested once per chapter and not at every occurrence.
     """
+    # pairs go through min and max as one number each, which a hash aggregate can hold; structs would make it sort
+    wide, place = (lambda c: F.col(c).cast("decimal(38,0)")), F.lit(1 << 31).cast("decimal(38,0)")
     counts = counted.groupBy("doc_id", "term").agg(
-        F.sum("hits").alias("tf"), F.count(F.lit(1)).alias("page_df"), F.least(F.lit(1.0), F.sum(F.col("heading").cast("int")) * 0.5).alias("heading"), F.min(F.struct("pos", "place")).alias("first"),
-        F.max(F.struct("hits", (-F.col("pos")).alias("before"))).alias("top"),
-    ).withColumns({"rep_pos": -F.col("top.before"), "rep_hits": F.col("top.hits")}).drop("top")
+        F.sum("hits").alias("tf"), F.count(F.lit(1)).alias("page_df"), F.least(F.lit(1.0), F.sum(F.col("heading").cast("int")) * 0.5).alias("heading"),
+        F.min((wide("pos") * place + wide("place")).cast("decimal(38,0)")).alias("at"), F.max((wide("hits") * F.lit(str(1 << 64)).cast("decimal(38,0)") - wide("pos")).cast("decimal(38,0)")).alias("top"), F.max("hits").alias("rep_hits"),
+    )
+    first = F.struct(F.floor(F.col("at") / place).cast("long").alias("pos"), F.pmod("at", place).cast("int").alias("place"))
+    rep = (F.col("rep_hits").cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(38,0)") - F.col("top")).cast("long")
+    counts = counts.withColumns({"first": first, "rep_pos": rep}).drop("at", "top")
     return counts.where(is_term(F.col("term"), lang))
 
 
@@ -112,7 +142,8 @@ def scored(pages: DataFrame, counts: DataFrame, lang: str = "en") -> DataFrame:
     """Adds df, idf, coverage and raw_score, and leaves out what is no term of the language."""
     sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_doc"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n_docs"))
-    rows = counts.join(document_frequency(counts), "term").join(sizes, "doc_id").crossJoin(F.broadcast(corpus))  # one row
+    counts = counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))  # a row for each chapter
+    rows = counts.join(sizes, "doc_id").crossJoin(F.broadcast(corpus))  # one row
     n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
     coverage = F.col("page_df") / F.col("pages_in_doc")
@@ -175,71 +206,94 @@ def promoted(rows: DataFrame) -> DataFrame:
     return rows.join(places, ["doc_id", "term"])
 
 
+# What a term's overlap key leaves out besides white space: marks and particles.
+KEY_MARKS, KEY_PARTICLES = "-_,.:;()[]{}", "則的為而與或依所於以"
+_LEFT_OUT = str.maketrans("", "", KEY_MARKS + KEY_PARTICLES)
+
+
 def overlap_key(term: str) -> str:
-    return re.sub(r"[則的為而與或依所於以]", "", re.sub(r"[\s\-_,.:;()\[\]{}]+", "", term.lower().strip()))
+    """Terms overlap if the key of one holds the other's."""
+    return "".join(term.lower().split()).translate(_LEFT_OUT)
 
 
-def choose(rows: Iterator[tuple], eff_topn: int, core_n: int, lang: str, compat_stale_features: bool = False) -> list[tuple]:
-    """Greedy choice of (term, raw, tf, page_df, heading) rows in order; a term that overlaps a chosen one replaces it only if longer, or equally long and better.
+class Choice:
+    """Terms chosen so far, each with its key; a term belongs to the first that it overlaps, and takes its place if longer, or equally long and better."""
 
-    compat_stale_features: the second round then judges by the features of the last row that the first one read.
-    """
-    rows, chosen, keys = list(rows), [], []
+    def __init__(self) -> None:
+        self.places: list[tuple[str, tuple]] = []
 
-    def offer(row: tuple) -> None:
+    def take(self, row: tuple) -> None:
         key = overlap_key(row[0])
-        for k, old in enumerate(keys):
-            if key in old or old in key:
-                if len(row[0]) > len(chosen[k][0]) or len(row[0]) == len(chosen[k][0]) and row[1] > chosen[k][1]:
-                    chosen[k], keys[k] = row, key
-                return
-        chosen.append(row)
-        keys.append(key)
-
-    weak = lambda t, heading, page_df: lang == "en" and " " not in t and len(t) <= 4 and not (heading >= 0.5 or page_df >= 4)
-    stale = (0, 0.0)
+        at = next((n for n, (old, _) in enumerate(self.places) if key in old or old in key), len(self.places))
+        held = self.places[at][1] if at < len(self.places) else ("", 0.0)
+        if at == len(self.places) or (len(row[0]), row[1]) > (len(held[0]), held[1]):
+            self.places[at : at + 1] = [(key, row)]
+
+
+def _fit(term: str, page_df: int, heading: float, lang: str) -> bool:
+    """Short English words need a heading or several pages."""
+    return page_df > 0 and not (lang == "en" and " " not in term and len(term) <= 4 and heading < 0.5 and page_df < 4)
+
+
+def _filler(term: str, page_df: int, heading: float, lang: str) -> bool:
+    """May a term fill a place that is left? Single English words need a title or three pages, and are no verb forms."""
+    if not _fit(term, page_df, heading, lang):
+        return False
+    single = lang == "en" and len(term.split()) == 1
+    return not single or not (heading < 1.0 and page_df <= 2 or term.lower().endswith(("ed", "ing")))
+
+
+def chosen(rows: Iterable[tuple], eff_topn: int, core_n: int, lang: str, compat_stale_features: bool = False) -> tuple[list[tuple], bool]:
+    """The greedy choice of (term, raw, tf, page_df, heading) rows in order: first core_n that two pages or hits support, then others up to eff_topn.
+
+    Also, were both numbers reached? If not, more rows could change the choice.
+    compat_stale_features: the second round then judges by the features of the last row that the first one read.
+    """
+    rows, choice, last = list(rows), Choice(), (0, 0.0)
     for row in rows:
-        t, _, tf, page_df, heading = row
-        stale = (page_df, heading)
-        if page_df <= 0 or weak(t, heading, page_df):
-            continue
-        if page_df >= 2 or tf >= 2:
-            offer(row)
-            if len(chosen) >= core_n:
+        term, _, tf, *last = row
+        if _fit(term, *last, lang) and max(last[0], tf) >= 2:
+            choice.take(row)
+            if len(choice.places) >= core_n:
                 break
-    if len(chosen) < eff_topn:
-        for row in rows:
-            t, (page_df, heading) = row[0], stale if compat_stale_features else row[3:5]
-            if page_df <= 0 or weak(t, heading, page_df):
-                continue
-            if lang == "en":
-                if len(t.split()) == 1 and (heading < 1.0 and page_df <= 2 or re.search(r"(ed|ing)$", t.lower())):
-                    continue
-                if " " not in t and len(t) <= 4 and heading <= 0 and page_df <= 2:
-                    continue
-            offer(row)
-            if len(chosen) >= eff_topn:
+    core_full = len(choice.places) >= core_n
+    for row in rows if len(choice.places) < eff_topn else ():
+        if _filler(row[0], *(last if compat_stale_features else row[3:5]), lang):
+            choice.take(row)
+            if len(choice.places) >= eff_topn:
                 break
-    return chosen
+    return [row for _, row in choice.places], core_full and len(choice.places) >= eff_topn
+
+
+def choose(rows: Iterable[tuple], eff_topn: int, core_n: int, lang: str, compat_stale_features: bool = False) -> list[tuple]:
+    """The greedy choice among all rows of a chapter."""
+    return chosen(rows, eff_topn, core_n, lang, compat_stale_features)[0]
+
+
+#: Ranks that a choice reads; chapters that need more read all.
+FIRST_RANKS = 256
 
 
 def selected(rows: DataFrame, limits: DataFrame, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
-    """The keywords of each chapter, by the greedy choice; rows: ranked terms, limits: of adaptive_limits."""
-    given = rows.join(limits.select("doc_id", "eff_topn", "core_n"), "doc_id").select("doc_id", "rank", "term", "raw_score", "tf", "page_df", "heading", "eff_topn", "core_n")
+    """The keywords of each chapter, by the greedy choice; rows: ranked terms, limits: of adaptive_limits.
+
+    A choice is a function of the first ranks, up to where both of its rounds are full, so only chapters
+    whose choice is not full by FIRST_RANKS are read whole.
+    """
+    given = rows.join(limits.select("doc_id", "eff_topn", "core_n", "n_terms"), "doc_id").select("doc_id", "rank", "term", "raw_score", "tf", "page_df", "heading", "eff_topn", "core_n", "n_terms")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank")
         first = part.iloc[0]
-        picked = choose(part[["term", "raw_score", "tf", "page_df", "heading"]].itertuples(index=False, name=None), int(first.eff_topn), int(first.core_n), lang, compat_stale_features)
-        return pd.DataFrame({"doc_id": first.doc_id, "rank": range(1, len(picked) + 1), "term": [p[0] for p in picked], "raw_score": [p[1] for p in picked], "tf": [p[2] for p in picked], "page_df": [p[3] for p in picked]})
-
-    return given.groupBy("doc_id").applyInPandas(run, "doc_id string, rank int, term string, raw_score double, tf long, page_df long")
-
-
-def markdown(rows: DataFrame) -> DataFrame:
-    """One line per ranked keyword."""
-    line = F.format_string("%d. %s  (norm=%.1f, raw=%.4f, tf=%d, df=%d, page_df=%d)  -> rep_page=%d, hits=%d", "rank", strip(squeeze(F.col("term"))), "score_norm", "raw_score", "tf", "df", "page_df", "rep_page", "rep_hits")
-    return rows.select("doc_id", "rank", line.alias("line"))
+        picked, full = chosen(part[["term", "raw_score", "tf", "page_df", "heading"]].itertuples(index=False, name=None), int(first.eff_topn), int(first.core_n), lang, compat_stale_features)
+        if not full and len(part) < first.n_terms:
+            picked = [("", 0.0, 0, 0)]
+        return pd.DataFrame({"doc_id": first.doc_id, "rank": range(1, len(picked) + 1), "term": [p[0] for p in picked], "raw_score": [p[1] for p in picked], "tf": [p[2] for p in picked], "page_df": [p[3] for p in picked], "full": full or len(part) >= first.n_terms})
+
+    schema = "doc_id string, rank int, term string, raw_score double, tf long, page_df long, full boolean"
+    first = given.where(F.col("rank") <= FIRST_RANKS).groupBy("doc_id").applyInPandas(run, schema)
+    rest = given.join(first.where("NOT full").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").applyInPandas(run, schema)
+    return first.where("full").unionByName(rest).drop("full")
 
 
 def keywords(pages: DataFrame, topn: int = 10, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:

@@ -6,10 +6,14 @@ and read in blocks beyond it); pages are scanned once per block of queries.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import normalized, normalized_text, query_variants, snippet, squeeze, strip
+from ..functions.text import normalized, normalized_text, snippet, squeeze, strip
 
 #: Queries that go to the executors at once.
 QUERY_BLOCK = 10_000
@@ -47,20 +51,56 @@ def exact_search(pages: DataFrame, query: str, k: int = 15) -> DataFrame:
 
 
 def exact_search_batch(pages: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
-    """(query_id, rank, doc_id, page, variant) for a stated set of queries (query_id, query)."""
-    forms = F.filter(F.transform(query_variants(F.col("query")), lambda v: normalized(v, False)), lambda v: v != "")
-    stated = queries.select("query_id", forms.alias("variants"))
+    """(query_id, rank, doc_id, page, variant) for a stated set of queries (query_id, query).
+
+    The variants of a block of queries make one automaton, so a page's blob is normalised and read once, whatever
+    their number; a page gives each query that hits it one row, with its first variant.
+    """
     out = None
-    for block in query_blocks(stated, "query_id"):
-        hits = pages.select("doc_id", "page", "pos", "blob").join(F.broadcast(block), F.exists("variants", lambda v: F.contains(F.col("blob"), v)))
-        variant = F.array_position(F.transform("variants", lambda v: F.contains(F.col("blob"), v)), F.lit(True)).cast("int") - 1
-        hits = hits.select("query_id", "doc_id", "page", "pos", variant.alias("variant"))
+    for block in query_blocks(queries.select("query_id", "query"), "query_id"):
+        stated = block.collect()  # at most QUERY_BLOCK
+        kind = block.schema["query_id"].dataType
+        fields = f"query_id {kind.simpleString()}, doc_id string, page int, pos long, variant int"
+        hits = pages.select(F.col("doc_id").cast("string"), F.col("page").cast("int"), F.col("pos").cast("long"), "ocr", "text").mapInArrow(_matcher([(r.query_id, driver_variants(r.query)) for r in stated], to_arrow_type(kind)), fields)
         out = hits if out is None else out.unionByName(hits)
     best = out.groupBy("query_id", "doc_id", "page").agg(F.min(F.struct("variant", "pos")).alias("h")).select("query_id", "doc_id", "page", "h.*")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "pos")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "page", "variant")
 
 
+def _matcher(stated: list[tuple], kind: pa.DataType):
+    """Hits of pages (doc_id, page, pos, ocr, text) for queries (id, variants)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        uses: dict[str, list[tuple[int, int]]] = {}
+        for at, (_, variants) in enumerate(stated):
+            for n, v in enumerate(variants):
+                uses.setdefault(v, []).append((at, n))
+        machine = ahocorasick.Automaton()
+        for v in uses:
+            machine.add_word(v, v)
+        if uses:
+            machine.make_automaton()
+        ids = pa.array([i for i, _ in stated], kind)
+        for batch in batches:
+            rows, query, variant = [], [], []
+            for at, (doc_id, _, _, ocr, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                blob = normalized_text("\n".join((doc_id or "", ocr or "", text or "")))
+                first: dict[int, int] = {}
+                for v in {v for _, v in machine.iter(blob)} if uses else ():
+                    for q, n in uses[v]:
+                        first[q] = min(n, first.get(q, n))
+                rows += [at] * len(first)
+                query += first
+                variant += first.values()
+            found = batch.select(["doc_id", "page", "pos"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query, pa.int64())), *found.columns, pa.array(variant, pa.int32())], names=["query_id", "doc_id", "page", "pos", "variant"])
+
+    return run
+
+
 def query_blocks(stated: DataFrame, key: str) -> list[DataFrame]:
     """The queries in blocks of a bounded size, by a hash of their key."""
     n = stated.count()

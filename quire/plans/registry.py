@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import browse, exam, keywords, scope, search
+from ..sources import artifacts
 from ..sources import pages as sources
 from ..streaming import ingest
 
@@ -87,7 +88,7 @@ def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, page, CAST(variant AS INTEGER) AS variant FROM ranked WHERE rank <= 15""")
 def exact_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.exact_search_batch(search.with_blob(corpus(spark, sf_dir)), stated)
+    return search.exact_search_batch(corpus(spark, sf_dir), stated)
 
 
 @query(f"WITH {VARIANTS} SELECT item_id, string_agg(v, '|' ORDER BY variant) AS variants FROM variants GROUP BY item_id")
@@ -291,10 +292,11 @@ def parse_first_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, JSON_ROWS, "raw").select("raw", text.first_json(F.col("raw")).alias("found"))
 
 
-KEEP_ROWS = "('KEEP: 3, 1, 3, 99, 2'), ('keep : 7'), ('none'), ('KEEP: 0, 5, 5, 4, 8, 9, 10')"
+KEEP_ROWS = "('KEEP: 3, 1, 3, 99, 2'), ('keep : 7'), ('none'), ('KEEP: 0, 5, 5, 4, 8, 9, 10'), ('KEEP: 2, 11, 12 and 4')"
 
 
-@query()
+@query(f"""WITH n AS (SELECT raw, list_filter(list_transform(regexp_extract_all(regexp_extract(raw, '(?i)KEEP\\s*:\\s*([0-9,\\s]+)', 1), '\\d+'), lambda x: CAST(x AS INTEGER)), lambda x: x < 12) AS l FROM (VALUES {KEEP_ROWS}) AS t(raw))
+  SELECT raw, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ',') AS ids FROM n""")
 def parse_keep_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, KEEP_ROWS, "raw").select("raw", F.array_join(text.keep_ids(F.col("raw"), 12, 4).cast("array<string>"), ",").alias("ids"))
 
@@ -368,7 +370,11 @@ def adaptive_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.adaptive_limits(keywords.metrics(_scored(spark, sf_dir)), 10).select("doc_id", "eff_topn", "core_n")
 
 
-@query()
+PROMOTED = f"""{SCORES}, phrases AS (SELECT doc_id, word, arg_min(term, rank) AS phrase, arg_min(page_df, rank) AS page_df, arg_min(heading, rank) AS heading FROM (SELECT doc_id, unnest(list_distinct(string_split(term, ' '))) AS word, term, rank, page_df, heading FROM ranked WHERE rank <= 200 AND contains(term, ' ')) WHERE length(word) > 2 GROUP BY doc_id, word),
+  taken AS (SELECT r.doc_id, CASE WHEN p.phrase IS NOT NULL AND (p.page_df >= r.page_df OR p.heading > r.heading OR p.heading >= 0.5) THEN p.phrase ELSE r.term END AS term, r.rank FROM ranked r LEFT JOIN phrases p ON p.doc_id = r.doc_id AND p.word = r.term AND NOT contains(r.term, ' '))"""
+
+
+@query(f"WITH {PROMOTED} SELECT doc_id, term, CAST(min(rank) AS INTEGER) AS place FROM taken GROUP BY doc_id, term")
 def phrase_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.promoted(_scored(spark, sf_dir)).select("doc_id", "term", "place")
 
@@ -378,10 +384,11 @@ def greedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keywords(corpus(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SCORES}, best AS (SELECT *, 100.0 * raw / max(raw) OVER (PARTITION BY doc_id) AS norm FROM ranked WHERE rank <= 10)
+  SELECT doc_id, CAST(rank AS INTEGER) AS rank, printf('%d. %s  (norm=%.1f, raw=%.4f, tf=%d, df=%d, page_df=%d)  -> rep_page=%d, hits=%d', rank, term, norm, raw, tf, df, page_df, rep_pos, rep_hits) AS line FROM best""")
 def tips_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = keywords.with_norm(keywords.ranked(_scored(spark, sf_dir), 10))
-    return keywords.markdown(best.withColumn("rep_page", F.col("rep_pos")))
+    return best.withColumn("rep_page", F.col("rep_pos")).select("doc_id", "rank", artifacts.keyword_line().alias("line"))
 
 
 CN_ROWS = "(1, '二元樹的走訪方式與圖形演算法 tree 走訪'), (2, '例如 其中'), (3, '資料結構資料結構資料結構資料'), (4, 'abc')"
@@ -630,5 +637,8 @@ LOG = """#1 score=0.9000\ndoc_id=ch1 page=3\nimages=['a.png', \"b.jpg\"]\nOCR:\n
 
 @query("SELECT * FROM (VALUES (1, CAST(0.9 AS DOUBLE), 'ch1', '3', 'a.png,b.jpg', 'seen', 'line one' || chr(10) || 'line two'), (2, CAST(0.5 AS DOUBLE), 'ch2', 'x', '', '', 'last')) AS t(rank, score, doc_id, page, images, ocr, text)")
 def parse_result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources.parse_result_log(LOG)
-    return spark.createDataFrame([(r["rank"], r["score"], r["doc_id"], str(r["page"]), ",".join(r["images"]), r["ocr"], r["text"]) for r in found], "rank int, score double, doc_id string, page string, images string, ocr string, text string")
+    found = sources.result_log(spark.createDataFrame([(1, LOG)], "log_id int, log string"))
+    return found.select("rank", "score", "doc_id", "page", F.array_join("images", ",").alias("images"), "ocr", "text")
+
+
+from . import extra  # noqa: E402, F401  registers its queries with the helpers above

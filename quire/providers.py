@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -20,13 +23,21 @@ class Embedder(Protocol):
 
 
 class Extractor(Protocol):
-    """A file's bytes to (page, text) pairs; OCR engines and slide or document readers fit here."""
+    """Reads a file's bytes: pages gives (page, text), images (page, image, extension, bytes); a document reader fits here."""
 
-    def pages(self, path: str, content: bytes) -> list[tuple[int, str]]: ...
+    def pages(self, content: bytes) -> list[tuple[int, str]]: ...
+
+    def images(self, content: bytes) -> list[tuple[int, int, str, bytes]]: ...
+
+
+class Recogniser(Protocol):
+    """The text of an image's bytes; an OCR engine fits here."""
+
+    def text(self, content: bytes) -> str: ...
 
 
 class LanguageModel(Protocol):
-    def complete(self, prompt: str, max_tokens: int) -> str: ...
+    def complete(self, system: str, user: str, max_tokens: int) -> str: ...
 
 
 class HashingEmbedder:
@@ -49,10 +60,59 @@ class HashingEmbedder:
 class SilentModel:
     """Answers nothing, so that the fallbacks are used."""
 
-    def complete(self, prompt: str, max_tokens: int) -> str:
+    def complete(self, system: str, user: str, max_tokens: int) -> str:
         return ""
 
 
+@dataclass
+class ChatService:
+    """A chat endpoint over HTTP. style "messages" sends max_tokens and reads choices, "local" sends options and reads message."""
+
+    url: str
+    model: str
+    style: str = "local"
+    api_key: str = ""
+    timeout: float = 300.0
+
+    def _sent(self, url: str, body: dict | None) -> dict:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        request = urllib.request.Request(url, None if body is None else json.dumps(body, ensure_ascii=False).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return json.loads(reply.read().decode("utf-8", "replace"))
+
+    def complete(self, system: str, user: str, max_tokens: int) -> str:
+        body = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        if self.style == "messages":
+            reply = self._sent(self.url, body | {"temperature": 0.0})
+            return ((reply.get("choices") or [{}])[0].get("message") or {}).get("content") or ""
+        reply = self._sent(self.url, body | {"stream": False, "options": {"temperature": 0.0, "num_predict": max_tokens}})
+        return (reply.get("message") or {}).get("content") or ""
+
+    def models(self, url: str) -> list[str]:
+        """The names that a local service lists."""
+        listed = self._sent(url, None).get("models")
+        names = [str(m.get("name") or m.get("model") or "").strip() for m in listed if isinstance(m, dict)] if isinstance(listed, list) else []
+        return [n for n in names if n]
+
+
+# Models that are chosen where none is asked for, in order.
+PREFERRED_MODELS = ["qwen2:7b", "llama3.1:8b", "qwen2", "llama3.1"]
+
+
+def chosen_model(available: list[str], asked: str = "", scan: bool = True) -> str:
+    """The model asked for, which has to be there; else the first preferred one, else the first of all."""
+    asked = asked.strip()
+    if asked and asked not in available:
+        raise ValueError(f"no model {asked}; there are: {', '.join(available) or 'none'}")
+    if asked:
+        return asked
+    if not scan:
+        raise ValueError("no model is asked for")
+    if not available:
+        raise ValueError("there are no models")
+    return next((m for m in PREFERRED_MODELS if m in available), available[0])
+
+
 def embedded(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     """Unit vectors of a text column; the model is loaded once per worker."""
 
@@ -60,6 +120,22 @@ def embedded(text: Column, embedder: Embedder, batch: int = 32) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             rows = [v for at in range(0, len(s), batch) for v in embedder.encode(s.iloc[at : at + batch].fillna("").tolist())]
-            yield pd.Series(rows, index=s.index)
+            yield pd.Series(rows, index=s.index, dtype=object)
 
     return run(text)
+
+
+def replied(system: Column, user: Column, max_tokens: Column, model: LanguageModel) -> Column:
+    """The model's answers, trimmed; empty where it fails."""
+
+    @F.pandas_udf("string")
+    def run(systems: pd.Series, users: pd.Series, tokens: pd.Series) -> pd.Series:
+        out = []
+        for s, u, n in zip(systems, users, tokens, strict=True):
+            try:
+                out.append((model.complete(s, u, int(n)) or "").strip())
+            except Exception:  # noqa: BLE001  a failed call is an answer that cannot be used
+                out.append("")
+        return pd.Series(out, index=users.index, dtype=object)
+
+    return run(system, user, max_tokens)

@@ -80,3 +80,57 @@ def test_exact_branch_searches_rows_without_embedding(spark, tmp_path):
     assert hits("hybrid_search") == [(0, 1), (1, 0)]
     assert hits("search_with_fallback") == [(0, 2)]
     assert [r.pos for r in registry.search.vector_search(registry._index(spark, str(tmp_path)), [1.0, 0.0], 15, None).collect()] == [0]
+
+
+def test_batch_search_finds_full_width_queries_and_variants(spark):
+    from quire.operators import search
+
+    page = spark.createDataFrame([("d", 1, 0, "", "say hello world"), ("d", 2, 1, "ＷＯＲＬＤ", "x"), ("e", None, 2, None, None)], "doc_id string, page int, pos long, ocr string, text string")
+    asked = spark.createDataFrame([(1, "ｈｅｌｌｏ"), (2, "none，world"), (3, ""), (4, None), (5, "hello world，world")], "query_id int, query string")
+    got = {(r.query_id, r.rank, r.doc_id, r.page, r.variant) for r in search.exact_search_batch(page, asked).collect()}
+    assert got == {(1, 1, "d", 1, 0), (2, 1, "d", 1, 2), (2, 2, "d", 2, 2), (5, 1, "d", 1, 1), (5, 2, "d", 2, 2)}
+    for query in ("ｈｅｌｌｏ", "none，world", "hello world，world"):
+        one = [(r.rank, r.doc_id, r.page) for r in search.exact_search(search.with_blob(page), query).collect()]
+        batch = search.exact_search_batch(page, asked.where(F.col("query") == query)).orderBy("rank").collect()
+        assert one == [(r.rank, r.doc_id, r.page) for r in batch]
+    assert search.exact_search_batch(page, asked.limit(0)).count() == 0
+
+
+def test_query_variants_are_distinct_by_normal_form(spark):
+    row = spark.createDataFrame([("Ａ b,ａＢ，ab;c d，CD",), ("請",), (None,)], "q string").select(text.query_variants(F.col("q")).alias("v")).collect()
+    assert [r.v for r in row][:2] == [["Ａ b,ａＢ，ab;c d，CD", "Ａ b", "c d"], ["請"]]
+
+
+def test_result_log_reads_what_is_printed(spark):
+    hits = spark.createDataFrame([(1, 0.5, "a", 2, ["x.png"], " seen ", "one\ntwo"), (2, 0.25, "b", None, [], "", "")], "rank int, score double, doc_id string, page int, images array<string>, ocr string, text string")
+    log = "noise\n" + "\n".join(r.printed for r in pages.printed(hits).orderBy("rank").collect()) + "\nafter the end"
+    got = pages.result_log(spark.createDataFrame([("l", log), ("m", ""), ("n", None)], "log_id string, log string")).orderBy("record").collect()
+    assert [tuple(r)[1:] for r in got] == [(1, 1, 0.5, "a", "2", ["x.png"], "seen", "one\ntwo"), (2, 2, 0.25, "b", "None", [], "", "")]
+    odd = "#1 score=0.5\nTEXT:\na\ndoc_id=d page=3\nOCR:\nb\n#7 SCORE = 1.0\nimages=['q.JPG', 'r.txt']\n" + "-" * 20 + "\ndoc_id=late page=9"
+    got = pages.result_log(spark.createDataFrame([("l", odd)], "log_id string, log string")).orderBy("record").collect()
+    assert [tuple(r)[2:] for r in got] == [(1, 0.5, "d", "3", [], "b", "a"), (7, 1.0, "", None, ["q.JPG"], "", "")]
+
+
+def test_image_paths_of_any_shape():
+    assert pages.image_paths(" a.png ", '["b.png", {"name": "n", "rel_path": "r", "images": [["c"], "a.png"]}, 3, null]') == ["a.png", "b.png", "r", "n", "c"]
+    assert pages.image_paths(None, '"x"') == ["x"] and pages.image_paths("", None) == [] and pages.image_paths("{bad") == ["{bad"]
+
+
+def test_choice_by_windows_of_ranks(spark, monkeypatch):
+    rows = [(d, k + 1, f"term{k:04d} {d}", 100.0 - k, 2 if k > 6 else 1, 2 if k > 6 else 1, 0.0) for d in ("a", "b") for k in range(40 if d == "a" else 5)]
+    given = spark.createDataFrame(rows, "doc_id string, rank int, term string, raw_score double, tf long, page_df long, heading double")
+    limits = spark.createDataFrame([("a", 3, 2, 40), ("b", 3, 2, 5)], "doc_id string, eff_topn int, core_n int, n_terms long")
+    whole = {tuple(r) for r in keywords.selected(given, limits).collect()}
+    for ranks in (1, 3, 9):
+        monkeypatch.setattr(keywords, "FIRST_RANKS", ranks)
+        assert {tuple(r) for r in keywords.selected(given, limits).collect()} == whole
+    assert {r[2] for r in whole if r[0] == "a"} == {"term0007 a", "term0008 a", "term0000 a"}
+
+
+def test_chinese_terms_and_scores(spark):
+    blob = "樹的走 二元樹走訪方式 例如 二元樹走訪方式"
+    corpus = spark.createDataFrame([("c1", 0, blob, ""), ("c1", 1, "二元樹走訪方式", ""), ("c2", 2, "圖形搜尋演算法 tree", "")], "doc_id string, pos long, text string, ocr string")
+    counted = {(r.doc_id, r.pos, r.term): (r.hits, r.heading) for r in keywords.page_terms(corpus, "cn").collect()}
+    assert counted == {("c1", 0, "樹的走"): (1, True), ("c1", 0, "二元樹走訪方式"): (2, True), ("c1", 1, "二元樹走訪方式"): (1, True), ("c2", 2, "圖形搜尋演算法"): (1, True)}
+    kept = {r.term for r in keywords.scored(corpus, keywords.term_counts(keywords.page_terms(corpus, "cn"), "cn"), "cn").collect()}
+    assert kept == {"二元樹走訪方式", "圖形搜尋演算法"}  # a particle inside a short term drops it

@@ -23,10 +23,23 @@ def page_lookup(pages: DataFrame, doc_id: str | None = None, page: int | None =
     return rows.orderBy("pos").limit(1)
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, previous, next) in page order of each chapter."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    return pages.select("doc_id", "page", F.lag("page").over(by).alias("previous"), F.lead("page").over(by).alias("next"))
+#: Places of pages that one window holds.
+SPAN = 100_000
+
+
+def neighbours(pages: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, page, previous, next) in page order of each chapter.
+
+    A chapter is cut into spans of places, so that no task holds a whole one; the pages at the borders of a span come from the spans beside it.
+    """
+    part = F.floor(F.col("pos") / F.lit(span))
+    by, across = Window.partitionBy("doc_id", "part").orderBy("pos"), Window.partitionBy("doc_id").orderBy("part")
+    rows = pages.select("doc_id", "page", "pos", part.alias("part"))
+    ends = rows.groupBy("doc_id", "part").agg(F.min_by("page", "pos").alias("first"), F.max_by("page", "pos").alias("last"))
+    ends = ends.select("doc_id", "part", F.lag("last").over(across).alias("before"), F.lead("first").over(across).alias("after"))
+    inner = rows.select("doc_id", "part", "page", *(f(F.struct("page")).over(by).alias(n) for f, n in ((F.lag, "p"), (F.lead, "n"))))
+    pick = lambda near, border: F.when(F.col(near).isNull(), F.col(border)).otherwise(F.col(f"{near}.page"))
+    return inner.join(ends, ["doc_id", "part"]).select("doc_id", "page", pick("p", "before").alias("previous"), pick("n", "after").alias("next"))
 
 
 def rollup(files: DataFrame, by: list[str], names: str) -> DataFrame:

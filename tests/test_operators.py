@@ -134,3 +134,13 @@ def test_chinese_terms_and_scores(spark):
     assert counted == {("c1", 0, "樹的走"): (1, True), ("c1", 0, "二元樹走訪方式"): (2, True), ("c1", 1, "二元樹走訪方式"): (1, True), ("c2", 2, "圖形搜尋演算法"): (1, True)}
     kept = {r.term for r in keywords.scored(corpus, keywords.term_counts(keywords.page_terms(corpus, "cn"), "cn"), "cn").collect()}
     assert kept == {"二元樹走訪方式", "圖形搜尋演算法"}  # a particle inside a short term drops it
+
+
+def test_neighbours_across_spans(spark):
+    from quire.operators import browse
+
+    rows = [("a", k if k != 4 else None, 3 * k) for k in range(9)] + [("b", 7, 5)]
+    pages_ = spark.createDataFrame(rows, "doc_id string, page int, pos long")
+    whole = {tuple(r) for r in browse.neighbours(pages_).collect()}
+    assert whole == {tuple(r) for r in browse.neighbours(pages_, 7).collect()} == {tuple(r) for r in browse.neighbours(pages_, 1).collect()}
+    assert ("a", 3, 2, None) in whole and ("a", 5, None, 6) in whole and ("a", 0, None, 1) in whole and ("b", 7, None, None) in whole and len(whole) == 10

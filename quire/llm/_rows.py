@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import new_path, partitions, released, remember_table, small_batches
+from ._store import new_path, partitions, released, small_batches
 
 BLOCK_BYTES = 4 << 20
 MARKS = "block long, rows array<int>"
@@ -60,8 +60,7 @@ def bucketed(df: DataFrame, n: int) -> DataFrame:
     """df as a table in the shared folder whose joins on `block` move only the other side."""
     spark = df.sparkSession
     name = f"quire_blocks_{uuid.uuid4().hex}"
-    path = new_path(spark, "blocks")
-    remember_table(spark, name)
+    path = new_path(spark, "blocks", name)
     df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(n, "block").saveAsTable(name)
     return spark.table(name)
 

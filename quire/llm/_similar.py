@@ -8,21 +8,29 @@ shingles (64-bit hashes). Texts of `similarity` or more are linked:
 2. In a bucket, texts stand in order of size, and their SimHash fingerprints are
    compared bit-sliced (`_bits`). Fingerprints of texts at the limit differ in 15 %
    of their bits, 10 of 64 with a deviation of 3, and over RADIUS with probability
-   1e-4. First, in rounds, one text of each component stands for it and is compared with the
-   next, in runs of bounded length, until every bucket is one run or a round finds
-   no link; then all are compared that these links have not connected. A large group of copies so neither
-   costs its square nor lies in one task. Sizes too different for the limit are
-   left out, which loses no pair.
-3. What is within the radius is verified by the exact Jaccard similarity.
+   2e-4. Sizes too different for the limit are left out, which loses no pair.
+3. A pair within the radius whose minima agree so seldom that the limit is
+   SLACK deviations away is left out (probability 3e-5 at the limit).
+4. What is left is verified in its bucket by the exact Jaccard similarity of the
+   texts, which are sent to each bucket once; pairs are never rows. A bucket
+   yields links that connect its components, so texts that are connected already
+   are not compared again.
+Buckets go in two rounds, a quarter and then, of the others, those that hold more than
+one component yet. Buckets are cut into runs of bounded length; while one is
+longer, one text of each component stands for it in another round, and what is
+left then is dealt by pairs of runs. A large group of copies so neither costs its
+square nor lies in one task.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +41,15 @@ from ._store import keep, partitions, released
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Bits of 64 by which fingerprints of similar texts may differ.
-RADIUS = 21
+RADIUS = 20
+#: Deviations that the share of equal minima may be below the limit.
+SLACK = 4.0
 #: Sets of a bucket that one task compares.
 RUN = 4096
-FIELDS = {"fp": "long", "n": "long", "sim": "long", "bands": "array<long>"}
+FIELDS = {"fp": "long", "n": "long", "sim": "long", "sig": "binary", "bands": "array<long>"}
 _STEP = 2048
-#: Rows that stand in one set of bit planes.
-_LANES = 1 << 16
+#: Shingles of the texts that one comparison holds, if a bucket has no more, and of the sets that it remembers.
+_HELD, _REMEMBERED = 1 << 21, 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(42)
 _FLIPS, _FACTORS, _BAND_SEEDS = (_RNG.integers(0, 1 << 64, n, np.uint64) for n in (BANDS * ROWS, BANDS * ROWS, BANDS))
@@ -65,11 +75,16 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key per band of a set that is not empty."""
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least values of a set that is not empty under BANDS * ROWS hash functions."""
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), _STEP):
         np.minimum(least, ((h[at : at + _STEP, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key per band."""
     key = _BAND_SEEDS
     for row in least.reshape(BANDS, ROWS).T:
         key = _mixed(key, row)
@@ -91,86 +106,129 @@ def _digest(h: np.ndarray) -> int:
 def prints(column: int):
     def run(part: pa.RecordBatch) -> dict[str, list]:
         sets = [shingles(t or b"") for t in part.column(column).cast(pa.binary()).to_pylist()]
-        keys = [band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets]
-        fp = np.array([_digest(h) for h in sets], np.uint64).view(np.int64)
-        sim = np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64)
-        return {"id": part.column("id"), "fp": fp, "n": np.array([len(h) for h in sets], np.int64), "sim": sim, "bands": pa.array(keys, pa.list_(pa.int64()))}
+        least = [minima(h) if len(h) else None for h in sets]
+        keys = [np.zeros(0, np.int64) if x is None else band_keys(x).view(np.int64) for x in least]
+        fp, sim = (np.array([f(h) for h in sets], np.uint64).view(np.int64) for f in (_digest, fingerprint))
+        sig = [b"" if x is None else (x & np.uint64(255)).astype(np.uint8).tobytes() for x in least]  # minima are small, their low bytes are not
+        return {"id": part.column("id"), "fp": fp, "n": np.array([len(h) for h in sets], np.int64), "sim": sim, "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
     return run
 
 
-def _sets(column: int):
+def _texts(column: int):
+    """(fp, text) of marked rows, the text compressed: it is smaller than its set."""
+
     def run(rows: pa.RecordBatch, block: int, at: list[int]) -> pa.RecordBatch:
-        sets = [shingles(t or b"") for t in rows.column(column).cast(pa.binary()).to_pylist()]
-        fp = np.array([_digest(h) for h in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+        texts = [t or b"" for t in rows.column(column).cast(pa.binary()).to_pylist()]
+        fp = np.array([_digest(shingles(t)) for t in texts], np.uint64).view(np.int64)
+        packer = zstandard.ZstdCompressor(level=3)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], names=["fp", "text"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set digests that reach the similarity."""
-    sides = [sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    both = both.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("common"), (F.size("a_set") + F.size("b_set")).alias("total"))
-    return both.where(F.col("common") + 1e-9 >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+class Sets:
+    """The shingle sets of compressed texts, of which the last ones are remembered."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.sets, self.size, self.unpack = texts, OrderedDict(), 0, zstandard.ZstdDecompressor().decompress
+
+    def of(self, k: int) -> np.ndarray:
+        if k in self.sets:
+            self.sets.move_to_end(k)
+            return self.sets[k]
+        found = self.sets[k] = shingles(self.unpack(self.texts[k]))
+        self.size += len(found)
+        while self.size > _REMEMBERED and len(self.sets) > 2:
+            self.size -= len(self.sets.popitem(last=False)[1])
+        return found
 
+    def similar(self, i: int, j: int, similarity: float) -> bool:
+        x, y = self.of(i), self.of(j)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common + 1e-9 >= similarity * (len(x) + len(y) - common)
 
-def close_pairs(keys: np.ndarray, size: np.ndarray, sim: np.ndarray, component: np.ndarray, similarity: float, adjacent: bool, radius: int = RADIUS) -> list[np.ndarray]:
-    """(i, j) of rows of one key, of different components, sizes that allow the similarity and fingerprints within the radius.
 
-    Rows stand in order of their key (columns of `keys`) and size; adjacent: only neighbours are compared.
+def bucket_links(keys: np.ndarray, size: np.ndarray, sim: np.ndarray, component: np.ndarray, sig: np.ndarray, texts: list[bytes], similarity: float, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(i, j) of rows of one key that connect, with the given components, all that links by the similarity connect.
+
+    Rows stand in order of their key (columns of `keys`) and size.
     """
     n = len(sim)
     cut = np.append(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, n)
     ends = np.repeat(cut, np.diff(cut, prepend=0))
+    starts = np.append(0, cut[:-1])
     vertical = np.concatenate([planes(sim.view(np.uint64)), np.zeros((64, 2), np.uint64)], axis=1)
-    found, lanes, d = [], np.flatnonzero(ends - np.arange(n) > 1), 1
+    least = similarity - SLACK * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+    code = np.unique(component, return_inverse=True)[1]
+    root, sets, links = np.arange(int(code.max(initial=-1)) + 1), Sets(texts), []
+    lanes, d = np.flatnonzero(ends - np.arange(n) > 1), 1
     while len(lanes):
         lanes = lanes[size[lanes] + 1e-9 >= similarity * size[lanes + d]]  # what is too long at one distance is so at all longer ones
-        apart = lanes[component[lanes] != component[lanes + d]]
+        apart = lanes[root[code[lanes]] != root[code[lanes + d]]]
         near = within(vertical, apart, d, radius) if len(apart) else apart
-        found.append(np.stack([near, near + d]))
-        if adjacent:
-            break
+        near = near[(sig[near] == sig[near + d]).mean(axis=1) >= least] if len(near) else near
+        joined = False
+        for i in near.tolist():
+            a, b = code[i], code[i + d]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b and sets.similar(i, i + d, similarity):
+                root[max(a, b)] = min(a, b)
+                links.append((i, i + d))
+                joined = True
+        if joined:
+            while (root != (up := root[root])).any():
+                root = up
+            own = root[code]
+            whole = np.maximum.reduceat(own, starts) == np.minimum.reduceat(own, starts)  # one component: nothing is left to compare
+            lanes = lanes[~np.repeat(whole, np.diff(np.append(starts, n)))[lanes]]
         d += 1
         lanes = lanes[lanes + d < ends[lanes]]
-    return found
+    return links
+
 
+_COLUMNS = ("band", "low", "high", "n", "fp", "sim", "component")
 
-def _pairs(similarity: float, adjacent: bool):
-    """close_pairs over a partition in order of band, low, high and size; whole buckets are gathered up to _LANES rows."""
-    names = ("band", "low", "high", "n", "fp", "sim", "component")
+
+def _linker(similarity: float):
+    """bucket_links over a partition in order of band, low, high and size; whole buckets are gathered up to _HELD shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[tuple[np.ndarray, list[bytes], list[bytes]]] = []
+
+        def joined() -> tuple[np.ndarray, list[bytes], list[bytes]]:
+            return np.concatenate([h[0] for h in held], axis=1), [s for h in held for s in h[1]], [t for h in held for t in h[2]]
 
-        def compared(x: np.ndarray) -> pa.RecordBatch:
-            pairs = np.concatenate([np.zeros((2, 0), np.int64), *close_pairs(x[:3], x[3], np.ascontiguousarray(x[5]), x[6], similarity, adjacent)], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x[4][pairs[0]]), pa.array(x[4][pairs[1]])], names=["a", "b"])
+        def compared(x: np.ndarray, sigs: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+            at = np.array(bucket_links(x[:3], x[3], np.ascontiguousarray(x[5]), x[6], sig, texts, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[4][at[:, 0]]), pa.array(x[4][at[:, 1]])], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append(np.stack([batch.column(c).to_numpy() for c in names]).astype(np.int64))
-                n += batch.num_rows
-            if n >= _LANES:
-                every = np.concatenate(held, axis=1)
-                last = np.flatnonzero((every[:3, 1:] != every[:3, :-1]).any(axis=0))
+                held.append((np.stack([batch.column(c).to_numpy() for c in _COLUMNS]).astype(np.int64), batch.column("sig").to_pylist(), batch.column("text").to_pylist()))
+            if sum(int(h[0][3].sum()) for h in held) >= _HELD:
+                x, sigs, texts = joined()
+                last = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0))
                 whole = int(last[-1]) + 1 if len(last) else 0
                 if whole:
-                    yield compared(every[:, :whole])
-                held, n = [every[:, whole:]], every.shape[1] - whole
-        if n:
-            yield compared(np.concatenate(held, axis=1))
+                    yield compared(x[:, :whole], sigs[:whole], texts[:whole])
+                held = [(x[:, whole:], sigs[whole:], texts[whole:])]
+        if held:
+            yield compared(*joined())
 
     return run
 
 
-def _compared(rows: DataFrame, similarity: float, adjacent: bool) -> DataFrame:
-    """Distinct candidates (a, b) of rows (band, low, high, n, fp, sim, component)."""
+def _linked(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within the buckets of rows (band, low, high, n, fp, sim, component); texts: (fp, sig, text)."""
     by = ["band", "low", "high"]
-    dealt = rows.select(*by, "n", "fp", "sim", "component").repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "n", "fp")
-    return dealt.mapInArrow(released(_pairs(similarity, adjacent)), "a long, b long").distinct()
+    whole = rows.select(*_COLUMNS).join(texts, "fp")
+    dealt = whole.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "n", "fp")
+    return dealt.mapInArrow(released(_linker(similarity)), "a long, b long")
 
 
 def links(stored: _rows.Stored, column: int, similarity: float = SIMILARITY) -> DataFrame:
@@ -179,31 +237,43 @@ def links(stored: _rows.Stored, column: int, similarity: float = SIMILARITY) ->
     dealt = rows.dropDuplicates(["fp"]).select("fp", "n", "sim", F.explode("bands").alias("band"))
     counts = keep(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "bands")
     crowd = keep(dealt.join(counts, "band").select("band", "many", "n", "fp", "sim"), "crowd")
-    place = rows.groupBy("fp").agg(F.min(F.struct("block", "row")).alias("at")).join(crowd.select("fp").distinct(), "fp", "left_semi")
-    sets = keep(stored.at(_rows.by_block(place.select("at.block", "at.row")), _sets(column), "fp long, shingles array<long>"), "sets")
+    first = F.min(F.struct("block", "row", "sig"))
+    met = keep(rows.groupBy("fp").agg(first.alias("x")).join(crowd.select("fp").distinct(), "fp", "left_semi").select("fp", "x.block", "x.row", "x.sig"), "met")
+    bodies = stored.at(_rows.by_block(met), _texts(column), "fp long, text binary")
+    texts = keep(bodies.join(met.select("fp", "sig"), "fp"), "texts")
     longest = counts.agg(F.max("many")).first()[0] or 0
-    found, held, turn = [], crowd.withColumn("component", F.col("fp")), 0
-    while True:
-        stands = held
-        if turn:
-            stands = held.groupBy("band", "component").agg(F.min(F.struct("n", "fp", "sim")).alias("s"), F.max("many").alias("many")).select("band", "many", "s.n", "s.fp", "s.sim", "component")
-        run = F.pmod(F.xxhash64(F.lit(turn), "fp"), F.ceil(F.col("many") / F.lit(RUN ** (turn + 1))))
-        linked = keep(_verified(_compared(stands.withColumns({"low": run, "high": F.lit(0)}), similarity, True), sets, similarity), "links")
-        if linked.isEmpty():
-            break
-        found.append(linked)
-        named = _graph.components(_all(found), "a", "b").select(F.col("node").alias("fp"), "component")
-        held = keep(crowd.join(named, "fp", "left").select("band", "many", "n", "fp", "sim", F.coalesce("component", "fp").alias("component")), "held")
-        turn += 1
-        if longest <= RUN:
-            break
-        longest = longest // RUN + 1
-    # what is in one component throughout a bucket need not be compared; larger rests are dealt by pairs of their tiles
-    mixed = keep(held.groupBy("band").agg(F.count(F.lit(1)).alias("rest"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", F.ceil(F.col("rest") / RUN).cast("int").alias("tiles")), "mixed")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("low"), F.greatest(t, own).alias("high")))
-    rest = held.join(mixed, "band").withColumn("t", F.explode(tiles)).select("band", "t.low", "t.high", "n", "fp", "sim", "component")
-    return _all([*found, keep(_verified(_compared(rest, similarity, False), sets, similarity), "other-links")])
+    found, held = [], crowd.withColumn("component", F.col("fp"))
+
+    def joined(rows: DataFrame, last: bool = False) -> None:
+        """Adds the links of a round, and names the components anew."""
+        nonlocal held
+        found.append(keep(_linked(rows, texts, similarity), "links"))
+        if not last and not found[-1].isEmpty():
+            named = _graph.components(_all(found), "a", "b").select(F.col("node").alias("fp"), "component")
+            held = keep(crowd.join(named, "fp", "left").select("band", "many", "n", "fp", "sim", F.coalesce("component", "fp").alias("component")), "held")
+
+    def mixed() -> DataFrame:
+        """The buckets with several components, and how many runs they make."""
+        spread = held.groupBy("band").agg(F.count(F.lit(1)).alias("rest"), F.min("component").alias("x"), F.max("component").alias("y"))
+        return keep(spread.where("x <> y").select("band", F.ceil(F.col("rest") / RUN).cast("int").alias("tiles")), "mixed")
+
+    def in_runs(rows: DataFrame, turn: int = 0) -> DataFrame:
+        return rows.withColumns({"low": F.pmod(F.xxhash64(F.lit(turn), "fp"), F.ceil(F.col("many") / F.lit(RUN ** (turn + 1)))), "high": F.lit(0)})
+
+    quarter = F.pmod(F.xxhash64("band"), F.lit(4)) == 0
+    joined(in_runs(held.where(quarter)))
+    joined(in_runs(held.where(~quarter).join(mixed().select("band"), "band")), last=longest <= RUN)
+    turn, rest = 0, longest
+    while rest > RUN:
+        turn, rest = turn + 1, rest // RUN + 1
+        stands = held.groupBy("band", "component").agg(F.min(F.struct("n", "fp", "sim")).alias("s"), F.max("many").alias("many"))
+        joined(in_runs(stands.select("band", "many", "s.n", "s.fp", "s.sim", "component"), turn))
+    if longest > RUN:
+        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("low"), F.greatest(t, own).alias("high")))
+        open_rows = held.join(mixed().where("tiles > 1"), "band").withColumn("t", F.explode(tiles))
+        joined(open_rows.select("band", "t.low", "t.high", "n", "fp", "sim", "component"), last=True)
+    return _all(found)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

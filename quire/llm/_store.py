@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: str | None = None
-_paths: list[str] = []
-_tables: list[str] = []
+#: What was written and not removed yet: folders, each with the name of its table, if it has one.
+_written: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,30 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A folder for an intermediate result, which cleanup removes; table: the name of the table that is kept in it."""
     path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _written[path] = table
     return path
 
 
-def remember_table(spark: SparkSession, name: str) -> None:
-    """Has cleanup drop a table."""
-    _tables.append(name)
+def written() -> list[str]:
+    """The folders of intermediate results that are there."""
+    return list(_written)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Removes all intermediate tables and folders of this driver. Results that were not read or written by then cannot be read any more."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+def cleanup(spark: SparkSession, paths: list[str] | None = None, read_by: DataFrame | None = None) -> None:
+    """Removes intermediate tables and folders of this driver, all or some, but for those that read_by reads. Other results that are lazy yet cannot be read any more."""
+    used = _roots(read_by) if read_by is not None else ""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in [p for p in (_written if paths is None else paths) if p in _written and p.rsplit("/", 1)[1] not in used]:
+        if table := _written.pop(path):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def _roots(df: DataFrame) -> str:
+    """The folders that a plan reads, as text."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        with contextlib.suppress(Exception):  # a leaf that reads no files
+            out.append(leaves.apply(k).relation().location().rootPaths().mkString(" "))
+    return " ".join(out)
 
 
 @atexit.register
 def _at_end() -> None:
-    spark = SparkSession.getActiveSession() if _paths or _tables else None
+    spark = SparkSession.getActiveSession() if _written else None
     if spark is not None:
         with contextlib.suppress(Exception):  # the session may have been stopped, and its folder removed, already
             cleanup(spark)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import zstandard
 
 from quire.llm import _similar, simhash
 
@@ -50,19 +51,25 @@ def test_dense_buckets_over_several_tasks(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.similar_deduplicated(frame(spark, rows)).collect()) == sorted({rows[k][0] for k in roots})
 
 
-def test_close_pairs_match_brute_force():
+def test_bucket_links_match_brute_force():
+    rows = rows_with_copies(6)
     rng = np.random.default_rng(6)
-    n = 300
-    keys = np.sort(rng.integers(0, 12, n))[None, :].repeat(3, axis=0)
-    size = np.array([x for k in range(12) for x in sorted(rng.integers(5, 40, int((keys[0] == k).sum())))])
-    base = rng.integers(0, 2**62, 8)
-    sim = np.array([int(rng.choice(base)) ^ sum(1 << int(b) for b in rng.choice(62, 12, replace=False)) for _ in range(n)], np.int64)
-    component = rng.integers(0, 40, n)
-    expected = {(i, j) for i in range(n) for j in range(i + 1, n) if keys[0, i] == keys[0, j] and component[i] != component[j] and size[i] >= 0.8 * size[j] - 1e-9 and (int(sim[i]) ^ int(sim[j])).bit_count() <= 21}
-    found = np.concatenate(_similar.close_pairs(keys, size, sim, component, 0.8, False), axis=1).T.tolist()
-    assert {tuple(p) for p in found} == expected and len(found) == len(expected) > 50
-    near = np.concatenate(_similar.close_pairs(keys, size, sim, component, 0.8, True), axis=1).T.tolist()
-    assert {tuple(p) for p in near} == {p for p in expected if p[1] == p[0] + 1}
+    key = rng.integers(0, 4, len(rows))
+    sets = [_similar.shingles(r[1].encode()) for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: (key[k], len(sets[k])))
+    keys = np.stack([key[order]] * 3)
+    component = rng.integers(0, 200, len(rows))
+    sim = np.array([_similar.fingerprint(sets[k]) for k in order], np.uint64).view(np.int64)
+    sig = np.stack([_similar.minima(sets[k]) & np.uint64(255) for k in order]).astype(np.uint8)
+    packer = zstandard.ZstdCompressor()
+    texts = [packer.compress(rows[k][1].encode()) for k in order]
+    size = np.array([len(sets[k]) for k in order])
+    found = _similar.bucket_links(keys, size, sim, component, sig, texts, 0.8)
+    plain = [brute_set(rows[k][1]) for k in order]
+    same = [(i, j) for i in range(len(rows)) for j in range(i) if component[i] == component[j]]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if keys[0, i] == keys[0, j] and similar(plain[i], plain[j])]
+    assert all((max(p), min(p)) in pairs for p in found) and len(found) > 10
+    assert brute_components(len(rows), [*same, *found]) == brute_components(len(rows), [*same, *pairs])
 
 
 def test_awkward_rows(spark):

@@ -3,41 +3,67 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before
 it kept, and returns rows with the columns of documents; the last returns the
 pieces of packed sequences. Between stages rows are written as Parquet to the
-shared folder and read again.
+shared folder and read again. A stage first removes the intermediate results of
+the stages before it, but for those that its input reads: an input that was
+written reads none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, exact_dedup, packing, quality, simhash
-from quire.llm._store import keep
+from quire.llm import _store, decontam, exact_dedup, packing, quality, simhash
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """function, removing what earlier stages left and noting what it leaves itself."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _store.cleanup(spark, _left, read_by=docs)
+        before = set(_store.written())
+        out = function(spark, docs, sf_dir)
+        _left.extend(p for p in _store.written() if p not in before)
+        return out
+
+    return run_stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps."""
     return quality.filtered(docs, _table(spark, sf_dir, "labels"))
 
 
+@stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
     return exact_dedup.deduplicated(docs)
 
 
+@stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a Jaccard similarity of 0.8 or more in five-word shingles, one document: that with the smallest id."""
     return simhash.similar_deduplicated(docs)
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark."""
     return decontam.cleaned(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.packed(docs)
@@ -58,8 +84,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
     docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = keep(docs, name.replace(" ", "-"))
+            docs = _store.keep(docs, name.replace(" ", "-"))
     return docs

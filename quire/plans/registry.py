@@ -133,13 +133,13 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with their embedding or null; the SQL below has only those with one."""
+    """All documents, with their embedding or null."""
     return search.with_blob(corpus(spark, sf_dir)).join(_vectors(spark, sf_dir), "pos", "left")
 
 
 def _hybrid_sql(case: str, fallback: bool) -> str:
     only = "WHERE NOT EXISTS (SELECT 1 FROM exact)" if fallback else ""
-    return f"""WITH {BLOBS}, idx AS (SELECT blobs.*, embedding FROM blobs JOIN embeddings ON vec_id = pos),
+    return f"""WITH {BLOBS}, idx AS (SELECT blobs.*, embedding FROM blobs LEFT JOIN embeddings ON vec_id = pos),
   exact AS (SELECT 0 AS branch, row_number() OVER (ORDER BY variant, pos) AS loc, CAST(1.0 AS DOUBLE) AS score, doc_id, page FROM (SELECT *, {case} AS variant FROM idx) WHERE variant IS NOT NULL ORDER BY variant, pos LIMIT 15),
   near AS (SELECT 1 AS branch, row_number() OVER (ORDER BY score DESC, pos) AS loc, score, doc_id, page FROM (SELECT a.*, {DOT} AS score FROM idx a, embeddings b WHERE b.vec_id = 0) WHERE score >= 0.1 ORDER BY score DESC, pos LIMIT 15),
   both_ AS (SELECT * FROM exact UNION ALL SELECT * FROM near {only}),
@@ -161,6 +161,11 @@ def search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_index(spark, sf_dir), "zzqqxx", _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
 
 
+@query(_hybrid_sql(RARE_CASE, True))
+def search_with_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_index(spark, sf_dir), RARE_QUERY, _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.lit(1.0).alias("score"), F.col("role").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text", F.lit("").alias("ocr"))
 

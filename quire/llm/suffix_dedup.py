@@ -409,12 +409,20 @@ def _unfold(prefix: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
 FULL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>, kept binary"
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, document) of the maximal runs that strings of `length` bytes at `starts` cover, documents apart."""
+    doc = np.searchsorted(ends, starts, "right")
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] > starts[:-1] + length) | (doc[1:] != doc[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(starts)) - 1 if len(starts) else np.zeros(0, np.int64)
+    return starts[new], starts[last] + length, doc[new]
+
+
 def _cut(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            n = len(block.buf)
-            starts = np.zeros(n + 1, bool)
+            starts = np.zeros(len(block.buf) + 1, bool)
             if row["places"]:
                 pos, span, group, local = _parts(row["places"], ("<i8", "u1", "<u4", "?"))
                 span = span.reshape(-1, 2).astype(np.int64)
@@ -424,27 +432,20 @@ def _cut(length: int, whole: bool):
                 flags = np.where(local, every, flags[group]) if len(group) else flags
                 for o in range(length - SEED + 1):
                     starts[pos[(flags >> np.uint32(o)) & np.uint32(1) > 0] - o] = True
-            total = np.cumsum(starts[:n], dtype=np.int64)
-            gone = total.copy()
-            gone[length:] -= total[:-length] if n > length else 0
-            gone = gone > 0
             ends = np.cumsum(block.sizes)
             firsts = ends - block.sizes
-            count = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-            begin = gone.copy()
-            begin[1:] &= ~gone[:-1]
-            begin[firsts[(firsts < n)]] = gone[firsts[(firsts < n)]]
-            spans = np.concatenate([[0], np.cumsum(begin, dtype=np.int64)])
-            removed, n_spans = count[ends] - count[firsts], spans[ends] - spans[firsts]
+            begin, stop, doc = _runs(np.flatnonzero(starts), ends, length)
+            removed, n_spans = np.bincount(doc, stop - begin, len(ends)).astype(np.int64), np.bincount(doc, minlength=len(ends))
+            at = np.searchsorted(doc, np.arange(len(ends) + 1))
             view = memoryview(block.raw)
             kept, shas, where = [], [], []
-            for a, b, r in zip(firsts.tolist(), ends.tolist(), removed.tolist(), strict=True):
-                text = block.buf[a:b][~gone[a:b]].tobytes() if r else view[a:b]
+            for k, (a, b) in enumerate(zip(firsts.tolist(), ends.tolist(), strict=True)):
+                own = slice(at[k], at[k + 1])
+                text = b"".join(view[x:y] for x, y in zip([a, *stop[own].tolist()], [*begin[own].tolist(), b], strict=True)) if removed[k] else view[a:b]
                 shas.append(hashlib.sha256(text).hexdigest())
                 if whole:
                     kept.append(bytes(text))
-                    edges = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).tolist() if r else []
-                    where.append([{"start": x, "length": y - x} for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                    where.append([{"start": x - a, "length": y - x} for x, y in zip(begin[own].tolist(), stop[own].tolist(), strict=True)])
             columns = [pa.array(block.ids, mask=block.null), pa.array(block.sizes), pa.array(removed), pa.array(n_spans), pa.array(shas, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if whole:

@@ -20,9 +20,17 @@ QUERY_BLOCK = 10_000
 MIN_SIMILARITY = 0.60
 
 
+#: What of a page is searched, as far as it has these columns.
+SEARCHED = ("doc_id", "title", "section", "ocr", "text")
+
+
+def _searched(pages: DataFrame) -> list[str]:
+    return [c for c in SEARCHED if c in pages.columns]
+
+
 def with_blob(pages: DataFrame, compose: bool = True) -> DataFrame:
     """Adds blob, the normal form that is searched; keep it with the index."""
-    return pages.withColumn("blob", normalized(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "ocr", "text"))), compose))
+    return pages.withColumn("blob", normalized(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _searched(pages))), compose))
 
 
 def driver_variants(query: str) -> list[str]:
@@ -61,7 +69,7 @@ def exact_search_batch(pages: DataFrame, queries: DataFrame, k: int = 15) -> Dat
         stated = block.collect()  # at most QUERY_BLOCK
         kind = block.schema["query_id"].dataType
         fields = f"query_id {kind.simpleString()}, doc_id string, page int, pos long, variant int"
-        hits = pages.select(F.col("doc_id").cast("string"), F.col("page").cast("int"), F.col("pos").cast("long"), "ocr", "text").mapInArrow(_matcher([(r.query_id, driver_variants(r.query)) for r in stated], to_arrow_type(kind)), fields)
+        hits = pages.select(F.col("doc_id").cast("string"), F.col("page").cast("int"), F.col("pos").cast("long"), *(F.col(c).cast("string") for c in _searched(pages) if c != "doc_id")).mapInArrow(_matcher([(r.query_id, driver_variants(r.query)) for r in stated], to_arrow_type(kind)), fields)
         out = hits if out is None else out.unionByName(hits)
     best = out.groupBy("query_id", "doc_id", "page").agg(F.min(F.struct("variant", "pos")).alias("h")).select("query_id", "doc_id", "page", "h.*")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "pos")))
@@ -69,7 +77,7 @@ def exact_search_batch(pages: DataFrame, queries: DataFrame, k: int = 15) -> Dat
 
 
 def _matcher(stated: list[tuple], kind: pa.DataType):
-    """Hits of pages (doc_id, page, pos, ocr, text) for queries (id, variants)."""
+    """Hits of pages (doc_id, page, pos, and what else is searched) for queries (id, variants)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -86,8 +94,8 @@ def _matcher(stated: list[tuple], kind: pa.DataType):
         ids = pa.array([i for i, _ in stated], kind)
         for batch in batches:
             rows, query, variant = [], [], []
-            for at, (doc_id, _, _, ocr, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                blob = normalized_text("\n".join((doc_id or "", ocr or "", text or "")))
+            for at, (doc_id, _, _, *texts) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                blob = normalized_text("\n".join(t or "" for t in (doc_id, *texts)))
                 first: dict[int, int] = {}
                 for v in {v for _, v in machine.iter(blob)} if uses else ():
                     for q, n in uses[v]:
@@ -117,9 +125,11 @@ def l2_normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def mean_pooled(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, i, value): the mean of the vectors of each key, by place."""
-    return rows.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("value"))
+def mean_pooled(rows: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
+    """(key, i, value): the mean of the vectors of each key, by place; with a mask, of those that it weighs."""
+    weight = F.col(mask).cast("double") if mask else F.lit(1.0)
+    flat = rows.select(key, weight.alias("_w"), F.posexplode(vector).alias("i", "x"))
+    return flat.groupBy(key, "i").agg((F.sum(F.col("x").cast("double") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-9))).alias("value"))
 
 
 def vector_search(index: DataFrame, query: list[float], k: int = 15, min_similarity: float | None = MIN_SIMILARITY) -> DataFrame:

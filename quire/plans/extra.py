@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, text
-from ..operators import answers, browse, exam, keywords, listing
+from ..functions import display, names, text
+from ..operators import answers, browse, exam, keywords, listing, search
 from ..providers import SilentModel
 from ..sources import artifacts, documents
 from ..sources import pages as sources
@@ -53,6 +53,13 @@ def answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("q", system.alias("system"), user.alias("user_text"))
 
 
+@query("""WITH flat AS (SELECT label, vec_id % 3 AS m, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+  SELECT label, CAST(i AS INTEGER) AS i, round(sum(CAST(x AS DOUBLE) * m) / greatest(sum(m), 1e-9), 6) AS value FROM flat GROUP BY label, i""")
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = table(spark, sf_dir, "embeddings").withColumn("m", F.col("vec_id") % 3)
+    return search.mean_pooled(rows_, "label", "embedding", "m").withColumn("value", F.round("value", 6))
+
+
 # Terms and listings
 
 
@@ -256,3 +263,30 @@ def read_result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("rank"), F.lit(0.5).alias("score"), F.col("role").alias("doc_id"), F.col("turn").alias("page"), images.alias("images"), F.when(F.col("role") == "user", F.col("text")).otherwise("").alias("ocr"), "text")
     told = sources.printed(hits).groupBy(F.col("conv_id").alias("log_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "printed"))), lambda x: x["printed"]), "\n").alias("log"))
     return sources.result_log(told).withColumn("images", F.array_join("images", ","))
+
+
+# What is shown
+
+
+@query(r"SELECT doc_id, CASE WHEN n_chars IS NULL THEN '未知大小' WHEN n_chars * doc_id < 1024 THEN (n_chars * doc_id) || ' bytes' WHEN n_chars * doc_id < 1048576 THEN printf('%.1f KB', floor(n_chars * doc_id / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * doc_id / 1048576.0 * 10 + 0.5) / 10) END AS size FROM documents")
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", display.size_text(F.col("n_chars") * F.col("doc_id")).alias("size"))
+
+
+@query("SELECT path, size, modified, path || '::' || size || '::' || modified AS key FROM (SELECT DISTINCT lang || '/' || source AS path, n_chars % 7 AS size, doc_id % 3 AS modified FROM documents)")
+def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("path"), (F.col("n_chars") % 7).alias("size"), (F.col("doc_id") % 3).alias("modified"))
+    every = display.with_new_files(files.where("doc_id % 2 = 0"), files.where("doc_id % 2 = 1 OR doc_id % 4 = 0"))
+    return every.withColumn("key", display.file_key(*(F.col(c) for c in ("path", "size", "modified"))))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, 'data/' || url AS shown FROM pages")
+def built_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("D:\\work\\data\\"), F.replace("url", F.lit("/"), F.lit("\\")))
+    return table(spark, sf_dir, "pages").select("page_id", display.built_name(F.concat(path, F.lit(".JSONL"))).alias("name"), display.display_path(path).alias("shown"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), ''), '(無輸出)') AS log, least(turn, conv_id) || '-' || greatest(turn, conv_id) AS span FROM conversations""")
+def shown_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = F.concat(F.lit(" "), F.replace("text", F.lit("\n"), F.lit("\\n")), F.lit("\r\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", display.log_text(log).alias("log"), display.span_text(F.col("turn"), F.col("conv_id")).alias("span"))

@@ -28,6 +28,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = PAGE, required: boo
     return df
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the lines that are neither blank nor JSON, lines numbered from 1."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\R")).alias("n", "text"))
+    return files.where((strip(F.col("text")) != "") & F.try_parse_json("text").isNull()).select("file", (F.col("n") + 1).alias("line"), "text")
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
+    """read_jsonl of an input that has rows; fails with the place of the first line that is no JSON."""
+    bad = bad_lines(spark, path).orderBy("file", "line").first()
+    if bad:
+        raise ValueError(f"{bad.file}, line {bad.line} is no JSON: {bad.text[:80]}")
+    return read_jsonl(spark, path, schema, required=True)
+
+
 def write_jsonl(pages: DataFrame, path: str, by_doc: bool = True) -> None:
     """JSON lines, one folder per chapter; null texts get the no-text mark."""
     rows = pages.withColumn("text", filled(F.col("text"), F.lit(NO_TEXT)))

@@ -144,3 +144,24 @@ def test_neighbours_across_spans(spark):
     whole = {tuple(r) for r in browse.neighbours(pages_).collect()}
     assert whole == {tuple(r) for r in browse.neighbours(pages_, 7).collect()} == {tuple(r) for r in browse.neighbours(pages_, 1).collect()}
     assert ("a", 3, 2, None) in whole and ("a", 5, None, 6) in whole and ("a", 0, None, 1) in whole and ("b", 7, None, None) in whole and len(whole) == 10
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"doc_id": "d", "page": 1}\n\n{"doc_id": "d", "page": 2}\n')
+    assert pages.checked_jsonl(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.jsonl").write_text('{"doc_id": "d"}\n\nno json\n{bad\n')
+    with pytest.raises(ValueError, match="b.jsonl, line 3 is no JSON: no json"):
+        pages.checked_jsonl(spark, str(tmp_path))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "empty.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no rows"):
+        pages.checked_jsonl(spark, str(tmp_path / "c"))
+
+
+def test_titles_and_sections_are_searched(spark):
+    from quire.operators import search
+
+    rows = spark.createDataFrame([("d", 1, 0, "On Trees", "Part Two", None, "x"), ("d", 2, 1, None, None, None, "part two")], "doc_id string, page int, pos long, title string, section string, ocr string, text string")
+    asked = spark.createDataFrame([(1, "trees"), (2, "part two")], "query_id long, query string")
+    assert {(r.query_id, r.page) for r in search.exact_search_batch(rows, asked).collect()} == {(1, 1), (2, 1), (2, 2)}
+    assert [r.page for r in search.exact_search(search.with_blob(rows), "trees").collect()] == [1]

@@ -21,10 +21,12 @@ space. Weights start from the vocabulary's own scores and are re-estimated by
 expectation-maximisation over all distinct training words. A row's language is
 read for training rows only; a text is scored from its tokens alone.
 
-1. Blocks of documents are interned; a block sends each owner (a range of word
-   hashes) its distinct words and their training counts, once per block however
-   often they occur, and keeps its documents as (word, count) pairs.
-2. Owners sum counts over all blocks, one row per owner.
+1. Documents are interned block by block, and a task's blocks are merged some at a
+   time: a merged block holds its documents as (word, count) pairs, and each
+   distinct word once with its training counts. It is stored bucketed and not
+   moved again. How many owners (ranges of word hashes) there are follows from
+   what all blocks hold, so that an owner gets about OWNED bytes.
+2. Each merged block sends an owner its words; owners sum counts over all blocks.
 3. Passes over the owners' words re-estimate the weights; what reaches the
    driver is one number per vocabulary piece.
 4. Owners answer each block with counts and lattice scores; blocks sum them.
@@ -49,10 +51,14 @@ from pyspark.sql import functions as F
 from . import _lattice
 from ._exchange import by_key
 from ._golomb import slices
+from ._rows import block_ids, bucketed
 from ._store import held_out, keep, partitions, released, small_batches
 from ._words import Words, blocks
 
-BLOCK = 8 << 20
+#: Bytes of text that are interned at once, and of words and documents in a merged block.
+BLOCK, MERGED = 4 << 20, 12 << 20
+#: Bytes of words that an owner gets, about.
+OWNED = 4 << 20
 ROUNDS = 2
 #: Share of the lattice's weight that is left for the end of a document.
 END = 1e-4
@@ -73,38 +79,68 @@ def _unzip(data: bytes, kind: str | None = None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
-_BLOCKS = "block long, owner int, words binary, counts binary, docs binary"
+_BLOCKS = "block long, size long, words binary, counts binary, docs array<binary>"
 
 
-def _intern(owner_bits: int, groups: int):
+def _intern(groups: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+        numbers = block_ids(TaskContext.get().partitionId(), n)
+        schema = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.list_(pa.binary()))])
+        forms: list[bytes] = []
+        counts: list[np.ndarray] = []
+        docs: list[list[bytes]] = []
+
+        def merged() -> pa.RecordBatch:
+            words = Words(forms, lower=False)
+            sums = np.stack([np.bincount(words.inverse, c, len(words.first)) for c in np.concatenate(counts, axis=1)]).astype(np.uint32)
+            own = [words.inverse[a:b].astype(np.uint32) for a, b in zip(words.doc_first, words.doc_first[1:], strict=False)]
+            whole = [_joined([*parts, _zip(places)]) for parts, places in zip(docs, own, strict=True)]
+            every = b"\n".join(words.distinct())
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([next(numbers)], [len(every)], [_zip(every)], [_zip(sums)], [whole]), schema, strict=True)], schema=schema)
+
         for block in blocks(batches, ["doc_id", "held", "group"], size=BLOCK):
             words = Words(block["text"])
             doc, form, count = words.pairs()
             held = np.array(block["held"], bool)
             group = np.where(held, groups, np.array(block["group"], np.int64))
             cell = group[doc] * len(words.first) + form
-            train = np.bincount(cell, count, (groups + 1) * len(words.first)).astype(np.uint32).reshape(groups + 1, -1)[:groups]
-            forms = words.distinct()
-            out: dict[str, list] = {"block": [], "owner": [], "words": [], "counts": [], "docs": []}
-            for owner, a, b in slices(words.keys, owner_bits):
-                for name, value in zip(out, (number, owner, _zip(b"\n".join(forms[a:b])), _zip(train[:, a:b]), None), strict=True):
-                    out[name].append(value)
+            counts.append(np.bincount(cell, count, (groups + 1) * len(words.first)).astype(np.uint32).reshape(groups + 1, -1)[:groups])
+            forms.append(b"\n".join(words.distinct()))
             first = np.searchsorted(doc, np.arange(len(held) + 1)).astype(np.uint32)
             step = np.diff(form, prepend=0)
             step[first[:-1][np.diff(first) > 0]] = form[first[:-1][np.diff(first) > 0]]
             ids = np.array([x if x is not None else 0 for x in block["doc_id"]], np.int64)
             null = np.array([x is None for x in block["doc_id"]])
-            parts = [_zip(x) for x in (ids, null, held, first, step.astype(np.uint32), count.astype(np.uint32))]
-            docs = np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
-            for name, value in zip(out, (number, -1, None, None, docs), strict=True):
-                out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-            number += 1
+            docs.append([_zip(x) for x in (ids, null, held, first, step.astype(np.uint32), count.astype(np.uint32))])
+            if sum(map(len, forms)) + sum(len(p) for parts in docs for p in parts) >= MERGED:
+                yield merged()
+                forms, counts, docs = [], [], []
+        if docs:
+            yield merged()
+
+    return run
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+
+_SENT = "block long, owner int, words binary, counts binary"
+
+
+def _send(owner_bits: int, groups: int):
+    """A merged block's words by owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+        for batch in batches:
+            for number, given, counted in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
+                words = Words([_unzip(given)], lower=False)  # distinct, in order of their keys
+                forms, counts = words.distinct(), _unzip(counted, "<u4").reshape(groups, -1)
+                out = [(number, owner, _zip(b"\n".join(forms[a:b])), _zip(counts[:, a:b])) for owner, a, b in slices(words.keys, owner_bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
@@ -224,45 +260,45 @@ def _score(stats: list[list[int]], ends: list[int]):
         below = _discounted(every, log_l.astype(np.float64), stats[0])
         return base, np.stack([_discounted(counts[g], below, stats[1 + g]) for g in live] or [below])
 
+    end_base, end_score = logs(np.array(ends)[:, None], np.array([math.log(END)]))
+    share = np.log([ends[g] / sum(ends) for g in live] or [1.0])[:, None]
+
+    def scored(block: bytes, base: np.ndarray, score: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        """RESULT of one block; base, score and seen: by word of the merged block."""
+        cuts = 56 + np.concatenate([[0], np.cumsum(np.frombuffer(block, "<i8", 7))])
+        ids, null, held, first, step, count, places = (_unzip(block[a:b], kind) for a, b, kind in zip(cuts, cuts[1:], ("<i8", "?", "?", "<u4", "<u4", "<u4", "<u4"), strict=False))
+        n = len(ids)
+        # words of a document are stored by their steps, which start anew at each document
+        form = places.astype(np.int64)[_undo(step, first)] if len(step) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(n), np.diff(first.astype(np.int64)))
+        count = count.astype(np.int64)
+        add = lambda x: np.bincount(doc, x, n)
+        words, known = add(count), add(count * seen[form])
+        whole = np.stack([add(count * x[form]) for x in score]) + end_score + share
+        near, kinds = whole > whole.max(axis=0) - FAR, [whole]
+        for weight in URNS:
+            kinds.append(np.full_like(whole, -np.inf))
+            for g in range(len(score)):
+                at = np.flatnonzero(near[g][doc])
+                gain = urn_gains(weight, score[g][form[at]], count[at], doc[at], n)
+                kinds[-1][g] = np.where(near[g], whole[g] + gain, -np.inf)
+        whole = np.concatenate(kinds) - math.log(1 + len(URNS))
+        top = whole.max(axis=0)
+        columns = [
+            pa.array(ids, mask=null), pa.array(held), pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64) + (sum(ends) > 0)), pa.array(np.full(n, total, np.int64)),
+            pa.array(add(count * base[form]) + end_base[0]), pa.array((top + np.log(np.exp(whole - top).sum(axis=0))) / math.log(10)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_base, end_score = logs(np.array(ends)[:, None], np.array([math.log(END)]))
-        share = np.log([ends[g] / sum(ends) for g in live] or [1.0])[:, None]
         for batch in batches:
             for docs, answers in zip(batch.column("docs").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                sizes = np.frombuffer(docs, "<i8", 6)
-                cuts = np.concatenate([[48], 48 + np.cumsum(sizes)])
-                ids, null, held, first, step, count = (_unzip(docs[a:b], kind) for a, b, kind in zip(cuts, cuts[1:], ("<i8", "?", "?", "<u4", "<u4", "<u4"), strict=False))
                 answers = sorted(answers or [], key=lambda x: x["owner"])
                 counts = np.concatenate([np.zeros((len(ends), 0), np.int64), *(_unzip(a["counts"], "<u4").reshape(len(ends), -1) for a in answers)], axis=1).astype(np.int64)
                 base, score = logs(counts, np.concatenate([np.zeros(0, np.float32), *(_unzip(a["likelihoods"], "<f4") for a in answers)]))
-                # words of a document are stored by their steps, which start anew at each document
-                form = _undo(step, first)
-                doc = np.repeat(np.arange(len(ids)), np.diff(first.astype(np.int64)))
-                n = len(ids)
-                add = lambda x: np.bincount(doc, x, n)
-                words, known = add(count), add(count * (counts.sum(axis=0)[form] > 0))
-                whole = np.stack([add(count * x[form]) for x in score]) + end_score + share
-                near, kinds = whole > whole.max(axis=0) - FAR, [whole]
-                for weight in URNS:
-                    kinds.append(np.full_like(whole, -np.inf))
-                    for g in range(len(score)):
-                        at = np.flatnonzero(near[g][doc])
-                        gain = urn_gains(weight, score[g][form[at]], count[at], doc[at], n)
-                        kinds[-1][g] = np.where(near[g], whole[g] + gain, -np.inf)
-                whole = np.concatenate(kinds) - math.log(1 + len(URNS))
-                top = whole.max(axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, mask=null),
-                        pa.array(held),
-                        pa.array(words.astype(np.int64) + 1),
-                        pa.array(known.astype(np.int64) + (sum(ends) > 0)),
-                        pa.array(np.full(n, total, np.int64)),
-                        pa.array(add(count * base[form]) + end_base[0]),
-                        pa.array((top + np.log(np.exp(whole - top).sum(axis=0))) / math.log(10)),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                known = counts.sum(axis=0) > 0
+                for block in docs:
+                    yield scored(block, base, score, known)
 
     return run
 
@@ -295,8 +331,10 @@ def scores(docs: DataFrame, remainder: int = 1, doc_id: str = "doc_id", text: st
     for k, name in enumerate(named):
         group = F.when(F.col("lang") == name, k).otherwise(group)
     rows = rows.withColumn("group", F.coalesce(group, F.lit(groups - 1))).drop("lang")
-    sent = keep(rows.mapInArrow(released(_intern(max(2, n.bit_length()), groups)), _BLOCKS), "lm-blocks")
-    owned = sent.where("owner >= 0").select("owner", "block", "words", "counts").repartition(n, "owner").sortWithinPartitions("owner")
+    table = bucketed(rows.mapInArrow(released(_intern(groups, n)), _BLOCKS), n)
+    size = table.agg(F.sum("size")).first()[0] or 0
+    sent = table.select("block", "words", "counts").mapInArrow(released(_send(max(2, n.bit_length(), (size // OWNED).bit_length()), groups)), _SENT)
+    owned = sent.repartition(n, "owner").sortWithinPartitions("owner")
     owners = keep(owned.mapInArrow(released(_gather(groups)), _OWNERS), "lm-owners")
     sums = owners.agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(4 * (groups + 1)))).first()
     stats = [[int(x or 0) for x in sums[4 * k : 4 * k + 4]] for k in range(groups + 1)]
@@ -307,5 +345,5 @@ def scores(docs: DataFrame, remainder: int = 1, doc_id: str = "doc_id", text: st
     logp = train(owners.select("words", "counts"), vocabulary, rounds)
     answers = owners.drop("stats").mapInArrow(released(_answer(vocabulary, logp)), _ANSWERS)
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "counts", "likelihoods")).alias("answers"))
-    joined = sent.where("owner < 0").select("block", "docs").join(by_block, "block", "left").select("docs", "answers")
+    joined = table.select("block", "docs").join(by_block.hint("shuffle_hash"), "block", "left").select("docs", "answers")
     return joined.mapInArrow(released(_score(stats, ends)), RESULT)

@@ -242,6 +242,47 @@ class Library:
         every = merged.unionByName(single).distinct()
         return browse.rollup(browse.first_source(every, ["subject", "data_type"], "priority"), ["subject", "data_type"], "chapter")
 
+    def viewer_sources(self) -> DataFrame:
+        """(subject, data_type, chapters): of every corpus its chapters, else its scopes."""
+        single = self._table("pages", self.PAGES).select("subject", "data_type", F.col("doc_id").alias("chapter"), F.lit(0).alias("priority"))
+        merged = self._table("scopes", self.SCOPES).select("subject", "data_type", F.col("scope").alias("chapter"), F.lit(1).alias("priority"))
+        every = single.unionByName(merged).distinct()
+        return browse.rollup(browse.first_source(every, ["subject", "data_type"], "priority"), ["subject", "data_type"], "chapter")
+
+    def upload_folders(self) -> DataFrame:
+        """(subject, data_type, names, file_count) of what was taken in."""
+        return browse.rollup(self.uploads(), ["subject", "data_type"], "name")
+
+    def preprocess_candidates(self) -> DataFrame:
+        """(subject, data_type, doc_ids, file_count) of the files without pages."""
+        files = self.uploads().select("subject", "data_type", documents.stem(F.col("name")).alias("doc_id"))
+        return browse.rollup(ingest.pending(files, self._table("pages", self.PAGES), ["subject", "data_type", "doc_id"]), ["subject", "data_type"], "doc_id")
+
+    def index_candidates(self) -> DataFrame:
+        """(subject, data_type, chapters, file_count) of the indexes, which can be searched and examined."""
+        try:
+            found = self.spark.read.json(self._path("index", "*", "*", "*", "info"))
+        except AnalysisException:
+            found = self.spark.createDataFrame([], "subject string, output_dir string")
+        tail = r"/index/[^/]+/([^/]+)/([^/]+)$"
+        return browse.rollup(found.select("subject", F.regexp_extract("output_dir", tail, 1).alias("data_type"), F.regexp_extract("output_dir", tail, 2).alias("chapter")), ["subject", "data_type"], "chapter")
+
+    def generated_tips(self, lang: str = "cn") -> DataFrame:
+        """(subject, data_type, scopes) that have keywords in a language."""
+        checked(lang=lang)
+        rows = self._table("tips", self.TIPS).where(F.col("lang") == lang).select("subject", "data_type", "scope").distinct()
+        return browse.rollup(rows, ["subject", "data_type"], "scope").drop("file_count")
+
+    def generated_exams(self) -> DataFrame:
+        """(subject, data_type, chapter, paths, file_count) of the exams."""
+        try:
+            found = self.spark.read.format("binaryFile").load(self._path("exams", "*", "*", "*"))
+        except AnalysisException:
+            found = self.spark.createDataFrame([], "path string")
+        tail = r"/exams/([^/]+)/([^/]+)/([^/]+)/([^/]+\.json)$"
+        parts = found.where(F.col("path").rlike(tail)).select(*(F.regexp_extract("path", tail, k).alias(c) for k, c in enumerate(("subject", "data_type", "chapter", "path"), 1)))
+        return browse.rollup(parts, ["subject", "data_type", "chapter"], "path")
+
     def page_keys(self, subject: str, data_type: str, name: str) -> DataFrame:
         return browse.page_keys(self.scope_pages(subject, data_type, name))
 

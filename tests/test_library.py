@@ -130,6 +130,21 @@ def test_exams(library):
         library.delete_exam("my_course", "ppt", library.name, "x.txt")
 
 
+def test_listings(library, spark, tmp_path):
+    where = lambda df: [tuple(r) for r in df.collect()]
+    assert where(library.viewer_sources()) == [("my_course", "ppt", ["CH01", "CH02"], 2)]
+    assert where(library.upload_folders()) == [("my_course", "ppt", ["CH01.pptx", "CH02.pptx", "bad.pptx"], 3)]
+    assert where(library.preprocess_candidates()) == [("my_course", "ppt", ["bad"], 1)]
+    assert where(library.index_candidates()) == [("my_course", "ppt", [library.name], 1)]
+    library.make_tips("my_course", "ppt", library.name, "en", 3)
+    assert where(library.generated_tips("en")) == [("my_course", "ppt", [library.name])] and where(library.generated_tips("cn")) == []
+    file = library.make_exam("my_course", "ppt", library.name, n=1, k=2, lang="en")
+    assert [(r.chapter, r.paths) for r in library.generated_exams().collect()] == [(library.name, [file])]
+    empty = Library(spark, str(tmp_path / "none"))
+    for listed in (empty.materials, empty.viewer_sources, empty.upload_folders, empty.preprocess_candidates, empty.index_candidates, empty.generated_tips, empty.generated_exams):
+        assert listed().count() == 0
+
+
 def test_files(spark, tmp_path):
     for name in ("b/b.txt", "b/a.txt", "c/z.txt", "c/y.txt", "_d/d.txt", "e/e.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

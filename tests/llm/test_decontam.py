@@ -135,3 +135,15 @@ def test_best_stretches_agree_with_best_stretch():
     items = np.where(np.arange(8) < sizes[:, None], rng.integers(1, 5, (50, 8)), -1)
     texts = rng.integers(0, 5, (50, 15))
     assert decontam.best_stretches(items, sizes, texts).tolist() == [decontam.best_stretch(x[:n], t)[0] for x, n, t in zip(items, sizes, texts)]
+
+
+def test_clashing_names(spark):
+    rng = random.Random(3)
+    items = [(k, prose(rng, 25)) for k in range(4)]
+    docs = spark.createDataFrame([(k, ("a b c " + items[k][1]) if k < 2 else None if k == 5 else f"clean text {k}", 1, 2, 3, 4, None) for k in range(8)], "doc_id long, text string, _text int, `row` int, block int, c0 int, items string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for words in (decontam.ITEM_WORDS, 30):  # one block of items, and several
+        out = decontam.cleaned(docs, bench, item_words=words)
+        assert out.schema == docs.schema and sorted(r.doc_id for r in out.collect()) == [2, 3, 4, 5, 6, 7]
+        assert {(r.doc_id, r.contaminated) for r in decontam.contamination(docs, bench, item_words=words).collect()} == {(k, k < 2) for k in range(8)}
+    assert out.where("doc_id = 5 AND text IS NULL AND _text = 1 AND c0 = 4").count() == 1

@@ -80,3 +80,10 @@ def test_awkward_rows(spark):
     assert out.columns == frame(spark).columns
     assert whole_rows(out.collect(), rows, roots) == set(roots)
     assert simhash.similar_deduplicated(frame(spark, [])).count() == 0
+
+
+def test_clashing_names_and_empty_tables(spark):
+    docs = spark.createDataFrame([(k, "one two three four five six seven" if k < 3 else f"t{k} " * 9, 1, 2, 3, 4, 5, 6) for k in range(6)], "doc_id long, text string, fp int, n int, sim int, sig int, component int, block int")
+    out = simhash.similar_deduplicated(docs)
+    assert out.schema == docs.schema and sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 5]
+    assert simhash.deduplicated(docs).columns == docs.columns and simhash.similar_deduplicated(docs.limit(0)).count() == 0

@@ -13,8 +13,8 @@ anchors at equal places, so each window is decided at its anchor.
 2. Blocks send Golomb-coded fingerprints of their anchors to owners and get
    bitmaps back; anchors of one document only are done with.
 3. The suffixes at the remaining anchors, followed by what stands before them,
-   are sorted in each block, equal ones are combined (the least id answers for
-   all), and each owner is sent a front-coded sorted run.
+   are sorted for several blocks of a task at a time, equal ones are combined (the
+   least id answers for all), and each owner is sent a front-coded sorted run.
 4. An owner merges its runs by a loser tree that carries common-prefix lengths
    and never compares a known prefix again. In merged order, windows at offset o
    are equal where suffixes share length - o bytes and reversed predecessors
@@ -47,6 +47,8 @@ LENGTH = 50
 #: Bytes of an anchor.
 SEED = 24
 BLOCK = 4 << 20
+#: Blocks of a task, and suffixes of them, that make one set of runs.
+RUN_BLOCKS, RUN_ROWS = 16, 200_000
 _FP_BITS = 44
 _CHUNK = 1 << 18
 _NO_ID = np.int64((1 << 63) - 1)
@@ -180,7 +182,7 @@ def _send_prints(bits: int, length: int):
     return run
 
 
-_RUNS = "block long, owner int, run binary"
+_RUNS = "block long, msg long, owner int, run binary"
 
 
 def _contexts(block: Block, anchors: Anchors, chosen: np.ndarray, length: int) -> np.ndarray:
@@ -210,24 +212,19 @@ def front_code(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_runs(bits: int, length: int):
-    schema = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("run", pa.binary())])
+    """Runs of several blocks at a time, named by the first (`msg`), and of every block where its suffixes stand in them."""
+    schema = pa.schema([("block", pa.int64()), ("msg", pa.int64()), ("owner", pa.int32()), ("run", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = Block(row)
-            anchors = Anchors(block.buf, block.sizes, length)
-            values, _ = block.prints(anchors)
-            twice = np.zeros(len(values), bool)
-            for m in row["replies"] or []:
-                a, b = (np.searchsorted(values, np.uint64(o << (_FP_BITS - bits))) for o in (m["owner"], m["owner"] + 1))
-                twice[a:b] = _exchange.unpack(m["bitmap"], b - a)
-            chosen = np.flatnonzero(twice[np.searchsorted(values, anchors.fp)]) if len(values) else np.zeros(0, np.int64)
-            rows = _contexts(block, anchors, chosen, length)
-            owner = (anchors.fp[chosen] >> np.uint64(_FP_BITS - bits)).astype(np.int64)
-            ids = block.ids[anchors.doc[chosen]]
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # block, contexts, owners, ids, places
+
+        def sent() -> pa.RecordBatch:
+            msg = held[0][0]
+            rows, owner, ids, pos = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
+            part = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
             order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable") if len(rows) else np.zeros(0, np.int64)
             order = order[np.argsort(owner[order], kind="stable")]
-            rows, owner, ids, chosen = rows[order], owner[order], ids[order], chosen[order]
+            rows, owner, ids, pos, part = rows[order], owner[order], ids[order], pos[order], part[order]
             new = np.ones(len(rows), bool)
             if len(rows):
                 new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
@@ -235,22 +232,40 @@ def _send_runs(bits: int, length: int):
             firsts = np.flatnonzero(new)
             least = np.minimum.reduceat(ids, firsts) if len(firsts) else ids
             sent_rows, sent_owner = rows[firsts], owner[firsts].astype(np.uint64)
-            out: dict[str, list] = {"block": [], "owner": [], "run": []}
+            out: list[tuple[int | None, int, int, bytes]] = []
             for own, a, b in slices(sent_owner, 63, 63):
                 prefix, rest = front_code(sent_rows[a:b, :-2])
-                parts = [_zip(x) for x in (prefix, rest, sent_rows[a:b, -2:], least[a:b])]
-                out["block"].append(row["block"])
-                out["owner"].append(own)
-                out["run"].append(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
-            places = [_zip(x) for x in (anchors.pos[chosen].astype(np.int64), rows[:, -2:], group.astype(np.uint32), ids > least[group] if len(ids) else np.zeros(0, bool))]
-            out["block"].append(row["block"])
-            out["owner"].append(-1)
-            out["run"].append(np.array([len(p) for p in places], np.int64).tobytes() + b"".join(places))
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                out.append((None, msg, own, _packed([prefix, rest, sent_rows[a:b, -2:], least[a:b]])))
+            late = ids > least[group] if len(ids) else np.zeros(0, bool)
+            for k, h in enumerate(held):
+                mine = part == k
+                out.append((h[0], msg, -1, _packed([pos[mine].astype(np.int64), rows[mine, -2:], group[mine].astype(np.uint32), late[mine]])))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for row in _rows(batches):
+            block = Block(row)
+            anchors = Anchors(block.buf, block.sizes, length)
+            values, _ = block.prints(anchors)
+            twice = np.zeros(len(values), bool)
+            for m in row["replies"] or []:
+                a, b = (np.searchsorted(values, np.uint64(o << (_FP_BITS - bits))) for o in (m["owner"], m["owner"] + 1))
+                twice[a:b] = _exchange.unpack(m["bitmap"], b - a)
+            chosen = np.flatnonzero(twice[np.searchsorted(values, anchors.fp)]) if len(values) else np.zeros(0, np.int64)
+            held.append((row["block"], _contexts(block, anchors, chosen, length), (anchors.fp[chosen] >> np.uint64(_FP_BITS - bits)).astype(np.int64), block.ids[anchors.doc[chosen]], anchors.pos[chosen]))
+            if len(held) >= RUN_BLOCKS or sum(len(h[2]) for h in held) >= RUN_ROWS:
+                yield sent()
+                held = []
+        if held:
+            yield sent()
 
     return run
 
 
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    parts = [_zip(x) for x in arrays]
+    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+
 def _parts(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     cuts = 8 * len(kinds) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i8", len(kinds)))])
     return [_unzip(data[a:b], kind) for a, b, kind in zip(cuts, cuts[1:], kinds, strict=False)]
@@ -369,12 +384,12 @@ def repeats(prefix: np.ndarray, before: np.ndarray, span: np.ndarray, ids: np.nd
     return out
 
 
-_ANSWER = "block long, owner int, offsets binary"
+_ANSWER = "msg long, owner int, offsets binary"
 
 
 def _owner(length: int):
     width = 2 * length - SEED
-    schema = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("offsets", pa.binary())])
+    schema = pa.schema([("msg", pa.int64()), ("owner", pa.int32()), ("offsets", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _exchange.by_key(batches, "owner"):
@@ -390,7 +405,7 @@ def _owner(length: int):
             flags = np.zeros(len(where), np.uint32)
             flags[where] = repeats(prefix, before, span, ids, length)
             found = [_zip(flags[a:b]) for a, b in zip(base, base[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array([owner] * len(found), pa.int32()), pa.array(found, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["msg"], pa.int64()), pa.array([owner] * len(found), pa.int32()), pa.array(found, pa.binary())], schema=schema)
 
     return run
 
@@ -429,7 +444,7 @@ def _cut(length: int, whole: bool):
                 answers = sorted(row["answers"] or [], key=lambda x: x["owner"])
                 flags = np.concatenate([np.zeros(0, np.uint32), *(_unzip(a["offsets"], "<u4") for a in answers)])
                 every = ((np.int64(2) << span[:, 1]) - (np.int64(1) << span[:, 0])).astype(np.uint32)
-                flags = np.where(local, every, flags[group]) if len(group) else flags
+                flags = np.where(local, every, flags[group]) if len(group) else flags[:0]
                 for o in range(length - SEED + 1):
                     starts[pos[(flags >> np.uint32(o)) & np.uint32(1) > 0] - o] = True
             ends = np.cumsum(block.sizes)
@@ -469,10 +484,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sent = table.mapInArrow(released(_send_prints(bits, length)), _exchange.SENT)
     bitmaps = _exchange.replies(sent, n).groupBy(F.col("msg").alias("block")).agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies"))
     runs = keep(table.join(bitmaps.hint("shuffle_hash"), "block", "left").mapInArrow(released(_send_runs(bits, length)), _RUNS), "runs")
-    owned = runs.where("owner >= 0").repartition(n, "owner").sortWithinPartitions("owner")
+    owned = runs.where("owner >= 0").drop("block").repartition(n, "owner").sortWithinPartitions("owner")
     answers = owned.mapInArrow(released(_owner(length)), _ANSWER)
     places = runs.where("owner < 0").select("block", F.col("run").alias("places"))
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "offsets")).alias("answers"))
+    told = runs.where("owner < 0").select("block", "msg").join(answers, "msg")  # an answer goes to each block of its message
+    by_block = told.groupBy("block").agg(F.collect_list(F.struct("owner", "offsets")).alias("answers"))
     replies = places.join(by_block.hint("shuffle_hash"), "block", "left")
     joined = table.join(replies.hint("shuffle_hash"), "block", "left")
     schema = FULL if whole else FULL.split(", spans")[0]

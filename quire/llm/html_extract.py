@@ -63,25 +63,29 @@ _INNER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: The score of a word in no weighed element, and what a word's score is held within.
 BASE, LIMIT = 1.5, 4.0
-#: Weights before any page is seen: of names that mark boilerplate, of link words, of a tag where it stands.
-PRIOR_BOILER, PRIOR_LINK, PRIOR_TAG = -4.0, -2.0, -0.5
+#: Weights before any page is seen: of names that mark boilerplate, of a tag where it stands, and of single keys: links and lists, and a name that heads of sites and of articles share.
+PRIOR_BOILER, PRIOR_TAG = -4.0, -0.5
+PRIORS = {"in:a": -1.2, "in:ul": -0.2, "in:ol": -0.2, "in:li": -0.2, "name:header": -2.4}
 #: Words that a prior counts for: of names that mark boilerplate, and of others.
 PRIOR_WORDS_BOILER, PRIOR_WORDS = 2000.0, 50.0
-#: What the weights of boilerplate, container names, other elements and standing tags are held within, so that no single one decides alone.
-LIMITS = {"boiler": (-6.0, 1.0), "name": (-6.0, 1.0), "in": (-2.0, 1.0), "tag": (-4.0, -0.02)}
-#: Elements of this weight and less are left out.
-EXCLUDED = -1.5
+#: What the weights of boilerplate, container names, links, other elements and standing tags are held within: labelled pages of one
+#: make, whose lists are all menus, must not part lists from articles.
+LIMITS = {"boiler": (-6.0, 1.0), "name": (-6.0, 1.0), "link": (-1.5, 0.5), "in": (-0.4, 1.0), "tag": (-0.4, -0.02)}
+#: Elements of this weight and less are left out; what a text run in them scores.
+EXCLUDED, LEFT_OUT = -1.5, -1.0
 
 
 def _kind(key: str) -> str:
     kind, value = key.split(":", 1)
-    return "boiler" if kind == "in" and value in BOILER or kind == "name" and value in MARKS else kind
+    if kind == "in" and value in BOILER or kind == "name" and value in MARKS:
+        return "boiler"
+    return "link" if key == "in:a" else kind
 
 
 def prior(key: str) -> float:
     """The weight of a key before any page is seen; keys are in:<element>, name:<word> and tag:<element>."""
     kind = _kind(key)
-    return PRIOR_BOILER if kind == "boiler" else PRIOR_LINK if key == "in:a" else PRIOR_TAG if kind == "tag" else 0.0
+    return PRIORS.get(key, PRIOR_BOILER if kind == "boiler" else PRIOR_TAG if kind == "tag" else 0.0)
 
 
 def _names(name: str, attributes: str) -> list[list[str]]:
@@ -118,7 +122,7 @@ class Weights:
 def tokens(page: str, weights: Weights, seen: Counter | None = None) -> list[tuple[str, str, float, bool]]:
     """(text, open or close; text or name; score; is it left out?) of each text run and tag.
 
-    A run scores its words, but one word if they score negative: what is left out anyway, however long, does not part a region.
+    A run scores its words, but one word if they score negative, and LEFT_OUT where it is left out anyway: that, however long, does not part a region.
     seen: counts the words in each key, inside and outside marked content, and the tags.
     """
     out: list[tuple[str, str, float, bool]] = []
@@ -145,7 +149,7 @@ def tokens(page: str, weights: Weights, seen: Counter | None = None) -> list[tup
             text = page[at:start]
             words = len(text.split())
             s = max(-LIMIT, min(LIMIT, score))
-            out.append(("text", text, words * s if s > 0 and not left_out else min(words, 1) * -abs(s), left_out > 0))
+            out.append(("text", text, min(words, 1) * LEFT_OUT if left_out else words * s if s > 0 else min(words, 1) * s, left_out > 0))
             if seen is not None:
                 good = content > 0 and not left_out
                 inside, outside = inside + words * good, outside + words * (not good)

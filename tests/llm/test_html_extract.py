@@ -71,6 +71,37 @@ def test_weights_are_learned_from_labelled_pages():
     assert html_extract.counts("<p>no mark</p>") == {}
 
 
+PARA = "Some words of a paragraph that tell of things at length, and more of them so that it counts."
+ARTICLE = "<h1>The title of it</h1>" + f"<p>{PARA}</p>" * 3
+MENU = "<ul>" + "".join(f'<li><a href="/x{k}">Item {k}</a></li>' for k in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("learn", [False, True])
+@pytest.mark.parametrize(
+    "page, there, absent",
+    [
+        (f"<nav>{MENU}</nav><div class='post'>{ARTICLE}<ul><li>first point of the list here</li><li>second point of the list</li></ul></div><footer>Copyright words</footer>", ["first point", "second point"], ["Item", "Copyright"]),
+        (f"<div>{MENU}</div><div>{ARTICLE}<p>Last words end here now.</p></div><div>{MENU}</div>", ["Last words"], ["Item"]),
+        (f"{MENU}<div>{ARTICLE}<p>See <a>this link</a>.</p></div>", ["See this link."], ["Item"]),
+        (f"<article>{ARTICLE}<div class='ad'>Buy now</div><aside>Aside words</aside>{ARTICLE}<div class='comments'><p>{PARA} comment</p></div></article>", ["The title"], ["Buy", "Aside", "comment"]),
+        (f"<main>{ARTICLE}<table><tr><td>cell one</td><td>cell two</td></tr></table><blockquote>A quote here</blockquote><pre>code x</pre></main>", ["cell one", "cell two", "A quote", "code x"], []),
+        (f"<nav>{MENU * 3}</nav><article><h1>Short</h1><p>Only this.</p></article><footer>foot {MENU}</footer>", ["Short", "Only this."], ["Item", "foot"]),
+        (f"<article>{ARTICLE}</article><div class='related-posts'><ul><li><a>Another long article title that is linked</a></li></ul></div>", ["The title"], ["Another"]),
+        (f"<div id='header'>Site name</div><div class='main-content'><section>{ARTICLE}</section><section>{ARTICLE}<ol><li>one thing more</li></ol></section></div><div id='footer'>foot words</div>", ["one thing more"], ["Site name", "foot words"]),
+        (f"<div>{ARTICLE}<form><label>Your mail</label><button>Send</button></form><p>After the form there is text too.</p></div>", ["After the form"], ["Your mail", "Send"]),
+    ],
+)
+def test_pages_of_other_makes(page, there, absent, learn):
+    """Weights learned from pages of one make, whose lists and links are all in menus, still do on others."""
+    weights = html_extract.Weights()
+    if learn:
+        seen = sum((html_extract.counts(f"<html><body><nav>{MENU}</nav><div class='ad'>Buy it.</div><article>{ARTICLE * 3}</article><footer>foot</footer></body></html>") for _ in range(200)), start=html_extract.Counter())
+        weights = html_extract.learned(seen)
+    text = html_extract.extract(f"<html><body>{page}</body></html>", weights)
+    assert "The title of it" in text or "Short" in text
+    assert [t for t in there if t not in text] == [] and [t for t in absent if t in text] == []
+
+
 def test_deep_nesting_is_linear():
     import time
 

@@ -10,7 +10,8 @@
    document fails, and how many rows are alike. Labels are joined by id.
 3. combineByKey merges, per part, a vector of counts over the masks: documents,
    those labelled good and those labelled toxic. From 2^k counts follow all k!
-   orders, without another look at the documents.
+   orders, without another look at the documents. Which parts there are is read
+   from their column alone.
 
 Defined cases: null text counts as empty, a null part as the empty string. A text
 is a copy if a row with a smaller id has the same bytes; rows that repeat an id
@@ -206,4 +207,5 @@ def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counted = joined.select("part", "mask", "n", *(F.coalesce(F.col("n") * F.col(c), F.lit(0)) for c in ("quality", "toxic"))).rdd.map(lambda r: (r[0], tuple(r[1:])))
     size = 3 << len(letters)
     vectors = counted.combineByKey(lambda row: _added([0] * size, row), _added, _merged, partitions(spark))
-    return spark.createDataFrame(vectors.flatMap(_orders(letters)), RESULT, verifySchema=False)
+    parts = docs.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")).distinct()
+    return parts.join(spark.createDataFrame(vectors.flatMap(_orders(letters)), RESULT, verifySchema=False), "part")

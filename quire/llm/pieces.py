@@ -1,17 +1,20 @@
 """Encoding and decoding with merge-type SentencePiece vocabularies.
 
 Merges come from an agenda of adjacent symbol pairs, ordered by the score of the
-piece that a pair makes, the leftmost first among equals. A pair leaves the
-agenda unused if one of its symbols has been merged meanwhile. What stays outside the
-vocabulary is written as its UTF-8 bytes.
+piece that a pair makes, the leftmost first among equals. The agendas of many short
+segments are the rows of a matrix, from each of which a round takes the best entry;
+that of a long one is a heap, where a pair is passed over if one of its symbols has
+been merged meanwhile. What stays outside the vocabulary is written as its UTF-8 bytes.
 
 A merge cannot pass a place where no piece of the vocabulary reaches across: before
-a space that follows something else, if no piece has a space inside, and around a
-line feed, if none has one. Texts are cut there, and an agenda is run once
-for each distinct segment that a task meets. The segments that are new in an Arrow
-batch are encoded and decoded by the sentencepiece library too, in one call, and
-compared; where the two differed the library's ids would be taken and counted in
-n_differing, which is 0 in all tests. Memory is bounded by a batch and the segments kept.
+a space that follows something else, if no piece has a space inside, around a line
+feed, if none has one, and between letters and ASCII marks, but for letters that
+some piece has beside a mark.
+Texts are cut there, and an agenda is run once for each distinct segment that a
+worker has not met lately. The segments that are new in an Arrow batch are encoded
+and decoded by the sentencepiece library too, in one call, and compared; where the
+two differed the library's ids would be taken and counted in n_differing, which is
+0 in all tests. Memory is bounded by a batch and the segments kept.
 
 Defined cases: null text counts as empty, and an empty text has no ids. U+2581 is a
 space, as in the library. Rows that repeat an id are encoded each. An empty table
@@ -23,7 +26,9 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
 from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -35,8 +40,13 @@ from ._store import released, small_batches
 from ._words import blocks
 
 SPACE = "▁"
-#: Segments that a task keeps, and the longest that it keeps.
-KEPT, LONGEST = 200_000, 64
+#: Segments after which a worker forgets those that it has not met since the last so many, and the longest that it keeps.
+KEPT, LONGEST = 300_000, 48
+#: Symbols up to which the agenda of a segment is a row of a matrix, and the rows of one.
+SHORT, ROWS = 32, 4096
+#: Symbols are ids of pieces or, beyond them, characters; a pair is one number.
+_SHIFT = np.int64(21)
+_MARKS = r"!-/:-@\[-`{-~"
 RESULT = "doc_id long, ids array<int>, decoded string, n_differing long"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -62,6 +72,7 @@ class Vocabulary:
         self.prefix = rules.add_dummy_prefix
         plain = lambda p: p.replace(SPACE, " ")
         self.score = {plain(p.piece): p.score for p in model.pieces if p.type == _NORMAL}
+        self.rank = {p: -s for p, s in self.score.items()}  # the best first
         self.id = {plain(p.piece): k for k, p in enumerate(model.pieces) if p.type == _NORMAL}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == _UNKNOWN)
         self.byte = {int(p.piece[3:-1], 16): k for k, p in enumerate(model.pieces) if p.type == _BYTE}
@@ -70,8 +81,10 @@ class Vocabulary:
         self.sense: list[str | int] = [by_byte[k] if p.type == _BYTE else plain(p.piece) if p.type == _NORMAL else model.trainer_spec.unk_surface if p.type == _UNKNOWN else "" for k, p in enumerate(model.pieces)]
         spaces = not any(" " in p.lstrip(" ") for p in self.score)
         lines = not any("\n" in p and len(p) > 1 for p in self.score)
-        both = " +[^ \n]*|[^ \n]+|\n" if lines else " +[^ ]*|[^ ]+"
-        self._cut = re.compile(both if spaces else "[^\n]+|\n" if lines else "(?s).+")
+        beside = "".join({c for p in self.score for c in "".join(re.findall(rf"[^\W\d_](?=[{_MARKS}])|(?<=[{_MARKS}])[^\W\d_]", p))})
+        letter = rf"[^\W\d_{re.escape(beside)}]"
+        fine = rf" *{letter}+(?=[{_MARKS} \n]|$)| *[{_MARKS}]+(?={letter}|[ \n]|$)| +[^ \n]*|[^ \n]+|\n"
+        self._cut = re.compile(fine if spaces and lines else " +[^ ]*|[^ ]+" if spaces else "[^\n]+|\n" if lines else "(?s).+")
         #: A segment can be shown to the library alone, behind a line feed.
         self.apart = spaces and lines
 
@@ -79,12 +92,87 @@ class Vocabulary:
         """The text, with the space that stands before each text, in parts that merges do not pass."""
         return self._cut.findall((" " if self.prefix else "") + text.replace(SPACE, " ")) if text else []
 
-    def encode(self, segment: str) -> list[int]:
-        """The ids of a segment."""
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        """The ids of each segment."""
+        out: list[list[int]] = [[]] * len(segments)
+        short = sorted((k for k, s in enumerate(segments) if len(s) <= SHORT), key=lambda k: len(segments[k]))
+        for at in range(0, len(short), ROWS):
+            places = short[at : at + ROWS]
+            for k, ids in zip(places, self._short([segments[k] for k in places]), strict=True):
+                out[k] = ids
+        for k, s in enumerate(segments):
+            if len(s) > SHORT:
+                out[k] = self._long(s)
+        return out
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of symbols that make a piece, ascending, with its rank and id; the last is none."""
+        symbol = lambda p: self.id.get(p, len(self.sense) + ord(p) if len(p) == 1 else None)
+        found = {}
+        for piece, k in self.id.items():
+            for at in range(1, len(piece)):
+                a, b = symbol(piece[:at]), symbol(piece[at:])
+                if a is not None and b is not None:
+                    found[a << int(_SHIFT) | b] = self.rank[piece], k
+        keys = sorted(found)
+        return np.array([*keys, -1], np.int64), np.array([*(found[k][0] for k in keys), np.inf]), np.array([*(found[k][1] for k in keys), -1], np.int64)
+
+    @cached_property
+    def _of_char(self) -> np.ndarray:
+        """The symbol of every code point."""
+        table = np.arange(len(self.sense), len(self.sense) + sys.maxunicode + 1)
+        for p, k in self.id.items():
+            if len(p) == 1:
+                table[ord(p)] = k
+        return table
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place in _pairs of each pair, the last if it makes no piece or a side is missing."""
+        keys = self._pairs[0]
+        pair = (left << _SHIFT) | right
+        at = np.searchsorted(keys[:-1], pair)
+        return np.where((keys[at] == pair) & (left >= 0) & (right >= 0), at, len(keys) - 1)
+
+    def _short(self, segments: list[str]) -> list[list[int]]:
+        """The ids; row by row, the agenda has an entry for each adjacent pair, in the order of the text."""
+        _, ranks, made = self._pairs
+        width, base = max([1, *map(len, segments)]), len(self.sense)
+        points = np.frombuffer("".join([s.ljust(width + 1) for s in segments]).encode("utf-32-le"), np.uint32).reshape(len(segments), width + 1)
+        symbols = np.where(np.arange(width + 1) < np.array([len(s) for s in segments])[:, None], self._of_char[points], -1)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, places = np.arange(len(segments)), np.arange(width + 1)
+        agenda = self._looked_up(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            score = ranks[agenda]
+            best = score.argmin(1)
+            open_ = score[np.arange(len(rows)), best] < np.inf
+            if not open_.all():
+                done.append((rows[~open_], symbols[~open_]))
+                rows, symbols, agenda, best = rows[open_], symbols[open_], agenda[open_], best[open_]
+                if not len(rows):
+                    break
+            own, k = np.arange(len(rows)), best[:, None]
+            new = made[agenda[own, best]]
+            symbols = np.concatenate([symbols, np.full((len(rows), 1), -1)], 1)[own[:, None], places + (places > k)]
+            symbols[own, best] = new
+            agenda = np.concatenate([agenda, np.full((len(rows), 1), len(ranks) - 1)], 1)[own[:, None], places[:-1] + (places[:-1] >= k)]
+            agenda[own, best] = self._looked_up(new, symbols[own, best + 1])
+            before = best > 0
+            agenda[own[before], best[before] - 1] = self._looked_up(symbols[own[before], best[before] - 1], new[before])
+        out: list[list[int]] = [[]] * len(segments)
+        for which, found in done:
+            sizes, strange = (found >= 0).sum(1).tolist(), (found >= base).any(1).tolist()
+            for row, ids, n, odd in zip(which.tolist(), found.tolist(), sizes, strange, strict=True):
+                out[row] = [i for x in ids[:n] for i in (self._ids([chr(x - base)]) if x >= base else (x,))] if odd else ids[:n]
+        return out
+
+    def _long(self, segment: str) -> list[int]:
+        """The ids; the agenda is a heap, and entries whose symbols are gone are passed over."""
         parts: list[str | None] = list(segment)
-        n, score = len(parts), self.score
+        n, rank = len(parts), self.rank.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(-s, k, len(pair)) for k in range(n - 1) if (s := score.get(pair := parts[k] + parts[k + 1])) is not None]
+        agenda = [(s, k, len(pair)) for k in range(n - 1) if (s := rank(pair := parts[k] + parts[k + 1])) is not None]
         heapify(agenda)
         while agenda:
             _, left, size = heappop(agenda)
@@ -95,14 +183,15 @@ class Vocabulary:
             after[left] = follows = after[right]
             if follows >= 0:
                 before[follows] = left
-                if (s := score.get(pair := parts[left] + parts[follows])) is not None:
-                    heappush(agenda, (-s, left, len(pair)))
-            if (leads := before[left]) >= 0 and (s := score.get(pair := parts[leads] + parts[left])) is not None:
-                heappush(agenda, (-s, leads, len(pair)))
+                if (s := rank(pair := parts[left] + parts[follows])) is not None:
+                    heappush(agenda, (s, left, len(pair)))
+            if (leads := before[left]) >= 0 and (s := rank(pair := parts[leads] + parts[left])) is not None:
+                heappush(agenda, (s, leads, len(pair)))
+        return self._ids([p for p in parts if p is not None])
+
+    def _ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for part in parts:
-            if part is None:
-                continue
             if (found := self.id.get(part)) is not None:
                 out.append(found)
             elif self.byte:
@@ -135,46 +224,64 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[bytes, str, int]] = {}
-
-    def add(self, segments: Iterable[str]) -> dict[str, tuple[bytes, str, int]]:
-        """Ids (32 bits each), decoded text, and whether the library differs, of all the segments; long ones are not kept."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        v, wanted = self.vocabulary, set(segments)
-        new = sorted(wanted - self.known.keys())
-        ids = [v.encode(s) for s in new]
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.differing: set[str] = set()
+
+    def _differing(self, segments: list[str], ids: list[list[int]], texts: list[str]) -> list[int]:
+        """The places of segments that the library codes in another way, whose ids and texts become the library's."""
+        library = self.vocabulary.library
+        line = library.encode("\n")
+        if library.encode("".join(["\n" + s for s in segments])) == line[:-1] + [i for own in ids for i in (line[-1], *own)] and library.decode([line[0], *(i for own in ids for i in (line[-1], *own))]) == "".join(["\n" + t for t in texts]):
+            return []
+        theirs = [library.encode("\n" + s)[len(line) :] for s in segments]
+        back = [library.decode(line + i)[1:] for i in theirs]
+        found = [k for k in range(len(segments)) if theirs[k] != ids[k] or back[k] != texts[k]]
+        for k in found:
+            ids[k], texts[k] = theirs[k], back[k]
+        return found
+
+    def add(self, segments: set[str]) -> tuple[dict[str, tuple[bytes, str]], set[str]]:
+        """Ids (32 bits each) and decoded text of all the segments, and those that the library codes in another way, which are kept apart."""
+        v, here, new = self.vocabulary, {}, []
+        for s in segments:
+            if (found := self.known.get(s) or self.older.get(s)) is not None:
+                here[s] = found
+            else:
+                new.append(s)
+        ids = v.encode(new)
         texts = [v.decode(k, False) for k in ids]
-        differs = [0] * len(new)
         if v.apart and new:
-            skip = len(v.library.encode("\n"))
-            theirs = v.library.encode(["\n" + s for s in new], num_threads=1)
-            back = v.library.decode(theirs, num_threads=1)
-            for k, (all_ids, text) in enumerate(zip(theirs, back, strict=True)):
-                if all_ids[skip:] != ids[k] or text[1:] != texts[k]:
-                    ids[k], texts[k], differs[k] = all_ids[skip:], text[1:], 1
-        found = {s: (np.array(i, np.int32).tobytes(), t, d) for s, i, t, d in zip(new, ids, texts, differs, strict=True)}
-        here = found | {s: self.known[s] for s in wanted & self.known.keys()} if len(wanted) > len(found) else found
-        self.known.update((s, x) for s, x in found.items() if len(s) <= LONGEST)
-        return here
+            self.differing.update(new[k] for k in self._differing(new, ids, texts))
+        for s, i, t in zip(new, ids, texts, strict=True):
+            here[s] = np.array(i, np.int32).tobytes(), s if t == s else t
+        if len(self.known) + len(new) > KEPT:
+            self.known, self.older = {}, self.known
+        self.known.update((s, x) for s, x in here.items() if len(s) <= LONGEST)
+        return here, self.differing & segments if self.differing else set()
 
     def documents(self, texts: list[str]) -> tuple[list[bytes], list[str], list[int]]:
         """Of each text: ids, decoded text, and the number of segments in which the library differs."""
         cut = [self.vocabulary.segments(t) for t in texts]
-        known = self.add(s for segments in cut for s in segments)
-        ids, back, differs = [], [], []
+        known, differing = self.add(set().union(*cut))
+        ids, back = [], []
         for segments in cut:
             found = [known[s] for s in segments]
-            text = "".join([f[1] for f in found])
-            ids.append(b"".join([f[0] for f in found]))
+            text = "".join([t for _, t in found])
+            ids.append(b"".join([i for i, _ in found]))
             back.append(text[1:] if self.vocabulary.prefix and text[:1] == " " else text)
-            differs.append(sum([f[2] for f in found]))
-        return ids, back, differs
+        return ids, back, [sum(s in differing for s in segments) for segments in cut] if differing else [0] * len(cut)
+
+
+@lru_cache(1)
+def _coder(path: str) -> Coder:
+    """The coder of a worker; what it keeps serves the tasks that follow."""
+    return Coder(Vocabulary(path))
 
 
 def _rounds(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(path))
+        coder = _coder(path)
         for block in blocks(batches, ["doc_id"]):
             ids, back, differs = coder.documents([t.decode("utf-8", "replace") for t in block["text"]])
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
@@ -186,7 +293,7 @@ def _rounds(path: str):
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = _coder(path).vocabulary
         for batch in batches:
             texts = [None if i is None else vocabulary.decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -3,67 +3,78 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before
 it kept, and returns rows with the columns of documents; the last returns the
 pieces of packed sequences. Between stages rows are written as Parquet to the
-shared folder and read again. A stage first removes the intermediate results of
-the stages before it, but for those that its input reads: an input that was
-written reads none.
+shared folder and read again.
+
+run removes what a stage wrote once its rows are kept, and at the end all but what
+its result reads, so results of several runs can be read side by side, late, and
+from several threads. Where a caller writes and rereads the rows of each stage
+itself, a stage removes what the ones before it left in the same sequence: those
+called on the same tables, in the same thread, since the first stage.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import _store, decontam, exact_dedup, packing, quality, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
 
 
-def stage(function: Stage) -> Stage:
-    """function, removing what earlier stages left and noting what it leaves itself."""
+class Step:
+    """A stage; its plain function is `apply`."""
 
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _store.cleanup(spark, _left, read_by=docs)
-        before = set(_store.written())
-        out = function(spark, docs, sf_dir)
-        _left.extend(p for p in _store.written() if p not in before)
-        return out
+    #: Of each thread: the tables and the stage of the last call, and what the sequence has left so far.
+    _last = threading.local()
 
-    return run_stage
+    def __init__(self, apply: Stage):
+        self.apply = apply
+        self.__name__, self.__doc__ = apply.__name__, apply.__doc__
+
+    def __call__(self, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        at = next(k for k, (_, step) in enumerate(STAGES) if step is self)
+        tables, before = getattr(self._last, "call", (None, 0))
+        same = tables == sf_dir and 0 < at and before <= at
+        if same:
+            _store.cleanup(spark, self._last.left, read_by=docs)
+        with _store.noted() as wrote:
+            out = self.apply(spark, docs, sf_dir)
+        self._last.call, self._last.left = (sf_dir, at), (self._last.left if same else []) + wrote
+        return out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@stage
+@Step
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps."""
     return quality.filtered(docs, _table(spark, sf_dir, "labels"))
 
 
-@stage
+@Step
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
     return exact_dedup.deduplicated(docs)
 
 
-@stage
+@Step
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a Jaccard similarity of 0.8 or more in five-word shingles, one document: that with the smallest id."""
     return simhash.similar_deduplicated(docs)
 
 
-@stage
+@Step
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark."""
     return decontam.cleaned(docs, _table(spark, sf_dir, "benchmark"))
 
 
-@stage
+@Step
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.packed(docs)
@@ -83,9 +94,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
-    docs = _table(spark, sf_dir, "documents")
-    for k, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _store.keep(docs, name.replace(" ", "-"))
+    docs, left = _table(spark, sf_dir, "documents"), []
+    for k, (name, step) in enumerate(STAGES):
+        with _store.noted() as wrote:
+            docs = step.apply(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = _store.keep(docs, name.replace(" ", "-"))
+        left += wrote
+        _store.cleanup(spark, left, read_by=docs)
     return docs

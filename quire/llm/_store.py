@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 _fallback: str | None = None
 #: What was written and not removed yet: folders, each with the name of its table, if it has one.
 _written: dict[str, str | None] = {}
+#: Lists that want to know of what is written.
+_notes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("notes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +42,22 @@ def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
     """A folder for an intermediate result, which cleanup removes; table: the name of the table that is kept in it."""
     path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
     _written[path] = table
+    for notes in _notes.get():
+        notes.append(path)
     return path
 
 
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that this thread writes within the block."""
+    notes: list[str] = []
+    token = _notes.set((*_notes.get(), notes))
+    try:
+        yield notes
+    finally:
+        _notes.reset(token)
+
+
 def written() -> list[str]:
     """The folders of intermediate results that are there."""
     return list(_written)

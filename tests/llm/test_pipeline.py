@@ -1,8 +1,10 @@
 """The corpus pipeline against a plain version of every stage, stage by stage."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import corpus_pipeline as pipeline
 
-from quire.llm import _store, decontam, quality
+from quire.llm import _store, decontam, exact_dedup, quality
 
 from .helpers import as_tuples, documents, frame, prose
 from .test_simhash import brute_components
@@ -97,6 +99,24 @@ def test_stages_remove_what_earlier_ones_left(spark, tmp_path):
     assert not there & set(_store.written())
 
 
+def test_results_of_several_runs_stay_readable(spark):
+    folder = "/root/testdata/sf0.001"
+    _store.cleanup(spark)
+    first = pipeline.run(spark, folder)
+    there = set(_store.written())
+    assert len(there) == 1  # the pieces that the result reads, and nothing of the stages
+    wanted = as_tuples(first)
+    with ThreadPoolExecutor(2) as pool:
+        others = [pool.submit(pipeline.run, spark, folder), pool.submit(lambda: exact_dedup.assignments(spark.read.parquet(f"{folder}/documents.parquet")))]
+        second, lazy = (o.result() for o in others)
+    pipeline.quality_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count()
+    assert there <= set(_store.written())
+    assert as_tuples(first) == wanted and second.count() == len(wanted)
+    assert lazy.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    _store.cleanup(spark)
+    assert _store.written() == []
+
+
 def test_empty_tables(spark, tmp_path):
     tables(spark, tmp_path, [], [], [])
     assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import MERGED, natural_key
+from .numbering import numbered
 
 
 def chapters(pages: DataFrame) -> DataFrame:
@@ -56,6 +57,12 @@ def choose(listed: DataFrame, pick: str | None = None, span: str | None = None,
     return by_pick(listed, pick) if pick else by_range(listed, span) if span else by_names(listed, start, end)
 
 
+def placed(merged_pages: DataFrame) -> DataFrame:
+    """Pages of a merge (selected, pos) with a position `pos` of their own from 0, in the order of the selection."""
+    rows = numbered(merged_pages, [F.col("selected"), F.col("pos"), F.col("page"), F.col("doc_id")], "_pos")
+    return rows.drop("pos").withColumnRenamed("_pos", "pos")
+
+
 def merged(pages: DataFrame, selection: DataFrame) -> DataFrame:
     """The pages of the selected chapters, with their order (selected, pos)."""
     return pages.join(F.broadcast(selection.select("doc_id", "selected")), "doc_id")  # a selection is stated by hand

@@ -160,19 +160,19 @@ def merged_hits(exact: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy("branch", "at"))).select("rank", "branch", "score", "doc_id", "page")
 
 
-def _ranked_hits(hits: DataFrame) -> DataFrame:
+def ranked_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "pos")))
 
 
 def hybrid_search(index: DataFrame, query: str, vector: list[float], k: int = 15, min_similarity: float | None = MIN_SIMILARITY) -> DataFrame:
     """index: doc_id, page, pos, text, ocr, blob, embedding."""
-    return merged_hits(exact_search(index, query, k), _ranked_hits(vector_search(index, vector, k, min_similarity)), k)
+    return merged_hits(exact_search(index, query, k), ranked_hits(vector_search(index, vector, k, min_similarity)), k)
 
 
 def search(index: DataFrame, query: str, vector: list[float], k: int = 15, min_similarity: float | None = MIN_SIMILARITY) -> DataFrame:
     """Exact hits if there are any, else vector hits."""
     exact = exact_search(index, query, k)
-    near = _ranked_hits(vector_search(index, vector, k, min_similarity))
+    near = ranked_hits(vector_search(index, vector, k, min_similarity))
     found = exact.agg(F.count(F.lit(1)).alias("n_exact"))
     near = near.crossJoin(F.broadcast(found)).where("n_exact = 0")  # one row
     return merged_hits(exact, near, k)

@@ -1,9 +1,10 @@
 """Question answering over a searched corpus: retrieve, pack, ask, and fall back.
 
-Questions are a stated set. Everything but the model is one plan: task, search
-depth and query per question, hybrid hits, packed context, prompts. The model is
-called in Arrow batches; only questions whose answer is not usable are asked a
-second time, for a summary, and a template of the best hits stands in for the rest.
+Questions are a stated set. Task, search depth and query per question, hybrid hits,
+packed context and prompts are plans; hits are written once, as are the replies of the
+model, in a journal, before anything branches on them. Only questions whose answer is
+not usable are asked a second time, for a summary, and a template of the best hits
+stands in for the rest: n questions give n rows after at most 2 n calls.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CJK, retrieval_query, search_depth, task_type, usable_answer
 from ..functions.text import answer_tokens as tokens_of
-from ..providers import Embedder, LanguageModel, embedded, replied
+from ..providers import Embedder, LanguageModel, embedded
+from ..sources.scratch import kept
 from . import search
+from .journal import Journal
 
 #: Rules of every answer, and of the kinds of questions, by language. The table columns and the way to cite are part of the contract with readers of the answers.
 CORE_RULES = {
@@ -89,18 +92,22 @@ def retrieved(index: DataFrame, questions: DataFrame, embedder: Embedder | None,
     return told.select("query_id", "rank", "branch", "score", "r.doc_id", "r.page", "t.t.text", "t.t.ocr")
 
 
-def answered(index: DataFrame, questions: DataFrame, model: LanguageModel, embedder: Embedder | None = None, k: int = 15, min_similarity: float | None = search.MIN_SIMILARITY, max_chars: int = 9000, per_hit: int = 700) -> DataFrame:
-    """(query_id, question, answer, origin, cites) per question (query_id, question); origin: answer, summary, template or none (no hits)."""
-    hits = retrieved(index, questions, embedder, k, min_similarity)
+def answered(index: DataFrame, questions: DataFrame, model: LanguageModel, embedder: Embedder | None = None, k: int = 15, min_similarity: float | None = search.MIN_SIMILARITY, max_chars: int = 9000, per_hit: int = 700, journal: Journal | None = None) -> DataFrame:
+    """(query_id, question, answer, origin, cites) per question (query_id, question); origin: answer, summary, template or none (no hits).
+
+    journal: where replies are kept and looked up; without one, they serve this call alone.
+    """
+    journal = journal or Journal(index.sparkSession)
+    hits = kept(retrieved(index, questions, embedder, k, min_similarity), "hits")
     packed = search.packed_context(hits, max_chars, per_hit)
     snippets = search.fallback_answer(hits).withColumnRenamed("answer", "snippets")
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     rows = questions.select("query_id", "question").join(found, "query_id", "left").join(packed, "query_id", "left").join(snippets, "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit("")))
-    question = F.col("question")
-    asked = rows.where("n_hits IS NOT NULL")
-    said = asked.withColumn("answer", replied(*answer_prompt(question, F.col("context")), tokens_of(task_type(question)), model))
-    poor = said.where(~usable_answer(F.col("answer"))).withColumn("summary", replied(*summary_prompt(question, F.col("context")), F.lit(SUMMARY_TOKENS), model))
+    rows = kept(rows, "questions")
+    question, plain = F.col("question"), F.coalesce("question", F.lit(""))
+    said = journal.asked(rows.where("n_hits IS NOT NULL"), *answer_prompt(plain, F.col("context")), tokens_of(task_type(question)), model, "answer")
+    poor = journal.asked(said.where(~usable_answer(F.col("answer"))), *summary_prompt(plain, F.col("context")), F.lit(SUMMARY_TOKENS), model, "summary")
     good = usable_answer(F.col("summary"))
     parts = [
         said.where(usable_answer(F.col("answer"))).select("query_id", "question", "answer", F.lit("answer").alias("origin"), "cites"),

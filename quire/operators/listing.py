@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, evidence, keep_ids, listed_terms, strip
-from ..providers import LanguageModel, replied
+from ..providers import LanguageModel
+from .journal import Journal
 from .keywords import is_stop
 
 #: Candidates that a model chooses from, and terms that it is asked for.
@@ -31,10 +32,11 @@ def candidates(ranked: DataFrame, pages: DataFrame, most: int = CANDIDATES) -> D
     return grouped.select("doc_id", "n", F.array_join(F.transform("x", lambda i: i["line"]), "\n").alias("lines"))
 
 
-def chosen_ids(listed: DataFrame, model: LanguageModel, k: int, lang: str = "en") -> DataFrame:
-    """(doc_id, ids): the candidates that the model keeps, numbered from 0, at most k."""
-    said = replied(F.lit(CHOOSER[lang].format(k=k)), F.concat(F.lit("chapter: "), "doc_id", F.lit("\n"), "lines"), F.lit(128), model)
-    return listed.withColumn("said", said).select("doc_id", keep_ids(F.col("said"), F.col("n"), k).alias("ids"))
+def chosen_ids(listed: DataFrame, model: LanguageModel, k: int, lang: str = "en", journal: Journal | None = None) -> DataFrame:
+    """(doc_id, ids): the candidates that the model keeps, numbered from 0, at most k; written, so that all that follows reads one choice."""
+    journal = journal or Journal(listed.sparkSession)
+    said = journal.asked(listed, F.lit(CHOOSER[lang].format(k=k)), F.concat(F.lit("chapter: "), "doc_id", F.lit("\n"), "lines"), F.lit(128), model, "said")
+    return said.select("doc_id", keep_ids(F.col("said"), F.col("n"), k).alias("ids"))
 
 
 def kept_and_filled(ranked: DataFrame, ids: DataFrame, topn: int) -> DataFrame:
@@ -60,10 +62,15 @@ def chapter_texts(pages: DataFrame, size: int = 3000, most: int = 6) -> DataFram
     return joined.select("doc_id", chunks(F.array_join(F.transform("x", lambda i: i["blob"]), "\n"), size, most).alias("chunks"))
 
 
-def allowed_terms(pages: DataFrame, model: LanguageModel, lang: str = "en", k: int = TERMS) -> DataFrame:
-    """(doc_id, terms): what the model names as terms of each chapter, without stop terms, sorted. Write it: a model is asked once."""
-    said = replied(F.lit(EXTRACTOR[lang].format(k=k)), F.concat(F.lit("chapter: "), "doc_id", F.lit("\n"), F.array_join("chunks", "\n\n")), F.lit(256), model)
-    rows = chapter_texts(pages).withColumn("said", said)
+def allowed_terms(pages: DataFrame, model: LanguageModel, lang: str = "en", k: int = TERMS, journal: Journal | None = None, refresh: bool = False) -> DataFrame:
+    """(doc_id, terms): what the model names as terms of each chapter, without stop terms, sorted.
+
+    Replies are kept in the journal by what was asked, which holds the chapter's text: a chapter is asked about again if
+    its text, the model or the language changed, or with refresh.
+    """
+    journal = journal or Journal(pages.sparkSession)
+    system, user = F.lit(EXTRACTOR[lang].format(k=k)), F.concat(F.lit("chapter: "), "doc_id", F.lit("\n"), F.array_join("chunks", "\n\n"))
+    rows = journal.asked(chapter_texts(pages), system, user, F.lit(256), model, "said", refresh)
     every = rows.select("doc_id", F.posexplode_outer(listed_terms(F.col("said"))).alias("n", "term"))
     good = every.where(F.col("term").isNull() | ~is_stop(F.col("term")))
     first = good.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).where(F.col("at") <= k)

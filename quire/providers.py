@@ -123,19 +123,3 @@ def embedded(text: Column, embedder: Embedder, batch: int = 32) -> Column:
             yield pd.Series(rows, index=s.index, dtype=object)
 
     return run(text)
-
-
-def replied(system: Column, user: Column, max_tokens: Column, model: LanguageModel) -> Column:
-    """The model's answers, trimmed; empty where it fails."""
-
-    @F.pandas_udf("string")
-    def run(systems: pd.Series, users: pd.Series, tokens: pd.Series) -> pd.Series:
-        out = []
-        for s, u, n in zip(systems, users, tokens, strict=True):
-            try:
-                out.append((model.complete(s, u, int(n)) or "").strip())
-            except Exception:  # noqa: BLE001  a failed call is an answer that cannot be used
-                out.append("")
-        return pd.Series(out, index=users.index, dtype=object)
-
-    return run(system, user, max_tokens)

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .functions.names import scope_name
 from .functions.text import sanitized, static_url
-from .operators import answers, browse, exam, keywords, listing, scope, search
+from .operators import answers, browse, exam, keywords, listing, scope, search, stored
+from .operators.journal import Journal
 from .providers import Embedder, Extractor, HashingEmbedder, LanguageModel, Recogniser, SilentModel, embedded
 from .sources import artifacts, documents
 from .sources import pages as sources
+from .sources.scratch import kept
 from .streaming import ingest
 
 # The kinds of files, with their extensions.
@@ -64,7 +66,7 @@ class Library:
     RAW = "name string, content binary, added timestamp"
     PAGES = "doc_id string, page int, text string, images array<string>, ocr string, pos long"
     PICTURES = "doc_id string, page int, img int, name string, content binary, status string"
-    SCOPES = "scope string, selected int, doc_id string, page int, text string, images array<string>, ocr string, pos long"
+    SCOPES = "scope string, made timestamp, selected int, doc_id string, page int, text string, images array<string>, ocr string, pos long"
     TIPS = "scope string, lang string, doc_id string, rank int, term string, raw_score double, score_norm double, tf long, df long, page_df long, rep_pos long, rep_hits long, made timestamp"
     ALLOWED = "scope string, lang string, doc_id string, terms array<string>"
 
@@ -123,14 +125,16 @@ class Library:
         stems = [r.doc_id for r in selection.orderBy("selected").select("doc_id").collect()]  # chapters chosen by hand
         given = self.spark.createDataFrame([(stems, pick, span)], "stems array<string>, pick string, span string")
         name = given.select(scope_name(F.col("stems"), F.col("pick"), F.col("span")).alias("n")).first().n.removesuffix(".jsonl")
-        self._add("scopes", scope.merged(self.pages(subject, data_type), selection).drop("subject", "data_type").withColumn("scope", F.lit(name)), subject, data_type)
+        placed = scope.placed(scope.merged(self.pages(subject, data_type), selection).drop("subject", "data_type"))
+        self._add("scopes", placed.withColumns({"scope": F.lit(name), "made": F.current_timestamp()}), subject, data_type)
         return name
 
     def scope_pages(self, subject: str, data_type: str, name: str) -> DataFrame:
         """The pages of a scope, else of the chapter of this name; fails if there are none."""
         checked(data_type, subject=subject, chapter=name)
-        merged = self._table("scopes", self.SCOPES, subject, data_type).where(F.col("scope") == name).dropDuplicates(["doc_id", "page", "pos"])
-        rows = self.pages(subject, data_type).where(F.col("doc_id") == name) if merged.isEmpty() else merged
+        every = self._table("scopes", self.SCOPES, subject, data_type).where(F.col("scope") == name)
+        last = every.agg(F.max("made").alias("made")).first().made  # a scope is as it was last merged
+        rows = self.pages(subject, data_type).where(F.col("doc_id") == name) if last is None else every.where(F.col("made") == F.lit(last))
         if rows.isEmpty():
             raise FileNotFoundError(f"no scope or chapter {name}")
         return rows.select("doc_id", "page", "text", "images", "ocr", "pos")
@@ -144,7 +148,9 @@ class Library:
         rows = sources.index_rows(self.scope_pages(subject, data_type, name))
         if rows.isEmpty():
             raise ValueError("no page has any text")
-        sources.write_index(rows.withColumn("embedding", embedded(F.col("text"), self.embedder)), self._index_path(subject, data_type, name), subject, self.embedder.name)
+        path = self._index_path(subject, data_type, name)
+        sources.write_index(rows.withColumn("embedding", embedded(F.col("text"), self.embedder)), path, subject, self.embedder.name)
+        stored.build(search.with_blob(sources.read_index(self.spark, path)), f"{path}/search")
 
     def index(self, subject: str, data_type: str, name: str) -> DataFrame:
         checked(data_type, subject=subject, chapter=name)
@@ -156,26 +162,30 @@ class Library:
         if k <= 0:
             raise ValueError("k has to be over 0")
         vector = [float(x) for x in self.embedder.encode([query])[0]]
-        return search.search(search.with_blob(self.index(subject, data_type, name)), query, vector, k)
+        self.index(subject, data_type, name)  # checked
+        return stored.StoredIndex(self.spark, f"{self._index_path(subject, data_type, name)}/search").search(query, vector, k)
 
     def ask(self, subject: str, data_type: str, name: str, questions: list[str], k: int = 15) -> DataFrame:
         """(query_id, question, answer, origin, cites) per question, numbered from 0."""
         asked = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, question string")
-        return answers.answered(self.index(subject, data_type, name), asked, self.model, self.embedder, k)
+        return answers.answered(self.index(subject, data_type, name), asked, self.model, self.embedder, k, journal=self._journal())
+
+    def _journal(self) -> Journal:
+        return Journal(self.spark, self._path("journal"))
 
     # Keywords
 
-    def make_tips(self, subject: str, data_type: str, name: str, lang: str = "cn", topn: int = 10, with_model: bool = False) -> DataFrame:
-        """Ranks and keeps the keywords of a scope's chapters; with_model: the model names allowed terms and chooses among candidates."""
+    def make_tips(self, subject: str, data_type: str, name: str, lang: str = "cn", topn: int = 10, with_model: bool = False, refresh: bool = False) -> DataFrame:
+        """Ranks and keeps the keywords of a scope's chapters; with_model: the model names allowed terms, again with refresh, and chooses among candidates."""
         checked(data_type, lang, subject=subject, chapter=name)
         pages = self.scope_pages(subject, data_type, name)
         rows = keywords.scored(pages, keywords.term_counts(keywords.page_terms(pages, lang), lang), lang)
         rows = keywords.promoted(rows).drop("place") if lang == "en" else rows
-        ranked = keywords.ranked(rows)
+        ranked = kept(keywords.ranked(rows), "ranked")
         if with_model:
-            allowed = listing.allowed_terms(pages, self.model, lang)
+            allowed = listing.allowed_terms(pages, self.model, lang, journal=self._journal(), refresh=refresh)
             self._add("allowed", allowed.withColumns({"scope": F.lit(name), "lang": F.lit(lang)}), subject, data_type)
-            ids = listing.chosen_ids(listing.candidates(ranked, pages), self.model, topn, lang)
+            ids = listing.chosen_ids(listing.candidates(ranked, pages), self.model, topn, lang, self._journal())
             ranked = listing.kept_and_filled(ranked, ids, topn)
         picked = keywords.selected(ranked, keywords.adaptive_limits(keywords.metrics(ranked), topn), lang)
         whole = keywords.with_norm(ranked).drop("rank", "raw_score", "tf", "page_df")

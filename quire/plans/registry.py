@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import browse, exam, keywords, scope, search
+from ..operators import browse, cells, exam, keywords, scope, search, stored
 from ..sources import artifacts
 from ..sources import pages as sources
+from ..sources.scratch import new_path
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,11 +77,33 @@ EXACT_CASE = "CASE " + " ".join(f"WHEN contains(blob, '{v}') THEN {k}" for k, v
 
 # Search
 
+_stored: dict[tuple[str, str], stored.StoredIndex | cells.CellIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> stored.StoredIndex:
+    """The search index of the documents of a folder, built once a session, as a library does for a scope."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = new_path(spark, "index")
+        stored.build(_index(spark, sf_dir), path)
+        _stored[key] = stored.StoredIndex(spark, path)
+    return _stored[key]
+
 
 @query(f"""WITH {BLOBS}, hits AS (SELECT *, {EXACT_CASE} AS variant FROM blobs)
   SELECT CAST(row_number() OVER (ORDER BY variant, pos) AS INTEGER) AS rank, CAST(1.0 AS DOUBLE) AS score, doc_id, page, pos FROM hits WHERE variant IS NOT NULL ORDER BY variant, pos LIMIT 15""")
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.exact_search(search.with_blob(corpus(spark, sf_dir)), TEXT_QUERY).select("rank", "score", "doc_id", "page", "pos")
+    return stored_index(spark, sf_dir).exact_search(TEXT_QUERY).select("rank", "score", "doc_id", "page", "pos")
+
+
+SHORT_QUERY = "，Zé。q"
+SHORT_CASE = "CASE " + " ".join(f"WHEN contains(blob, '{v}') THEN {k}" for k, v in enumerate(search.driver_variants(SHORT_QUERY))) + " END"
+
+
+@query(f"""WITH {BLOBS}, hits AS (SELECT *, {SHORT_CASE} AS variant FROM blobs)
+  SELECT CAST(row_number() OVER (ORDER BY variant, pos) AS INTEGER) AS rank, CAST(1.0 AS DOUBLE) AS score, doc_id, page, pos FROM hits WHERE variant IS NOT NULL ORDER BY variant, pos LIMIT 15""")
+def exact_search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_index(spark, sf_dir).exact_search(SHORT_QUERY).select("rank", "score", "doc_id", "page", "pos")
 
 
 @query(f"""WITH {BLOBS}, {VARIANTS}, hits AS (SELECT item_id AS query_id, doc_id, page, pos, min(variant) AS variant FROM blobs JOIN variants ON contains(blob, form) GROUP BY ALL),
@@ -100,6 +123,16 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    """The cells of all embeddings, built once a session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/embeddings")
+    if key not in _stored:
+        path = new_path(spark, "cells")
+        cells.build(_vectors(spark, sf_dir), path)
+        _stored[key] = cells.CellIndex(spark, path)
+    return _stored[key]
+
+
 def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(_vectors(spark, sf_dir).where("pos = 0").first().embedding)
 
@@ -109,7 +142,7 @@ DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOU
 
 @query(f"SELECT a.vec_id AS pos, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND {DOT} >= 0.1 ORDER BY {DOT} DESC, a.vec_id LIMIT 15")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vector_search(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 15, 0.1).select("pos", F.round("score", 6).alias("score"))
+    return vector_index(spark, sf_dir).search(_first_vector(spark, sf_dir), 15, 0.1).select("pos", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH hits AS (SELECT b.vec_id AS query_id, a.vec_id AS pos, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
@@ -117,7 +150,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = _vectors(spark, sf_dir).where("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.vector_search_batch(_vectors(spark, sf_dir), stated, 10, 0.1).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+    return vector_index(spark, sf_dir).search_batch(stated, 10, 0.1).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH hits AS (SELECT b.vec_id AS query_id, a.vec_id AS pos, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM hits)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = _vectors(spark, sf_dir).where("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index(spark, sf_dir).search_batch(stated, 5, None).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS total FROM embeddings")
@@ -153,17 +194,17 @@ RARE_CASE = "CASE " + " ".join(f"WHEN contains(blob, '{v}') THEN {k}" for k, v i
 
 @query(_hybrid_sql(RARE_CASE, False))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(_index(spark, sf_dir), RARE_QUERY, _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf_dir).hybrid_search(RARE_QUERY, _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query(_hybrid_sql("CASE WHEN contains(blob, 'zzqqxx') THEN 0 END", True))
 def search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_index(spark, sf_dir), "zzqqxx", _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf_dir).search("zzqqxx", _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query(_hybrid_sql(RARE_CASE, True))
 def search_with_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_index(spark, sf_dir), RARE_QUERY, _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf_dir).search(RARE_QUERY, _first_vector(spark, sf_dir), 15, 0.1).withColumn("score", F.round("score", 6))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,18 @@ outside the content, learned from a bounded sample of labelled pages, those
 that mark their content with <article> or <main>, and held by prior weights: of
 every tag, and of every word in the class, id and role of containers (a name of
 several words counts by their mean; paragraphs, headings and other elements of
-text are judged by their tag alone). Extraction does not look at the marks.
-
-From the region, elements are left out whose own weight is under EXCLUDED, as it
-is at first for menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, and scripts, styles and hidden elements always. Character references are
-decoded, white space in a block becomes one space, and blocks are joined by one
-line feed. A line break element is white space within its block.
+text are judged by their tag alone). Extraction does not look at the marks, but
+for one thing: a header inside of them is the article's own and stays.
+
+From the region, elements are left out whose tag weighs under EXCLUDED, as it does
+at first for menus, headers, footers, asides and forms, or whose name does so by a
+word that stands for nothing else (MARKS: adverts, sidebars, cookies, reader
+comments), and scripts, styles and hidden elements always. Other names are one piece
+of evidence: an element whose name weighs under DOUBTED is left out if its name, its
+words outside links and lists, and its link words sum up to less than 0. So a menu, a
+share bar or a list of replies goes, and a paragraph in a section of the same name stays.
+Character references are decoded, white space in a block becomes one space, and blocks
+are joined by one line feed. A line break element is white space within its block.
 
 Defined cases: null or empty html gives an empty text. Cut-off pages, stray or
 unclosed tags are read as far as they go. Rows that repeat an id are extracted
@@ -50,10 +55,14 @@ MARKED = frozenset("article main".split())
 UNWEIGHED = MARKED | frozenset("html body".split())
 # Elements that the next of their kind closes.
 CLOSED_BY_NEXT = frozenset("p li a option tr td th".split())
-# Words of class, id and role that mark boilerplate.
+# Words of class, id and role that mark boilerplate: those that stand for nothing else, notices, and those that articles have too.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register sidebar sidebars widget widgets related recommended recommendations trending popular share sharing social comment comments commentlist disqus respond reply replies discussion nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead toolbar topbar pagination pager search skip contentinfo complementary dialog teaser disclaimer copyright".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets comment comments commentlist disqus respond nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead toolbar topbar pagination pager contentinfo teaser copyright".split()
 )
+NOTICES = frozenset("notice notices notification alert promotion register dialog disclaimer".split())
+SHARED = frozenset("related recommended recommendations trending popular share sharing social reply replies discussion search skip complementary".split())
+#: Elements whose words are no evidence that a name is wrong.
+_NO_PROSE = ("a", "li", "button", "label", "h1", "h2", "h3", "h4", "h5", "h6")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -64,7 +73,7 @@ _INNER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: The score of a word in no weighed element, and what a word's score is held within.
 BASE, LIMIT = 1.5, 4.0
 #: Weights before any page is seen: of names that mark boilerplate, of a tag where it stands, and of single keys: links and lists, and a name that heads of sites and of articles share.
-PRIOR_BOILER, PRIOR_TAG = -4.0, -0.5
+PRIOR_BOILER, PRIOR_NOTICE, PRIOR_SHARED, PRIOR_TAG = -4.0, -4.0, -2.0, -0.5
 PRIORS = {"in:a": -1.2, "in:ul": -0.2, "in:ol": -0.2, "in:li": -0.2, "name:header": -2.4}
 #: Words that a prior counts for: of names that mark boilerplate, and of others.
 PRIOR_WORDS_BOILER, PRIOR_WORDS = 2000.0, 50.0
@@ -73,18 +82,22 @@ PRIOR_WORDS_BOILER, PRIOR_WORDS = 2000.0, 50.0
 LIMITS = {"boiler": (-6.0, 1.0), "name": (-6.0, 1.0), "link": (-1.5, 0.5), "in": (-0.4, 1.0), "tag": (-0.4, -0.02)}
 #: Elements of this weight and less are left out; what a text run in them scores.
 EXCLUDED, LEFT_OUT = -1.5, -1.0
+#: Names of this weight and less are weighed against the words in the element: what their weight counts for in words, and what a link word counts for.
+DOUBTED, NAME_WORDS, LINK_WORDS = -0.5, 4.0, -2.0
 
 
 def _kind(key: str) -> str:
     kind, value = key.split(":", 1)
-    if kind == "in" and value in BOILER or kind == "name" and value in MARKS:
+    if kind == "in" and value in BOILER or kind == "name" and (value in MARKS or value in NOTICES or value in SHARED):
         return "boiler"
     return "link" if key == "in:a" else kind
 
 
 def prior(key: str) -> float:
     """The weight of a key before any page is seen; keys are in:<element>, name:<word> and tag:<element>."""
-    kind = _kind(key)
+    kind, value = _kind(key), key.split(":", 1)[1]
+    if key.startswith("name:") and (value in NOTICES or value in SHARED):
+        return PRIOR_NOTICE if value in NOTICES else PRIOR_SHARED
     return PRIORS.get(key, PRIOR_BOILER if kind == "boiler" else PRIOR_TAG if kind == "tag" else 0.0)
 
 
@@ -107,13 +120,18 @@ class Weights:
         found = self.learned.get(key)
         return prior(key) if found is None else found
 
-    def element(self, name: str, attributes: str, in_content: bool) -> tuple[float, bool]:
-        """(what the words in it score more, is it left out?)"""
+    def element(self, name: str, attributes: str, in_content: bool) -> tuple[float, bool, float]:
+        """(what the words in it score more, is it left out?, the weight of its name if that is to be weighed against its words, else 0)"""
         if name in UNWEIGHED:
-            return 0.0, False
+            return 0.0, False, 0.0
         own = 0.0 if name == "header" and in_content else self.of(f"in:{name if name in KNOWN else 'other'}")
-        names = min((sum(self.of(f"name:{w}") for w in words) / len(words) for words in _names(name, attributes)), default=0.0)
-        return own + names, bool(attributes and _HIDDEN.search(attributes)) or name in BOILER and own <= EXCLUDED or names <= EXCLUDED
+        weighed = [(sum(self.of(f"name:{w}") for w in words) / len(words), not MARKS.isdisjoint(words)) for words in _names(name, attributes)]
+        sure = min((w for w, mark in weighed if mark), default=0.0)
+        doubted = min((w for w, mark in weighed if not mark), default=0.0)
+        out = bool(attributes and _HIDDEN.search(attributes)) or name in BOILER and own <= EXCLUDED or sure <= EXCLUDED
+        if not out and doubted <= DOUBTED:
+            return own + sure, False, doubted
+        return own + min(sure, doubted), out, 0.0
 
     def tag(self, name: str) -> float:
         return self.of(f"tag:{name if name in KNOWN and name not in MARKED else 'other'}")
@@ -126,17 +144,22 @@ def tokens(page: str, weights: Weights, seen: Counter | None = None) -> list[tup
     seen: counts the words in each key, inside and outside marked content, and the tags.
     """
     out: list[tuple[str, str, float, bool]] = []
-    stack: list[tuple] = []  # name, score, left out, mark, keys, words inside and outside at its start
+    stack: list[tuple] = []  # name, score, left out, mark, keys, words inside and outside at its start, and the weight of a doubted name with the tokens and evidence before it
     opened: Counter = Counter()
     score, left_out, content, inside, outside = BASE, 0, 0, 0, 0
+    evidence = 0.0  # of words and link words so far
+    gone: list[tuple[int, int]] = []  # tokens of the elements that were doubted and left out
     at, n = 0, len(page)
     lower = None
 
     def close() -> None:
-        nonlocal score, left_out, content
-        name, s, x, c, keys, i, o = stack.pop()
+        nonlocal score, left_out, content, evidence
+        name, s, x, c, keys, i, o, doubted, first, before = stack.pop()
         opened[name] -= 1
         score, left_out, content = score - s, left_out - x, content - c
+        if doubted and NAME_WORDS * doubted + evidence - before < 0:
+            gone.append((first, len(out)))
+            evidence = before
         if seen is not None:
             for key in keys:
                 seen[key, True] += inside - i
@@ -148,6 +171,8 @@ def tokens(page: str, weights: Weights, seen: Counter | None = None) -> list[tup
         if start > at:
             text = page[at:start]
             words = len(text.split())
+            if words and not left_out:
+                evidence += LINK_WORDS * words if opened["a"] > 0 else 0 if any(opened[e] > 0 for e in _NO_PROSE) else words
             s = max(-LIMIT, min(LIMIT, score))
             out.append(("text", text, min(words, 1) * LEFT_OUT if left_out else words * s if s > 0 else min(words, 1) * s, left_out > 0))
             if seen is not None:
@@ -189,16 +214,26 @@ def tokens(page: str, weights: Weights, seen: Counter | None = None) -> list[tup
         if name == "body":  # a head that was never closed ends here
             while stack and stack[-1][0] != "html":
                 close()
-        s, x = weights.element(name, attributes, content > 0)
+        s, x, doubted = weights.element(name, attributes, content > 0)
         c = name in MARKED and not left_out
         keys = []
         if seen is not None and name not in UNWEIGHED:
             keys = [f"in:{name if name in KNOWN else 'other'}", *(f"name:{w}" for words in _names(name, attributes) for w in words)]
-        stack.append((name, s, x, c, keys, inside, outside))
+        stack.append((name, s, x, c, keys, inside, outside, doubted, len(out), evidence))
         opened[name] += 1
         score, left_out, content = score + s, left_out + x, content + c
     while stack:
         close()
+    if gone:
+        edge, starts = Counter(), {first for first, _ in gone}  # each costs LEFT_OUT as a whole, so that it does not part a region
+        for first, end in gone:
+            edge[first] += 1
+            edge[end] -= 1
+        depth = 0
+        for k, (kind, value, _, _) in enumerate(out):
+            depth += edge[k]
+            if depth:
+                out[k] = kind, value, LEFT_OUT * (k in starts), True
     if seen is not None:
         seen["all", True] += inside
         seen["all", False] += outside

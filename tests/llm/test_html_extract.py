@@ -102,6 +102,94 @@ def test_pages_of_other_makes(page, there, absent, learn):
     assert [t for t in there if t not in text] == [] and [t for t in absent if t in text] == []
 
 
+NAMED = ['section id="discussion"', 'section class="related-work"', 'div class="share-prices"', 'div class="social-history"', 'div class="notice-text"', 'div class="popular"', 'div id="search"']
+
+
+@pytest.mark.parametrize("learn", [False, True])
+@pytest.mark.parametrize("mark", ["article", "div"])
+@pytest.mark.parametrize("named", NAMED)
+def test_a_name_is_weighed_against_what_stands_in_it(spark, named, mark, learn):
+    weights = html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")) if learn else html_extract.Weights()
+    tag = named.split()[0]
+    links = "".join(f'<li><a href="/{k}">Read this one number {k}</a></li>' for k in range(5))
+    replies = "".join(f"<li><b>Ann {k}</b> I think so too {k}</li>" for k in range(4))
+    for where in ("inside", "outside"):
+        for filling, stays in ((f"<h2>Over it</h2><p>{PARA} QQQ</p>", True), (f"<ul>{links}</ul>", False), (f"<ul>{replies}</ul>", False), ('<a href="/t">Tell others</a> <a href="/m">Send mail</a>', False)):
+            block = f"<{named}>{filling}</{tag}>"
+            body = f"<{mark}>{ARTICLE}{block}<p>Last words of it all are these.</p></{mark}>" if where == "inside" else f"<{mark}>{ARTICLE}<p>Last words of it all are these.</p></{mark}>{block}"
+            text = html_extract.extract(f"<html><body><nav>{MENU}</nav>{body}<footer>foot words</footer></body></html>", weights)
+            assert "The title of it" in text and "Last words" in text and "Item" not in text and "foot" not in text
+            if where == "inside" and stays:
+                assert "QQQ" in text and "Over it" in text
+            assert stays or not [w for w in ("Read this", "I think", "Tell others") if w in text]
+
+
+@pytest.mark.parametrize("named", ['div class="ad"', 'div class="cookie-notice"', 'section class="comments"', 'div class="sidebar"', 'div class="notice"'])
+def test_names_of_one_meaning_and_notices_go(named):
+    inner = "Short words here now" if "notice" in named else f"<p>{PARA * 3}</p>"
+    text = html_extract.extract(f"<html><body><article>{ARTICLE}<{named}>{inner}</{named.split()[0]}><p>Last words of it.</p></article></body></html>")
+    assert text == "The title of it\n" + f"{PARA}\n" * 3 + "Last words of it."
+
+
+def plain_tree(page):
+    """The blocks that a plain reading of a well-formed page leaves: the region is all of it."""
+    import xml.etree.ElementTree as ET
+
+    def words(e, link=False, prose=True):
+        link, prose = link or e.tag == "a", prose and e.tag not in html_extract._NO_PROSE
+        own = lambda t: len((t or "").split()) * (-2 if link else 1 if prose else 0)
+        if out(e):
+            return 0
+        return own(e.text) + sum(words(c, link, prose) + own(c.tail) for c in e)
+
+    def inner(e):
+        own = lambda t: len((t or "").split())
+        return own(e.text) + sum(words(c) + own(c.tail) for c in e)
+
+    def out(e):
+        names = e.get("class", "").split("-")
+        if e.tag in ("nav", "aside") or "ad" in names:
+            return True
+        weight = sum(html_extract.prior(f"name:{n}") for n in names) / len(names)
+        return weight <= html_extract.DOUBTED and html_extract.NAME_WORDS * weight + inner(e) < 0
+
+    blocks = [""]
+
+    def walk(e):
+        if e.tag in html_extract.BLOCK:
+            blocks.append("")
+        if not out(e):
+            blocks[-1] += e.text or ""
+            for c in e:
+                walk(c)
+                blocks[-1] += c.tail or ""
+        if e.tag in html_extract.BLOCK:
+            blocks.append("")
+
+    walk(ET.fromstring(page))
+    return [" ".join(b.split()) for b in blocks if b.split()]
+
+
+def test_extraction_is_a_plain_reading_of_small_pages():
+    rng = random.Random(6)
+    names = ["popular", "share-bar", "related-work", "ad", "notice", "kappa", "search"]
+
+    def block(depth):
+        kind = rng.randint(0, 5 if depth else 3)
+        if kind <= 1:
+            return "<p>" + "words of a text " * rng.randint(1, 6) + "</p>"
+        if kind == 2:
+            return "<ul>" + "<li>an item</li>" * 3 + "</ul>"
+        if kind == 3:
+            return "<p>see <a>one link</a> and so on here</p>"
+        return f'<div class="{rng.choice(names)}">' + "".join(block(depth - 1) for _ in range(rng.randint(1, 3))) + "</div>"
+
+    for _ in range(150):
+        long = "<p>" + "words of the article " * 60 + "</p>"
+        page = "<body>" + long + "".join(block(2) for _ in range(4)) + long + "</body>"
+        assert html_extract.extract(page).split("\n") == plain_tree(page)
+
+
 def test_deep_nesting_is_linear():
     import time
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import browse, cells, exam, keywords, scope, search, stored
+from ..operators import browse, cells, exam, grams, keywords, scope, search, stored
 from ..sources import artifacts
 from ..sources import pages as sources
 from ..sources.scratch import new_path
@@ -277,23 +277,46 @@ def rows(spark: SparkSession, values: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
 
+#: What a query takes from the tables besides its stated rows: a table and expressions that both engines know.
+FROM_TABLES = {
+    "q": ("conversations", "text"),
+    "raw": ("conversations", "concat('say {\"conv\": ', CAST(conv_id AS VARCHAR(20)), ', \"turn\": ', CAST(turn AS VARCHAR(20)), '} KEEP: ', CAST(turn AS VARCHAR(20)), ', ', CAST(conv_id % 17 AS VARCHAR(20)), ' ', role)"),
+    "id, s": ("documents", "doc_id + 1000", "concat('第', source, '樹狀結構', lang, '的搜尋', CAST(doc_id AS VARCHAR(20)))"),
+    "id, text, ocr": ("documents", "doc_id + 1000", "text", "source"),
+    "t": ("pages", "url"),
+    "doc, page, img, w, h, page_w, page_h": ("documents", "source", "doc_id", "CAST(doc_id % 3 AS INT)", "CAST(n_chars % 300 AS INT)", "CAST(n_chars % 199 AS INT)", "200", "210"),
+}
+
+
+def given(spark: SparkSession, sf_dir: str, values: str, columns: str) -> DataFrame:
+    """Stated rows, and those of a table."""
+    name, *parts = FROM_TABLES[columns]
+    more = table(spark, sf_dir, name).select(*(F.expr(p).alias(c) for p, c in zip(parts, columns.split(", "), strict=True)))
+    return rows(spark, values, columns).union(more)
+
+
+def given_sql(values: str, columns: str) -> str:
+    name, *parts = FROM_TABLES[columns]
+    return f"(SELECT * FROM (VALUES {values}) AS v UNION ALL SELECT {', '.join(parts)} FROM {name}) AS t({columns})"
+
+
 TEXT_ROWS = "(1, 'a text', 'an ocr'), (2, '', 'only ocr'), (3, 'only text', ''), (4, '這頁是沒有txt的', 'behind the mark'), (5, '', '')"
 
 
-@query(f"SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN text NOT IN ('', '這頁是沒有txt的') THEN text END, nullif(ocr, '')) AS body FROM (VALUES {TEXT_ROWS}) AS t(id, text, ocr)")
+@query(f"SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN text NOT IN ('', '這頁是沒有txt的') THEN text END, nullif(ocr, '')) AS body FROM {given_sql(TEXT_ROWS, 'id, text, ocr')}")
 def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, TEXT_ROWS, "id, text, ocr").select("id", text.index_text(F.col("text"), F.col("ocr")).alias("body"))
+    return given(spark, sf_dir, TEXT_ROWS, "id, text, ocr").select("id", text.index_text(F.col("text"), F.col("ocr")).alias("body"))
 
 
 QUESTIONS = "('請說明流程'), ('比較兩者的差異'), ('整理重點'), ('列出步驟並比較'), ('什麼是圖'), ('what is the process'), ('')"
 TASK_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{name}'" for name, words in text.TASK_WORDS.items()) + " ELSE 'qa' END"
 
 
-@query(f"""WITH t AS (SELECT q, {TASK_SQL} AS task FROM (VALUES {QUESTIONS}) AS t(q))
+@query(f"""WITH t AS (SELECT q, {TASK_SQL} AS task FROM {given_sql(QUESTIONS, 'q')})
   SELECT q, task, CASE task WHEN 'process' THEN 768 WHEN 'qa' THEN 384 ELSE 640 END AS tokens, CASE task WHEN 'process' THEN 30 WHEN 'qa' THEN 15 ELSE 25 END AS depth FROM t""")
 def classify_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = text.task_type(F.col("q"))
-    return rows(spark, QUESTIONS, "q").select("q", task.alias("task"), text.answer_tokens(task).alias("tokens"), text.search_depth(task, F.lit(40)).alias("depth"))
+    return given(spark, sf_dir, QUESTIONS, "q").select("q", task.alias("task"), text.answer_tokens(task).alias("tokens"), text.search_depth(task, F.lit(40)).alias("depth"))
 
 
 def _replace_sql(x: str, words: list[str]) -> str:
@@ -302,9 +325,9 @@ def _replace_sql(x: str, words: list[str]) -> str:
     return x
 
 
-@query(f"SELECT q, coalesce(nullif({strip_sql(squeeze_sql(_replace_sql('q', text.TOPIC_FILLERS)))}, ''), nullif(q, '')) AS topic FROM (VALUES {QUESTIONS}) AS t(q)")
+@query(f"SELECT q, coalesce(nullif({strip_sql(squeeze_sql(_replace_sql('q', text.TOPIC_FILLERS)))}, ''), nullif(q, '')) AS topic FROM {given_sql(QUESTIONS, 'q')}")
 def main_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, QUESTIONS, "q").select("q", text.main_topic(F.col("q")).alias("topic"))
+    return given(spark, sf_dir, QUESTIONS, "q").select("q", text.main_topic(F.col("q")).alias("topic"))
 
 
 @query(f"SELECT conv_id, turn, {strip_sql('text')} <> '' AND NOT starts_with(lower({strip_sql('text')}), 'sources:') AND length({strip_sql('text')}) >= 10 AS usable FROM conversations")
@@ -333,18 +356,18 @@ def sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_ROWS = """('no json'), ('x {"a": 1} y'), ('{"a": {"b": 2}} tail'), ('{bad}'), ('pre {"a": "}"} post')"""
 
 
-@query(f"SELECT raw, CASE WHEN json_valid(regexp_extract(raw, '(?s)\\{{.*\\}}', 0)) THEN regexp_extract(raw, '(?s)\\{{.*\\}}', 0) END AS found FROM (VALUES {JSON_ROWS}) AS t(raw)")
+@query(f"SELECT raw, CASE WHEN json_valid(regexp_extract(raw, '(?s)\\{{.*\\}}', 0)) THEN regexp_extract(raw, '(?s)\\{{.*\\}}', 0) END AS found FROM {given_sql(JSON_ROWS, 'raw')}")
 def parse_first_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, JSON_ROWS, "raw").select("raw", text.first_json(F.col("raw")).alias("found"))
+    return given(spark, sf_dir, JSON_ROWS, "raw").select("raw", text.first_json(F.col("raw")).alias("found"))
 
 
 KEEP_ROWS = "('KEEP: 3, 1, 3, 99, 2'), ('keep : 7'), ('none'), ('KEEP: 0, 5, 5, 4, 8, 9, 10'), ('KEEP: 2, 11, 12 and 4')"
 
 
-@query(f"""WITH n AS (SELECT raw, list_filter(list_transform(regexp_extract_all(regexp_extract(raw, '(?i)KEEP\\s*:\\s*([0-9,\\s]+)', 1), '\\d+'), lambda x: CAST(x AS INTEGER)), lambda x: x < 12) AS l FROM (VALUES {KEEP_ROWS}) AS t(raw))
+@query(f"""WITH n AS (SELECT raw, list_filter(list_transform(regexp_extract_all(regexp_extract(raw, '(?i)KEEP\\s*:\\s*([0-9,\\s]+)', 1), '\\d+'), lambda x: CAST(x AS INTEGER)), lambda x: x < 12) AS l FROM {given_sql(KEEP_ROWS, 'raw')})
   SELECT raw, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ',') AS ids FROM n""")
 def parse_keep_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, KEEP_ROWS, "raw").select("raw", F.array_join(text.keep_ids(F.col("raw"), 12, 4).cast("array<string>"), ",").alias("ids"))
+    return given(spark, sf_dir, KEEP_ROWS, "raw").select("raw", F.array_join(text.keep_ids(F.col("raw"), 12, 4).cast("array<string>"), ",").alias("ids"))
 
 
 # Keywords
@@ -440,9 +463,9 @@ def tips_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 CN_ROWS = "(1, '二元樹的走訪方式與圖形演算法 tree 走訪'), (2, '例如 其中'), (3, '資料結構資料結構資料結構資料'), (4, 'abc')"
 
 
-@query(f"WITH f AS (SELECT id, unnest(regexp_extract_all(s, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')) AS term FROM (VALUES {CN_ROWS}) AS t(id, s)) SELECT id, term FROM f WHERE term NOT IN {_in(keywords.STOP_CN)}")
+@query(f"WITH f AS (SELECT id, unnest(regexp_extract_all(s, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')) AS term FROM {given_sql(CN_ROWS, 'id, s')}) SELECT id, term FROM f WHERE term NOT IN {_in(keywords.STOP_CN)}")
 def extract_terms_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, CN_ROWS, "id, s").select("id", F.explode(keywords.terms(F.col("s"), "cn")).alias("term")).where(~F.col("term").isin(keywords.STOP_CN))
+    return given(spark, sf_dir, CN_ROWS, "id, s").select("id", F.explode(keywords.terms(F.col("s"), "cn")).alias("term")).where(~F.col("term").isin(keywords.STOP_CN))
 
 
 JUNK_ROWS = "('二元樹'), ('若是這樣'), ('aaaaaaaaab'), ('ab'), ('a/b/c'), ('running'), ('ring'), ('1234'), ('其他樹'), ('大約三個節點數'), ('深度優先走訪'), ('步驟'), ('SKIP it'), ('能力')"
@@ -450,10 +473,10 @@ SHAPE_SQL = " OR ".join(f"(regexp_matches(t, '{p}')" + (f" AND length(t) <= {n})
 
 
 @query(
-    f"SELECT t, (length(t) <= 2 OR {' OR '.join(f'''contains(t, '{b}')''' for b in keywords.BOILERPLATE)} OR regexp_matches(t, '^[0-9_]+$') OR (length(t) >= 8 AND len(list_distinct(string_split(t, ''))) / length(t) < 0.35) OR {SHAPE_SQL}) AS junk FROM (VALUES {JUNK_ROWS}) AS v(t)"
+    f"SELECT t, (length(t) <= 2 OR {' OR '.join(f'''contains(t, '{b}')''' for b in keywords.BOILERPLATE)} OR regexp_matches(t, '^[0-9_]+$') OR (length(t) >= 8 AND len(list_distinct(string_split(t, ''))) / length(t) < 0.35) OR {SHAPE_SQL}) AS junk FROM {given_sql(JUNK_ROWS, 't')}"
 )
 def junk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, JUNK_ROWS, "t").select("t", keywords.is_junk(F.col("t")).alias("junk"))
+    return given(spark, sf_dir, JUNK_ROWS, "t").select("t", keywords.is_junk(F.col("t")).alias("junk"))
 
 
 # Chapters
@@ -482,6 +505,17 @@ def merge_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.merged(pages, scope.choose(scope.chapters(pages), span="2-5")).select("selected", "pos", "doc_id", "page")
 
 
+@query(f"""WITH {CHAPTERS}, {CORPUS}, picked AS (SELECT doc_id, page, text, pos, CASE ordinal WHEN 3 THEN 1 ELSE 2 END AS selected FROM chapters JOIN corpus USING (doc_id) WHERE ordinal IN (3, 1)),
+  placed AS (SELECT *, row_number() OVER (ORDER BY selected, pos) - 1 AS place, {norm_sql('doc_id || text')} AS blob FROM picked), hits AS (SELECT *, {EXACT_CASE} AS variant FROM placed)
+  SELECT CAST(row_number() OVER (ORDER BY variant, place) AS INTEGER) AS rank, doc_id, page, place AS pos FROM hits WHERE variant IS NOT NULL ORDER BY variant, place LIMIT 40""")
+def merged_scope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search over a scope that is picked as 3, 1: the pages of chapter 3 come before those of chapter 1."""
+    pages = corpus(spark, sf_dir)
+    path = new_path(spark, "scope")
+    grams.build(search.with_blob(scope.placed(scope.merged(pages, scope.by_pick(scope.chapters(pages), "3,1")))), path)
+    return grams.GramIndex(spark, path).exact_search(TEXT_QUERY, 40).select("rank", "doc_id", "page", "pos")
+
+
 STEMS = "('CH04'), ('CH04_x'), ('(II) a'), ('(iv) z'), ('第三章'), ('第十二章 x'), ('第2節'), ('Chapter 3'), ('Unit-7 b'), ('Lecture 2'), ('notes_2'), ('alpha'), ('beta10'), ('beta9'), ('CH12 sorting')"
 ROMANS = "('I'), ('iv'), ('IX'), ('XIV'), ('MCMXC'), ('abc'), ('')"
 CN_NUMBERS = "('一'), ('十'), ('十二'), ('二十'), ('三十五'), ('兩'), ('零'), ('42'), ('百'), ('x')"
@@ -625,10 +659,10 @@ def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOXES = "('a', 1, 1, 100, 100, 1000, 1000), ('a', 1, 2, 79, 500, 1000, 1000), ('a', 2, 1, 990, 990, 1000, 1000), ('b', 1, 1, 80, 80, 500, 500), ('b', 2, 1, 10, 10, 500, 500)"
 
 
-@query(f"""WITH b AS (SELECT * FROM (VALUES {BOXES}) AS t(doc, page, img, w, h, page_w, page_h)), k AS (SELECT doc, page, img FROM b WHERE w >= 80 AND h >= 80 AND w * h / (page_w * page_h) <= 0.9)
+@query(f"""WITH b AS (SELECT * FROM {given_sql(BOXES, 'doc, page, img, w, h, page_w, page_h')}), k AS (SELECT doc, page, img FROM b WHERE w >= 80 AND h >= 80 AND w * h / (page_w * page_h) <= 0.9)
   SELECT * FROM k UNION ALL SELECT DISTINCT doc, page, CAST(NULL AS INTEGER) FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc = b.doc AND k.page = b.page)""")
 def image_crop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.crop_rule(rows(spark, BOXES, "doc, page, img, w, h, page_w, page_h"))
+    return sources.crop_rule(given(spark, sf_dir, BOXES, "doc, page, img, w, h, page_w, page_h"))
 
 
 IMAGE_ROWS = """('a.png', '["b.png", " a.png ", {"path": "c.png", "images": ["d.png", ["e.png"]]}]'), (null, '{"url": "u.png", "name": "n.png"}'), ('', null)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import NO_TEXT, filled, index_text, strip
+from .scratch import kept
 
 PAGE = "doc_id STRING, page INT, text STRING, images ARRAY<STRING>, ocr STRING"
 #: Rows as they come: any of several names for a column, and images in any shape, as JSON text.
@@ -29,9 +30,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = PAGE, required: boo
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of the lines that are neither blank nor JSON, lines numbered from 1."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\R")).alias("n", "text"))
-    return files.where((strip(F.col("text")) != "") & F.try_parse_json("text").isNull()).select("file", (F.col("n") + 1).alias("line"), "text")
+    """(file, line, text) of the lines that are neither blank nor JSON, lines numbered from 1.
+
+    Files are read in byte ranges. Which lines are bad is written with the place of each line in its range; the lines
+    of the ranges before it, a sum over one row a range, make it the number in the file.
+    """
+    bad = (strip(F.col("value")) != "") & F.try_parse_json("value").isNull()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.when(bad, F.col("value")).alias("text"))
+    lines = kept(lines, "lines")
+    ranges = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.where("text IS NOT NULL").join(ranges, ["path", "start"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
 
 
 def checked_jsonl(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:

@@ -165,3 +165,19 @@ def test_titles_and_sections_are_searched(spark):
     asked = spark.createDataFrame([(1, "trees"), (2, "part two")], "query_id long, query string")
     assert {(r.query_id, r.page) for r in search.exact_search_batch(rows, asked).collect()} == {(1, 1), (2, 1), (2, 2)}
     assert [r.page for r in search.exact_search(search.with_blob(rows), "trees").collect()] == [1]
+
+
+def test_bad_lines_of_a_file_of_many_ranges(spark, tmp_path):
+    rows = ['{"doc_id": "%d", "text": "%s"}' % (k, "x" * (k % 37)) if k % 50 else ("no json %d" % k if k % 100 else "  ") for k in range(1, 2001)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows) + "\n", encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("\n\n{}\noops", encoding="utf-8")
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(held, ("4096", "512"), strict=True):
+            spark.conf.set(c, v)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted(tuple(r) for r in pages.bad_lines(spark, str(tmp_path)).collect())
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert got == [("a.jsonl", k, f"no json {k}") for k in range(50, 2001, 100)] + [("b.jsonl", 4, "oops")]

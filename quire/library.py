@@ -9,6 +9,7 @@ FileNotFoundError something that is not there.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,8 @@ class Library:
         rows.withColumns({"subject": F.lit(subject), "data_type": F.lit(data_type)}).write.mode("append").partitionBy("subject", "data_type").parquet(self._path(table))
 
     RAW = "name string, content binary, added timestamp"
-    PAGES = "doc_id string, page int, text string, images array<string>, ocr string, pos long"
-    PICTURES = "doc_id string, page int, img int, name string, content binary, status string"
+    PAGES = "batch string, doc_id string, page int, text string, images array<string>, ocr string, pos long"
+    PICTURES = "batch string, doc_id string, page int, img int, name string, content binary, status string"
     SCOPES = "scope string, made timestamp, selected int, doc_id string, page int, text string, images array<string>, ocr string, pos long"
     TIPS = "scope string, lang string, doc_id string, rank int, term string, raw_score double, score_norm double, tf long, df long, page_df long, rep_pos long, rep_hits long, made timestamp"
     ALLOWED = "scope string, lang string, doc_id string, terms array<string>"
@@ -78,12 +79,12 @@ class Library:
         subject = self.spark.range(1).select(sanitized(F.lit(subject)).alias("s")).first().s
         checked(subject=subject)
         found = documents.files(self.spark, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
-        status = ingest.upload_status(found.select("name"), self.uploads(subject, data_type), DATA_TYPES[data_type]).collect()
-        taken = [r.name for r in status if r.status != "skipped"]
-        if not taken:
+        status = kept(ingest.upload_status(found.select("name"), self.uploads(subject, data_type), DATA_TYPES[data_type]), "uploads")
+        taken = status.where("status <> 'skipped'").select("name")
+        if taken.isEmpty():
             raise ValueError("no file of this kind")
-        self._add("raw", found.where(F.col("name").isin(taken)).withColumn("added", F.current_timestamp()), subject, data_type)
-        return self.spark.createDataFrame(status)
+        self._add("raw", found.join(taken, "name", "left_semi").withColumn("added", F.current_timestamp()), subject, data_type)
+        return status
 
     def uploads(self, subject: str | None = None, data_type: str | None = None) -> DataFrame:
         """(subject, data_type, name, added) of the files, each as it was last taken in."""
@@ -91,26 +92,39 @@ class Library:
         return rows.groupBy("subject", "data_type", "name").agg(F.max("added").alias("added"))
 
     def preprocess(self, subject: str, data_type: str, extractor: Extractor, recogniser: Recogniser | None = None) -> DataFrame:
-        """Makes pages of the files that have none yet; (doc_id, status) of what was read."""
+        """Makes pages of the files that have none yet; (doc_id, status) of what was read.
+
+        A file is read once for its texts and once for its pictures. The rows of a call are one batch, which counts once it is
+        listed; that is written last, so pictures and pages appear together or, if a write fails, not at all.
+        """
         checked(data_type, subject=subject)
         raw = self._table("raw", self.RAW, subject, data_type).groupBy("name").agg(F.max_by("content", "added").alias("content"))
         files = raw.select(documents.stem(F.col("name")).alias("doc_id"), "content")
         files = ingest.pending(files, self.pages(subject, data_type), ["doc_id"])
-        texts, pictures = documents.extracted(files, extractor), documents.extracted_images(files, extractor).where("status = 'done'")
+        batch = F.lit(uuid.uuid4().hex)
+        files = kept(files, "files")
+        texts = kept(documents.extracted(files, extractor), "texts")
+        pictures = kept(documents.extracted_images(files, extractor).where("status = 'done'"), "pictures")
         shots = pictures.select("doc_id", "page", "img", F.col("name").alias("path"))
         none = self.spark.createDataFrame([], "doc_id string, stem string, ocr string")
         seen = documents.recognised(pictures.select("doc_id", "name", "content"), none, recogniser).select("doc_id", "stem", "ocr") if recogniser else none
         pages = sources.assembled(texts.where("status = 'done'").select("doc_id", "page", "text"), sources.with_ocr(shots, seen))
-        self._add("pictures", pictures, subject, data_type)
+        self._add("pictures", pictures.withColumn("batch", batch), subject, data_type)
         order = F.row_number().over(browse.Window.partitionBy("doc_id").orderBy("page"))
         chapter = F.abs(F.xxhash64("doc_id") % F.lit(1 << 30)) * F.lit(1 << 20)  # places of a chapter's pages follow one another
-        self._add("pages", pages.withColumn("pos", (chapter + order).cast("long")), subject, data_type)
+        self._add("pages", pages.withColumns({"pos": (chapter + order).cast("long"), "batch": batch}), subject, data_type)
+        self._add("batches", self.spark.range(1).select(batch.alias("batch")), subject, data_type)
         return texts.groupBy("doc_id").agg(F.max("status").alias("status"))
 
     # Scopes
 
+    def _listed(self, table: str, schema: str, subject: str | None = None, data_type: str | None = None) -> DataFrame:
+        """A table without the rows of batches that were not completed."""
+        batches = self._table("batches", "batch string", subject, data_type).select("batch").distinct()  # a row a call of preprocess
+        return self._table(table, schema, subject, data_type).join(batches, "batch", "left_semi").drop("batch")
+
     def pages(self, subject: str, data_type: str) -> DataFrame:
-        return self._table("pages", self.PAGES, subject, data_type)
+        return self._listed("pages", self.PAGES, subject, data_type)
 
     def chapters(self, subject: str, data_type: str) -> DataFrame:
         """(ordinal, doc_id) in natural order."""
@@ -248,13 +262,13 @@ class Library:
     def materials(self) -> DataFrame:
         """(subject, data_type, chapters): of every corpus its scopes, else its chapters."""
         merged = self._table("scopes", self.SCOPES).select("subject", "data_type", F.col("scope").alias("chapter"), F.lit(0).alias("priority"))
-        single = self._table("pages", self.PAGES).select("subject", "data_type", F.col("doc_id").alias("chapter"), F.lit(1).alias("priority"))
+        single = self._listed("pages", self.PAGES).select("subject", "data_type", F.col("doc_id").alias("chapter"), F.lit(1).alias("priority"))
         every = merged.unionByName(single).distinct()
         return browse.rollup(browse.first_source(every, ["subject", "data_type"], "priority"), ["subject", "data_type"], "chapter")
 
     def viewer_sources(self) -> DataFrame:
         """(subject, data_type, chapters): of every corpus its chapters, else its scopes."""
-        single = self._table("pages", self.PAGES).select("subject", "data_type", F.col("doc_id").alias("chapter"), F.lit(0).alias("priority"))
+        single = self._listed("pages", self.PAGES).select("subject", "data_type", F.col("doc_id").alias("chapter"), F.lit(0).alias("priority"))
         merged = self._table("scopes", self.SCOPES).select("subject", "data_type", F.col("scope").alias("chapter"), F.lit(1).alias("priority"))
         every = single.unionByName(merged).distinct()
         return browse.rollup(browse.first_source(every, ["subject", "data_type"], "priority"), ["subject", "data_type"], "chapter")
@@ -266,7 +280,7 @@ class Library:
     def preprocess_candidates(self) -> DataFrame:
         """(subject, data_type, doc_ids, file_count) of the files without pages."""
         files = self.uploads().select("subject", "data_type", documents.stem(F.col("name")).alias("doc_id"))
-        return browse.rollup(ingest.pending(files, self._table("pages", self.PAGES), ["subject", "data_type", "doc_id"]), ["subject", "data_type"], "doc_id")
+        return browse.rollup(ingest.pending(files, self._listed("pages", self.PAGES), ["subject", "data_type", "doc_id"]), ["subject", "data_type"], "doc_id")
 
     def index_candidates(self) -> DataFrame:
         """(subject, data_type, chapters, file_count) of the indexes, which can be searched and examined."""
@@ -307,7 +321,7 @@ class Library:
     def image_url(self, image: str) -> str:
         """The address of an image, by its path or name; fails if there is none."""
         checked(image=image)
-        there = self._table("pictures", self.PICTURES).select(F.concat_ws("/", "subject", "data_type", "doc_id", F.lit("raw_img"), "name").alias("path"))
+        there = self._listed("pictures", self.PICTURES).select(F.concat_ws("/", "subject", "data_type", "doc_id", F.lit("raw_img"), "name").alias("path"))
         found = browse.resolved_images(self.spark.createDataFrame([(image.strip(),)], "image string"), there).select(static_url(F.col("path")).alias("url")).first()
         if found is None:
             raise FileNotFoundError(f"no image {image}")

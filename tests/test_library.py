@@ -93,6 +93,38 @@ def test_pages_and_browsing(library):
             bad()
 
 
+def test_a_failed_batch_is_not_there(library, spark, tmp_path, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("five")
+    for c in range(1, 6):
+        (folder / f"CH0{c}.pptx").write_bytes(slides(*(f"{c}-{p} The common word and page {p} of chapter {c}" for p in (1, 2))))
+    made = Library(spark, str(tmp_path), HashingEmbedder(32), Teacher())
+    made.upload("five", "ppt", str(folder))
+    add, reads = made._add, tmp_path_factory.mktemp("reads")
+
+    class Counting(documents.SlideReader):
+        def pages(self, content):
+            import uuid
+
+            (reads / uuid.uuid4().hex).write_text("x")
+            return super().pages(content)
+
+    def failing(table, *rest):
+        if table == "pages":
+            raise OSError("no room")
+        add(table, *rest)
+
+    made._add = failing
+    with pytest.raises(OSError):
+        made.preprocess("five", "ppt", documents.SlideReader())
+    made._add = add
+    assert made.pages("five", "ppt").count() == 0 == made._listed("pictures", made.PICTURES).count()
+    made.preprocess("five", "ppt", Counting())
+    assert made.pages("five", "ppt").count() == 10 == made._listed("pictures", made.PICTURES).count() and len(list(reads.iterdir())) == 5
+    name = made.merge("five", "ppt", pick="3,1,5")
+    made.build_index("five", "ppt", name)
+    assert [(r.doc_id, r.page) for r in made.search("five", "ppt", name, "common word", k=4).collect()] == [("CH03", 1), ("CH03", 2), ("CH01", 1), ("CH01", 2)]
+
+
 def test_search_and_answers(library):
     hits = library.search("my_course", "ppt", library.name, "ＧＲＡＰＨ search").collect()
     assert [(r.rank, r.branch, r.doc_id, r.page) for r in hits] == [(1, 0, "CH02", 1)]

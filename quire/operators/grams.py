@@ -142,6 +142,6 @@ class GramIndex:
         places = sorted({r.pos for r in some})
         needs = {r.variant for r in some if not r.sure}
         tests = [F.contains("blob", F.lit(variants[v])).alias(f"v{v}") for v in sorted(needs)]
-        near = F.col("pos").between(places[0], places[-1]) & F.col("pos").isin(places)
+        near = F.expr(f"pos BETWEEN {places[0]} AND {places[-1]} AND pos IN ({', '.join(map(str, places))})")  # one text, not a literal each
         found = {r.pos: r for r in self.pages.where(near).select("doc_id", "page", "pos", "text", "ocr", *tests).collect()}
         return [(r.variant, found[r.pos]) for r in some if r.sure or found[r.pos][f"v{r.variant}"]]

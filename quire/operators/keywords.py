@@ -2,15 +2,16 @@
 
 Terms are extracted and counted page by page in Arrow batches, then per chapter,
 so each count is combined before its shuffle; scores and ranks are DataFrame
-operations. The order-dependent choice among overlapping terms runs in pandas,
-over the first ranks of each chapter.
+operations. A chapter may hold most rows, so its ranks and percentiles are counted
+over ranges of its order. The order-dependent choice among overlapping terms is a
+fold over windows of ranks, whose state is stored from one window to the next.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, CJK_PLAIN, squeeze, strip
+from ..sources.scratch import kept
+from .numbering import running
 
 # Words that are no keywords.
 STOP_CN = "例如 可以 定義 表示 如下 其中 因此 我們 你們 以及 進行 使用 工作 目標 系統 資料 結果 問題 相關 圖形 程式 大致 分成下列幾種 應用 好的 一下 個英文字母 假設事件 顧名思義 比較 進入 開始 假設 設定 如圖 這頁是沒有 首先 下列 形成下列 包含下列 被應用在 可應用在 可用於 用於 用在 總共 都是 直接".split()
@@ -163,9 +166,10 @@ def _order() -> list[Column]:
 
 
 def ranked(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """Adds rank by score, ties by first place; n: the best only."""
-    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*_order())))
-    return out.where(F.col("rank") <= n) if n else out
+    """Adds rank by score, ties by first place; n: the best only, which Spark takes from each task before its shuffle."""
+    if n:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*_order()))).where(F.col("rank") <= n)
+    return running(rows, "doc_id", _order()).withColumn("rank", F.col("rank").cast("int"))
 
 
 def with_norm(rows: DataFrame) -> DataFrame:
@@ -174,10 +178,28 @@ def with_norm(rows: DataFrame) -> DataFrame:
     return rows.join(best, "doc_id").withColumn("score_norm", 100.0 * F.col("raw_score") / F.when(F.col("best") == 0, 1.0).otherwise(F.col("best"))).drop("best")
 
 
+def percentiles(values: DataFrame, column: str, fractions: tuple[float, ...]) -> DataFrame:
+    """(doc_id, p): the exact percentiles of each chapter, as percentile() has them, from the counts `n` of its distinct values.
+
+    Only the values at the places asked for leave the range that they stand in, two for each fraction.
+    """
+    counted = running(values, "doc_id", [F.col(column)], "upto", "n")
+    total = values.groupBy("doc_id").agg(F.sum("n").alias("total"))
+    place = lambda f: F.lit(f) * (F.col("total") - 1)
+    asked = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil(place(f)) if up else F.floor(place(f))).cast("long").alias("at")) for k, f in enumerate(fractions) for up in (False, True)))
+    rows = counted.join(total, "doc_id")
+    hits = rows.select("doc_id", "total", column, F.explode(F.filter(asked, lambda x: (x["at"] < F.col("upto")) & (x["at"] >= F.col("upto") - F.col("n")))).alias("a"))
+    ends = hits.groupBy("doc_id").agg(F.first("total").alias("total"), *(F.max(F.when((F.col("a.k") == k) & (F.col("a.up") == F.lit(up)), F.col(column))).alias(f"v{k}{int(up)}") for k in range(len(fractions)) for up in (False, True)))
+    between = [F.when(F.col(f"v{k}0") == F.col(f"v{k}1"), F.col(f"v{k}0")).otherwise((F.ceil(place(f)) - place(f)) * F.col(f"v{k}0") + (place(f) - F.floor(place(f))) * F.col(f"v{k}1")) for k, f in enumerate(fractions)]
+    return ends.select("doc_id", F.array(*between).alias("p"))
+
+
 def metrics(rows: DataFrame) -> DataFrame:
-    """How the scores of each chapter are spread; rows are ranked on the way, so that one shuffle by chapter does for both."""
-    out = ranked(rows.select("doc_id", "raw_score", "first"))
-    spread = out.groupBy("doc_id").agg(F.percentile("raw_score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), F.avg("raw_score").alias("mean"), F.avg(F.when(F.col("rank") <= 100, F.col("raw_score"))).alias("head"), F.count(F.lit(1)).alias("n_terms"))
+    """How the scores of each chapter are spread; rows are read three times."""
+    values = kept(rows.groupBy("doc_id", "raw_score").agg(F.count(F.lit(1)).alias("n")), "values")
+    spread = values.groupBy("doc_id").agg((F.sum(F.col("raw_score") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n_terms"))
+    head = ranked(rows.select("doc_id", "raw_score", "first"), 100).groupBy("doc_id").agg(F.avg("raw_score").alias("head"))
+    spread = spread.join(head, "doc_id").join(percentiles(values, "raw_score", (0.1, 0.5, 0.9)), "doc_id")
     p10, p50, p90 = (F.col("p")[k] for k in range(3))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return spread.select(
@@ -193,17 +215,22 @@ def adaptive_limits(spread: DataFrame, topn: int) -> DataFrame:
     return spread.withColumns({"eff_topn": n, "core_n": F.least(F.lit(4), n)})
 
 
-def promoted(rows: DataFrame) -> DataFrame:
-    """Single words give way to the best phrase (of the chapter's best 200 terms) that holds them and is no weaker; each term stays once, at its best rank."""
-    top = ranked(rows).withColumn("is_phrase", F.contains("term", F.lit(" ")))
-    phrases = top.where("rank <= 200 AND is_phrase").select("doc_id", F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term", "rank", "page_df", "heading").where("length(word) > 2")
+def promoted(rows: DataFrame, places: bool = True) -> DataFrame:
+    """Single words give way to the best phrase (of the chapter's best 200 terms) that holds them and is no weaker.
+
+    places: adds `place`, the best rank of each term that stays, counting those of the words that gave way to it.
+    """
+    rows = ranked(rows) if places else rows
+    best = ranked(rows.drop("rank"), 200).where(F.contains("term", F.lit(" ")))
+    phrases = best.select("doc_id", F.explode(F.array_distinct(F.split("term", " "))).alias("word"), "term", "rank", "page_df", "heading").where("length(word) > 2")
     best = phrases.groupBy("doc_id", "word").agg(F.min_by(F.struct("term", "page_df", "heading"), "rank").alias("phrase"))
-    single = F.when(~F.col("is_phrase"), F.col("term"))  # null for phrases, which so meet nothing
-    joined = top.withColumn("word", single).join(best, ["doc_id", "word"], "left")
-    stronger = (F.col("phrase.page_df") >= F.col("page_df")) | (F.col("phrase.heading") > F.col("heading")) | (F.col("phrase.heading") >= 0.5)
-    chosen = joined.select("doc_id", F.when(F.coalesce(stronger, F.lit(False)), F.col("phrase.term")).otherwise(F.col("term")).alias("term"), F.col("rank").alias("at"))
-    places = chosen.groupBy("doc_id", "term").agg(F.min("at").alias("place"))
-    return rows.join(places, ["doc_id", "term"])
+    single = F.when(~F.contains("term", F.lit(" ")), F.col("term"))  # null for phrases, which so meet nothing
+    joined = rows.withColumn("word", single).join(best, ["doc_id", "word"], "left")
+    stronger = F.coalesce((F.col("phrase.page_df") >= F.col("page_df")) | (F.col("phrase.heading") > F.col("heading")) | (F.col("phrase.heading") >= 0.5), F.lit(False))
+    if not places:  # phrases give way to nothing
+        return joined.where(~stronger).drop("word", "phrase")
+    chosen = joined.select("doc_id", F.when(stronger, F.col("phrase.term")).otherwise(F.col("term")).alias("term"), F.col("rank").alias("at"))
+    return rows.drop("rank").join(chosen.groupBy("doc_id", "term").agg(F.min("at").alias("place")), ["doc_id", "term"])
 
 
 # What a term's overlap key leaves out besides white space: marks and particles.
@@ -216,20 +243,6 @@ def overlap_key(term: str) -> str:
     return "".join(term.lower().split()).translate(_LEFT_OUT)
 
 
-class Choice:
-    """Terms chosen so far, each with its key; a term belongs to the first that it overlaps, and takes its place if longer, or equally long and better."""
-
-    def __init__(self) -> None:
-        self.places: list[tuple[str, tuple]] = []
-
-    def take(self, row: tuple) -> None:
-        key = overlap_key(row[0])
-        at = next((n for n, (old, _) in enumerate(self.places) if key in old or old in key), len(self.places))
-        held = self.places[at][1] if at < len(self.places) else ("", 0.0)
-        if at == len(self.places) or (len(row[0]), row[1]) > (len(held[0]), held[1]):
-            self.places[at : at + 1] = [(key, row)]
-
-
 def _fit(term: str, page_df: int, heading: float, lang: str) -> bool:
     """Short English words need a heading or several pages."""
     return page_df > 0 and not (lang == "en" and " " not in term and len(term) <= 4 and heading < 0.5 and page_df < 4)
@@ -243,63 +256,165 @@ def _filler(term: str, page_df: int, heading: float, lang: str) -> bool:
     return not single or not (heading < 1.0 and page_df <= 2 or term.lower().endswith(("ed", "ing")))
 
 
-def chosen(rows: Iterable[tuple], eff_topn: int, core_n: int, lang: str, compat_stale_features: bool = False) -> tuple[list[tuple], bool]:
-    """The greedy choice of (term, raw, tf, page_df, heading) rows in order: first core_n that two pages or hits support, then others up to eff_topn.
+class Fold:
+    """The greedy choice of a chapter's keywords, as far as its rows (term, raw, tf, page_df, heading) were read in the order of their ranks.
 
-    Also, were both numbers reached? If not, more rows could change the choice.
-    compat_stale_features: the second round then judges by the features of the last row that the first one read.
+    It reads the rows twice: first for core_n terms that two pages or hits support, then, from the first rank on, for others up
+    to eff_topn. A term belongs to the first chosen one that it overlaps, and takes its place if longer, or equally long and better.
+    stale: the second round judges by the features of the last row that the first one read.
     """
-    rows, choice, last = list(rows), Choice(), (0, 0.0)
-    for row in rows:
-        term, _, tf, *last = row
-        if _fit(term, *last, lang) and max(last[0], tf) >= 2:
-            choice.take(row)
-            if len(choice.places) >= core_n:
-                break
-    core_full = len(choice.places) >= core_n
-    for row in rows if len(choice.places) < eff_topn else ():
-        if _filler(row[0], *(last if compat_stale_features else row[3:5]), lang):
-            choice.take(row)
-            if len(choice.places) >= eff_topn:
-                break
-    return [row for _, row in choice.places], core_full and len(choice.places) >= eff_topn
+
+    def __init__(self, eff_topn: int, core_n: int, lang: str, stale: bool = False, filling: bool = False, at: int = 0, last: tuple = (0, 0.0), places: Iterable[tuple] = ()):
+        self.eff_topn, self.core_n, self.lang, self.stale = eff_topn, core_n, lang, stale
+        self.filling, self.at, self.last = filling, at, last
+        self.places = [(overlap_key(row[0]), tuple(row)) for row in places]
+        self.done = False
+
+    def _place(self, row: tuple) -> int | None:
+        """The place that a row would get, if it is one for this round and better than what stands there."""
+        term, raw, tf, *seen = row
+        if self.filling:
+            fit = _filler(term, *(self.last if self.stale else seen), self.lang)
+        else:
+            fit = _fit(term, *seen, self.lang) and max(seen[0], tf) >= 2
+        if not fit:
+            return None
+        key = overlap_key(term)
+        at = next((n for n, (old, _) in enumerate(self.places) if key in old or old in key), len(self.places))
+        held = self.places[at][1] if at < len(self.places) else ("", 0.0)
+        return at if at == len(self.places) or (len(term), raw) > (len(held[0]), held[1]) else None
+
+    def changed_by(self, row: tuple) -> bool:
+        return self._place(row) is not None
+
+    def read(self, rows: Iterable[tuple[int, tuple]], n_rows: int) -> None:
+        """Reads on; rows: (rank, row) beyond `at`, of which none that is left out would change the choice. n_rows: of the chapter."""
+        for rank, row in rows:
+            self.at = rank
+            if not self.filling:
+                self.last = tuple(row[3:5])
+            place = self._place(row)
+            if place is not None:
+                self.places[place : place + 1] = [(overlap_key(row[0]), row)]
+                if len(self.places) >= (self.eff_topn if self.filling else self.core_n):
+                    return self.over()
+        if self.at >= n_rows:
+            self.over()
+
+    def over(self) -> None:
+        """The round ends: it is full, or no row that is left would change it."""
+        if self.filling or len(self.places) >= self.eff_topn:
+            self.done = True
+        else:
+            self.filling, self.at = True, 0
+
+    def rows(self) -> list[tuple]:
+        return [row for _, row in self.places]
 
 
 def choose(rows: Iterable[tuple], eff_topn: int, core_n: int, lang: str, compat_stale_features: bool = False) -> list[tuple]:
-    """The greedy choice among all rows of a chapter."""
-    return chosen(rows, eff_topn, core_n, lang, compat_stale_features)[0]
+    """The greedy choice among all rows of a chapter, given in order."""
+    listed, fold = list(enumerate(rows, 1)), Fold(eff_topn, core_n, lang, compat_stale_features)
+    while listed and not fold.done:
+        fold.read(listed, len(listed))
+    return fold.rows()
 
 
-#: Ranks that a choice reads; chapters that need more read all.
-FIRST_RANKS = 256
+#: Ranks that a task reads of a chapter at a time; up to 1,000, Spark takes the first ones from each task before its shuffle.
+WINDOW_RANKS = 1000
+_ROW = ["term", "raw_score", "tf", "page_df", "heading"]
+_PLACES = "array<struct<term:string,raw_score:double,tf:long,page_df:long,heading:double>>"
+_STATE = f"doc_id string, eff_topn int, core_n int, n_terms long, filling boolean, at long, last_df long, last_heading double, places {_PLACES}, done boolean"
+_STATE_COLUMNS = ["doc_id", "eff_topn", "core_n", "n_terms", "filling", "at", "last_df", "last_heading", "places", "done"]
+
+
+def _resumed(state, lang: str, stale: bool) -> Fold:
+    return Fold(int(state.eff_topn), int(state.core_n), lang, stale, bool(state.filling), int(state.at), (int(state.last_df), float(state.last_heading)), [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in state.places])
+
+
+def _reader(lang: str, stale: bool):
+    """The state of a chapter's choice after it read a window; without rows there is none that would change it."""
+
+    def run(states: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for state in states.itertuples(index=False):
+            fold = _resumed(state, lang, stale)
+            listed = list(zip(window["rank"].tolist(), window[_ROW].itertuples(index=False, name=None), strict=True)) if len(window) else []
+            listed.sort(key=lambda x: x[0])
+            fresh = not fold.at and not fold.filling
+            if listed:
+                fold.read(listed, state.n_terms)
+                if fresh and fold.filling and not fold.done:  # the second round begins with the rows at hand
+                    fold.read(listed, state.n_terms)
+            else:
+                fold.last = (int(state.end_df), float(state.end_heading)) if not fold.filling else fold.last
+                fold.over()
+            places = [dict(zip(_ROW, row, strict=True)) for row in fold.rows()]
+            out.append((state.doc_id, state.eff_topn, state.core_n, state.n_terms, fold.filling, fold.at, int(fold.last[0]), float(fold.last[1]), places, fold.done))
+        return pd.DataFrame(out, columns=_STATE_COLUMNS)
+
+    return run
+
+
+def _changes(lang: str, stale: bool):
+    """(doc_id, rank) of the first row of each batch and chapter that would change the choice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first: dict[str, int] = {}
+            for doc_id, part in batch.groupby("doc_id", sort=False):
+                fold = _resumed(next(part.itertuples(index=False)), lang, stale)
+                ranks = [r for r, row in zip(part["rank"].tolist(), part[_ROW].itertuples(index=False, name=None), strict=True) if fold.changed_by(row)]
+                if ranks:
+                    first[doc_id] = min(ranks)
+            yield pd.DataFrame({"doc_id": list(first), "next": list(first.values())}).astype({"doc_id": object, "next": "int64"})
+
+    return run
 
 
 def selected(rows: DataFrame, limits: DataFrame, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
     """The keywords of each chapter, by the greedy choice; rows: ranked terms, limits: of adaptive_limits.
 
-    A choice is a function of the first ranks, up to where both of its rounds are full, so only chapters
-    whose choice is not full by FIRST_RANKS are read whole.
+    The choice is a fold over windows of WINDOW_RANKS. For chapters that are still open all tasks look for the first row that
+    would change the choice, and the next window begins there: a task holds a window, and there are no more rounds than changes.
     """
-    given = rows.join(limits.select("doc_id", "eff_topn", "core_n", "n_terms"), "doc_id").select("doc_id", "rank", "term", "raw_score", "tf", "page_df", "heading", "eff_topn", "core_n", "n_terms")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        first = part.iloc[0]
-        picked, full = chosen(part[["term", "raw_score", "tf", "page_df", "heading"]].itertuples(index=False, name=None), int(first.eff_topn), int(first.core_n), lang, compat_stale_features)
-        if not full and len(part) < first.n_terms:
-            picked = [("", 0.0, 0, 0)]
-        return pd.DataFrame({"doc_id": first.doc_id, "rank": range(1, len(picked) + 1), "term": [p[0] for p in picked], "raw_score": [p[1] for p in picked], "tf": [p[2] for p in picked], "page_df": [p[3] for p in picked], "full": full or len(part) >= first.n_terms})
-
-    schema = "doc_id string, rank int, term string, raw_score double, tf long, page_df long, full boolean"
-    first = given.where(F.col("rank") <= FIRST_RANKS).groupBy("doc_id").applyInPandas(run, schema)
-    rest = given.join(first.where("NOT full").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").applyInPandas(run, schema)
-    return first.where("full").unionByName(rest).drop("full")
+    return _selected(rows.where(F.col("rank") <= WINDOW_RANKS), lambda chapters: rows.join(chapters, "doc_id", "left_semi"), limits, lang, compat_stale_features)
+
+
+def _selected(first: DataFrame, whole: Callable[[DataFrame], DataFrame], limits: DataFrame, lang: str, stale: bool) -> DataFrame:
+    """first: the rows of the first window; whole: ranked rows of some chapters, which are only asked for where one window does not do."""
+    given = ["doc_id", F.col("rank").cast("long").alias("rank"), "term", "raw_score", F.col("tf").cast("long").alias("tf"), F.col("page_df").cast("long").alias("page_df"), F.col("heading").cast("double").alias("heading")]
+    begin = limits.select("doc_id", F.col("eff_topn").cast("int"), F.col("core_n").cast("int"), F.col("n_terms").cast("long"), F.lit(False).alias("filling"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("last_df"), F.lit(0.0).alias("last_heading"), F.array().cast(_PLACES).alias("places"), F.lit(0).cast("long").alias("end_df"), F.lit(0.0).alias("end_heading"))
+    read = _reader(lang, stale)
+    state = kept(begin.groupBy("doc_id").cogroup(first.select(*given).groupBy("doc_id")).applyInPandas(read, _STATE), "choice")
+    finished = [state.where("done")]
+    left = None
+    while not (still := state.where("NOT done")).isEmpty():
+        left = kept(whole(still.select("doc_id")).select(*given), "open") if left is None else left
+        ahead = left.join(still, "doc_id").where("rank > at")
+        # what the end of a chapter looks like matters where its first round reads on to it
+        ends = ahead.groupBy("doc_id").agg(F.max_by(F.struct("page_df", "heading"), "rank").alias("end"))
+        found = ahead.mapInPandas(_changes(lang, stale), "doc_id string, next long").groupBy("doc_id").agg(F.min("next").alias("next"))
+        told = kept(still.join(ends, "doc_id", "left").join(found, "doc_id", "left"), "told")
+        window = left.join(told.where("next IS NOT NULL").select("doc_id", "next"), "doc_id").where(F.col("rank").between(F.col("next"), F.col("next") + WINDOW_RANKS - 1)).drop("next")
+        states = told.withColumns({"end_df": F.coalesce("end.page_df", "last_df"), "end_heading": F.coalesce("end.heading", "last_heading")}).drop("end", "next", "done")
+        state = kept(states.groupBy("doc_id").cogroup(window.groupBy("doc_id")).applyInPandas(read, _STATE), "choice")
+        finished.append(state.where("done"))
+    every = finished[0]
+    for more in finished[1:]:
+        every = every.unionByName(more)
+    return every.select("doc_id", F.posexplode("places").alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("rank"), *(f"p.{c}" for c in _ROW[:4]))
 
 
 def keywords(pages: DataFrame, topn: int = 10, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
     """The whole chain, from pages (doc_id, pos, text, ocr) to selected keywords."""
-    rows = scored(pages, term_counts(page_terms(pages, lang), lang), lang)
+    return from_scores(scored(pages, term_counts(page_terms(pages, lang), lang), lang), topn, lang, compat_stale_features)
+
+
+def from_scores(rows: DataFrame, topn: int = 10, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
+    """The selected keywords of scored rows, which are written once and read from there."""
+    rows = kept(rows, "scored")
     if lang == "en":
-        rows = promoted(rows).drop("place")
-    limits = adaptive_limits(metrics(rows), topn)
-    return selected(ranked(rows), limits, lang, compat_stale_features)
+        rows = kept(promoted(rows, places=False), "promoted")
+    limits = kept(adaptive_limits(metrics(rows), topn), "limits")
+    return _selected(ranked(rows, WINDOW_RANKS), lambda chapters: ranked(rows.join(chapters, "doc_id", "left_semi")), limits, lang, compat_stale_features)

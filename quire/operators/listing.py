@@ -42,14 +42,16 @@ def chosen_ids(listed: DataFrame, model: LanguageModel, k: int, lang: str = "en"
 def kept_and_filled(ranked: DataFrame, ids: DataFrame, topn: int) -> DataFrame:
     """The ranked rows that are kept by number, filled up to topn with the best others; chapters without ids keep all rows. Ranks are given anew."""
     rows = ranked.join(ids, "doc_id", "left")
-    chosen = F.coalesce(F.size("ids"), F.lit(0)) > 0
+    asked = F.coalesce(F.size("ids"), F.lit(0)) > 0
+    plain = rows.where(~asked).drop("ids")
+    # own rows and those that fill up stand within this many ranks, so no window sees a whole chapter
+    near = rows.where(asked & (F.col("rank") <= F.greatest(F.array_max("ids") + 1, F.size("ids") + topn)))
     own = F.array_contains("ids", (F.col("rank") - 1).cast("int")) & (F.col("page_df") > 0)
-    marked = rows.withColumn("own", F.coalesce(own, F.lit(False)))
+    marked = near.withColumn("own", F.coalesce(own, F.lit(False)))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own"), "rank"))
-    n_own = F.sum(F.col("own").cast("int")).over(Window.partitionBy("doc_id"))
-    usable = marked.withColumns({"place": place, "n_own": n_own}).where(~chosen | F.col("own") | ((F.col("place") <= topn) & (F.col("page_df") > 0)))
+    usable = marked.withColumn("place", place).where(F.col("own") | ((F.col("place") <= topn) & (F.col("page_df") > 0)))
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))
-    return usable.withColumn("rank", again).drop("ids", "own", "place", "n_own")
+    return plain.unionByName(usable.withColumn("rank", again).drop("ids", "own", "place"))
 
 
 def chapter_texts(pages: DataFrame, size: int = 3000, most: int = 6) -> DataFrame:

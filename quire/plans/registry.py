@@ -448,9 +448,37 @@ def phrase_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.promoted(_scored(spark, sf_dir)).select("doc_id", "term", "place")
 
 
-@query()
+KEY_SQL = f"translate(lower(replace(term, ' ', '')), '{keywords.KEY_MARKS}{keywords.KEY_PARTICLES}', '')"
+FIT_SQL = "(page_df > 0 AND NOT (NOT contains(term, ' ') AND length(term) <= 4 AND heading < 0.5 AND page_df < 4))"
+FILLER_SQL = f"({FIT_SQL} AND (contains(term, ' ') OR NOT (heading < 1.0 AND page_df <= 2 OR regexp_matches(term, '(ed|ing)$'))))"
+# one row more: to the end of the list, into the place of what it overlaps, or nowhere
+STEP_SQL = """CASE WHEN p IS NULL THEN list_append(places, item) WHEN (length(item.term), item.raw) > (length(places[p].term), places[p].raw) THEN list_concat(list_append(places[:p - 1], item), places[p + 1:]) ELSE places END"""
+
+
+def _round_sql(name: str, start: str, listed: str, most: str) -> str:
+    return f"""{name} AS (SELECT doc_id, 0 AS n, {most} AS most, places FROM {start} UNION ALL
+    SELECT doc_id, n, most, {STEP_SQL} AS places FROM (SELECT s.doc_id, c.n, s.most, s.places, c.item, list_position(list_transform(s.places, lambda x: contains(x.key, c.item.key) OR contains(c.item.key, x.key)), true) AS p
+      FROM {name} s JOIN {listed} c ON c.doc_id = s.doc_id AND c.n = s.n + 1 WHERE len(s.places) < s.most))"""
+
+
+ITEM_SQL = "struct_pack(key := key, term := term, raw := raw, tf := tf, page_df := page_df)"
+GREEDY_SQL = f"""WITH RECURSIVE {PROMOTED}, again AS MATERIALIZED (SELECT r.*, {KEY_SQL} AS key FROM ranked r SEMI JOIN taken t ON t.doc_id = r.doc_id AND t.term = r.term),
+  spread AS (SELECT doc_id, quantile_cont(raw, 0.5) AS p50, quantile_cont(raw, 0.9) AS p90, count(*) AS n_terms FROM again GROUP BY doc_id),
+  lims AS (SELECT doc_id, coalesce(p90 / nullif(p50, 0), 0) AS sep, CASE WHEN n_terms <= 6 THEN 5 ELSE 10 END AS few FROM spread),
+  effs AS MATERIALIZED (SELECT doc_id, CASE WHEN sep > 0 AND sep < 1.10 THEN least(few, 3) WHEN sep > 0 AND sep < 1.25 THEN least(few, 5) ELSE few END AS eff FROM lims),
+  cores AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n, {ITEM_SQL} AS item FROM again WHERE {FIT_SQL} AND greatest(page_df, tf) >= 2),
+  fillers AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n, {ITEM_SQL} AS item FROM again WHERE {FILLER_SQL}),
+  none AS (SELECT doc_id, eff, CAST([] AS STRUCT(key VARCHAR, term VARCHAR, raw DOUBLE, tf BIGINT, page_df BIGINT)[]) AS places FROM effs),
+  {_round_sql("core", "none", "cores", "least(4, eff)")},
+  begun AS MATERIALIZED (SELECT c.doc_id, any_value(eff) AS eff, arg_max(c.places, c.n) AS places FROM core c JOIN effs USING (doc_id) GROUP BY c.doc_id),
+  {_round_sql("filled", "begun", "fillers", "eff")},
+  final AS (SELECT doc_id, arg_max(places, n) AS places FROM filled GROUP BY doc_id)
+  SELECT doc_id, CAST(n AS INTEGER) AS rank, places[n].term AS term, round(places[n].raw, 6) AS raw_score, places[n].tf AS tf, places[n].page_df AS page_df FROM (SELECT doc_id, places, unnest(range(1, len(places) + 1)) AS n FROM final)"""
+
+
+@query(GREEDY_SQL)
 def greedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.keywords(corpus(spark, sf_dir))
+    return keywords.keywords(corpus(spark, sf_dir)).withColumn("raw_score", F.round("raw_score", 6))
 
 
 @query(f"""WITH {SCORES}, best AS (SELECT *, 100.0 * raw / max(raw) OVER (PARTITION BY doc_id) AS norm FROM ranked WHERE rank <= 10)

@@ -1,5 +1,7 @@
 """Operators whose results SQL cannot give, and the cases behind the queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def test_choice_by_windows_of_ranks(spark, monkeypatch):
     limits = spark.createDataFrame([("a", 3, 2, 40), ("b", 3, 2, 5)], "doc_id string, eff_topn int, core_n int, n_terms long")
     whole = {tuple(r) for r in keywords.selected(given, limits).collect()}
     for ranks in (1, 3, 9):
-        monkeypatch.setattr(keywords, "FIRST_RANKS", ranks)
+        monkeypatch.setattr(keywords, "WINDOW_RANKS", ranks)
         assert {tuple(r) for r in keywords.selected(given, limits).collect()} == whole
     assert {r[2] for r in whole if r[0] == "a"} == {"term0007 a", "term0008 a", "term0000 a"}
 
@@ -181,3 +183,41 @@ def test_bad_lines_of_a_file_of_many_ranges(spark, tmp_path):
         for c, v in held.items():
             spark.conf.set(c, v)
     assert got == [("a.jsonl", k, f"no json {k}") for k in range(50, 2001, 100)] + [("b.jsonl", 4, "oops")]
+
+
+def test_ranks_and_percentiles_are_counted_over_ranges(spark):
+    from quire.operators import numbering
+
+    rng = random.Random(6)
+    rows = [("hot" if k % 3 else f"d{k % 7}", rng.choice([rng.random(), 0.25, 0.5]), k) for k in range(900)] + [("one", 2.0, 1000), ("same", 1.0, 1001), ("same", 1.0, 1002)]
+    given = spark.createDataFrame(rows, "doc_id string, raw_score double, id long").repartition(5)
+    want = {}
+    for d, raw, k in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        want[k] = sum(1 for r in rows if r[0] == d and (-r[1], r[2]) <= (-raw, k))
+    got = numbering.running(given, "doc_id", [F.desc("raw_score"), F.col("id")], ranges=6)
+    assert {r.id: r["rank"] for r in got.collect()} == want and got.columns == [*given.columns, "rank"]
+    values = given.groupBy("doc_id", "raw_score").agg(F.count(F.lit(1)).alias("n"))
+    exact = {r.doc_id: r.p for r in given.groupBy("doc_id").agg(F.percentile("raw_score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
+    assert {r.doc_id: r.p for r in keywords.percentiles(values, "raw_score", (0.1, 0.5, 0.9)).collect()} == exact
+    assert keywords.percentiles(values.limit(0), "raw_score", (0.5,)).count() == 0
+
+
+@pytest.mark.parametrize("stale", [False, True])
+def test_a_choice_that_is_taken_up_again_is_the_plain_one(spark, monkeypatch, stale):
+    rng = random.Random(9)
+    words = ["tree", "trees", "node", "nod", "graph theory", "graph", "a b", "sort", "sorted", "binary tree", "heap", "-", "walk"]
+    rows, want = [], {}
+    for d in range(12):
+        n = rng.choice([1, 3, 9, 30])
+        own = [(rng.choice(words) + rng.choice(["", " x", " yz"]) * (d % 3), 50.0 - k // 2, rng.randint(1, 3), rng.randint(0, 4), rng.choice([0.0, 0.5, 1.0])) for k in range(n)]
+        rows += [(f"d{d}", k + 1, *r) for k, r in enumerate(own)]
+        want[f"d{d}"] = [r[:4] for r in keywords.choose(own, 1 + d % 5, 1 + d % 3 if d % 5 > 1 else 1, "en", stale)]
+    given = spark.createDataFrame(rows, "doc_id string, rank int, term string, raw_score double, tf long, page_df long, heading double")
+    sizes = {d: sum(r[0] == d for r in rows) for d in want}
+    limits = spark.createDataFrame([(d, 1 + int(d[1:]) % 5, 1 + int(d[1:]) % 3 if int(d[1:]) % 5 > 1 else 1, sizes[d]) for d in want], "doc_id string, eff_topn int, core_n int, n_terms long")
+    for window in (1, 4, 1000) if not stale else (3,):
+        monkeypatch.setattr(keywords, "WINDOW_RANKS", window)
+        got = {d: [] for d in want}
+        for r in sorted(keywords.selected(given, limits, "en", stale).collect(), key=lambda r: (r.doc_id, r["rank"])):
+            got[r.doc_id].append(tuple(r)[2:])
+        assert got == want, window

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.names import scope_name
 from .functions.text import sanitized, static_url
-from .operators import answers, browse, exam, keywords, listing, scope, search, stored
+from .operators import answers, browse, counts, exam, keywords, listing, scope, search, stored
 from .operators.journal import Journal
 from .providers import Embedder, Extractor, HashingEmbedder, LanguageModel, Recogniser, SilentModel, embedded
 from .sources import artifacts, documents
@@ -67,6 +67,7 @@ class Library:
     RAW = "name string, content binary, added timestamp"
     PAGES = "batch string, doc_id string, page int, text string, images array<string>, ocr string, pos long"
     PICTURES = "batch string, doc_id string, page int, img int, name string, content binary, status string"
+    BATCHES = "batch string, doc_id string, digest string, made timestamp"
     SCOPES = "scope string, made timestamp, selected int, doc_id string, page int, text string, images array<string>, ocr string, pos long"
     TIPS = "scope string, lang string, doc_id string, rank int, term string, raw_score double, score_norm double, tf long, df long, page_df long, rep_pos long, rep_hits long, made timestamp"
     ALLOWED = "scope string, lang string, doc_id string, terms array<string>"
@@ -92,36 +93,44 @@ class Library:
         return rows.groupBy("subject", "data_type", "name").agg(F.max("added").alias("added"))
 
     def preprocess(self, subject: str, data_type: str, extractor: Extractor, recogniser: Recogniser | None = None) -> DataFrame:
-        """Makes pages of the files that have none yet; (doc_id, status) of what was read.
+        """Makes pages of the files that have none of their present content; (doc_id, status) of what was read.
 
-        A file is read once for its texts and once for its pictures. The rows of a call are one batch, which counts once it is
-        listed; that is written last, so pictures and pages appear together or, if a write fails, not at all.
+        A file is read once for its texts and once for its pictures. The rows of a call are one batch, which counts once its files
+        are listed with their digests; that is written last, so pictures and pages appear together or, if a write fails, not at
+        all. Of each file the last listed batch counts: a changed file replaces its pages, one that cannot be read keeps them.
         """
         checked(data_type, subject=subject)
         raw = self._table("raw", self.RAW, subject, data_type).groupBy("name").agg(F.max_by("content", "added").alias("content"))
-        files = raw.select(documents.stem(F.col("name")).alias("doc_id"), "content")
-        files = ingest.pending(files, self.pages(subject, data_type), ["doc_id"])
+        files = raw.select(documents.stem(F.col("name")).alias("doc_id"), "content", F.sha2("content", 256).alias("digest"))
+        files = ingest.pending(files, self._current(subject, data_type), ["doc_id", "digest"])
         batch = F.lit(uuid.uuid4().hex)
         files = kept(files, "files")
-        texts = kept(documents.extracted(files, extractor), "texts")
-        pictures = kept(documents.extracted_images(files, extractor).where("status = 'done'"), "pictures")
+        given = files.select("doc_id", "content")
+        texts = kept(documents.extracted(given, extractor), "texts")
+        pictures = kept(documents.extracted_images(given, extractor).where("status = 'done'"), "pictures")
         shots = pictures.select("doc_id", "page", "img", F.col("name").alias("path"))
         none = self.spark.createDataFrame([], "doc_id string, stem string, ocr string")
         seen = documents.recognised(pictures.select("doc_id", "name", "content"), none, recogniser).select("doc_id", "stem", "ocr") if recogniser else none
-        pages = sources.assembled(texts.where("status = 'done'").select("doc_id", "page", "text"), sources.with_ocr(shots, seen))
+        pages = kept(sources.assembled(texts.where("status = 'done'").select("doc_id", "page", "text"), sources.with_ocr(shots, seen)), "pages")
         self._add("pictures", pictures.withColumn("batch", batch), subject, data_type)
         order = F.row_number().over(browse.Window.partitionBy("doc_id").orderBy("page"))
         chapter = F.abs(F.xxhash64("doc_id") % F.lit(1 << 30)) * F.lit(1 << 20)  # places of a chapter's pages follow one another
         self._add("pages", pages.withColumns({"pos": (chapter + order).cast("long"), "batch": batch}), subject, data_type)
-        self._add("batches", self.spark.range(1).select(batch.alias("batch")), subject, data_type)
+        done = files.select("doc_id", "digest").join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
+        self._add("batches", done.select(batch.alias("batch"), "doc_id", "digest", F.current_timestamp().alias("made")).coalesce(1), subject, data_type)
         return texts.groupBy("doc_id").agg(F.max("status").alias("status"))
 
     # Scopes
 
+    def _current(self, subject: str | None = None, data_type: str | None = None) -> DataFrame:
+        """(subject, data_type, doc_id, batch, digest): of every file the batch that counts."""
+        rows = self._table("batches", self.BATCHES, subject, data_type)
+        return rows.groupBy("subject", "data_type", "doc_id").agg(F.max_by(F.struct("batch", "digest"), "made").alias("x")).select("subject", "data_type", "doc_id", "x.batch", "x.digest")
+
     def _listed(self, table: str, schema: str, subject: str | None = None, data_type: str | None = None) -> DataFrame:
-        """A table without the rows of batches that were not completed."""
-        batches = self._table("batches", "batch string", subject, data_type).select("batch").distinct()  # a row a call of preprocess
-        return self._table(table, schema, subject, data_type).join(batches, "batch", "left_semi").drop("batch")
+        """A table without the rows of batches that do not count."""
+        current = self._current(subject, data_type).drop("digest")
+        return self._table(table, schema, subject, data_type).join(current, ["subject", "data_type", "doc_id", "batch"], "left_semi").drop("batch")
 
     def pages(self, subject: str, data_type: str) -> DataFrame:
         return self._listed("pages", self.PAGES, subject, data_type)
@@ -207,6 +216,21 @@ class Library:
         self._add("tips", rows.select(*(c.split()[0] for c in self.TIPS.split(", "))), subject, data_type)
         return self.tips(subject, data_type, name, lang)
 
+    def corpus_keywords(self, subject: str, data_type: str, lang: str = "cn", topn: int = 10) -> DataFrame:
+        """The keywords of every chapter among all chapters of a corpus; only chapters that are new, changed or gone since the last call are counted."""
+        checked(data_type, lang, subject=subject)
+        held = counts.TermCounts(self.spark, self._path("counts", subject, data_type), lang)
+        known = held.chapters().select("doc_id", F.col("mark").alias("batch"))
+        current = self._current(subject, data_type).select("doc_id", "batch")
+        new = kept(current.join(known, ["doc_id", "batch"], "left_anti"), "new")
+        gone = kept(known.join(current, "doc_id", "left_anti").select("doc_id"), "gone")
+        if not new.isEmpty():
+            fresh = self._table("pages", self.PAGES, subject, data_type).join(new, ["doc_id", "batch"], "left_semi")
+            held.add(fresh, F.col("batch"))
+        if not gone.isEmpty():
+            held.remove(gone)
+        return held.keywords(topn)
+
     def _allowed(self, subject: str, data_type: str, name: str, lang: str) -> DataFrame:
         return self._table("allowed", self.ALLOWED, subject, data_type).where((F.col("scope") == name) & (F.col("lang") == lang)).select("doc_id", "terms")
 

@@ -144,8 +144,12 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def scored(pages: DataFrame, counts: DataFrame, lang: str = "en") -> DataFrame:
     """Adds df, idf, coverage and raw_score, and leaves out what is no term of the language."""
     sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_doc"))
+    return scored_counts(counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))), sizes, lang)  # a row for each chapter
+
+
+def scored_counts(counts: DataFrame, sizes: DataFrame, lang: str = "en") -> DataFrame:
+    """scored, from counts with their df and the chapters (doc_id, pages_in_doc)."""
     corpus = sizes.agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))  # a row for each chapter
     rows = counts.join(sizes, "doc_id").crossJoin(F.broadcast(corpus))  # one row
     n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)

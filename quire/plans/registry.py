@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import browse, cells, exam, grams, keywords, scope, search, stored
+from ..operators import browse, cells, counts, exam, grams, keywords, scope, search, stored
 from ..sources import artifacts
 from ..sources import pages as sources
 from ..sources.scratch import new_path
@@ -406,6 +406,23 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).select("doc_id", "term", "tf", "page_df")
 
 
+OTHERS = "(SELECT * FROM documents WHERE source <> (SELECT max(source) FROM documents))"
+
+
+@query(f"WITH {SCORES.replace('FROM documents', f'FROM {OTHERS}')} SELECT doc_id, term, df, round(coverage, 6) AS coverage, round(heading, 6) AS heading, round(raw, 6) AS raw_score FROM scored WHERE raw > 0")
+def updated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all chapters but one, which is added, first by its heads alone; then another one is removed."""
+    pages, found = corpus(spark, sf_dir), counts.TermCounts(spark, new_path(spark, "counts"))
+    ends = pages.agg(F.min("doc_id").alias("late"), F.max("doc_id").alias("gone"))  # one row
+    marked = pages.crossJoin(F.broadcast(ends))
+    late = marked.where("doc_id = late").drop("late", "gone")
+    found.add(marked.where("doc_id <> late").drop("late", "gone"))
+    found.add(late.withColumn("text", F.left("text", F.lit(40))))
+    found.add(late)
+    found.remove(ends.select(F.col("gone").alias("doc_id")))
+    return found.scored().select("doc_id", "term", "df", *(F.round(c, 6).alias(c) for c in ("coverage", "heading", "raw_score")))
+
+
 @query(f"WITH {TERMS} SELECT term, count(*) AS df FROM counts GROUP BY term")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.document_frequency(_counts(spark, sf_dir))

@@ -193,3 +193,29 @@ def test_files(spark, tmp_path):
     assert spark.createDataFrame([(b" \xffab\xc3\xa9 ",), (None,)], "c binary").select(documents.decoded(documents.F.col("c"))).collect() == [("abé",), ("",)]
     artifacts.write_json(spark, str(tmp_path / "x.json"), {"é": 1})
     assert json.loads(artifacts.read_text(spark, str(tmp_path / "x.json"))) == {"é": 1}
+
+
+def test_a_changed_file_replaces_its_pages(spark, tmp_path):
+    folder, made = tmp_path / "files", Library(spark, str(tmp_path / "library"), HashingEmbedder(16))
+    folder.mkdir()
+    (folder / "CH01.pptx").write_bytes(slides("Trees\n" + TREE, "Walks\n" + TREE))
+    (folder / "CH02.pptx").write_bytes(slides("Graphs\n" + GRAPH))
+    made.upload("s", "ppt", str(folder))
+    assert {r.doc_id for r in made.preprocess("s", "ppt", documents.SlideReader()).collect()} == {"CH01", "CH02"}
+    first = {(r.doc_id, r.term) for r in made.corpus_keywords("s", "ppt", "en", 3).collect()}
+    assert {d for d, _ in first} == {"CH01", "CH02"}
+    batches = {r.doc_id: r.batch for r in made._current("s", "ppt").collect()}
+    (folder / "CH01.pptx").write_bytes(slides("Heaps\n" + TREE.replace("tree", "heap")))
+    made.upload("s", "ppt", str(folder))  # CH02 again as it was
+    assert {r.doc_id for r in made.preprocess("s", "ppt", documents.SlideReader()).collect()} == {"CH01"}
+    pages = {(r.doc_id, r.page): r.text for r in made.pages("s", "ppt").collect()}
+    assert set(pages) == {("CH01", 1), ("CH02", 1)} and "heap" in pages["CH01", 1]
+    assert made._listed("pictures", made.PICTURES, "s", "ppt").count() == 2
+    again = {r.doc_id: r.batch for r in made._current("s", "ppt").collect()}
+    assert again["CH02"] == batches["CH02"] and again["CH01"] != batches["CH01"]
+    terms = {r.term for r in made.corpus_keywords("s", "ppt", "en", 3).collect()}
+    assert any("heap" in t for t in terms) and not any("tree" in t for t in terms)
+    (folder / "CH01.pptx").write_bytes(b"no zip")
+    made.upload("s", "ppt", str(folder))
+    made.preprocess("s", "ppt", documents.SlideReader())
+    assert {(r.doc_id, r.page): r.text for r in made.pages("s", "ppt").collect()} == pages

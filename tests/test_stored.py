@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 import unicodedata
 
 import numpy as np
@@ -218,3 +219,47 @@ def test_allowed_terms_are_kept_by_content(spark, tmp_path):
     assert len(terms(rows)) == 2 and n() == 2
     assert len(terms([rows[0], ("CH02", 1, 2, "another stack", "")])) == 2 and n() == 3
     assert len(terms(rows, refresh=True)) == 2 and n() == 5
+
+
+def test_counts_are_kept_up_to_date(spark, tmp_path):
+    from quire.operators import counts, keywords
+
+    rng = random.Random(12)
+    words = "binary tree node Graph Search queue heap sorting Binary Tree Walk visits every node the with".split()
+    rows = [(f"c{k % 4}", k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))), rng.choice(["", None, "seen Heap Sort"])) for k in range(40)] + [("c4", 50, "", None), (None, 51, "tree", "")]
+    whole = spark.createDataFrame(rows, "doc_id string, pos long, text string, ocr string")
+
+    def full(pages):
+        pages = pages.where("doc_id IS NOT NULL")
+        return sorted(tuple(r) for r in keywords.scored(pages, keywords.term_counts(keywords.page_terms(pages))).select("doc_id", "term", "tf", "page_df", "df", "first", "rep_pos", "raw_score").collect())
+
+    def held():
+        return sorted(tuple(r) for r in found.scored().select("doc_id", "term", "tf", "page_df", "df", "first", "rep_pos", "raw_score").collect())
+
+    found = counts.TermCounts(spark, str(tmp_path / "counts"))
+    assert held() == [] and found.keywords().count() == 0
+    old = str(tmp_path / "old")
+    whole.where("doc_id <> 'c1' OR doc_id IS NULL").write.parquet(old)
+    found.add(spark.read.parquet(old))
+    shutil.rmtree(old)  # pages that were counted are not read again
+    found.add(whole.where("doc_id = 'c1'").withColumn("text", F.lit("other words here")))
+    found.add(whole.where("doc_id = 'c1'"))
+    assert held() == full(whole)
+    assert {tuple(r) for r in found.keywords(3).collect()} == {tuple(r) for r in keywords.keywords(whole.where("doc_id IS NOT NULL"), 3).collect()}
+    found.remove(spark.createDataFrame([("c2",), ("none",)], "doc_id string"))
+    rest = whole.where("doc_id <> 'c2'")
+    assert held() == full(rest)
+    assert {r.term: r.df for r in found.document_frequency().collect()} == {r.term: r.df for r in keywords.document_frequency(keywords.term_counts(keywords.page_terms(rest))).collect()}
+    # what is written but not listed does not count
+    listed = found._table("list", counts._LIST).count()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(spark, "createDataFrame", None)
+        with pytest.raises(TypeError):
+            found.add(whole.where("doc_id = 'c2'"))
+    assert found._table("list", counts._LIST).count() == listed and held() == full(rest)
+    found.compact()
+    for name in ("counts", "chapters", "changes"):
+        folders = sorted((tmp_path / "counts" / "en" / name).glob("batch=*"), key=lambda f: f.stat().st_mtime)
+        for folder in folders[:-1]:
+            shutil.rmtree(folder)  # nothing before a whole batch is read
+    assert held() == full(rest)

@@ -8,7 +8,8 @@ grams with the number of pages that have each.
 A search reads the counts of its own grams, then the postings of the rarest of
 each variant, and intersects their positions. The pages that remain are looked at
 in windows, in the order in which they would be ranked, until k are found to
-hold the variant: at no time is a page read that no posting named. A blob ends
+hold the variant. Windows end at MOST candidates: where grams name many pages
+that do not hold the query, the blobs are read once instead. A blob ends
 with END_MARK, so a variant shorter than a gram is on a page exactly if a gram
 of the page begins with it, and its postings are the answer.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import search
 
 GRAM = 3
-#: Folders of postings; grams of a variant that are intersected; pages that are looked at first, and how many times more after that.
-FOLDERS, RAREST, WINDOW, GROWTH = 16, 8, 64, 8
+#: Folders of postings; grams of a variant that are intersected; pages that are looked at first, how many times more after that, and the most in a further window.
+FOLDERS, RAREST, WINDOW, GROWTH, MOST = 16, 8, 64, 8, 1000
 #: Characters of blobs in one block of postings.
 BLOCK = 2 << 20
 END_MARK = "\x00" * (GRAM - 1)
@@ -118,30 +119,47 @@ class GramIndex:
         return out
 
     def exact_search(self, query: str, k: int = 15) -> DataFrame:
-        """The rows of search.exact_search."""
+        """The rows of search.exact_search.
+
+        The driver gets a window of candidates at most, and texts of hits alone. Where windows up to MOST hold no k hits, grams
+        say little about the query; what is left would touch most files, so the executors look at all blobs once.
+        """
         variants = search.driver_variants(query)
         named = self.candidates(variants).persist()
-        hits: dict[tuple, tuple] = {}
+        hits: dict[tuple, int] = {}
         after, window = None, max(WINDOW, 2 * k)
         while variants and len(hits) < k:
+            if after is not None and window > MOST:
+                hits = {(r.doc_id, r.page): r.pos for r in self._scan(variants, k).collect()}  # k at most
+                break
             rest = named if after is None else named.where((F.col("variant") > after[0]) | (F.col("variant") == after[0]) & (F.col("pos") > after[1]))
             some = rest.orderBy("variant", "pos").limit(window).collect()  # `window` at most
-            for v, page in self._held(some, variants) if some else ():
+            for page in self._held(some, variants) if some else ():
                 if len(hits) < k:
-                    hits.setdefault((page.doc_id, page.page), (v, page))
+                    hits.setdefault((page.doc_id, page.page), page.pos)
             if len(some) < window:
                 break
             after, window = (some[-1].variant, some[-1].pos), GROWTH * window
         named.unpersist()
         kinds = {f.name: f.dataType.simpleString() for f in self.pages.schema}
-        rows = [(rank + 1, 1.0, r.doc_id, r.page, r.pos, r.text, r.ocr) for rank, (_, r) in enumerate(hits.values())]
+        texts = {r.pos: r for r in self._at(list(hits.values())).select("pos", "text", "ocr").collect()} if hits else {}  # k at most
+        rows = [(rank + 1, 1.0, *page, pos, texts[pos].text, texts[pos].ocr) for rank, (page, pos) in enumerate(hits.items())]
         return self.spark.createDataFrame(rows, f"rank int, score double, doc_id {kinds['doc_id']}, page {kinds['page']}, pos {kinds['pos']}, text {kinds['text']}, ocr {kinds['ocr']}")
 
-    def _held(self, some: list, variants: list[str]) -> list[tuple]:
-        """(variant, page) of the named pages that hold the variant, in order."""
-        places = sorted({r.pos for r in some})
+    def _at(self, places: list[int]) -> DataFrame:
+        """The pages at some positions."""
+        return self.pages.where(F.expr(f"pos BETWEEN {min(places)} AND {max(places)} AND pos IN ({', '.join(map(str, sorted(set(places))))})"))  # one text, not a literal each
+
+    def _held(self, some: list, variants: list[str]) -> list:
+        """The named pages that hold the variant, in order, without their texts."""
         needs = {r.variant for r in some if not r.sure}
         tests = [F.contains("blob", F.lit(variants[v])).alias(f"v{v}") for v in sorted(needs)]
-        near = F.expr(f"pos BETWEEN {places[0]} AND {places[-1]} AND pos IN ({', '.join(map(str, places))})")  # one text, not a literal each
-        found = {r.pos: r for r in self.pages.where(near).select("doc_id", "page", "pos", "text", "ocr", *tests).collect()}
-        return [(r.variant, found[r.pos]) for r in some if r.sure or found[r.pos][f"v{r.variant}"]]
+        found = {r.pos: r for r in self._at([r.pos for r in some]).select("doc_id", "page", "pos", *tests).collect()}
+        return [found[r.pos] for r in some if r.sure or found[r.pos][f"v{r.variant}"]]
+
+    def _scan(self, variants: list[str], k: int) -> DataFrame:
+        """(doc_id, page, variant, pos) of the first k hits among all pages; of a page no more than that is moved."""
+        at = F.coalesce(*(F.when(F.contains("blob", F.lit(v)), n) for n, v in enumerate(variants)))
+        hits = self.pages.select("doc_id", "page", "pos", at.alias("variant")).where("variant IS NOT NULL AND pos IS NOT NULL")
+        best = hits.groupBy("doc_id", "page").agg(F.min(F.struct("variant", "pos")).alias("h"))
+        return best.select("doc_id", "page", "h.*").orderBy("variant", "pos").limit(k)

@@ -135,6 +135,26 @@ def test_numbers_are_gapless(spark, ranges):
     assert numbering.numbered(spark.createDataFrame([], "a int"), [F.col("a")]).count() == 0
 
 
+def test_a_gram_search_brings_hits_alone_to_the_driver(spark, tmp_path, monkeypatch):
+    """All pages have the grams of the query, the last few hold it."""
+    rows = [("d", n, n, f"abcx xbcd {'abcd' if n > 4990 else ''}", None) for n in range(5000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    grams.build(search.with_blob(frame), str(tmp_path))
+    index, collect, sizes, texts = grams.GramIndex(spark, str(tmp_path)), type(frame).collect, [], []
+
+    def seen(df):
+        out = collect(df)
+        sizes.append(len(out))
+        texts.append(len(out) if "text" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(type(frame), "collect", seen)
+    found = index.exact_search("abcd", 15)
+    monkeypatch.undo()
+    assert [r.pos for r in found.collect()] == list(range(4991, 5000))
+    assert max(sizes) <= 1000 and sum(texts) <= 15
+
+
 def test_a_pick_is_searched_in_its_order(spark, tmp_path):
     rows = [(f"CH0{c}", p, c * 1000 + p, f"page {p} of the common word", None) for c in range(1, 6) for p in range(1, 4)]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import normalized, normalized_text, snippet, squeeze, strip
+from ..functions.text import fixed, normalized, normalized_text, snippet, squeeze, strip
 
 #: Queries that go to the executors at once.
 QUERY_BLOCK = 10_000
@@ -191,7 +191,7 @@ def packed_context(hits: DataFrame, max_chars: int = 9000, per_hit: int = 700) -
     rows = hits.withColumn("blob", _blob()).where("blob <> ''")
     by = Window.partitionBy("query_id").orderBy("rank")
     rows = rows.withColumn("n", F.row_number().over(by)).withColumn("cite", _cite())
-    piece = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("cite"), F.lit(" score="), F.format_string("%.4f", F.col("score").cast("double")), F.lit("\n"), F.left("blob", F.lit(per_hit)), F.lit("\n"))
+    piece = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("cite"), F.lit(" score="), fixed(F.col("score"), 4), F.lit("\n"), F.left("blob", F.lit(per_hit)), F.lit("\n"))
     rows = rows.withColumn("piece", piece).withColumn("used", F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     kept = rows.where(F.col("used") <= max_chars)
     grouped = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "piece", "cite"))).alias("p"))
@@ -204,7 +204,7 @@ def packed_exam_context(hits: DataFrame, max_chars: int = 6000, per_hit: int = 1
     doc = F.when(F.coalesce(strip(F.col("doc_id")), F.lit("")).isin("", "none", "None"), "unknown").otherwise(strip(F.col("doc_id")))
     short = F.left(squeeze(strip(F.concat(F.coalesce("ocr", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))), F.lit(per_hit))
     rows = hits.withColumn("n", F.row_number().over(by)).withColumn("snippet", short)
-    piece = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), doc, F.lit("/p"), F.coalesce(F.col("page").cast("string"), F.lit("None")), F.lit(" score="), F.format_string("%.4f", F.col("score").cast("double")), F.lit("\n"), F.col("snippet"), F.lit("\n"))
+    piece = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), doc, F.lit("/p"), F.coalesce(F.col("page").cast("string"), F.lit("None")), F.lit(" score="), fixed(F.col("score"), 4), F.lit("\n"), F.col("snippet"), F.lit("\n"))
     rows = rows.withColumn("piece", piece).withColumn("used", F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.coalesce(F.lag("used").over(by), F.lit(0))).where(F.col("before") <= max_chars)
     grouped = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", F.when(F.col("used") <= max_chars, F.col("piece")).alias("piece"), F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("tag")))).alias("p"))
@@ -215,7 +215,7 @@ def packed_exam_context(hits: DataFrame, max_chars: int = 6000, per_hit: int = 1
 def fallback_answer(hits: DataFrame, items: int = 3, per_hit: int = 220) -> DataFrame:
     """(query_id, answer): the best snippets, for when no answer could be made."""
     rows = hits.where(F.col("rank") <= items).withColumn("blob", _blob()).where("blob <> ''")
-    entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), _cite(" / "), F.lit(" (score="), F.format_string("%.4f", F.col("score").cast("double")), F.lit(")\n"), snippet(F.col("blob"), per_hit), F.lit("\n"))
+    entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), _cite(" / "), F.lit(" (score="), fixed(F.col("score"), 4), F.lit(")\n"), snippet(F.col("blob"), per_hit), F.lit("\n"))
     grouped = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("p"))
     sources = F.array_join(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]"))), ", ")
     return grouped.select("query_id", F.concat(F.array_join(F.transform("p", lambda x: x["entry"]), "\n"), F.lit("\nSOURCES: "), sources).alias("answer"))

@@ -8,7 +8,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, strip
+from ..functions.text import fixed, squeeze, strip
 
 
 def _file(spark: SparkSession, path: str):
@@ -61,13 +61,13 @@ def keyword_json(items: DataFrame) -> DataFrame:
 
 def keyword_markdown(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     """(doc_id, n, line): the keywords of every chapter under a heading with its metrics."""
-    head = F.format_string("## %s  (sep=%.2f, head=%.2f, tail=%.2f)", "doc_id", "sep_p90_p50", "head_over_all", "tail_p10_over_p90")
+    head = F.format_string("## %s  (sep=%s, head=%s, tail=%s)", "doc_id", *(fixed(F.col(c), 2) for c in ("sep_p90_p50", "head_over_all", "tail_p10_over_p90")))
     return metrics.select("doc_id", F.lit(0).alias("n"), head.alias("line")).unionByName(rows.select("doc_id", F.col("rank").cast("int").alias("n"), keyword_line().alias("line")))
 
 
 def keyword_line() -> Column:
     shown = strip(squeeze(F.col("term")))
-    return F.format_string("%d. %s  (norm=%.1f, raw=%.4f, tf=%d, df=%d, page_df=%d)  -> rep_page=%d, hits=%d", "rank", shown, "score_norm", "raw_score", "tf", "df", "page_df", "rep_page", "rep_hits")
+    return F.format_string("%d. %s  (norm=%s, raw=%s, tf=%d, df=%d, page_df=%d)  -> rep_page=%d, hits=%d", "rank", shown, fixed(F.col("score_norm"), 1), fixed(F.col("raw_score"), 4), "tf", "df", "page_df", "rep_page", "rep_hits")
 
 
 def delete_json(spark: SparkSession, folder: str, name: str) -> str:

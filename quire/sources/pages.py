@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import NO_TEXT, filled, index_text, strip
+from ..functions.text import NO_TEXT, filled, fixed, index_text, strip
 from .scratch import kept
 
 PAGE = "doc_id STRING, page INT, text STRING, images ARRAY<STRING>, ocr STRING"
@@ -201,7 +201,7 @@ def printed(hits: DataFrame) -> DataFrame:
     """Adds `printed`, a hit (rank, score, doc_id, page, images, ocr, text) as the lines that result_log reads."""
     images = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("images", F.array().cast("array<string>")), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
     seen = F.when(strip(F.coalesce("ocr", F.lit(""))) != "", F.concat(F.lit("  OCR:\n"), F.col("ocr"), F.lit("\n"))).otherwise("")
-    head = F.format_string("#%d score = %.4f\ndoc_id = %s page = %s\n  images = ", F.col("rank").cast("int"), F.col("score").cast("double"), F.col("doc_id"), F.coalesce(F.col("page").cast("string"), F.lit("None")))
+    head = F.format_string("#%d score = %s\ndoc_id = %s page = %s\n  images = ", F.col("rank").cast("int"), fixed(F.col("score"), 4), F.col("doc_id"), F.coalesce(F.col("page").cast("string"), F.lit("None")))
     return hits.withColumn("printed", F.concat(head, images, F.lit("\n"), seen, F.lit("  TEXT:\n"), F.coalesce("text", F.lit("")), F.lit("\n" + "-" * 60)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import keywords, scope
 from quire.providers import HashingEmbedder, embedded
-from quire.sources import pages
+from quire.sources import artifacts, pages
 from quire.streaming import ingest
 
 
@@ -129,6 +129,15 @@ def test_choice_by_windows_of_ranks(spark, monkeypatch):
     assert {r[2] for r in whole if r[0] == "a"} == {"term0007 a", "term0008 a", "term0000 a"}
 
 
+def test_numbers_are_printed_as_printf_has_them(spark):
+    """66.25 is a tie, and 51.65 is less than it looks."""
+    values = [66.25, 66.75, 51.65, 1.00025, 0.03125, 0.0, 12345.25]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", text.fixed(F.col("x"), 1).alias("one"), text.fixed(F.col("x"), 4).alias("four")).collect()
+    assert [(r.one, r.four) for r in rows] == [(f"{x:.1f}", f"{x:.4f}") for x in values]
+    best = spark.createDataFrame([("c", 1, "gamibo", 66.25, 0.03125, 5, 1, 5, 7, 1)], "doc_id string, rank int, term string, score_norm double, raw_score double, tf int, df int, page_df int, rep_page int, rep_hits int")
+    assert best.select(artifacts.keyword_line()).first()[0] == "1. gamibo  (norm=66.2, raw=0.0312, tf=5, df=1, page_df=5)  -> rep_page=7, hits=1"
+
+
 def test_chinese_terms_and_scores(spark):
     blob = "樹的走 二元樹走訪方式 例如 二元樹走訪方式"
     corpus = spark.createDataFrame([("c1", 0, blob, ""), ("c1", 1, "二元樹走訪方式", ""), ("c2", 2, "圖形搜尋演算法 tree", "")], "doc_id string, pos long, text string, ocr string")

@@ -13,14 +13,19 @@ from ..functions.text import NO_TEXT, squeeze, strip
 
 QUESTION = "question STRING, options MAP<STRING, STRING>, answer STRING, explanation ARRAY<STRUCT<text: STRING, sources: ARRAY<STRING>>>"
 
+#: What ends a line, within a class of characters.
+_BREAKS = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
+
 
 def topics(pages: DataFrame, limit: int | None = 300) -> DataFrame:
     """(topic, pos): headings and first sentences fit for retrieval, distinct, in page order."""
-    s = strip(F.coalesce("text", F.lit("")))
-    first = squeeze(strip(F.element_at(F.split(s, r"\R"), 1)))
-    numbered = first.rlike(r"(?U)^\d+[-－]\d+.*$")
-    topic = squeeze(F.when(numbered, first).otherwise(strip(F.left(s, F.lit(60)))))
-    rows = pages.select("pos", s.alias("s"), first.alias("first"), topic.alias("topic")).where((F.col("s") != "") & (F.col("s") != NO_TEXT) & (F.length("first") >= 4) & ~F.col("first").rlike(r"^CH\d+\s*[　 ].*$"))
+    # a first line may be a whole long text: what is asked of it is seen at its beginning, and only numbered ones are read to their end
+    text, inside = F.coalesce("text", F.lit("")), rf"[\s&&[^{_BREAKS}]]"
+    head = strip(F.regexp_extract(text, r"(?sU)^\s*+(\S.{0,59})", 1))
+    line = squeeze(strip(F.regexp_extract(text, rf"(?U)^\s*+(\S[^{_BREAKS}]*+)", 1)))
+    numbered, few = text.rlike(r"(?U)^\s*+\d+[-－]\d"), ~text.rlike(rf"(?U)^\s*+\S(?:\S|{inside}++(?=\S)){{3}}")
+    chapter = text.rlike(rf"(?U)^\s*+CH[0-9]++{inside}++\S")
+    rows = pages.where(~few & ~chapter).select("pos", head.alias("head"), squeeze(F.when(numbered, line).otherwise(head)).alias("topic")).where(F.col("head") != NO_TEXT)
     t = F.col("topic")
     rows = rows.where((F.length(t) >= 12) & (F.contains(t, F.lit(" ")) | (F.length(t) >= 20)) & ~t.rlike(r"^[0-9A-Za-z\-\.\(\) ]+$"))
     out = rows.groupBy("topic").agg(F.min("pos").alias("pos"))

@@ -230,3 +230,17 @@ def test_a_choice_that_is_taken_up_again_is_the_plain_one(spark, monkeypatch, st
         for r in sorted(keywords.selected(given, limits, "en", stale).collect(), key=lambda r: (r.doc_id, r["rank"])):
             got[r.doc_id].append(tuple(r)[2:])
         assert got == want, window
+
+
+def test_topics_look_at_the_beginning_of_a_text(spark):
+    """A first line may be a whole text: no pattern goes over all of it, and short, blank, chapter and numbered ones are told apart."""
+    from quire.operators import exam
+
+    long = "a longer first line of words " * 2000
+    texts = [None, "  \n ", "ab c\nshort but with a second line", "a b\nsecond line of the page", "CH12 　title of the chapter, a page", "CH12\ntitle of the chapter, a page", f"  {long}", f" 3-1 the {long}", "這頁是沒有txt的", f"這頁是沒有txt的{' ' * 60}x"]
+    found = exam.topics(spark.createDataFrame(list(enumerate(texts)), "pos long, text string"))
+    assert [(r.pos, r.topic) for r in found.collect()] == [
+        (2, "ab c short but with a second line"), (5, "CH12 title of the chapter, a page"), (6, long[:60].strip()), (7, f"3-1 the {long}".strip()),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace(coalesce(text" not in plan

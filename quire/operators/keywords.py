@@ -198,11 +198,13 @@ def percentiles(values: DataFrame, column: str, fractions: tuple[float, ...]) ->
     return ends.select("doc_id", F.array(*between).alias("p"))
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """How the scores of each chapter are spread; rows are read three times."""
+def metrics(rows: DataFrame, stored: bool = False) -> DataFrame:
+    """How the scores of each chapter are spread. rows are read more than once, so what is needed of them is written first, unless they are stored."""
+    rows = rows.select("doc_id", "raw_score", "first")
+    rows = rows if stored else kept(rows, "spread")
     values = kept(rows.groupBy("doc_id", "raw_score").agg(F.count(F.lit(1)).alias("n")), "values")
     spread = values.groupBy("doc_id").agg((F.sum(F.col("raw_score") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n_terms"))
-    head = ranked(rows.select("doc_id", "raw_score", "first"), 100).groupBy("doc_id").agg(F.avg("raw_score").alias("head"))
+    head = ranked(rows, 100).groupBy("doc_id").agg(F.avg("raw_score").alias("head"))
     spread = spread.join(head, "doc_id").join(percentiles(values, "raw_score", (0.1, 0.5, 0.9)), "doc_id")
     p10, p50, p90 = (F.col("p")[k] for k in range(3))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -420,5 +422,5 @@ def from_scores(rows: DataFrame, topn: int = 10, lang: str = "en", compat_stale_
     rows = kept(rows, "scored")
     if lang == "en":
         rows = kept(promoted(rows, places=False), "promoted")
-    limits = kept(adaptive_limits(metrics(rows), topn), "limits")
+    limits = kept(adaptive_limits(metrics(rows, stored=True), topn), "limits")
     return _selected(ranked(rows, WINDOW_RANKS), lambda chapters: ranked(rows.join(chapters, "doc_id", "left_semi")), limits, lang, compat_stale_features)

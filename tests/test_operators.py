@@ -138,6 +138,21 @@ def test_numbers_are_printed_as_printf_has_them(spark):
     assert best.select(artifacts.keyword_line()).first()[0] == "1. gamibo  (norm=66.2, raw=0.0312, tf=5, df=1, page_df=5)  -> rep_page=7, hits=1"
 
 
+def test_metrics_read_their_rows_once(spark):
+    """The terms of all pages are counted below them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        seen.add(1)
+        return x / 10
+
+    first = F.struct(F.col("n").alias("pos"), F.lit(0).alias("place")).alias("first")
+    rows = spark.range(40).select((F.col("id") % 2).cast("string").alias("doc_id"), F.col("id").alias("n")).select("doc_id", score(F.col("n").cast("double")).alias("raw_score"), first)
+    found = {r.doc_id: (round(r.p50, 6), r.n_terms) for r in keywords.metrics(rows).collect()}
+    assert found == {"0": (1.9, 20), "1": (2.0, 20)} and seen.value == 40
+
+
 def test_chinese_terms_and_scores(spark):
     blob = "樹的走 二元樹走訪方式 例如 二元樹走訪方式"
     corpus = spark.createDataFrame([("c1", 0, blob, ""), ("c1", 1, "二元樹走訪方式", ""), ("c2", 2, "圖形搜尋演算法 tree", "")], "doc_id string, pos long, text string, ocr string")
@@ -236,11 +251,11 @@ def test_topics_look_at_the_beginning_of_a_text(spark):
     """A first line may be a whole text: no pattern goes over all of it, and short, blank, chapter and numbered ones are told apart."""
     from quire.operators import exam
 
-    long = "a longer first line of words " * 2000
-    texts = [None, "  \n ", "ab c\nshort but with a second line", "a b\nsecond line of the page", "CH12 　title of the chapter, a page", "CH12\ntitle of the chapter, a page", f"  {long}", f" 3-1 the {long}", "這頁是沒有txt的", f"這頁是沒有txt的{' ' * 60}x"]
+    long = "a longer, first line of words " * 2000
+    texts = [None, "  \n ", "ab c\nshort, with a second line", "a b\nsecond line, of the page", "CH12 　title of the chapter, a page", "CH12\ntitle of the chapter, a page", f"  {long}", f" 3-1 the {long}", "這頁是沒有txt的", f"這頁是沒有txt的{' ' * 60}x"]
     found = exam.topics(spark.createDataFrame(list(enumerate(texts)), "pos long, text string"))
     assert [(r.pos, r.topic) for r in found.collect()] == [
-        (2, "ab c short but with a second line"), (5, "CH12 title of the chapter, a page"), (6, long[:60].strip()), (7, f"3-1 the {long}".strip()),
+        (2, "ab c short, with a second line"), (5, "CH12 title of the chapter, a page"), (6, long[:60].strip()), (7, f"3-1 the {long}".strip()),
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "regexp_replace(coalesce(text" not in plan

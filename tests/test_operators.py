@@ -259,3 +259,17 @@ def test_topics_look_at_the_beginning_of_a_text(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "regexp_replace(coalesce(text" not in plan
+
+
+def test_texts_are_composed_in_bounded_batches(spark):
+    import unicodedata
+
+    import pyarrow as pa
+
+    texts = ["ＡＢ ﬁ", None, "plain", "", "é", *["x"] * 70, "①", None]
+    want = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert all(text.composed(pa.array(texts), n).to_pylist() == want for n in (1, 3, 64)) and text.composed(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(text.nfkc(F.col("t"))).collect()] == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20

@@ -202,7 +202,7 @@ class Library:
         """Ranks and keeps the keywords of a scope's chapters; with_model: the model names allowed terms, again with refresh, and chooses among candidates."""
         checked(data_type, lang, subject=subject, chapter=name)
         pages = self.scope_pages(subject, data_type, name)
-        rows = keywords.scored(pages, keywords.term_counts(keywords.page_terms(pages, lang), lang), lang)
+        rows = keywords.scored(pages, keywords.counted(pages, lang), lang)
         rows = keywords.promoted(rows).drop("place") if lang == "en" else rows
         ranked = kept(keywords.ranked(rows), "ranked")
         if with_model:

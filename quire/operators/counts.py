@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept
+from ..sources.scratch import written
 from . import keywords
 
 _COUNTS = "doc_id string, term string, tf long, page_df long, heading double, first struct<pos:long,place:int>, rep_pos long, rep_hits long"
@@ -62,32 +62,40 @@ class TermCounts:
         """(term, df)"""
         return self._listed("changes", _CHANGES).groupBy("term").agg(F.sum("change").alias("df")).where("df > 0")
 
-    def _write(self, counts: DataFrame, chapters: DataFrame, changes: DataFrame, whole: bool = False) -> None:
+    def _put(self, batch: str, name: str, rows: DataFrame) -> DataFrame:
+        """Writes rows of a batch, which do not count before it is listed, and reads them from there."""
+        return written(rows, f"{self.path}/{name}/batch={batch}")
+
+    def _list(self, batch: str, whole: bool = False) -> None:
         number = (self._table("list", _LIST).agg(F.max("number")).first()[0] or 0) + 1
-        batch = uuid.uuid4().hex
-        for name, rows in (("counts", counts), ("chapters", chapters), ("changes", changes)):
-            rows.write.parquet(f"{self.path}/{name}/batch={batch}")
         self.spark.createDataFrame([(number, whole, batch)], _LIST).coalesce(1).write.mode("append").parquet(f"{self.path}/list")
 
     def add(self, pages: DataFrame, mark: Column | None = None) -> None:
         """Counts the chapters of pages (doc_id, pos, text, ocr), all pages of each; those that are there already are replaced. mark: what tells this state of a chapter."""
         pages = pages.where("doc_id IS NOT NULL")
-        counts = kept(keywords.term_counts(keywords.page_terms(pages, self.lang), self.lang), "counts")
-        mark = F.lit(None).cast("string") if mark is None else mark
-        chapters = kept(pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_doc"), F.max(mark).alias("mark")).withColumn("gone", F.lit(False)), "chapters")
+        batch, mark = uuid.uuid4().hex, F.lit(None).cast("string") if mark is None else mark
+        counts = self._put(batch, "counts", keywords.counted(pages, self.lang))
+        chapters = self._put(batch, "chapters", pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_doc"), F.max(mark).alias("mark")).withColumn("gone", F.lit(False)))
         before = self.counts().join(chapters.select("doc_id"), "doc_id", "left_semi")
-        self._write(counts, chapters, _changes(counts, before))
+        self._put(batch, "changes", _changes(counts, before))
+        self._list(batch)
 
     def remove(self, chapters: DataFrame) -> None:
         """Takes the chapters (doc_id) out."""
-        there = kept(self.chapters().join(chapters.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "pages_in_doc", "mark", F.lit(True).alias("gone")), "chapters")
+        batch = uuid.uuid4().hex
+        there = self._put(batch, "chapters", self.chapters().join(chapters.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "pages_in_doc", "mark", F.lit(True).alias("gone")))
         before = self.counts().join(there.select("doc_id"), "doc_id", "left_semi")
-        self._write(before.limit(0), there, _changes(before.limit(0), before))
+        none = self._put(batch, "counts", self.spark.createDataFrame([], _COUNTS))
+        self._put(batch, "changes", _changes(none, before))
+        self._list(batch)
 
     def compact(self) -> None:
         """Writes what counts as one batch, from which on all is read."""
-        chapters = self.chapters().select("doc_id", "pages_in_doc", "mark", F.lit(False).alias("gone"))
-        self._write(self.counts(), chapters, self.document_frequency().select("term", F.col("df").alias("change")), whole=True)
+        batch = uuid.uuid4().hex
+        self._put(batch, "counts", self.counts())
+        self._put(batch, "chapters", self.chapters().select("doc_id", "pages_in_doc", "mark", F.lit(False).alias("gone")))
+        self._put(batch, "changes", self.document_frequency().select("term", F.col("df").alias("change")))
+        self._list(batch, whole=True)
 
     def scored(self) -> DataFrame:
         """As keywords.scored over the pages of all chapters."""

@@ -1,7 +1,7 @@
 """Keyword mining: terms, frequencies, scores, metrics and selection.
 
-Terms are extracted and counted page by page in Arrow batches, then per chapter,
-so each count is combined before its shuffle; scores and ranks are DataFrame
+Terms are extracted page by page in Arrow batches and counted per chapter, first
+within a task, so each count is combined before its shuffle; scores and ranks are DataFrame
 operations. A chapter may hold most rows, so its ranks and percentiles are counted
 over ranges of its order. The order-dependent choice among overlapping terms is a
 fold over windows of ranks, whose state is stored from one window to the next.
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,8 @@ CN_VERB_ENDS = r"(成|為|得|進行|使用|轉換|形成|開始|進入)$"
 ROMAN_WORD = r"^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 # The three passes over English text: capitals, phrases in title case, words in lower case.
 EN_PASSES = [r"\b[A-Z]{2,8}\b", r"\b(?:[A-Z][a-z]{2,}\s){1,4}[A-Z][a-z]{2,}\b", r"\b[a-z]{3,}\b"]
+#: The same passes, each beginning with a letter, which Python's search can skip to.
+_FAST_PASSES = [r"[A-Z](?<!\w[A-Z])[A-Z]{1,7}\b", r"[A-Z](?<!\w[A-Z])[a-z]{2,}\s(?:[A-Z][a-z]{2,}\s){0,3}[A-Z][a-z]{2,}\b", r"[a-z](?<!\w[a-z])[a-z]{2,}\b"]
 
 
 def is_stop(t: Column) -> Column:
@@ -90,50 +93,208 @@ def is_term(t: Column, lang: str = "en") -> Column:
     return (n > 2) & ~t.isin(STOP_TERMS + FORMAT_NOISE) & ~((n <= 4) & t.rlike("(ing|ed|tion|ness|ment)$")) & ~t.rlike(ROMAN_WORD) & ~dull
 
 
+def _listing(lang: str) -> Callable[[str], list[str]]:
+    """What the passes find in a text, in order of extraction; of the English ones, those over capitals and titles."""
+    if lang == "cn":
+        return re.compile(f"{CJK_PLAIN}{{2,8}}").findall
+    capitals, titles = (re.compile(p).findall for p in _FAST_PASSES[:2])
+    return lambda text: [t.lower() for t in capitals(text)] + [" ".join(t.lower().split()) for t in titles(text)]
+
+
+#: Characters of pages that a task looks at together, or those of one page.
+CHARS_AT_ONCE = 1 << 20
+
+
+def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(doc_id, pos, head, blob) of pages, some at a time."""
+    some: list[tuple] = []
+    chars = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            for doc_id, pos, text, ocr in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                some.append((doc_id, pos, (text or "")[:80].lower(), f"{text or ''}\n{ocr or ''}"))
+                chars += len(some[-1][3])
+                if chars >= CHARS_AT_ONCE:
+                    yield some
+                    some, chars = [], 0
+    if some:
+        yield some
+
+
+def _given(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("doc_id").cast("string"), F.col("pos").cast("long"), "text", "ocr")
+
+
 def page_terms(pages: DataFrame, lang: str = "en") -> DataFrame:
     """(doc_id, pos, term, hits, place, heading): per page and term; place is the first in order of extraction, heading: is it in the page's first 80 characters?
 
     Terms are counted within a page before they become rows, so that a term costs a row per page and not per occurrence.
     """
-    passes = [re.compile(p) for p in ([f"{CJK_PLAIN}{{2,8}}"] if lang == "cn" else EN_PASSES)]
+    listed, words = _listing(lang), re.compile(_FAST_PASSES[2]).findall
     stops = frozenset(STOP_CN if lang == "cn" else STOP_EN)
     schema = pa.schema([("doc_id", pa.string()), ("pos", pa.int64()), ("term", pa.string()), ("hits", pa.int64()), ("place", pa.int32()), ("heading", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: list[tuple] = []
-                for doc_id, pos, text, ocr in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    blob, head = f"{text or ''}\n{ocr or ''}", (text or "")[:80].lower()
-                    if lang == "cn":
-                        found = passes[0].findall(blob)
-                    else:
-                        low = blob.lower()
-                        found = [" ".join(t.lower().split()) for p in passes[:2] for t in p.findall(blob)] + passes[2].findall(low)
-                    first: dict[str, int] = {}
-                    for n, t in enumerate(found):
-                        first.setdefault(t, n)
-                    out += [(doc_id, pos, t, n, first[t], t in head) for t, n in Counter(found).items() if t not in stops]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    given = pages.select(F.col("doc_id").cast("string"), F.col("pos").cast("long"), "text", "ocr")
-    return given.mapInArrow(run, "doc_id string, pos long, term string, hits long, place int, heading boolean")
+        for some in _pages(batches):
+            out: list[tuple] = []
+            for doc_id, pos, head, blob in some:
+                found = listed(blob) + (words(blob.lower()) if lang != "cn" else [])
+                first: dict[str, int] = {}
+                for n, t in enumerate(found):
+                    first.setdefault(t, n)
+                out += [(doc_id, pos, t, n, first[t], t in head) for t, n in Counter(found).items() if t not in stops]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return _given(pages).mapInArrow(run, "doc_id string, pos long, term string, hits long, place int, heading boolean")
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The third English pass over texts in lower case: its words, one text after the other, and how many each text has."""
+    chars = _points("".join(f"{t}\n" for t in texts))
+    letter = chars - np.uint32(ord("a")) < 26  # what is below goes round
+    word = letter | (chars - np.uint32(ord("0")) < 10) | (chars == ord("_")) | (chars - np.uint32(ord("A")) < 26)
+    if len(far := np.flatnonzero(chars > 127)):
+        kinds, which = np.unique(chars[far], return_inverse=True)
+        word[far] = np.array([chr(k).isalnum() for k in kinds.tolist()])[which]
+    edges = np.flatnonzero(np.diff(word, prepend=False))  # the last character is none of a word
+    start, end = edges[::2], edges[1::2]
+    plain = end - start >= 3
+    plain[np.searchsorted(start, np.flatnonzero(word & ~letter), "right") - 1] = False
+    start, end = start[plain], end[plain]
+    inside = np.zeros(len(chars), np.int8)
+    inside[start], inside[end] = 1, -1  # words do not touch
+    data, offsets = chars[np.cumsum(inside, dtype=np.int8).astype(bool)].astype(np.uint8), np.append(0, np.cumsum(end - start)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data))
+    bounds = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    return found, np.diff(np.searchsorted(start, bounds))
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(sorted_keys)])
+
+
+def _in_heads(names: list[str], heads: list[str], code: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Is names[code] in heads[page]? Only looked at where the head has the name's first and last two characters."""
+    mixed = lambda a, b: (a * np.uint32(61) + b) & np.uint32(4095)
+    chars, ends = _points("".join(f"{h}\n" for h in heads)), np.cumsum([len(h) + 1 for h in heads])
+    seen = np.zeros((len(heads), 4096), bool)
+    seen[np.repeat(np.arange(len(heads)), np.diff(ends, prepend=0))[:-1], mixed(chars[:-1], chars[1:])] = True
+    chars, ends = _points("".join(names)), np.cumsum([len(t) for t in names])  # of two characters at least
+    begin = np.append(0, ends[:-1])
+    may = np.flatnonzero(seen[page, mixed(chars[begin], chars[begin + 1])[code]] & seen[page, mixed(chars[ends - 2], chars[ends - 1])[code]])
+    found = np.zeros(len(code), np.int64)
+    found[may] = [names[c] in heads[p] for c, p in zip(code[may].tolist(), page[may].tolist(), strict=True)]
+    return found
+
+
+#: Found terms that a task counts at a time, or those of CHARS_AT_ONCE.
+FOUND_AT_ONCE = 1 << 21
+_PARTS = pa.schema([("doc_id", pa.string()), ("term", pa.string()), ("tf", pa.int64()), ("page_df", pa.int64()), ("headings", pa.int64()), ("pos", pa.int64()), ("place", pa.int32()), ("rep_pos", pa.int64()), ("rep_hits", pa.int64())])
+
+
+def _part(pages: list[tuple], listed: list[pa.Array], n_listed: np.ndarray, words: list[pa.Array], n_words: np.ndarray, stops: frozenset[str]) -> pa.RecordBatch:
+    """Counts per chapter and term of pages (doc_id, pos, head), of which first what is listed stands one page after the other, then the words."""
+    coded = pa.concat_arrays([*listed, *words]).dictionary_encode()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    if not names:
+        return pa.RecordBatch.from_pylist([], _PARTS)
+    # per page and term; all stands in order of extraction, so the first one tells the place
+    key = np.concatenate([np.repeat(np.arange(len(pages)), n) for n in (n_listed, n_words)]) * len(names) + code
+    order = np.argsort(key, kind="stable")
+    start = _runs(key[order])
+    at, hits = order[start], np.diff(np.append(start, len(order)))
+    page, code = np.divmod(key[at], len(names))
+    stays = ~np.array([t in stops for t in names])[code]
+    page, code, hits, at = page[stays], code[stays], hits[stays], at[stays]
+    place = np.where(at < n_listed.sum(), at - (np.cumsum(n_listed) - n_listed)[page], at - n_listed.sum() - (np.cumsum(n_words) - n_words - n_listed)[page])
+    heading = _in_heads(names, [head for *_, head in pages], code, page)
+    # per chapter and term; pages without a position are apart, as they cannot be the first
+    number: dict[tuple, int] = {}
+    key = np.array([number.setdefault((doc_id, pos is None), len(number)) for doc_id, pos, _ in pages], np.int64)[page] * len(names) + code
+    pos = np.array([0 if pos is None else pos for _, pos, _ in pages], np.int64)[page]
+    order = np.argsort(key, kind="stable")
+    key, pos, hits, place = key[order], pos[order], hits[order], place[order]
+    start = _runs(key)
+    if not len(start):
+        return pa.RecordBatch.from_pylist([], _PARTS)
+    page_df, last = np.diff(np.append(start, len(key))), np.iinfo(np.int64).max
+    least, most = np.minimum.reduceat(pos, start), np.maximum.reduceat(hits, start)
+    first = np.minimum.reduceat(np.where(pos == np.repeat(least, page_df), place, last), start)
+    best = np.minimum.reduceat(np.where(hits == np.repeat(most, page_df), pos, last), start)
+    chapter, code = np.divmod(key[start], len(names))
+    unplaced = np.array([none for _, none in number])[chapter]
+    columns = [
+        pa.array([doc_id for doc_id, _ in number], pa.string()).take(pa.array(chapter)), coded.dictionary.take(pa.array(code)), pa.array(np.add.reduceat(hits, start)), pa.array(page_df), pa.array(np.add.reduceat(heading[order], start)),
+        pa.array(least, mask=unplaced), pa.array(first.astype(np.int32), mask=unplaced), pa.array(best, mask=unplaced), pa.array(most),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_PARTS)
+
+
+def counted(pages: DataFrame, lang: str = "en") -> DataFrame:
+    """term_counts of page_terms; a task combines what its pages of a chapter have in common, as columns of numbers, before it becomes rows."""
+    listing = _listing(lang)
+    stops = frozenset(STOP_CN if lang == "cn" else STOP_EN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        parts: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            listed, n_listed, words, n_words = zip(*parts, strict=True)
+            return _part(held, [*listed], np.concatenate(n_listed), [*words], np.concatenate(n_words), stops)
+
+        for some in _pages(batches):
+            blobs = [blob for *_, blob in some]
+            found = [listing(blob) for blob in blobs]
+            words, n_words = _words([blob.lower() for blob in blobs]) if lang != "cn" else (pa.array([], pa.string()), np.zeros(len(blobs), np.int64))
+            held += [page[:3] for page in some]
+            parts.append((pa.array([t for terms in found for t in terms], pa.string()), np.array([len(terms) for terms in found], np.int64), words, n_words))
+            n += len(parts[-1][0]) + len(words)
+            if n >= FOUND_AT_ONCE:
+                yield flush()
+                held, parts, n = [], [], 0
+        if held:
+            yield flush()
+
+    # a task that has pages of one chapter or few finds the same terms again; a large chapter goes to several tasks.
+    # The number is given, as tasks are long for their bytes and would be coalesced to too few.
+    n_tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _given(pages).repartitionByRange(n_tasks, "doc_id", "pos").mapInArrow(run, "doc_id string, term string, tf long, page_df long, headings long, pos long, place int, rep_pos long, rep_hits long")
+    return _summed(rows, lang)
 
 
 def term_counts(counted: DataFrame, lang: str = "en") -> DataFrame:
-    """Per chapter and term: tf, page_df, heading (0 to 1), first (page and place), and the page with the most hits.
+    """Per chapter and term: tf, page_df, heading (0 to 1), first (page and place), and the page with the most hits."""
+    one = F.lit(1).cast("long")
+    return _summed(counted.select("doc_id", "term", F.col("hits").alias("tf"), one.alias("page_df"), F.col("heading").cast("long").alias("headings"), "pos", "place", F.col("pos").alias("rep_pos"), F.col("hits").alias("rep_hits")), lang)
+
+
+def _summed(parts: DataFrame, lang: str) -> DataFrame:
+    """What is no term goes here, after counting, so that each shape is tested once per chapter and not at every occurrence.
 
-    What is no term goes here, after counting, so that each shape is tested once per chapter and not at every occurrence.
+    Pairs go through min and max as one number each, which a hash aggregate can hold; structs would make it sort. That number
+    is a long where both parts have room in it, else a decimal, which is slow.
     """
-    # pairs go through min and max as one number each, which a hash aggregate can hold; structs would make it sort
-    wide, place = (lambda c: F.col(c).cast("decimal(38,0)")), F.lit(1 << 31).cast("decimal(38,0)")
-    counts = counted.groupBy("doc_id", "term").agg(
-        F.sum("hits").alias("tf"), F.count(F.lit(1)).alias("page_df"), F.least(F.lit(1.0), F.sum(F.col("heading").cast("int")) * 0.5).alias("heading"),
-        F.min((wide("pos") * place + wide("place")).cast("decimal(38,0)")).alias("at"), F.max((wide("hits") * F.lit(str(1 << 64)).cast("decimal(38,0)") - wide("pos")).cast("decimal(38,0)")).alias("top"), F.max("hits").alias("rep_hits"),
+    wide, turn, step = (lambda c: F.col(c).cast("decimal(38,0)")), F.lit(1 << 31).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")
+    low = F.lit((1 << 32) - 1)
+    near, near_rep = F.col("pos").between(0, low), F.col("rep_pos").between(0, low) & (F.col("rep_hits") < 1 << 31)
+    counts = parts.groupBy("doc_id", "term").agg(
+        F.sum("tf").alias("tf"), F.sum("page_df").alias("page_df"), F.least(F.lit(1.0), F.sum("headings") * 0.5).alias("heading"), F.max("rep_hits").alias("rep_hits"),
+        F.min(F.when(near, F.shiftleft("pos", 31).bitwiseOR(F.col("place").cast("long")))).alias("at"), F.min(F.when(~near, (wide("pos") * turn + wide("place")).cast("decimal(38,0)"))).alias("far_at"),
+        F.max(F.when(near_rep, F.shiftleft("rep_hits", 32).bitwiseOR(low - F.col("rep_pos")))).alias("top"), F.max(F.when(~near_rep, (wide("rep_hits") * step - wide("rep_pos")).cast("decimal(38,0)"))).alias("far_top"),
     )
-    first = F.struct(F.floor(F.col("at") / place).cast("long").alias("pos"), F.pmod("at", place).cast("int").alias("place"))
-    rep = (F.col("rep_hits").cast("decimal(38,0)") * F.lit(str(1 << 64)).cast("decimal(38,0)") - F.col("top")).cast("long")
-    counts = counts.withColumns({"first": first, "rep_pos": rep}).drop("at", "top")
+    pair = lambda known, pos, place: F.when(F.col(known).isNotNull(), F.struct(pos.cast("long").alias("pos"), place.cast("int").alias("place")))
+    first = F.least(pair("at", F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit((1 << 31) - 1))), pair("far_at", F.floor(F.col("far_at") / turn), F.pmod("far_at", turn)))
+    first = F.coalesce(first, F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("int").alias("place")))
+    # a page with fewer hits than rep_hits gives no position, or one that is no long
+    rep = F.least(F.when(F.shiftright("top", 32) == F.col("rep_hits"), low - F.col("top").bitwiseAND(low)), F.when(F.col("far_top").isNotNull(), (wide("rep_hits") * step - F.col("far_top")).try_cast("long")))
+    counts = counts.withColumns({"first": first, "rep_pos": rep}).select("doc_id", "term", "tf", "page_df", "heading", "rep_hits", "first", "rep_pos")
     return counts.where(is_term(F.col("term"), lang))
 
 
@@ -414,7 +575,7 @@ def _selected(first: DataFrame, whole: Callable[[DataFrame], DataFrame], limits:
 
 def keywords(pages: DataFrame, topn: int = 10, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
     """The whole chain, from pages (doc_id, pos, text, ocr) to selected keywords."""
-    return from_scores(scored(pages, term_counts(page_terms(pages, lang), lang), lang), topn, lang, compat_stale_features)
+    return from_scores(scored(pages, counted(pages, lang), lang), topn, lang, compat_stale_features)
 
 
 def from_scores(rows: DataFrame, topn: int = 10, lang: str = "en", compat_stale_features: bool = False) -> DataFrame:
